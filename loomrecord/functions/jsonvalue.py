@@ -21,21 +21,33 @@ BLANK_CLASS = (
 )
 
 
-def jsonpath(*tokens: Token) -> str:
-    """Render path tokens as the JSONPath text that variant_get accepts."""
+def jsonpath(*tokens: Token, quote: str = '"') -> str:
+    """Render path tokens as JSONPath text: $.name, $["odd key"], $[0]."""
     out = ["$"]
     for token in tokens:
         if isinstance(token, int):
             out.append(f"[{token}]")
+        elif re.match(r"^[A-Za-z_][A-Za-z0-9_]*$", token):
+            out.append(f".{token}")
+        elif quote not in token:
+            out.append(f"[{quote}{token}{quote}]")
         elif "'" not in token:
             out.append(f"['{token}']")
-        elif '"' not in token:
-            out.append(f'["{token}"]')
         else:
             raise ValueError("a key holding both quote characters cannot be addressed")
     return "".join(out)
 
 
+def sql_text(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def get_sql(value: str, *tokens: Token) -> str:
+    """`get` as SQL text, for alias tables too long to build call by call."""
+    return f"try_variant_get({value}, {sql_text(jsonpath(*tokens))}, 'variant')"
+
+
 def get(value: Column, *tokens: Token) -> Column:
     """The variant at a path; SQL NULL when missing."""
     return F.try_variant_get(value, jsonpath(*tokens), "variant")
@@ -219,7 +231,7 @@ def compact_json(text: Column, *tokens: Token) -> Column:
     A VARIANT sorts its keys, so the source text is re-serialised instead.
     Float tokens are printed as doubles; a whole one loses its ".0".
     """
-    out = F.get_json_object(text, jsonpath(*tokens))
+    out = F.get_json_object(text, jsonpath(*tokens, quote="'"))
     whole_floats = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(-?\d+)\.0+(?=[,\]}]|$)'
     return F.when(out.rlike(r"\d\.0+(?:[,\]}]|$)"), F.regexp_replace(out, whole_floats, "$1$2")).otherwise(out)
 
@@ -361,9 +373,13 @@ ROLE_NAMES = {
 }
 
 
+def map_literal(mapping: dict[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(sql_text(x) for pair in mapping.items() for x in pair) + ")")
+
+
 def lookup(mapping: dict[str, str], key: Column) -> Column:
-    """A small fixed table as a map literal."""
-    return F.element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), key)
+    """A small fixed table as a map literal; NULL when the key is not listed."""
+    return F.element_at(map_literal(mapping), key)
 
 
 def role_of(value: Column) -> Column:

@@ -56,29 +56,35 @@ def _scaled_integer(number: Column, unit: str) -> Column:
 
 def text_to_ms(text: Column, unit: str = "auto") -> Column:
     """J12 for text: digit strings by magnitude (or a fixed unit), otherwise ISO."""
-    body = F.trim(text)
     if unit == "iso":
-        return _valid(iso_to_ms(body))
-    whole = F.when(body.rlike(r"^-?\d{1,35}$"), body.try_cast("decimal(38,0)"))
-    out = F.when(whole.isNotNull(), _scaled_integer(whole, unit)).when(
-        body.rlike(r"^-?\d+\.\d+$"), _scaled(body.try_cast("double"), unit)
-    )
-    if unit == "auto":
-        out = out.otherwise(iso_to_ms(body))
-    return _valid(out)
+        return J.let(F.trim(text), lambda t: _valid(iso_to_ms(t)))
+
+    def convert(body: Column) -> Column:
+        whole = J.let(body.try_cast("decimal(38,0)"), lambda n: _scaled_integer(n, unit))
+        out = F.when(body.rlike(r"^-?\d{1,35}$"), whole).when(
+            body.rlike(r"^-?\d+\.\d+$"), J.let(body.try_cast("double"), lambda n: _scaled(n, unit))
+        )
+        return out.otherwise(iso_to_ms(body)) if unit == "auto" else out
+
+    return J.let(J.let(F.trim(text), convert), _valid)
 
 
 def number_to_ms(number: Column, unit: str = "auto") -> Column:
     """J12 for numbers: whole numbers beyond the safe range are unknown."""
-    unsafe = (number % 1 == 0) & (F.abs(number) > MAX_SAFE)
-    return _valid(F.when(~unsafe & ~F.isnan(number), _scaled(number, unit)))
+    def convert(n: Column) -> Column:
+        unsafe = (n % 1 == 0) & (F.abs(n) > MAX_SAFE)
+        return F.when(~unsafe & ~F.isnan(n), _scaled(n, unit))
+
+    return J.let(J.let(number, convert), _valid)
 
 
 def to_epoch_ms(value: Column, unit: str = "auto") -> Column:
     """Variant timestamp to epoch milliseconds; NULL means unknown."""
-    numeric = None if unit == "iso" else number_to_ms(J.as_double(value), unit)
-    out = F.when(J.is_string(value), text_to_ms(J.as_string(value), unit))
-    return out if numeric is None else out.when(J.is_numeric(value), numeric)
+    def convert(v: Column) -> Column:
+        out = F.when(J.is_string(v), text_to_ms(J.as_string(v), unit))
+        return out if unit == "iso" else out.when(J.is_numeric(v), number_to_ms(J.as_double(v), unit))
+
+    return J.let(value, convert)
 
 
 def metadata_time(value: Column) -> Column:

@@ -24,33 +24,48 @@ def _text_state(text: Column) -> Column:
 
 def select_text(text: Column) -> Column:
     """A1 for a normalised string column."""
-    return _selected(_text_state(text), F.lit("string"), text)
+    return J.let(text, lambda t: _selected(_text_state(t), F.lit("string"), t))
 
 
 def select_event_kind(kind: Column) -> Column:
     """A1 for the event kind: `other` carries no information."""
-    return _selected(F.when(kind == "other", "unknown").otherwise(_text_state(kind)), F.lit("string"), kind)
+    return select_text(F.when(kind == "other", "unknown").otherwise(kind))
+
+
+def _number_state(n: Column) -> Column:
+    bad = F.isnan(n) | (F.abs(n) == float("inf")) | ((n % 1 == 0) & (F.abs(n) > MAX_SAFE))
+    return F.when(n.isNull(), "missing").when(bad, "unknown").otherwise("value")
 
 
 def select_number(number: Column) -> Column:
-    bad = F.isnan(number) | (F.abs(number) == float("inf")) | ((number % 1 == 0) & (F.abs(number) > MAX_SAFE))
-    label = F.when(number % 1 == 0, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
-    return _selected(F.when(number.isNull(), "missing").when(bad, "unknown").otherwise("value"), F.lit("number"), label)
+    """A1 for a normalised numeric column."""
+    return J.let(number, lambda n: _selected(_number_state(n), F.lit("number"), F.regexp_replace(n.cast("string"), r"\.0$", "")))
 
 
 def select_value(value: Column) -> Column:
     """A1: struct(state, type, label) of a variant: value, missing or unknown."""
-    n = J.as_double(value)
-    state = (
-        F.when(value.isNull() | J.is_json_null(value), "missing")
-        .when(J.is_string(value), _text_state(J.as_string(value)))
-        .when(J.is_boolean(value), "value")
-        .when(J.is_numeric(value), F.when(F.isnan(n) | (F.abs(n) == float("inf")) | ((n % 1 == 0) & (F.abs(n) > MAX_SAFE)), "unknown").otherwise("value"))
-        .otherwise("unknown")
-    )
-    typ = F.when(J.is_string(value), "string").when(J.is_boolean(value), "boolean").otherwise("number")
-    label = F.when(J.is_numeric(value), J.number_text(value)).otherwise(J.as_string(value))
-    return _selected(state, typ, label)
+    def pick(v: Column) -> Column:
+        state = (
+            F.when(v.isNull() | J.is_json_null(v), "missing")
+            .when(J.is_string(v), _text_state(J.as_string(v)))
+            .when(J.is_boolean(v), "value")
+            .when(J.is_numeric(v), _number_state(J.as_double(v)))
+            .otherwise("unknown")
+        )
+        typ = F.when(J.is_string(v), "string").when(J.is_boolean(v), "boolean").otherwise("number")
+        label = F.when(J.is_numeric(v), J.number_text(v)).otherwise(J.as_string(v))
+        return _selected(state, typ, label)
+
+    return J.let(value, pick)
+
+
+def _keyed(selected: Column, max_key_length: int = MAX_KEY_LENGTH) -> Column:
+    """struct(kind, type, label); labels over the key length count as unknown."""
+    def cut(s: Column) -> Column:
+        kind = F.when(F.length(s["label"]) > max_key_length, "unknown").otherwise(s["state"])
+        return F.struct(kind.alias("kind"), F.when(kind == "value", s["type"]).alias("type"), F.when(kind == "value", s["label"]).alias("label"))
+
+    return J.let(selected, cut)
 
 
 def selector(name: str | list, dimension: bool = False) -> Column:
@@ -83,10 +98,7 @@ def category_counts(df: DataFrame, selected: Column, max_groups: int = 32, order
     Keys are tagged by type (1 differs from "1"). First-seen means the smallest
     `order` value, so the answer does not depend on partitioning.
     """
-    sel = df.select(F.col(order).alias("_o"), selected.alias("s")).select("_o", "s.*")
-    long = F.length("label") > max_key_length
-    kind = F.when(F.col("state") == "value", F.when(long, "unknown").otherwise("value")).otherwise(F.col("state"))
-    keyed = sel.select("_o", kind.alias("kind"), F.when(kind == "value", F.col("type")).alias("type"), F.when(kind == "value", F.col("label")).alias("label"))
+    keyed = df.select(F.col(order).alias("_o"), F.inline(F.array(_keyed(selected, max_key_length))))
     groups = keyed.groupBy("kind", "type", "label").agg(F.count(F.lit(1)).alias("count"), F.min("_o").alias("first"))
     return _fold(groups, max_groups - 3)
 
@@ -102,22 +114,22 @@ def _fold(groups: DataFrame, capacity: int) -> DataFrame:
         "count", "first",
     )
     out = named.groupBy("kind", "type", "label").agg(F.sum("count").cast("bigint").alias("count"), F.min("first").alias("first"))
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in {"value": 0, "other": 1, "overflow": 1, "unknown": 2, "missing": 3}.items() for x in kv]), F.col("kind"))
+    rank = F.element_at(F.expr("map('value', 0, 'other', 1, 'unknown', 2, 'missing', 3)"), F.col("kind"))
     by_count = F.when(F.col("kind") == "value", -F.col("count"))
     return out.orderBy(rank, by_count, "first").select("kind", "type", "label", "count")
 
 
 def category_top(df: DataFrame, selected: Column, k: int) -> DataFrame:
     """A3: the k most frequent values, exact."""
-    sel = df.select(selected.alias("s")).filter(F.col("s.state") == "value").select("s.type", "s.label")
-    return sel.groupBy("type", "label").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "type", "label").limit(k)
+    sel = df.select(F.inline(F.array(_keyed(selected))))
+    return sel.filter(F.col("kind") == "value").groupBy("type", "label").agg(F.count(F.lit(1)).alias("count")).orderBy(F.col("count").desc(), "type", "label").limit(k)
 
 
 def time_buckets(df: DataFrame, value: Column, width_ms: int, unit: str = "auto", max_buckets: int = 512, order: str = "ordinal", is_text: bool = False) -> DataFrame:
     """A4: counts per half-open bucket, first-seen buckets kept, ascending; then Overflow, Unknown, Missing."""
     state = select_text(value)["state"] if is_text else select_value(value)["state"]
     ms = text_to_ms(value, unit) if is_text else to_epoch_ms(value, unit)
-    sel = df.select(F.col(order).alias("_o"), state.alias("state"), ms.alias("ms"))
+    sel = df.select(F.col(order).alias("_o"), F.inline(F.array(F.struct(state.alias("state"), ms.alias("ms")))))
     return bucket_counts(sel, width_ms, max_buckets)
 
 
@@ -133,7 +145,7 @@ def bucket_counts(sel: DataFrame, width_ms: int, max_buckets: int = 512) -> Data
     final = F.when((F.col("kind") == "value") & F.col("kept").isNull(), "overflow").when(F.col("kind") == "value", "time").otherwise(F.col("kind"))
     out = folded.select(final.alias("kind"), F.when(final == "time", F.col("start_ms")).alias("start_ms"), "count")
     out = out.groupBy("kind", "start_ms").agg(F.sum("count").cast("bigint").alias("count"))
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in {"time": 0, "overflow": 1, "unknown": 2, "missing": 3}.items() for x in kv]), F.col("kind"))
+    rank = F.element_at(F.expr("map('time', 0, 'overflow', 1, 'unknown', 2, 'missing', 3)"), F.col("kind"))
     return out.orderBy(rank, "start_ms").select(
         "kind", "start_ms", (F.col("start_ms") + width_ms).alias("end_ms"),
         F.coalesce(ms_text(F.col("start_ms")), F.initcap("kind")).alias("label"), "count",
@@ -153,17 +165,17 @@ def insights(events: DataFrame, width_ms: int = 300_000, max_groups: int = 32, m
         "service": select_value(F.element_at(F.col("derived"), "service")),
         "status": select_text(F.col("status")),
     }
+    none = F.lit(None).cast("bigint")
     tagged = [
-        F.struct(F.lit(d).alias("dimension"),
-                 F.when((s["state"] == "value") & (F.length(s["label"]) > MAX_KEY_LENGTH), "unknown").otherwise(s["state"]).alias("kind"),
-                 s["type"].alias("type"), s["label"].alias("label"), F.lit(None).cast("bigint").alias("start_ms"))
+        J.let(_keyed(s), lambda k, d=d: F.struct(F.lit(d).alias("dimension"), k["kind"].alias("kind"), k["type"].alias("type"),
+                                                 k["label"].alias("label"), none.alias("start_ms")))
         for d, s in dims.items()
     ]
-    ts = select_text(F.col("timestamp_raw"))["state"]
-    ms = text_to_ms(F.col("timestamp_raw"))
-    tkind = F.when(ts != "value", ts).when(ms.isNull(), "unknown").otherwise("value")
-    tagged.append(F.struct(F.lit("time").alias("dimension"), tkind.alias("kind"), F.lit(None).cast("string").alias("type"),
-                           F.lit(None).cast("string").alias("label"), F.when(tkind == "value", bucket_start(ms, width_ms)).alias("start_ms")))
+    raw = F.col("timestamp_raw")
+    time = F.struct(select_text(raw)["state"].alias("state"), bucket_start(text_to_ms(raw), width_ms).alias("start"))
+    tagged.append(J.let(time, lambda t: F.struct(
+        F.lit("time").alias("dimension"), F.when((t["state"] == "value") & t["start"].isNull(), "unknown").otherwise(t["state"]).alias("kind"),
+        F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("label"), t["start"].alias("start_ms"))))
     rows = events.select(F.col(order).alias("_o"), F.explode(F.array(*tagged)).alias("t")).select("_o", "t.*")
     groups = rows.groupBy("dimension", "kind", "type", "label", "start_ms").agg(F.count(F.lit(1)).alias("count"), F.min("_o").alias("first"))
     w = Window.partitionBy("dimension").orderBy("first", "type", "label", "start_ms")

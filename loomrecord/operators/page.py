@@ -46,7 +46,7 @@ def sort_keys(text: Column, value: Column, *path: J.Token) -> dict[str, Column]:
     """Comparable key columns of a mixed-type field."""
     leaf = J.get(value, *path)
     k = J.kind(leaf)
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in KIND_RANK.items() for x in kv]), k)
+    rank = F.element_at(F.expr("map(" + ", ".join(f"'{n}', {r}" for n, r in KIND_RANK.items()) + ")"), k)
     return {
         "is_missing": leaf.isNull() | J.is_json_null(leaf),
         "kind_rank": rank,

@@ -90,7 +90,7 @@ def schema_summary(records: DataFrame) -> DataFrame:
 
 def suggest_columns(df: DataFrame, n: int = 12) -> DataFrame:
     """Top-level keys by presence, then name; the root when there is none."""
-    top = flatten_paths(df, depth=1).filter((F.col("depth") == 0) | F.element_at("path", 1)["key"].isNotNull())
+    top = flatten_paths(df, depth=1).filter((F.col("depth") == 0) | F.try_element_at("path", F.lit(1))["key"].isNotNull())
     seen = top.groupBy("display", "depth").agg(F.count(F.lit(1)).alias("seen"))
     w = Window.partitionBy()
     # One row per distinct top-level key from here on.
@@ -129,7 +129,7 @@ def normal_key(key: Column) -> Column:
 
 
 def _weights(table: dict[str, float], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    return F.element_at(F.expr("map(" + ", ".join(f"'{k}', {w}D" for k, w in table.items()) + ")"), key)
 
 
 def key_scores(key: Column, text: Column, is_text: Column) -> dict[str, Column]:
@@ -157,13 +157,13 @@ def record_signals(df: DataFrame, depth: int = 4, array_entries: int = 8, identi
     One aggregate per record: min of a small rank struct.
     """
     flat = flatten_paths(df, depth, array_entries, key)
-    last = F.element_at("path", -1)["key"]
+    last = F.try_element_at("path", F.lit(-1))["key"]
     flat = flat.filter((F.col("depth") > 0) & last.isNotNull())
     text = J.scalar_text(F.col("node"))
-    flat = flat.select(*key, "display", "depth", normal_key(last).alias("k"), text.alias("text"), J.is_string(F.col("node")).alias("is_text"))
+    flat = J.fence(flat.select(*key, "display", "depth", "node", last.alias("last")), k=normal_key(F.col("last")), text=text, is_text=J.is_string(F.col("node")))
     flat = flat.filter(F.col("text").isNotNull())
     scores = key_scores(F.col("k"), F.col("text"), F.col("is_text"))
-    flat = flat.select(*key, "display", "depth", "text", *[c.alias(f"s_{n}") for n, c in scores.items()])
+    flat = J.fence(flat.select(*key, "display", "depth", "text", "k", "is_text"), **{f"s_{n}": c for n, c in scores.items()})
     aggs = []
     for role in scores:
         rank = F.struct((-F.col(f"s_{role}")).alias("s"), "depth", "display", F.col("text").alias("value"))

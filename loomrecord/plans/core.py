@@ -274,7 +274,7 @@ for _name, (_tree, _sql) in EVENT_PREDICATES.items():
     CASE WHEN ordinal % 13 <> 1 THEN '$.timestamp' END, CASE WHEN severity IS NOT NULL THEN '$.level' END, CASE WHEN message IS NOT NULL THEN '$.message' END,
     CASE WHEN service IS NOT NULL THEN '$.service' END, CASE WHEN trace_id IS NOT NULL THEN '$.traceId' END, CASE WHEN span_id IS NOT NULL THEN '$.spanId' END,
     CASE WHEN mixed_kind IS NOT NULL THEN '$.mixed' END, CASE WHEN mixed_kind = 'array' THEN '$.mixed[0]' END, CASE WHEN mixed_kind = 'array' THEN '$.mixed[1]' END,
-    CASE WHEN mixed_kind = 'object' THEN '$.mixed.k' END], x -> x IS NOT NULL)) AS display FROM logs) SELECT ordinal, display FROM paths""")
+    CASE WHEN mixed_kind = 'object' THEN '$.mixed.k' END], lambda x: x IS NOT NULL)) AS display FROM logs) SELECT ordinal, display FROM paths""")
 def p01(spark, sf):
     return S.flatten_paths(log_records(spark, sf)).select("ordinal", "display")
 

@@ -26,14 +26,16 @@ def actor_from_role(role: Column) -> Column:
     return F.when(role.isNull() | (role == ""), None).when(low.isin(ACTORS), low).otherwise("unknown")
 
 
-def located(value: Column, *paths: tuple) -> Column:
-    """The first alias that is present and not null."""
-    return F.coalesce(*[J.non_null(value, *p) for p in paths])
+def located(value: str, *paths: tuple) -> Column:
+    """The first alias of a value column that is present and not null."""
+    gets = [J.get_sql(value, *p) for p in paths]
+    return F.expr("coalesce(" + ", ".join(f"if(is_variant_null({g}), null, {g})" for g in gets) + ", null)")
 
 
-def located_path(value: Column, *paths: tuple) -> Column:
+def located_path(value: str, *paths: tuple) -> Column:
     """Display path of the alias that `located` finds."""
-    return F.coalesce(*[F.when(J.present(value, *p), F.lit(J.display_literal(*p))) for p in paths])
+    cases = [(J.get_sql(value, *p), J.sql_text(J.display_literal(*p))) for p in paths]
+    return F.expr("CASE " + " ".join(f"WHEN {g} IS NOT NULL AND NOT is_variant_null({g}) THEN {d}" for g, d in cases) + " END")
 
 
 def derived(**fields: Column) -> Column:
@@ -56,22 +58,28 @@ class Profile:
     signals: object = None
     score: object = None
     prepare: object = field(default=lambda df: df)
+    evidence: object = None
 
-    def project(self, records: DataFrame, keep: tuple[str, ...] = ("source_id", "ordinal")) -> DataFrame:
-        """The events of a set of parsed records; records without a value become `other`."""
+    def project(self, records: DataFrame, keep: tuple[str, ...] = ("source_id", "ordinal"), evidence: bool = False) -> DataFrame:
+        """The events of a set of parsed records; records without a value become `other`.
+
+        With `evidence`, also the paths each field was read from.
+        """
         df = self.prepare(records)
         cols = self.columns()
         out = [F.lit(self.id).alias("profile_id"), F.lit(self.version).alias("profile_version")]
         for name, typ in EVENT_COLUMNS.items():
             out.append(cols.get(name, F.lit(None)).cast(typ).alias(name))
-        paths = cols.get("_paths", {})
+        paths = self.evidence() if evidence and self.evidence else {}
         found = [
             F.when(cols[f].isNotNull() if f in cols else F.lit(True), F.struct(F.lit(f).alias("field"), p.alias("path")))
             for f, p in paths.items()
         ]
         kind = "array<struct<field:string,path:string>>"
-        evidence = F.filter(F.array(*found), lambda e: e.isNotNull() & e["path"].isNotNull()) if found else F.expr("array()")
-        events = df.select(*keep, *out, evidence.cast(kind).alias("evidence"))
+        if evidence:
+            rows = F.filter(F.array(*found), lambda e: e.isNotNull() & e["path"].isNotNull()) if found else F.expr("array()")
+            out.append(rows.cast(kind).alias("evidence"))
+        events = df.select(*keep, *out)
         events = events.withColumn("event_kind", F.coalesce("event_kind", F.lit("other")))
         ms = text_to_ms(F.col("timestamp_raw"))
         return events.withColumn("ts", F.timestamp_millis(ms.cast("bigint")))

@@ -54,17 +54,14 @@ ALIASES = {
 
 
 def _prepare(records: DataFrame) -> DataFrame:
-    v = F.col("value")
-    found = J.fence(records, **{f"_{n}_v": located(v, *paths) for n, paths in ALIASES.items()}, _direct=J.string_at(v, "service"))
+    found = J.fence(records, **{f"_{n}_v": located("value", *paths) for n, paths in ALIASES.items()}, _direct=J.string_at(F.col("value"), "service"))
     texts = {f"_{n}": J.scalar_text(F.col(f"_{n}_v")) for n in ("time", "logger", "request", "corr", "trace", "span")}
     texts["_level"] = log_level(F.col("_level_v"))
     texts["_service"] = F.coalesce(F.col("_direct"), J.scalar_text(F.col("_service_v")))
-    is_log = (
-        (F.col("_message_v").isNotNull() | F.col("_error_v").isNotNull())
-        & F.col("_level").isNotNull()
-        & (F.col("_time").isNotNull() | F.col("_logger").isNotNull() | F.col("_service").isNotNull())
-    )
-    return found.withColumns(texts).withColumn("_is_log", F.coalesce(is_log, F.lit(False)))
+    found = J.fence(found, **texts)
+    payload = F.col("_message_v").isNotNull() | F.col("_error_v").isNotNull()
+    origin = F.col("_time").isNotNull() | F.col("_logger").isNotNull() | F.col("_service").isNotNull()
+    return found.withColumn("_is_log", payload & F.col("_level").isNotNull() & origin)
 
 
 def _columns() -> dict:
@@ -76,12 +73,9 @@ def _columns() -> dict:
     trace = trace_id(F.col("_trace"))
     source = F.coalesce("_logger", "_service", F.lit("Log"))
     line = J.bounded_summary(F.coalesce("_message_v", "_error_v"), source)
-    v = F.col("value")
-    where = {n: located_path(v, *paths) for n, paths in ALIASES.items()}
-    where["service"] = F.when(F.col("_direct").isNotNull(), "$.service").otherwise(where["service"])
-    error = F.when(F.col("_error_v").isNotNull(), J.bounded_summary(F.col("_error_v")))
     other = J.bounded_summary(F.col("value"), "Unknown structured-log record")
-    var = {k: F.col(k).cast("variant") for k in ("_logger", "_service", "_request", "_corr", "_span")}
+    var = {k: F.col(f"_{k}").cast("variant") for k in ("logger", "service", "request", "corr", "span")}
+    error = F.when(F.col("_error_v").isNotNull(), J.bounded_summary(F.col("_error_v")))
     return {
         "event_kind": F.when(log, "log").otherwise("other"),
         "timestamp_raw": on_log(F.col("_time")),
@@ -92,16 +86,22 @@ def _columns() -> dict:
         "summary": F.when(log, line).otherwise(other),
         "confidence": F.when(log, "source").otherwise("inferred"),
         "derived": on_log(derived(
-            logger=var["_logger"], service=var["_service"], requestId=var["_request"], correlationId=var["_corr"],
-            traceId=trace.cast("variant"), spanId=var["_span"], exception=error.cast("variant"),
+            logger=var["logger"], service=var["service"], requestId=var["request"], correlationId=var["corr"],
+            traceId=trace.cast("variant"), spanId=var["span"], exception=error.cast("variant"),
         )),
-        "_paths": {
-            "event_kind": on_log(where["level"]),
-            "summary": F.when(log, F.coalesce(where["message"], where["error"])).otherwise("$"),
-            "actor": on_log(F.coalesce(where["logger"], where["service"], where["level"])),
-            "timestamp_raw": on_log(where["time"]), "severity": on_log(where["level"]), "turn_id": on_log(where["span"]),
-            "session_id": on_log(F.coalesce(where["corr"], where["trace"], where["request"])),
-        },
+    }
+
+
+def _evidence() -> dict[str, Column]:
+    log = F.col("_is_log")
+    where = {n: located_path("value", *paths) for n, paths in ALIASES.items()}
+    where["service"] = F.when(F.col("_direct").isNotNull(), "$.service").otherwise(where["service"])
+    return {
+        "event_kind": F.when(log, where["level"]),
+        "summary": F.when(log, F.coalesce(where["message"], where["error"])).otherwise("$"),
+        "actor": F.when(log, F.coalesce(where["logger"], where["service"], where["level"])),
+        "timestamp_raw": F.when(log, where["time"]), "severity": F.when(log, where["level"]), "turn_id": F.when(log, where["span"]),
+        "session_id": F.when(log, F.coalesce(where["corr"], where["trace"], where["request"])),
     }
 
 
@@ -119,7 +119,7 @@ def _score(s, n):
     return score, (s["shapes"] > 0) & (s["severity"] > 0) & ((s["time"] > 0) | (s["source"] > 0))
 
 
-APP_LOG = Profile("structured-application-log", "1", _columns, _signals, _score, _prepare)
+APP_LOG = Profile("structured-application-log", "1", _columns, _signals, _score, _prepare, _evidence)
 
 
 def project_generic(records: DataFrame) -> DataFrame:
@@ -136,8 +136,10 @@ def project_generic(records: DataFrame) -> DataFrame:
             "summary": J.bounded_summary(summary, F.col("discriminator_value")),
             "confidence": F.when(F.col("discriminator_path").isNotNull(), "source").otherwise("inferred"),
             "derived": derived(detectedIdentity=F.col("identities")[0]["value"].cast("variant"), detectedType=F.col("discriminator_value").cast("variant")),
-            "_paths": {"event_kind": F.col("discriminator_path"), "summary": F.coalesce("summary_path", F.lit("$")),
-                       "timestamp_raw": F.col("timestamp_path"), "actor": F.col("actor_path")},
         }
 
-    return Profile("generic", "1", columns).project(joined)
+    def evidence() -> dict:
+        return {"event_kind": F.col("discriminator_path"), "summary": F.coalesce("summary_path", F.lit("$")),
+                "timestamp_raw": F.col("timestamp_path"), "actor": F.col("actor_path")}
+
+    return Profile("generic", "1", columns, evidence=evidence).project(joined, evidence=True)
