@@ -62,6 +62,16 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def let_sql(value: Column, body: str, name: str = "v") -> Column:
+    """`let` with the body as SQL text over the variable `name`: few calls for long bodies."""
+    return F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}"))[0]
+
+
+def bind_sql(value: str, name: str, body: str) -> str:
+    """SQL text that binds a value once for a body mentioning it often."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def fence(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once per row, whatever is asked of them later.
 
@@ -265,56 +275,96 @@ def cell(text: Column, value: Column, *tokens: Token, max_chars: int = 240) -> C
 SUMMARY_KEYS = ["message", "text", "content", "summary", "description", "name", "type"]
 
 
+def collapse_sql(text: str, max_chars: int = 240) -> str:
+    controls, blanks = sql_text(r"[\x00-\x1f\x7f]+"), sql_text(BLANK_CLASS + "+")
+    flat = f"trim(regexp_replace(regexp_replace({text}, {controls}, ' '), {blanks}, ' '))"
+    cut = f"CASE WHEN t = '' THEN 'Record' WHEN length(t) > {max_chars} THEN concat(substring(t, 1, {max_chars - 3}), '...') ELSE t END"
+    return bind_sql(flat, "t", cut)
+
+
 def collapse(text: Column, max_chars: int = 240) -> Column:
     """Control characters and runs of white space to one space, bounded with an ellipsis."""
-    flat = F.regexp_replace(text, r"[\x00-\x1f\x7f]+", " ")
-    flat = F.trim(F.regexp_replace(flat, f"{BLANK_CLASS}+", " "))
-    return let(flat, lambda t: F.when(t == "", F.lit("Record")).when(
-        F.length(t) > max_chars, F.concat(F.substring(t, 1, max_chars - 3), F.lit("..."))
-    ).otherwise(t))
+    return let_sql(text, collapse_sql("txt", max_chars), "txt")
+
+
+def string_sql(value: str, *tokens: Token) -> str:
+    """A non-empty string at a path, else NULL."""
+    leaf = get_sql(value, *tokens) if tokens else value
+    return f"if(schema_of_variant({leaf}) = 'STRING', nullif(try_variant_get({leaf}, '$', 'string'), ''), null)"
+
+
+def number_sql(value: str, *tokens: Token) -> str:
+    leaf = get_sql(value, *tokens) if tokens else value
+    return f"if(schema_of_variant({leaf}) rlike '^(BIGINT|DOUBLE|DECIMAL)', try_variant_get({leaf}, '$', 'double'), null)"
+
+
+def nonnull_sql(value: str, *tokens: Token) -> str:
+    g = get_sql(value, *tokens)
+    return f"if(is_variant_null({g}), null, {g})"
+
+
+def coalesce_sql(*parts: str) -> str:
+    return f"coalesce({', '.join(parts)}, null)"
+
+
+def scalar_sql(value: str) -> str:
+    """Text of a non-empty string or a number, else NULL."""
+    text = f"try_variant_get({value}, '$', 'string')"
+    return (
+        f"nullif(CASE WHEN schema_of_variant({value}) = 'STRING' THEN {text} "
+        f"WHEN schema_of_variant({value}) rlike '^(BIGINT|DOUBLE|DECIMAL)' THEN regexp_replace({text}, '[.]0$', '') END, '')"
+    )
+
+
+def block_text_sql(items: str, max_blocks: int = 16) -> str:
+    text = f"if(schema_of_variant(b) = 'STRING', try_variant_get(b, '$', 'string'), {coalesce_sql(string_sql('b', 'text'), string_sql('b', 'content'))})"
+    texts = f"filter(transform(slice({items}, 1, {max_blocks}), b -> {text}), x -> x IS NOT NULL)"
+    return bind_sql(texts, "parts", "if(size(parts) > 0, array_join(parts, ' '), null)")
 
 
 def block_text(items: Column, max_blocks: int = 16) -> Column:
     """Join the text (else content) of the leading blocks; NULL when none has any."""
-    texts = F.transform(
-        F.slice(items, 1, max_blocks),
-        lambda b: F.when(is_string(b), as_string(b)).otherwise(F.coalesce(string_at(b, "text"), string_at(b, "content"))),
-    )
-    kept = F.filter(texts, lambda t: t.isNotNull())
-    return F.when(F.size(kept) > 0, F.array_join(kept, " "))
+    return let_sql(items, block_text_sql("items", max_blocks), "items")
+
+
+def extract_text_sql(value: str) -> str:
+    items = f"try_variant_get({value}, '$', 'array<variant>')"
+    return f"if(schema_of_variant({value}) = 'STRING', try_variant_get({value}, '$', 'string'), {block_text_sql(items)})"
 
 
 def extract_text(value: Column) -> Column:
     """J8 for a string or an array of blocks."""
-    return F.when(is_string(value), as_string(value)).otherwise(block_text(as_array(value)))
+    return let_sql(value, extract_text_sql("v"))
 
 
-def _render(value: Column, depth: int) -> Column:
-    """Text of a bound value: a scalar, the text of blocks, or an object's first useful key."""
-    def blocks(items: Column) -> Column:
-        size = F.concat(F.lit("["), F.size(items).cast("string"), F.lit(" items]"))
-        return F.when(items.isNotNull(), F.coalesce(block_text(items), size))
-
-    scalar = F.coalesce(
-        F.when(is_json_null(value), F.lit("null")),
-        F.when(is_numeric(value), number_text(value)),
-        F.when(is_string(value) | is_boolean(value), as_string(value)),
-        let(as_array(value), blocks),
+def _render_sql(value: str, depth: int) -> str:
+    """Text of a value: a scalar, the text of blocks, or an object's first useful key."""
+    n = f"n{depth}"
+    items = f"try_variant_get({n}.v, '$', 'array<variant>')"
+    text = f"try_variant_get({n}.v, '$', 'string')"
+    cases = (
+        f"WHEN {n}.s = 'VOID' THEN 'null' WHEN {n}.s IN ('STRING', 'BOOLEAN') THEN {text} "
+        f"WHEN {n}.s = 'ARRAY' THEN coalesce({block_text_sql(items)}, concat('[', size({items}), ' items]')) "
     )
-    if depth <= 0:
-        return scalar
-    inner = [let(get(value, key), lambda leaf: F.nullif(_render(leaf, depth - 1), F.lit(""))) for key in SUMMARY_KEYS]
-    keys = F.concat(F.lit("{"), F.array_join(F.slice(F.map_keys(as_map(value)), 1, 5), ", "), F.lit("}"))
-    return F.coalesce(scalar, *inner, F.when(is_object(value), keys))
+    if depth > 0:
+        inner = [f"nullif({_render_sql(get_sql(n + '.v', key), depth - 1)}, '')" for key in SUMMARY_KEYS]
+        keys = f"concat('{{', array_join(slice(map_keys(try_variant_get({n}.v, '$', 'map<string,variant>')), 1, 5), ', '), '}}')"
+        cases += f"WHEN {n}.s = 'OBJECT' THEN coalesce({', '.join(inner)}, {keys}) "
+    else:
+        cases += f"WHEN {n}.s = 'OBJECT' THEN null "
+    cases += f"WHEN {n}.s IS NOT NULL THEN regexp_replace({text}, '[.]0$', '')"
+    node = f"named_struct('v', {value}, 's', substring_index(substring_index(schema_of_variant({value}), '<', 1), '(', 1))"
+    return bind_sql(node, n, f"CASE {cases} END")
 
 
 def bounded_summary(value: Column, prefix: Column | str | None = None, max_chars: int = 240, depth: int = 1) -> Column:
     """One-line text of any value. Objects are searched `depth` levels for a useful key."""
-    body = let(value, lambda v: _render(v, depth))
-    if prefix is None:
-        return collapse(F.coalesce(body, F.lit("Record")), max_chars)
     head = F.lit(prefix) if isinstance(prefix, str) else prefix
-    return collapse(F.coalesce(F.concat_ws(": ", head, F.nullif(body, F.lit(""))), F.lit("Record")), max_chars)
+    if head is None:
+        head = F.lit(None).cast("string")
+    node = F.struct(head.alias("head"), value.alias("value"))
+    line = f"coalesce(nullif(concat_ws(': ', o.head, nullif({_render_sql('o.value', depth)}, '')), ''), 'Record')"
+    return let_sql(node, collapse_sql(line, max_chars), "o")
 
 
 # Alias names of token counters.
@@ -326,41 +376,57 @@ USAGE_ALIASES = {
 }
 
 
+def _first_number_sql(value: str, keys: list[str]) -> str:
+    return coalesce_sql(*[number_sql(value, k) for k in keys])
+
+
+def usage_sql(value: str) -> str:
+    fields = ", ".join(f"'{name}', {_first_number_sql(value, keys)}" for name, keys in USAGE_ALIASES.items())
+    return bind_sql(f"named_struct({fields})", "u", "if(coalesce(u.input, u.output, u.cached, u.total) IS NULL, null, u)")
+
+
 def usage(value: Column) -> Column:
     """struct(input, output, cached, total), NULL when no counter is present."""
-    parts = {name: first_number(value, *[(k,) for k in keys]) for name, keys in USAGE_ALIASES.items()}
-    any_part = reduce(lambda a, b: a | b, [c.isNotNull() for c in parts.values()])
-    return F.when(any_part, F.struct(*[c.alias(n) for n, c in parts.items()]))
+    return let_sql(value, usage_sql("v"))
+
+
+def usage_generic_sql(value: str) -> str:
+    first = {name: _first_number_sql(value, keys) for name, keys in USAGE_ALIASES.items()}
+    raw = (
+        f"named_struct('i', {first['input']}, 'o', {first['output']}, 'c', {first['cached']}, 't', {first['total']}, "
+        f"'other', {number_sql(value, 'inputOther')}, 'hit', {number_sql(value, 'inputCacheRead')})"
+    )
+    inp = "coalesce(r.i, if(r.other IS NULL AND r.hit IS NULL, null, coalesce(r.other, 0D) + coalesce(r.hit, 0D)))"
+    built = f"named_struct('input', {inp}, 'output', r.o, 'cached', coalesce(r.c, r.hit), 'total', r.t)"
+    total = "named_struct('input', u.input, 'output', u.output, 'cached', u.cached, 'total', coalesce(u.total, u.input + u.output))"
+    return bind_sql(bind_sql(raw, "r", built), "u", f"if(coalesce(u.input, u.output, u.cached, u.total) IS NULL, null, {total})")
 
 
 def usage_generic(value: Column) -> Column:
     """As usage, with input = inputOther + inputCacheRead and a derived total."""
-    other, cache_read = number_at(value, "inputOther"), number_at(value, "inputCacheRead")
-    split_input = F.when(other.isNotNull() | cache_read.isNotNull(), F.coalesce(other, F.lit(0.0)) + F.coalesce(cache_read, F.lit(0.0)))
-    inp = F.coalesce(first_number(value, ("input",), ("input_tokens",), ("inputTokens",)), split_input)
-    out = first_number(value, ("output",), ("output_tokens",), ("outputTokens",))
-    cached = F.coalesce(first_number(value, *[(k,) for k in USAGE_ALIASES["cached"]]), cache_read)
-    total = F.coalesce(
-        first_number(value, ("total",), ("total_tokens",), ("totalTokens",)),
-        F.when(inp.isNotNull() & out.isNotNull(), inp + out),
-    )
-    seen = inp.isNotNull() | out.isNotNull() | cached.isNotNull() | total.isNotNull()
-    return F.when(seen, F.struct(inp.alias("input"), out.alias("output"), cached.alias("cached"), total.alias("total")))
+    return let_sql(value, usage_generic_sql("v"))
 
 
-def content_state(value: Column, depth: int = 0) -> Column:
-    """Present, empty or missing; up to two content/value/text wrappers are opened."""
-    items = as_array(value)
-    out = (
-        F.when(value.isNull() | is_json_null(value), F.lit("missing"))
-        .when(is_string(value), F.when(F.length(as_string(value)) == 0, "empty").otherwise("present"))
-        .when(items.isNotNull(), F.when(F.size(items) == 0, "empty").otherwise("present"))
+def content_state_sql(value: str, depth: int = 0) -> str:
+    n, w = f"c{depth}", f"w{depth}"
+    cases = (
+        f"WHEN {n}.s IS NULL OR {n}.s = 'VOID' THEN 'missing' "
+        f"WHEN {n}.s = 'STRING' THEN if(try_variant_get({n}.v, '$', 'string') = '', 'empty', 'present') "
+        f"WHEN {n}.s = 'ARRAY' THEN if(try_variant_get({n}.v, '$[0]', 'variant') IS NULL, 'empty', 'present') "
     )
     if depth < 2:
         # A nullish wrapper falls through to the next one; only the last keeps a JSON null.
-        inner = F.coalesce(non_null(value, "content"), non_null(value, "value"), get(value, "text"))
-        out = out.when(is_object(value) & inner.isNotNull(), content_state(inner, depth + 1))
-    return out.otherwise(F.lit("present"))
+        v = f"{n}.v"
+        inner = f"coalesce({nonnull_sql(v, 'content')}, {nonnull_sql(v, 'value')}, {get_sql(v, 'text')})"
+        opened = bind_sql(inner, w, f"if({w} IS NULL, 'present', {content_state_sql(w, depth + 1)})")
+        cases += f"WHEN {n}.s = 'OBJECT' THEN {opened} "
+    node = f"named_struct('v', {value}, 's', substring_index(schema_of_variant({value}), '<', 1))"
+    return bind_sql(node, n, f"CASE {cases} ELSE 'present' END")
+
+
+def content_state(value: Column) -> Column:
+    """Present, empty or missing; up to two content/value/text wrappers are opened."""
+    return let_sql(value, content_state_sql("v"))
 
 
 # Speaker names and the role each stands for.

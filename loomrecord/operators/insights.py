@@ -13,18 +13,24 @@ UNKNOWN_TEXTS = ["unknown", "<unknown>", "(unknown)"]
 MAX_KEY_LENGTH = 256  # cap: longer labels count as unknown
 
 
-def _selected(state: Column, typ: Column, label: Column) -> Column:
-    return F.struct(state.alias("state"), F.when(state == "value", typ).alias("type"), F.when(state == "value", label).alias("label"))
+def _text_state_sql(text: str) -> str:
+    body = f"lower(regexp_replace({text}, {J.sql_text(f'^{J.BLANK_CLASS}+|{J.BLANK_CLASS}+$')}, ''))"
+    listed = ", ".join(J.sql_text(t) for t in ["", *UNKNOWN_TEXTS])
+    return f"CASE WHEN {text} IS NULL THEN 'missing' WHEN {body} IN ({listed}) THEN 'unknown' ELSE 'value' END"
 
 
-def _text_state(text: Column) -> Column:
-    body = F.lower(F.regexp_replace(text, f"^{J.BLANK_CLASS}+|{J.BLANK_CLASS}+$", ""))
-    return F.when(text.isNull(), "missing").when((body == "") | body.isin(UNKNOWN_TEXTS), "unknown").otherwise("value")
+def _number_state_sql(n: str) -> str:
+    bad = f"isnan({n}) OR abs({n}) = double('inf') OR (abs({n}) > {MAX_SAFE}D AND {n} % 1 = 0)"
+    return f"CASE WHEN {n} IS NULL THEN 'missing' WHEN {bad} THEN 'unknown' ELSE 'value' END"
+
+
+def _selected_sql(state: str, typ: str, label: str) -> str:
+    return J.bind_sql(state, "st", f"named_struct('state', st, 'type', if(st = 'value', {typ}, null), 'label', if(st = 'value', {label}, null))")
 
 
 def select_text(text: Column) -> Column:
     """A1 for a normalised string column."""
-    return J.let(text, lambda t: _selected(_text_state(t), F.lit("string"), t))
+    return J.let_sql(text, _selected_sql(_text_state_sql("v"), "'string'", "v"))
 
 
 def select_event_kind(kind: Column) -> Column:
@@ -32,40 +38,32 @@ def select_event_kind(kind: Column) -> Column:
     return select_text(F.when(kind == "other", "unknown").otherwise(kind))
 
 
-def _number_state(n: Column) -> Column:
-    bad = F.isnan(n) | (F.abs(n) == float("inf")) | ((n % 1 == 0) & (F.abs(n) > MAX_SAFE))
-    return F.when(n.isNull(), "missing").when(bad, "unknown").otherwise("value")
-
-
 def select_number(number: Column) -> Column:
     """A1 for a normalised numeric column."""
-    return J.let(number, lambda n: _selected(_number_state(n), F.lit("number"), F.regexp_replace(n.cast("string"), r"\.0$", "")))
+    return J.let_sql(number, _selected_sql(_number_state_sql("v"), "'number'", "regexp_replace(cast(v AS string), '[.]0$', '')"))
 
 
 def select_value(value: Column) -> Column:
     """A1: struct(state, type, label) of a variant: value, missing or unknown."""
-    def pick(v: Column) -> Column:
-        state = (
-            F.when(v.isNull() | J.is_json_null(v), "missing")
-            .when(J.is_string(v), _text_state(J.as_string(v)))
-            .when(J.is_boolean(v), "value")
-            .when(J.is_numeric(v), _number_state(J.as_double(v)))
-            .otherwise("unknown")
-        )
-        typ = F.when(J.is_string(v), "string").when(J.is_boolean(v), "boolean").otherwise("number")
-        label = F.when(J.is_numeric(v), J.number_text(v)).otherwise(J.as_string(v))
-        return _selected(state, typ, label)
-
-    return J.let(value, pick)
+    text = "try_variant_get(v, '$', 'string')"
+    kind = (
+        "CASE WHEN schema_of_variant(v) IN ('STRING', 'BOOLEAN') THEN lower(schema_of_variant(v)) "
+        "WHEN schema_of_variant(v) rlike '^(BIGINT|DOUBLE|DECIMAL)' THEN 'number' END"
+    )
+    number = J.bind_sql("try_variant_get(v, '$', 'double')", "n", _number_state_sql("n"))
+    state = (
+        f"CASE WHEN v IS NULL OR is_variant_null(v) THEN 'missing' WHEN ty = 'string' THEN {_text_state_sql(text)} "
+        f"WHEN ty = 'boolean' THEN 'value' WHEN ty = 'number' THEN {number} ELSE 'unknown' END"
+    )
+    label = f"if(ty = 'number', regexp_replace({text}, '[.]0$', ''), {text})"
+    return J.let_sql(value, J.bind_sql(kind, "ty", _selected_sql(state, "ty", label)))
 
 
 def _keyed(selected: Column, max_key_length: int = MAX_KEY_LENGTH) -> Column:
     """struct(kind, type, label); labels over the key length count as unknown."""
-    def cut(s: Column) -> Column:
-        kind = F.when(F.length(s["label"]) > max_key_length, "unknown").otherwise(s["state"])
-        return F.struct(kind.alias("kind"), F.when(kind == "value", s["type"]).alias("type"), F.when(kind == "value", s["label"]).alias("label"))
-
-    return J.let(selected, cut)
+    kind = f"if(length(s.label) > {max_key_length}, 'unknown', s.state)"
+    cut = "named_struct('kind', k, 'type', if(k = 'value', s.type, null), 'label', if(k = 'value', s.label, null))"
+    return J.let_sql(selected, J.bind_sql(kind, "k", cut), "s")
 
 
 def selector(name: str | list, dimension: bool = False) -> Column:
@@ -165,10 +163,8 @@ def insights(events: DataFrame, width_ms: int = 300_000, max_groups: int = 32, m
         "service": select_value(F.element_at(F.col("derived"), "service")),
         "status": select_text(F.col("status")),
     }
-    none = F.lit(None).cast("bigint")
     tagged = [
-        J.let(_keyed(s), lambda k, d=d: F.struct(F.lit(d).alias("dimension"), k["kind"].alias("kind"), k["type"].alias("type"),
-                                                 k["label"].alias("label"), none.alias("start_ms")))
+        J.let_sql(_keyed(s), f"named_struct('dimension', '{d}', 'kind', v.kind, 'type', v.type, 'label', v.label, 'start_ms', cast(null AS bigint))")
         for d, s in dims.items()
     ]
     raw = F.col("timestamp_raw")

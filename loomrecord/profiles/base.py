@@ -41,7 +41,7 @@ def located_path(value: str, *paths: tuple) -> Column:
 def derived(**fields: Column) -> Column:
     """MAP<STRING,VARIANT> of the fields that are present; strings are bounded one-liners."""
     entries = F.array(*[F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in fields.items()])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return F.map_from_entries(F.call_function("filter", entries, F.expr("e -> e.value IS NOT NULL")))
 
 
 @dataclass(frozen=True)
