@@ -409,7 +409,7 @@ def h02(spark, sf):
   (SELECT mixed_str FROM logs WHERE mixed_str IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) FROM logs""")
 def h03(spark, sf):
     shape = S.discover_shape(log_records(spark, sf)).filter(F.col("display").isin("$.type", "$.mixed"))
-    return shape.select("display", "records", "kinds", "distinct_strings", F.col("top_strings")[0]["short"].alias("top_value"))
+    return shape.select("display", "records", "kinds", "distinct_strings", F.get("top_strings", F.lit(0))["short"].alias("top_value"))
 
 
 @query("h04_infer_discriminator", "SELECT '$.type' AS display, 0.95 + 0.25 + 0.15 AS score FROM (SELECT count(*) FROM events)")
@@ -424,7 +424,7 @@ def h04(spark, sf):
 def h05(spark, sf):
     sig = S.record_signals(log_records(spark, sf))
     message = F.when(F.col("summary_path") == "$.message", F.col("summary_value"))
-    return sig.select("ordinal", "discriminator_path", "discriminator_value", "timestamp_value", message.alias("message"), F.col("identities")[0]["path"].alias("identity"))
+    return sig.select("ordinal", "discriminator_path", "discriminator_value", "timestamp_value", message.alias("message"), F.get("identities", F.lit(0))["path"].alias("identity"))
 
 
 @query("h06_path_tree", f"""WITH {LOGS} SELECT '$' AS path, CAST(NULL AS VARCHAR) AS parent, count(*) AS seen, 13 AS children FROM logs UNION ALL SELECT '$.props', '$', count(*), 1 FROM logs

@@ -135,7 +135,7 @@ def project_generic(records: DataFrame) -> DataFrame:
             "actor": actor_from_role(F.col("actor_value")),
             "summary": J.bounded_summary(summary, F.col("discriminator_value")),
             "confidence": F.when(F.col("discriminator_path").isNotNull(), "source").otherwise("inferred"),
-            "derived": derived(detectedIdentity=F.col("identities")[0]["value"].cast("variant"), detectedType=F.col("discriminator_value").cast("variant")),
+            "derived": derived(detectedIdentity=F.get("identities", F.lit(0))["value"].cast("variant"), detectedType=F.col("discriminator_value").cast("variant")),
         }
 
     def evidence() -> dict:
