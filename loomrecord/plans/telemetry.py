@@ -23,7 +23,7 @@ def otel_records(spark, sf):
     resource = "named_struct('attributes', array(named_struct('key', 'host', 'value', named_struct('stringValue', 'h')), named_struct('key', 'service.name', 'value', named_struct('stringValue', 'svc-' || (o_custkey % 5)))))"
     text = f"""CASE o_orderkey % 5
       WHEN 0 THEN to_json(named_struct('resourceSpans', array(named_struct('resource', {resource}, 'scopeSpans', array(named_struct('spans', array({span.format("", "")}, {span.format(" || 'b'", " || '-b'")})))))))
-      WHEN 1 THEN to_json(named_struct('resourceLogs', array(named_struct('resource', {resource}, 'scopeLogs', array(named_struct('logRecords', array({log})))), named_struct('scopeLogs', array(named_struct('name', 'empty'))))))
+      WHEN 1 THEN '{{"resourceLogs":[' || to_json(named_struct('resource', {resource}, 'scopeLogs', array(named_struct('logRecords', array({log}))))) || ',{{"scopeLogs":[{{"name":"empty"}}]}}]}}'
       WHEN 2 THEN to_json({span.format("", "")}) WHEN 3 THEN to_json({log})
       ELSE to_json(named_struct('name', o_orderpriority, 'unit', '1', 'gauge', named_struct('dataPoints', array(1, 2, o_orderkey)))) END"""
     return o.select(F.lit("otel").alias("source_id"), F.col("o_orderkey").alias("ordinal"), F.expr(text).alias("text"))
@@ -89,7 +89,7 @@ def r08(spark, sf):
 def j17(spark, sf):
     v = F.expr("""parse_json(CASE o_orderkey % 4 WHEN 0 THEN to_json(struct(o_orderpriority AS stringValue))
       WHEN 1 THEN '{"arrayValue":{"values":[{"intValue":"' || o_custkey || '"},{"stringValue":"x"},{"boolValue":true},{"doubleValue":1.5},{"stringValue":"cut"}]}}'
-      WHEN 2 THEN '{"kvlistValue":{"values":[{"key":"a","value":{"intValue":' || o_custkey || '}},{"key":"b","value":{"arrayValue":{"values":[{"stringValue":"y"}]}}}]}}' ELSE o_custkey END)""")
+      WHEN 2 THEN '{"kvlistValue":{"values":[{"key":"a","value":{"intValue":' || o_custkey || '}},{"key":"b","value":{"arrayValue":{"values":[{"stringValue":"y"}]}}}]}}' ELSE cast(o_custkey AS string) END)""")
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("ordinal"), O.any_value(v).alias("body"))
 
 
