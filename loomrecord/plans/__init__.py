@@ -1,6 +1,6 @@
 """All registered queries. Importing this package fills the registry."""
 
-from loomrecord.plans import core, datasets, relations, telemetry  # noqa: F401
+from loomrecord.plans import core, datasets, physical, relations, telemetry  # noqa: F401
 from loomrecord.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
