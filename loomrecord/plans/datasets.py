@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from loomrecord.operators import dataset as D
 from loomrecord.operators.records import parse_texts
 from loomrecord.plans.registry import query, table
+from loomrecord.session import spread
 
 
 def data_records(spark, sf):
     """One training record per document; the shape rotates with the id."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     text = """CASE doc_id % 9
       WHEN 0 THEN to_json(struct(text, lang AS language))
       WHEN 1 THEN to_json(named_struct('messages', array(named_struct('role', 'user', 'content', lang, 'loss_weight', 0), named_struct('role', 'gpt', 'content', text, 'loss_weight', doc_id % 3)), 'split', source))
@@ -74,7 +75,7 @@ def call_records(spark, sf):
         '[{"name":"' || p_brand || '","parameters":{"required":["a","b"]}},{"function":{"name":"g"}},{"x":1}]' END, 'tools', '[]',
       'turns', '[[{"role":"user","content":"' || p_name || '"},{"role":"assistant"}],[{"role":"User"}]]', 'ground_truth', if(p_partkey % 3 = 0, '{"a":["f(1)"]}', '[["f(1)","g()"],["h()"]]'),
       'language', p_type, 'test_category', 'simple', 'subset', if(p_partkey % 7 = 0, null, 'live'), 'involved_classes', array(p_brand, p_type, p_brand)))"""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     return parse_texts(p.select(F.lit("calls").alias("source_id"), F.col("p_partkey").alias("ordinal"), F.expr(text).alias("text")))
 
 

@@ -10,12 +10,13 @@ from loomrecord.operators import relate as R
 from loomrecord.operators.records import parse_texts
 from loomrecord.plans.corpora import js, records
 from loomrecord.plans.registry import query, table
+from loomrecord.session import spread
 from loomrecord.profiles.agents import AGENT_EVENTS
 
 
 def agent_records(spark, sf):
     """One agent event per conversation turn; ids repeat, some parents come later or never."""
-    c = table(spark, sf, "conversations").withColumn("c", F.expr("'c' || conv_id"))
+    c = spread(table(spark, sf, "conversations")).withColumn("c", F.expr("'c' || conv_id"))
     return records(
         c, "agent-log", F.expr("conv_id * 10 + turn"),
         event=F.expr("CASE turn % 4 WHEN 0 THEN 'user.message' WHEN 1 THEN 'tool_call' WHEN 2 THEN 'Tool-Output' ELSE 'subagent' END"),

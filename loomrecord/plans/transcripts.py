@@ -9,6 +9,7 @@ from loomrecord.operators import trajectory as T
 from loomrecord.operators.records import parse_texts
 from loomrecord.plans.corpora import log_records
 from loomrecord.plans.registry import query, table
+from loomrecord.session import spread
 from loomrecord.plans.relations import agent_records
 from loomrecord.plans.telemetry import parsed as otel_parsed
 from loomrecord.profiles import registry as P
@@ -16,7 +17,7 @@ from loomrecord.profiles import transcripts as N
 
 
 def build(spark, sf, source: str, sql: str):
-    c = table(spark, sf, "conversations").withColumns({"c": F.expr("'c' || conv_id"), "iso": F.expr("date_format(timestamp_seconds(1700000000 + conv_id * 60 + turn), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")")})
+    c = spread(table(spark, sf, "conversations")).withColumns({"c": F.expr("'c' || conv_id"), "iso": F.expr("date_format(timestamp_seconds(1700000000 + conv_id * 60 + turn), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")")})
     return parse_texts(c.select(F.lit(source).alias("source_id"), F.expr("conv_id * 10 + turn").alias("ordinal"), F.expr(sql).alias("text")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 from loomrecord.functions.times import MAX_DATE_MS
-from loomrecord.profiles.base import Profile, actor_from_role, derived
+from loomrecord.profiles.base import Profile, actor_from_role, derived, fields_sql
 
 # Alias keys, tried in order on the record and then on its envelopes.
 NESTED_KEYS = ["payload", "data", "event", "record", "message", "interaction", "usage", "body", "detail"]
@@ -48,17 +48,23 @@ WORD_KINDS = [
 
 
 def envelopes(value: str) -> Column:
-    """The record and the objects below its envelope keys, two levels deep, in document order."""
-    def nested(v: str, x: str) -> str:
-        gets = ", ".join(J.get_sql(v, k) for k in NESTED_KEYS)
-        return f"filter(array({gets}), {x} -> schema_of_variant({x}) LIKE 'OBJECT%')"
+    """Field maps of the record and of the objects below its envelope keys, two levels deep, in document order."""
+    keys = ", ".join(f"'{k}'" for k in NESTED_KEYS)
 
-    return F.expr(f"concat(array({value}), flatten(transform({nested(value, 'x')}, c -> concat(array(c), {nested('c', 'y')}))))")
+    def nested(m: str, k: str, x: str) -> str:
+        return f"filter(transform(array({keys}), {k} -> {fields_sql(f'element_at({m}, {k})')}), {x} -> {x} IS NOT NULL)"
+
+    below = f"transform({nested('t', 'k1', 'x')}, c -> concat(array(c), {nested('c', 'k2', 'y')}))"
+    return F.expr(J.bind_sql(fields_sql(value), "t", f"if(t IS NULL, array(), concat(array(t), flatten({below})))"))
+
+
+def _first_sql(keys: list[str]) -> str:
+    each = J.coalesce_sql(*[f"element_at(c, '{k}')" for k in keys])
+    return f"get(filter(transform(_env, c -> {each}), x -> x IS NOT NULL), 0)"
 
 
 def locate(name: str) -> Column:
-    keys = ", ".join(J.nonnull_sql("c", k) for k in ALIASES[name])
-    return F.expr(f"get(filter(transform(_env, c -> coalesce({keys}, null)), x -> x IS NOT NULL), 0)")
+    return F.expr(_first_sql(ALIASES[name]))
 
 
 def event_kind(name: Column, nested_type: Column) -> Column:
@@ -114,7 +120,7 @@ def _prepare(records: DataFrame) -> DataFrame:
     texts = {f"_{n}": J.let_sql(F.col(f"_{n}_v"), J.scalar_sql("v")) for n in ids}
     direct = J.let_sql(F.struct(F.col("_usage_v").alias("u"), F.col("value").alias("r")),
                        f"coalesce({J.usage_generic_sql('q.u')}, null)", "q")
-    type_text = J.let_sql(F.expr("get(filter(transform(_env, c -> coalesce(" + ", ".join(J.nonnull_sql("c", k) for k in ("type", "kind")) + ", null)), x -> x IS NOT NULL), 0)"), J.scalar_sql("v"))
+    type_text = J.let_sql(F.expr(_first_sql(["type", "kind"])), J.scalar_sql("v"))
     df = J.fence(df, **texts, _usage=direct, _content=F.nullif(content_text(F.col("_content_v")), F.lit("")))
     return J.fence(df, _kind=event_kind(F.col("_event"), type_text))
 

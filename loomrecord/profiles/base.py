@@ -26,10 +26,17 @@ def actor_from_role(role: Column) -> Column:
     return F.when(role.isNull() | (role == ""), None).when(low.isin(ACTORS), low).otherwise("unknown")
 
 
-def located(value: str, *paths: tuple) -> Column:
-    """The first alias of a value column that is present and not null."""
-    gets = [J.get_sql(value, *p) for p in paths]
-    return F.expr("coalesce(" + ", ".join(f"if(is_variant_null({g}), null, {g})" for g in gets) + ", null)")
+def fields_sql(value: str) -> str:
+    """MAP of an object's fields without JSON nulls: many aliases then cost one lookup each."""
+    return f"map_filter(try_variant_get({value}, '$', 'map<string,variant>'), (k, f) -> NOT is_variant_null(f))"
+
+
+def located(fields: str, *paths: tuple) -> Column:
+    """The first alias that is present and not null, given a column made by `fields_sql`."""
+    def one(first, *rest) -> str:
+        top = f"element_at({fields}, {J.sql_text(first)})"
+        return J.nonnull_sql(top, *rest) if rest else top
+    return F.expr(J.coalesce_sql(*[one(*p) for p in paths]))
 
 
 def located_path(value: str, *paths: tuple) -> Column:

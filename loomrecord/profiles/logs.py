@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 from loomrecord.operators import schema as S
-from loomrecord.profiles.base import Profile, actor_from_role, derived, located, located_path
+from loomrecord.profiles.base import Profile, actor_from_role, derived, fields_sql, located, located_path
 
 # Alias paths of each log field, tried in order.
 TIME = [("timestamp",), ("time",), ("@timestamp",), ("@t",), ("datetime",), ("timeMillis",), ("instant", "timeMillis")]
@@ -54,7 +54,8 @@ ALIASES = {
 
 
 def _prepare(records: DataFrame) -> DataFrame:
-    found = J.fence(records, **{f"_{n}_v": located("value", *paths) for n, paths in ALIASES.items()}, _direct=J.string_at(F.col("value"), "service"))
+    found = J.fence(records, _f=F.expr(fields_sql("value")))
+    found = J.fence(found, **{f"_{n}_v": located("_f", *paths) for n, paths in ALIASES.items()}, _direct=F.expr(J.string_sql("element_at(_f, 'service')")))
     texts = {f"_{n}": J.scalar_text(F.col(f"_{n}_v")) for n in ("time", "logger", "request", "corr", "trace", "span")}
     texts["_level"] = log_level(F.col("_level_v"))
     texts["_service"] = F.coalesce(F.col("_direct"), J.scalar_text(F.col("_service_v")))

@@ -16,9 +16,21 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods beyond 8000 bytes. Wide normalisers would run
+    # interpreted inside one fused method, so such stages use the unfused operators.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance only an input with fewer partitions than cores, before costly parsing.
+
+    Large inputs already have many splits and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session (idempotent)."""
     for key, value in RUNTIME_CONF.items():
