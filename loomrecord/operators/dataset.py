@@ -229,3 +229,65 @@ def call_totals(summaries: DataFrame) -> DataFrame:
     return summaries.agg(F.count(F.lit(1)).alias("recognized"), F.count_if("valid").alias("valid"),
                          *[F.count_if(F.col("multi_turn") == s).alias(f"multi_turn_{s}") for s in ("true", "false", "missing", "invalid")],
                          *[F.sum(n).cast("bigint").alias(n) for n in nums])
+
+
+# ---- shapes ------------------------------------------------------------------------------
+
+# Block types that mark tool use in a message.
+TOOL_BLOCKS = ["tool_use", "tool_result", "tool_call", "function_call"]
+
+
+def shape(value: Column) -> Column:
+    """Training shape of a record, `conflict` when signals disagree, NULL when none fits."""
+    def arr(k: str) -> str:
+        return f"try_variant_get(v, '$.{k}', 'array<variant>')"
+    def text(x: str, k: str) -> str:
+        return f"schema_of_variant(try_variant_get({x}, '$.{k}', 'variant')) = 'STRING'"
+    def has(k: str) -> str:
+        return f"try_variant_get(v, '$.{k}', 'variant') IS NOT NULL"
+    blocks = "coalesce(try_variant_get(m, '$.content', 'array<variant>'), array())"
+    media = ", ".join(f"'{t}'" for ts in MEDIA_TYPES.values() for t in ts)
+    tools = ", ".join(f"'{t}'" for t in TOOL_BLOCKS)
+    is_tool = (f"exists({arr('messages')}, m -> try_variant_get(m, '$.role', 'string') IN ('tool', 'function') OR size(try_variant_get(m, '$.tool_calls', 'array<variant>')) > 0 "
+               f"OR exists({blocks}, b -> try_variant_get(b, '$.type', 'string') IN ({tools})))")
+    is_media = f"exists({arr('messages')}, m -> exists({blocks}, b -> try_variant_get(b, '$.type', 'string') IN ({media})))"
+    plain = f"forall({arr('messages')}, m -> {text('m', 'role')} AND ({text('m', 'content')} OR try_variant_get(m, '$.content', 'array<variant>') IS NOT NULL))"
+    pairs = f"size({arr('conversation')}) > 0 AND forall({arr('conversation')}, m -> {text('m', 'human')} AND {text('m', 'assistant')})"
+    talk = f"size({arr('conversations')}) > 0 AND forall({arr('conversations')}, m -> {text('m', 'from')} AND {text('m', 'value')})"
+    keyword = " AND ".join(text("v", k) for k in ("input", "predict", "target"))
+    home = f"{text('v', 'task')} AND (NOT {has('description')} OR {text('v', 'description')}) AND (NOT {has('action_list')} OR {arr('action_list')} IS NOT NULL) AND (NOT {has('FailReasons')} OR {arr('FailReasons')} IS NOT NULL)"
+    branches = f"{arr('chosen_messages')} IS NOT NULL OR {arr('rejected_messages')} IS NOT NULL"
+    cases = (
+        f"WHEN {has('conversation')} THEN if({pairs}, 'sft-master-conversation', null) WHEN {has('input')} OR {has('predict')} OR {has('target')} THEN if({keyword}, 'keyword-result', null) "
+        f"WHEN {has('conversations')} THEN if({talk}, 'sharegpt', null) WHEN {has('task')} OR {has('description')} OR {has('action_list')} OR {has('FailReasons')} THEN if({home}, 'virtualhome', null) "
+        f"WHEN {branches} THEN if(size({arr('chosen_messages')}) > 0 AND size({arr('rejected_messages')}) > 0, 'preference', null) "
+        f"WHEN size({arr('messages')}) > 0 THEN CASE WHEN {is_tool} AND {is_media} THEN 'conflict' WHEN {is_tool} THEN 'tool-use' WHEN {is_media} THEN 'multimodal' WHEN {plain} THEN 'sft' END"
+    )
+    return J.let_sql(value, f"CASE {cases} END")
+
+
+def detect_shape(records: DataFrame) -> DataFrame:
+    """One shape when every record has it, else why not: one row per source."""
+    counted = records.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("value").isNull()).alias("bad"), F.count_if(shape(F.col("value")) == "conflict").alias("clash"),
+        F.count(shape(F.col("value"))).alias("shaped"), F.min(shape(F.col("value"))).alias("low"), F.max(shape(F.col("value"))).alias("high"))
+    code = F.when(F.col("bad") > 0, "invalid_sample").when((F.col("clash") > 0) | (F.col("low") != F.col("high")), "conflicting_shapes").when(F.col("shaped") < F.col("records"), "unknown_shape")
+    return counted.select("source_id", F.when(code.isNull(), F.col("low")).alias("shape"), code.alias("fallback"))
+
+
+# The fields each shape reads.
+SHAPE_FIELDS = {
+    "sft": ["messages"], "tool-use": ["messages", "tools"], "multimodal": ["messages"], "preference": ["chosen_messages", "rejected_messages"],
+    "sharegpt": ["conversations", "system", "tools"], "sft-master-conversation": ["conversation", "category", "dataset", "conversation_id"],
+    "keyword-result": ["input", "predict", "target"], "virtualhome": ["task", "description", "action_list", "FailReasons", "SuccessOrFail"],
+}
+
+
+def shape_fields(records: DataFrame, key: tuple[str, ...] = ("source_id", "ordinal")) -> DataFrame:
+    """(field, path, count) rows of each shaped record; count is the length of a list, else 1."""
+    rows = "map(" + ", ".join(f"'{s}', array({', '.join(repr(f) for f in fs)})" for s, fs in SHAPE_FIELDS.items()) + ")"
+    df = J.fence(records, _shape=shape(F.col("value")), _f=F.expr("try_variant_get(value, '$', 'map<string,variant>')"))
+    df = df.select(*key, "_f", F.explode(F.expr(f"element_at({rows}, _shape)")).alias("field"))
+    leaf = F.expr("element_at(_f, field)")
+    return df.filter(leaf.isNotNull()).select(*key, "field", F.concat(F.lit("$."), "field").alias("path"),
+                                              F.coalesce(F.size(F.expr("try_variant_get(element_at(_f, field), '$', 'array<variant>')")), F.lit(1)).cast("bigint").alias("count"))

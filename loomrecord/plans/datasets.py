@@ -99,3 +99,36 @@ def a14(spark, sf):
 @query("a15_call_totals", f"WITH {CALLS} SELECT count(*) AS recognized, count(*) FILTER (valid) AS valid, count(*) FILTER (multi_turn = 'true') AS multi_turn_true, sum(functions_definitions) AS functions_definitions, sum(turn_messages) AS turn_messages FROM cs")
 def a15(spark, sf):
     return D.call_totals(D.call_summary(call_records(spark, sf))).select("recognized", "valid", "multi_turn_true", "functions_definitions", "turn_messages")
+
+
+def shape_records(spark, sf, constant: bool = False):
+    """One training record per document in one of nine shapes, or all in one shape."""
+    text = """CASE doc_id % 9 WHEN 0 THEN to_json(named_struct('messages', array(named_struct('role', 'user', 'content', text))))
+      WHEN 1 THEN to_json(named_struct('messages', array(named_struct('role', 'tool', 'content', text), named_struct('role', 'user', 'content', lang))))
+      WHEN 2 THEN '{"messages":[{"role":"user","content":[{"type":"image_url"}]}]}' WHEN 3 THEN '{"messages":[{"role":"tool","content":[{"type":"image"}]}]}'
+      WHEN 4 THEN '{"chosen_messages":[1],"rejected_messages":[2,3]}' WHEN 5 THEN to_json(named_struct('conversations', array(named_struct('from', 'human', 'value', text))))
+      WHEN 6 THEN to_json(named_struct('conversation', array(named_struct('human', lang, 'assistant', text)), 'category', source)) WHEN 7 THEN to_json(named_struct('input', lang, 'predict', text, 'target', if(doc_id % 2 = 0, text, null)))
+      ELSE to_json(named_struct('task', lang, 'action_list', array(1, 2))) END"""
+    if constant:
+        text = "to_json(named_struct('messages', array(named_struct('role', 'user', 'content', text))))"
+    d = spread(table(spark, sf, "documents"))
+    return parse_texts(d.select(F.lit("one" if constant else "many").alias("source_id"), F.col("doc_id").alias("ordinal"), F.expr(text).alias("text")))
+
+
+@query("a16_dataset_shape", """SELECT doc_id AS ordinal, CASE doc_id % 9 WHEN 0 THEN 'sft' WHEN 1 THEN 'tool-use' WHEN 2 THEN 'multimodal' WHEN 3 THEN 'conflict' WHEN 4 THEN 'preference' WHEN 5 THEN 'sharegpt'
+  WHEN 6 THEN 'sft-master-conversation' WHEN 7 THEN CASE WHEN doc_id % 2 = 0 THEN 'keyword-result' END ELSE 'virtualhome' END AS shape FROM documents""")
+def a16(spark, sf):
+    return shape_records(spark, sf).select("ordinal", D.shape(F.col("value")).alias("shape"))
+
+
+@query("a17_detect_shape", "SELECT 'one' AS source_id, 'sft' AS shape, NULL::VARCHAR AS fallback FROM (SELECT count(*) FROM documents) UNION ALL SELECT 'many', NULL, 'conflicting_shapes' FROM (SELECT count(*) FROM documents)")
+def a17(spark, sf):
+    return D.detect_shape(shape_records(spark, sf).unionByName(shape_records(spark, sf, True)))
+
+
+@query("a18_shape_fields", """SELECT field, count(*) AS records, sum(n)::BIGINT AS entries FROM (
+  SELECT 'messages' AS field, CASE doc_id % 9 WHEN 1 THEN 2 ELSE 1 END AS n FROM documents WHERE doc_id % 9 IN (0, 1, 2) UNION ALL SELECT unnest(['chosen_messages', 'rejected_messages']), unnest([1, 2]) FROM documents WHERE doc_id % 9 = 4
+  UNION ALL SELECT 'conversations', 1 FROM documents WHERE doc_id % 9 = 5 UNION ALL SELECT unnest(['conversation', 'category']), 1 FROM documents WHERE doc_id % 9 = 6
+  UNION ALL SELECT unnest(['input', 'predict', 'target']), 1 FROM documents WHERE doc_id % 9 = 7 AND doc_id % 2 = 0 UNION ALL SELECT unnest(['task', 'action_list']), unnest([1, 2]) FROM documents WHERE doc_id % 9 = 8) GROUP BY 1""")
+def a18(spark, sf):
+    return D.shape_fields(shape_records(spark, sf)).groupBy("field").agg(F.count(F.lit(1)).alias("records"), F.sum("count").cast("bigint").alias("entries"))

@@ -205,3 +205,12 @@ def x05(spark, sf):
 def x06(spark, sf):
     stream = R.classify(S.follow_records(spark, staged(spark, sf)), raw="raw")
     return drain(spark, X.stream_problems(stream), "problems").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s11_head_tail", """WITH r AS (SELECT doc_id AS ordinal, sum(octet_length(encode(text)) + 1) OVER (ORDER BY doc_id) AS stop, octet_length(encode(text)) + 1 AS len FROM documents), z AS (SELECT max(stop) AS size FROM r)
+  SELECT ordinal, CASE WHEN stop <= 98304 THEN 'head' ELSE 'tail' END AS part FROM r, z WHERE stop <= 98304 OR stop - len >= size - 65536""")
+def s11(spark, sf):
+    d = table(spark, sf, "documents").select(F.lit("d").alias("source_id"), F.col("doc_id").alias("ordinal"), (F.octet_length("text") + 1).cast("bigint").alias("len"))
+    run = P.running_bytes(d, "len", 256)
+    recs = run.select("source_id", "ordinal", (F.col("cumulative") - F.col("len")).alias("byte_start"), (F.col("cumulative") - 1).alias("byte_end"), F.lit(1).alias("delim_len"))
+    return S.head_tail(recs).select("ordinal", "part")

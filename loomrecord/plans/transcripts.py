@@ -164,3 +164,9 @@ def t05(spark, sf):
 def t06(spark, sf):
     rows = T.trajectory_slice(trajectory(spark, sf), "tool")
     return rows.select("ordinal", T.cursor(F.col("source_id"), F.lit("g1"), "actor=tool", F.col("ordinal") + 1).alias("cursor"))
+
+
+@query("j24_item_type", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'command_execution' WHEN 1 THEN 'mcp_tool_call' WHEN 2 THEN 'reasoning' END AS item_type FROM part")
+def j24(spark, sf):
+    name = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'CommandExecution' WHEN 1 THEN 'mcp-tool-call' WHEN 2 THEN 'reasoning' ELSE p_name END")
+    return table(spark, sf, "part").select("p_partkey", N.item_type(name).alias("item_type"))
