@@ -39,7 +39,7 @@ def build_graph(nodes: DataFrame, edges: DataFrame, max_degree: int = 64) -> tup
     return kept_nodes, kept, reduce(DataFrame.unionByName, [dup_nodes, dup_edges, dangling, crowded])
 
 
-def cycles(edges: DataFrame, max_rounds: int = 64, stage_every: int = 8) -> DataFrame:
+def cycles(edges: DataFrame, max_rounds: int = 64, stage_every: int = 1) -> DataFrame:
     """edges(src, dst) on or between cycles: what remains after peeling.
 
     Nodes without incoming edges, then nodes without outgoing edges, lose their edges
