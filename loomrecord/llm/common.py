@@ -61,12 +61,13 @@ class ChunkCache:
 
     The GPT-style pattern never matches across a space unless white space stands on
     both sides of it, so a text is cut there and each distinct chunk is encoded once
-    per worker. `encode(list of chunks)` gives a value per chunk. The cache is emptied
-    when it holds `limit` chunks; that changes speed, never results.
+    per worker. `encode(list of chunks)` gives a value per chunk. Beyond `limit` chunks
+    the cache starts anew and keeps what it had as a second generation until the next
+    time; that changes speed, never results.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000):
-        self.encode, self.limit, self.first, self.rest = encode, limit, {}, {}
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
+        self.encode, self.limit, self.first, self.rest, self.old = encode, limit, {}, {}, {}
 
     @staticmethod
     def safe(text: str) -> bool:
@@ -75,11 +76,15 @@ class ChunkCache:
     def values(self, texts: list[str]) -> list[list]:
         """Values of each text's chunks in order; every text must be safe()."""
         if len(self.first) + len(self.rest) > self.limit:
-            self.first, self.rest = {}, {}
+            self.first, self.rest, self.old = {}, {}, self.rest
         split = [t.split(" ") for t in texts]
         rest, first = self.rest, self.first
         new_rest = {c for s in split for c in s[1:] if c not in rest}
         new_first = {s[0] for s in split if s[0] not in first}
+        if self.old and new_rest:
+            again = new_rest & self.old.keys()
+            rest.update((c, self.old[c]) for c in again)
+            new_rest -= again
         if new_rest:
             new = list(new_rest)
             rest.update(zip(new, self.encode([" " + c for c in new])))

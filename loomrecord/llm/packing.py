@@ -12,6 +12,7 @@ import functools
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark import TaskContext
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrecord.llm.common import ChunkCache, map_rows
+from loomrecord.llm.token_count import counter
 
 END = b"\0\0\0\0"
 
@@ -61,24 +63,38 @@ class OpenBins:
 
 
 class IdBytes:
-    """Texts to little-endian 32-bit ids by the tokenizers library, once per distinct chunk."""
+    """Texts to little-endian 32-bit ids, as the tokenizers library gives them.
+
+    Chunks seen for the first time are merged many at once (token_count.MergeTable); the
+    library itself encodes texts whose chunks can't be told apart safely or that hold a
+    special token's string.
+    """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = ChunkCache(self._encode)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in map(functools.partial(self.tokenizer.encode, add_special_tokens=False), texts)]
+        self.tokenizer, self.counter = Tokenizer.from_file(public_tokenizers.path(name)), counter(name)
+        self.special = self.counter.table.special
+        self.cache, self.pieces = ChunkCache(self._chunks), {}
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks differ mostly in punctuation, so the pattern's matches are remembered one by one."""
+        known = self.pieces
+        if len(known) > self.cache.limit:
+            known.clear()
+        split = [self.counter.split(c) for c in chunks]
+        new = list({p for s in split for p in s if p not in known})
+        if new:
+            symbols, sizes = self.counter.table.merge([p.encode() for p in new])
+            flat, ends = symbols.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+            known.update((p, flat[a:b]) for p, a, b in zip(new, [0, *ends], ends))
+        return [b"".join(map(known.__getitem__, s)) for s in split]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         plain = [i for i, t in enumerate(texts) if t and self.cache.safe(t) and not any(s in t for s in self.special)]
         done = dict(zip(plain, self.cache.values([texts[i] for i in plain])))
-        return [b"".join(done[i]) if i in done else self._encode([t])[0] if t else b"" for i, t in enumerate(texts)]
+        library = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [b"".join(done[i]) if i in done else library(t) if t else b"" for i, t in enumerate(texts)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -54,36 +54,35 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
-    def counts(self, pieces: list[bytes]) -> np.ndarray:
-        """Symbols left of each piece when no pair can merge any more."""
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all pieces when no pair can merge any more, and how many each piece has."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        result = lengths.copy()
         symbols = self.base[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), lengths)
-        while len(symbols) > 1:
-            rank = np.where(owner[1:] == owner[:-1], self.rank(symbols[:-1], symbols[1:]), _NONE)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            padded = np.append(rank, _NONE)
-            least = np.minimum.reduceat(padded, starts)
+            rank = np.full(len(symbols), _NONE)
+            rank[:-1] = self.rank(symbols[:-1], symbols[1:])
+            rank[starts[1:] - 1] = _NONE
+            least = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.append(starts, len(symbols)))
-            live = least < _NONE
-            if not live.any():
-                break
-            hit = (padded == np.repeat(least, sizes)) & (padded < _NONE)
+            live = np.repeat(least < _NONE, sizes)
+            done.append((symbols[~live], owner[~live]))  # finished sequences leave the arrays
+            at = np.flatnonzero((rank == np.repeat(least, sizes)) & live)
             # Of equal symbols in a row ("aaa"), pairs are taken from the left without overlap.
-            at = np.flatnonzero(hit)
             if len(at) > 1 and (np.diff(at) == 1).any():
                 run = np.r_[True, np.diff(at) != 1]
                 offset = np.arange(len(at)) - np.flatnonzero(run)[np.cumsum(run) - 1]
                 at = at[offset % 2 == 0]
-            symbols = symbols.copy()
-            symbols[at] = self.made[padded[at]]
-            np.subtract.at(result, owner[at], 1)
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            keep &= np.repeat(live, sizes)  # finished sequences leave the arrays
-            symbols, owner = symbols[keep], owner[keep]
-        return result
+            symbols[at] = self.made[rank[at]]
+            live[at + 1] = False
+            symbols, owner = symbols[live], owner[live]
+        if not done:
+            return symbols, lengths
+        symbols, owner = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        return symbols[order], np.bincount(owner, minlength=len(pieces))
 
 
 class TokenCounter:
@@ -92,15 +91,15 @@ class TokenCounter:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.cache = ChunkCache(self._chunk_counts)
 
-    def _split(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
         if text.isascii() or max(text) < "ɐ":
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.table.splitter.pre_tokenize_str(text)]  # the library's own character classes
 
     def _chunk_counts(self, chunks: list[str]) -> list[int]:
-        split = [self._split(c) for c in chunks]
+        split = [self.split(c) for c in chunks]
         distinct = {p: i for i, p in enumerate({p for s in split for p in s})}
-        counts = self.table.counts([p.encode() for p in distinct]).tolist() if distinct else []
+        counts = self.table.merge([p.encode() for p in distinct])[1].tolist() if distinct else []
         return [sum(counts[distinct[p]] for p in s) for s in split]
 
     def count(self, texts: list[str | None]) -> list[int]:
