@@ -59,14 +59,15 @@ def signature(shingles: np.ndarray) -> tuple[list[int], list[int]]:
 
 def _profiles(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     def make():
-        def run(keys, texts):
+        def run(keys, tags, texts):
             sets = shingle_sets(texts, words)
             signed = [signature(s) if len(s) else (None, None) for s in sets]
-            return {key: keys, "n_shingles": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+            return {key: keys, "tag": tags, "n_shingles": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "bands": [b for b, _ in signed], "bits": [s for _, s in signed]}
         return run
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs, [key, text], f"`{key}` {kind}, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>", make)
+    rows = docs.select(F.col(key), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+    return map_rows(rows, [key, "tag", "text"], f"`{key}` {kind}, tag bigint, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>", make)
 
 
 def _estimate(a: str, b: str) -> F.Column:
@@ -103,15 +104,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
     return map_rows(rows, ["rep", "text", "digest"], "digest binary, shingles array<bigint>", make).dropDuplicates(["digest"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, component_id (smallest key reachable over links), kept (key = component_id).
-
-    Links join texts with 100 * intersection >= percent * union of their shingle sets.
-    Null, empty and blank texts have no shingles and are linked with nothing: each is its
-    own component. Rows that repeat a key and differ in text count by text; a component
-    takes the smallest key among its rows, nulls last, and a row with a null key is kept
-    only where its whole component has none. Extra columns are ignored.
-    """
+def _linked(docs: DataFrame, percent: int, words: int, key: str, text: str) -> DataFrame:
+    """Per row: key, tag (hash of the text), n_shingles, root (one digest for each component; null without shingles), component_id."""
     floor = _floor(percent)
     rows = written(_profiles(docs, key, text, words), "profiles")
     classes = written(rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(
@@ -149,6 +143,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, key: str
         roots = roots.select(F.col("node").alias("digest"), "root")
     named = classes.select("digest", "first").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = named.join(smallest, "root").select("digest", "component_id")
+    final = named.join(smallest, "root").select("digest", "root", "component_id")
     joined = rows.join(final, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col(key)).otherwise(F.col("component_id")))
-    return joined.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.select(key, "tag", "n_shingles", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_shingles, component_id (smallest key reachable over links), kept (key = component_id).
+
+    Links join texts with 100 * intersection >= percent * union of their shingle sets.
+    Null, empty and blank texts have no shingles and are linked with nothing: each is its
+    own component. Rows that repeat a key and differ in text count by text; a component
+    takes the smallest key among its rows, nulls last, and a row with a null key is kept
+    only where its whole component has none. Extra columns are ignored.
+    """
+    linked = _linked(docs, percent, words, key, text)
+    return linked.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of docs, one row of each component: that of its smallest key (then text hash); nulls last.
+
+    Rows equal in key and text become one. Rows without shingles are linked with nothing
+    and all stay.
+    """
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("tag"))
+    linked = _linked(docs, percent, words, key, text)
+    best = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.k").alias("__k"), F.col("p.tag").alias("__w")).distinct()
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    tagged = docs.withColumn("__tag", F.xxhash64(text))
+    kept = tagged.where(worded).join(best, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__tag") == F.col("__w")), "left_semi")
+    return kept.dropDuplicates([key, "__tag"]).drop("__tag").unionByName(docs.where(~worded))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrecord.llm.common import documents
+from loomrecord.llm.line_crf import score_quality, train
+from loomrecord.llm.line_dedup import remove_repeated_lines
 from loomrecord.llm.near_dedup import near_duplicates
 from loomrecord.llm.packing import pack
+from loomrecord.llm.pii import KINDS, find_pii, span_text
+from loomrecord.llm.quality_rules import apply_rules
 from loomrecord.llm.substring_dedup import remove_repeats
 from loomrecord.llm.token_count import count_tokens
 from loomrecord.llm.tree_bpe import encode_decode
@@ -19,6 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
@@ -27,6 +36,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
+
+
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.size(f"pii.{k}").cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text(KINDS).cast("binary"), 256).alias("base_sha256"), span_text((*KINDS, "id")).alias("spans"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_lines(documents(spark, sf_dir))
+    return left.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -63,5 +88,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 5
 """
 
-for _query in (op2_substring_dedup, op3_token_counts, op6_exact_top_k, op8_best_fit_packing, op9_byte_bpe, op10_minhash_near_dedup):
+for _query in (op1_line_crf_quality, op2_substring_dedup, op3_token_counts, op4_quality_rules, op5_contextual_pii, op6_exact_top_k, op7_line_dedup, op8_best_fit_packing, op9_byte_bpe, op10_minhash_near_dedup):
     QUERIES[_query.__name__] = _query
