@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 ENTITY = ["source_id", "native_id"]
 
 # Openings of messages that a tool, not a person, wrote.
-INJECTED = r"^\s*(<environment_context>|<user_instructions>|<system-reminder>|<command-name>|<local-command|# AGENTS\.md|Caveat:)"
+INJECTED = r"^\s*(?:# AGENTS\.md instructions|<environment_context>|<permissions instructions>|<local-command|<command-name>|<system-reminder>)"
 
 
 def user_preview(text: Column, max_chars: int = 240) -> Column:
     """One line of a message a user wrote; injected messages give NULL."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    flat = F.trim(F.regexp_replace(text, r"[\s\x00-\x1f\x7f]+", " "))
     return F.when(~text.rlike(INJECTED) & (F.length(flat) > 0), F.substring(flat, 1, max_chars))
 
 
 def normalize_id(text: Column) -> Column:
     """A safe id as it is, any other as a digest."""
-    return F.when(text.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"), text).otherwise(F.concat(F.lit("id-"), F.substring(F.sha2(text, 256), 1, 24)))
+    return F.when(text.rlike(r"^[A-Za-z0-9._:-]{1,256}\z"), text).otherwise(F.concat(F.lit("id-"), F.substring(F.sha2(text, 256), 1, 32)))
 
 
 def sessions(events: DataFrame) -> DataFrame:
@@ -40,8 +40,11 @@ def sessions(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("records"), F.min("ordinal").alias("first_ordinal"))
 
 
-# Words in type names that decide an entity's kind, in order.
-KIND_WORDS = [("subagent", "subagent"), ("agent", "agent"), ("workspace", "workspace"), ("project", "project"), ("folder", "collection"), ("thread", "session"), ("session", "session"), ("conversation", "session")]
+# Words in type names that decide an entity's kind; the first that occurs counts.
+KIND_WORDS = [
+    ("session", "session"), ("thread", "thread"), ("fork", "other"), ("subagent", "subagent"), ("agent", "subagent"), ("workflow", "workflow"), ("team", "team"), ("tool", "tool"), ("call", "tool"),
+    ("goal", "goal"), ("plan", "plan"), ("memory", "memory"), ("task", "task"), ("event", "event"), ("message", "event"), ("response", "event"),
+]
 
 
 def entity_kind(type_name: Column) -> Column:
@@ -172,14 +175,27 @@ def source_totals(entities: DataFrame) -> DataFrame:
 
 
 def children_page(entities: DataFrame, parent: Column, order: str = "activity", limit: int = 50, after: tuple | None = None) -> DataFrame:
-    """One page of children by activity, creation (newest first) or title, ties by id; `after` is the last (key, id)."""
-    key = {"activity": F.col("activity_ms"), "created": F.col("started_ms"), "title": F.lower("label")}[order]
-    kids = entities.filter(parent).withColumn("_k", key)
+    """One page of children by activity, creation (both newest first) or shown title, ties by id.
+
+    Times fall back (activity, update, start; or start, update) and sort last where all
+    are absent; titles compare without ASCII case. `sort_value` and `native_id` of the
+    last row are the next page's `after`; `has_more` tells whether there is one.
+    """
+    have = set(entities.columns)
+    times = {"activity": ["activity_ms", "updated_ms", "started_ms"], "created": ["started_ms", "updated_ms"]}
+    if order == "title":
+        shown = F.coalesce(*[F.col(c) for c in ("title", "vendor_title", "label") if c in have])
+        key = F.translate(shown, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    else:
+        key = F.coalesce(*[F.col(c) for c in times[order] if c in have], F.lit(-(1 << 63)))
+    kids = entities.filter(parent).withColumn("sort_value", key)
     if after is not None:
-        beyond = (F.col("_k") > F.lit(after[0])) if order == "title" else (F.col("_k") < F.lit(after[0]))
-        kids = kids.filter(beyond | ((F.col("_k") == F.lit(after[0])) & (F.col("native_id") > F.lit(after[1]))))
-    first = F.col("_k").asc() if order == "title" else F.col("_k").desc()
-    return kids.orderBy(first, "native_id").limit(limit).drop("_k")
+        last = F.lit(after[0])
+        beyond = F.col("sort_value") > last if order == "title" else F.col("sort_value") < last
+        kids = kids.filter(beyond | ((F.col("sort_value") == last) & (F.col("native_id") > F.lit(after[1]))))
+    ordering = [F.col("sort_value").asc() if order == "title" else F.col("sort_value").desc(), F.col("native_id").asc()]
+    probe = kids.orderBy(*ordering).limit(limit + 1).withColumn("_n", F.row_number().over(Window.orderBy(*ordering)))
+    return probe.withColumn("has_more", F.max("_n").over(Window.partitionBy()) > limit).filter(F.col("_n") <= limit).drop("_n")
 
 
 def with_children(entities: DataFrame) -> DataFrame:
@@ -221,18 +237,21 @@ def fold_commands(log: DataFrame) -> dict[str, DataFrame]:
     """The collections, members and entry states after a command log.
 
     log(request_id, revision, op, collection_id, entry_id, text). A request counts
-    once, by its lowest revision. For each target the last revision decides;
-    deleting a collection also drops members added before it.
+    once, by its lowest revision. A collection lives from its first creation after its
+    last deletion; renaming, adding and removing count only after that, the last
+    revision deciding. What names a deleted or unknown collection is refused.
     """
     once = first_wins(log, ["request_id"], "revision")
     def last(df: DataFrame, keys: list[str]) -> DataFrame:
         return df.groupBy(*keys).agg(F.max_by("op", "revision").alias("op"), F.max_by("text", "revision").alias("text"), F.max("revision").alias("revision"))
-    state = last(once.filter(F.col("op").isin("create", "rename", "delete")), ["collection_id"])
-    live = state.filter(F.col("op") != "delete").select("collection_id", F.col("text").alias("name"))
     deleted = once.filter(F.col("op") == "delete").groupBy("collection_id").agg(F.max("revision").alias("deleted_at"))
-    member = last(once.filter(F.col("op").isin("add", "remove")), ["collection_id", "entry_id"]).filter(F.col("op") == "add")
-    member = member.join(deleted, "collection_id", "left").filter(F.col("deleted_at").isNull() | (F.col("revision") > F.col("deleted_at")))
-    member = member.join(live.select("collection_id"), "collection_id", "left_semi").select("collection_id", "entry_id")
+    created = once.filter(F.col("op") == "create").join(deleted, "collection_id", "left").filter(F.col("deleted_at").isNull() | (F.col("revision") > F.col("deleted_at")))
+    created = created.groupBy("collection_id").agg(F.min("revision").alias("created_at"))
+    since = once.join(created, "collection_id")
+    named = (F.col("op") == "create") & (F.col("revision") == F.col("created_at")) | (F.col("op") == "rename") & (F.col("revision") > F.col("created_at"))
+    live = last(since.filter(named), ["collection_id"]).select("collection_id", F.col("text").alias("name"))
+    member = since.filter(F.col("op").isin("add", "remove") & (F.col("revision") > F.col("created_at")))
+    member = last(member, ["collection_id", "entry_id"]).filter(F.col("op") == "add").select("collection_id", "entry_id")
     alias = last(once.filter(F.col("op") == "alias"), ["entry_id"]).select("entry_id", F.col("text").alias("alias"))
     archived = last(once.filter(F.col("op").isin("archive", "restore")), ["entry_id"]).select("entry_id", (F.col("op") == "archive").alias("archived"))
     entries = once.filter(F.col("entry_id").isNotNull()).select("entry_id").distinct().join(alias, "entry_id", "left").join(archived, "entry_id", "left")

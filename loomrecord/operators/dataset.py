@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 
-# Inspected fields, and caps that are part of an observation's meaning.
+# Inspected fields.
 MESSAGE_FIELDS = ["messages", "conversations", "chosen_messages", "rejected_messages"]
 TOKEN_FIELDS = ["tokens", "input_ids", "labels", "attention_mask"]
 COUNT_FIELDS = ["token_count", "num_tokens"]
 CATEGORY_FIELDS = ["label", "category", "split", "language"]
 MEDIA_TYPES = {"image": ["image", "image_url", "input_image"], "audio": ["audio", "audio_url", "input_audio"], "video": ["video", "video_url", "input_video"]}
-MAX_MESSAGES, MAX_BLOCKS, MAX_TOKENS, MAX_CATEGORY, MAX_CATEGORIES = 64, 32, 512, 80, 32
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Optional bounds on what a record's observation looks at; None, the default, looks at all of it."""
+
+    messages: int | None = None
+    blocks: int | None = None
+    tokens: int | None = None
+    category_chars: int | None = None
+
+
+def _head(array: str, n: int | None) -> str:
+    return array if n is None else f"slice({array}, 1, {n})"
+
+
+def _over(size: str, n: int | None) -> str:
+    return "false" if n is None else f"{size} > {n}"
+
+
 ROLES = ["user", "assistant", "system", "tool", "function", "unknown"]
 
 
@@ -34,7 +55,7 @@ def _first(value: str, *keys: str) -> str:
     return "coalesce(" + ", ".join([*[J.nonnull_sql(value, k) for k in keys[:-1]], J.get_sql(value, keys[-1])]) + ")"
 
 
-def _message_facts() -> str:
+def _message_facts(limits: Limits) -> str:
     """ARRAY of facts about the observed messages of all message fields, in field order."""
     table = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in J.ROLE_NAMES.items()) + ")"
     speaker = _first("m", "role", "from", "speaker")
@@ -44,20 +65,20 @@ def _message_facts() -> str:
     number = f"try_variant_get({weight}, '$', 'double')"
     loss = (f"CASE WHEN {weight} IS NULL THEN null WHEN schema_of_variant({weight}) LIKE 'ARRAY%' THEN 'array' WHEN NOT schema_of_variant({weight}) rlike '^(BIGINT|DOUBLE|DECIMAL)' "
             f"THEN 'invalid' WHEN {number} = 0 THEN 'zero' WHEN {number} > 0 THEN 'positive' ELSE 'negative' END")
-    blocks = f"transform(slice(coalesce(try_variant_get({content}, '$', 'array<variant>'), array()), 1, {MAX_BLOCKS}), b -> if(schema_of_variant({J.get_sql('b', 'type')}) = 'STRING', try_variant_get(b, '$.type', 'string'), null))"
+    blocks = f"transform({_head(f"coalesce(try_variant_get({content}, '$', 'array<variant>'), array())", limits.blocks)}, b -> if(schema_of_variant({J.get_sql('b', 'type')}) = 'STRING', try_variant_get(b, '$.type', 'string'), null))"
     fact = (f"if(schema_of_variant(m) LIKE 'OBJECT%', named_struct('role', {role}, 'state', {J.bind_sql(content, 'ct', J.content_state_sql('ct'))}, 'loss', {loss}, 'blocks', {blocks}, "
-            f"'cut', size(coalesce(try_variant_get({content}, '$', 'array<variant>'), array())) > {MAX_BLOCKS}), null)")
+            f"""'cut', {_over(f"size(coalesce(try_variant_get({content}, '$', 'array<variant>'), array()))", limits.blocks)}), null)""")
     every = ", ".join(f"coalesce({_array('value', f)}, array())" for f in MESSAGE_FIELDS)
-    return f"transform(slice(concat({every}), 1, {MAX_MESSAGES}), m -> {fact})"
+    return f"transform({_head(f'concat({every})', limits.messages)}, m -> {fact})"
 
 
-def _sequence(field: str) -> str:
+def _sequence(field: str, limits: Limits) -> str:
     a = _array("value", field)
     safe = "(schema_of_variant(t) = 'BIGINT' AND abs(try_variant_get(t, '$', 'double')) <= 9007199254740991D OR schema_of_variant(t) rlike '^(DECIMAL|DOUBLE)' AND try_variant_get(t, '$', 'double') % 1 = 0)"
     text_ok = " AND NOT schema_of_variant(t) = 'STRING'" if field == "tokens" else ""
-    head = f"slice({a}, 1, {MAX_TOKENS})"
+    head = _head(a, limits.tokens)
     return (f"if({a} IS NULL, null, named_struct('field', '{field}', 'length', size({a}), 'non_integer', size(filter({head}, t -> NOT {safe})), "
-            f"'negative100', size(filter({head}, t -> {safe} AND try_variant_get(t, '$', 'double') = -100)), 'invalid', size(filter({head}, t -> NOT {safe}{text_ok})), 'cut', size({a}) > {MAX_TOKENS}))")
+            f"'negative100', size(filter({head}, t -> {safe} AND try_variant_get(t, '$', 'double') = -100)), 'invalid', size(filter({head}, t -> NOT {safe}{text_ok})), 'cut', {_over(f'size({a})', limits.tokens)}))")
 
 
 def _declared(field: str) -> str:
@@ -74,20 +95,20 @@ def _media(kind: str, field: str) -> str:
     return f"{blocks} + {refs}"
 
 
-def _category(field: str) -> str:
+def _category(field: str, limits: Limits) -> str:
     g = J.get_sql("value", field)
     text = f"try_variant_get({g}, '$', 'string')"
-    return (f"CASE WHEN schema_of_variant({g}) = 'STRING' THEN if(length({text}) <= {MAX_CATEGORY}, named_struct('field', '{field}', 'value', {text}), null) "
+    return (f"CASE WHEN schema_of_variant({g}) = 'STRING' THEN if({_over(f'length({text})', limits.category_chars)}, null, named_struct('field', '{field}', 'value', {text})) "
             f"WHEN schema_of_variant({g}) = 'BOOLEAN' OR schema_of_variant({g}) rlike '^(BIGINT|DOUBLE|DECIMAL)' THEN named_struct('field', '{field}', 'value', regexp_replace({text}, '[.]0$', '')) END")
 
 
-def _scene() -> str:
+def _scene(limits: Limits) -> str:
     """A10: the first matching scene, with the state of its target."""
     def state(*keys: str) -> str:
         return J.bind_sql(_first("value", *keys), "t0", J.content_state_sql("t0"))
     chosen, rejected = state("chosen", "chosen_messages"), state("rejected", "rejected_messages")
     pair = J.bind_sql(f"array({chosen}, {rejected})", "pr", "CASE WHEN array_contains(pr, 'missing') THEN 'missing' WHEN array_contains(pr, 'empty') THEN 'empty' ELSE 'present' END")
-    talk = ("CASE WHEN exists(_msg, m -> m.role = 'assistant' AND m.state = 'present') THEN 'present' WHEN _total > " + str(MAX_MESSAGES) +
+    talk = ("CASE WHEN exists(_msg, m -> m.role = 'assistant' AND m.state = 'present') THEN 'present' WHEN " + _over("_total", limits.messages) +
             " THEN 'unknown' WHEN exists(_msg, m -> m.role = 'assistant' AND m.state = 'empty') THEN 'empty' ELSE 'missing' END")
     is_talk = "(" + " OR ".join(f"{_array('value', f)} IS NOT NULL" for f in MESSAGE_FIELDS) + ")"
     text = " OR ".join(f"schema_of_variant({J.get_sql('value', k)}) = 'STRING'" for k in ("text", "content"))
@@ -102,17 +123,17 @@ def _scene() -> str:
     return f"CASE {cases} ELSE named_struct('scene', 'unknown', 'target', 'unknown') END"
 
 
-def record_summary(records: DataFrame, key: tuple[str, ...] = ("source_id", "ordinal")) -> DataFrame:
-    """One flat observation per record. Column expressions only; no shuffle."""
+def record_summary(records: DataFrame, key: tuple[str, ...] = ("source_id", "ordinal"), limits: Limits = Limits()) -> DataFrame:
+    """One flat observation per record, of all of it unless `limits` says less. Column expressions only; no shuffle."""
     total = " + ".join(f"coalesce(size({_array('value', f)}), 0)" for f in MESSAGE_FIELDS)
     df = J.fence(
-        records, _valid=J.is_object(F.col("value")), _msg=F.expr(_message_facts()), _total=F.expr(total),
-        _seq=F.expr("filter(array(" + ", ".join(_sequence(f) for f in TOKEN_FIELDS) + "), s -> s IS NOT NULL)"),
+        records, _valid=J.is_object(F.col("value")), _msg=F.expr(_message_facts(limits)), _total=F.expr(total),
+        _seq=F.expr("filter(array(" + ", ".join(_sequence(f, limits) for f in TOKEN_FIELDS) + "), s -> s IS NOT NULL)"),
         _dec=F.expr("filter(array(" + ", ".join(_declared(f) for f in COUNT_FIELDS) + "), d -> d IS NOT NULL)"),
-        _cat=F.expr("filter(array(" + ", ".join(_category(f) for f in CATEGORY_FIELDS) + "), c -> c IS NOT NULL)"),
-        _long=F.expr(" OR ".join(f"coalesce(length({J.string_sql('value', f)}) > {MAX_CATEGORY}, false)" for f in CATEGORY_FIELDS)))
-    df = J.fence(df, _sc=F.expr(_scene()))
-    cut = F.expr(f"_total > {MAX_MESSAGES} OR exists(_msg, m -> m.cut) OR exists(_seq, s -> s.cut) OR _long")
+        _cat=F.expr("filter(array(" + ", ".join(_category(f, limits) for f in CATEGORY_FIELDS) + "), c -> c IS NOT NULL)"),
+        _long=F.expr(" OR ".join(f"coalesce({_over('length(' + J.string_sql('value', f) + ')', limits.category_chars)}, false)" for f in CATEGORY_FIELDS)))
+    df = J.fence(df, _sc=F.expr(_scene(limits)))
+    cut = F.expr(f"{_over('_total', limits.messages)} OR exists(_msg, m -> m.cut) OR exists(_seq, s -> s.cut) OR _long")
     mismatch = F.expr("exists(_dec, d -> d.value IS NOT NULL AND exists(_seq, s -> s.field IN ('tokens', 'input_ids') AND s.length != d.value))")
     aligned = F.expr("exists(_seq, i -> i.field = 'input_ids' AND exists(_seq, s -> s.field IN ('labels', 'attention_mask') AND s.length != i.length))")
     issues = {
@@ -159,9 +180,11 @@ def lengths(summaries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("records"), F.min("s.n").alias("min"), F.max("s.n").alias("max"), F.round(F.avg("s.n"), 6).alias("mean"))
 
 
-def categories(summaries: DataFrame, limit: int = MAX_CATEGORIES, field: str = "categories") -> DataFrame:
-    """The first-seen values of each category field; the rest is folded into one NULL row."""
-    rows = summaries.select("ordinal", F.explode(field).alias("c")).groupBy("c.field", "c.value").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"))
+def categories(summaries: DataFrame, limit: int | None = 32, field: str = "categories") -> DataFrame:
+    """The first-seen values of each category field; the rest is folded into one NULL row (None folds nothing)."""
+    rows = summaries.select(*[k for k in ("source_id", "ordinal") if k in summaries.columns], F.explode(field).alias("c")).groupBy("c.field", "c.value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source_id", "ordinal") if "source_id" in summaries.columns else F.struct("ordinal")).alias("first"))
+    if limit is None:
+        return rows.select("field", "value", F.col("n").alias("records"))
     rank = F.row_number().over(Window.partitionBy("field").orderBy("first", "value"))
     head = rows.withColumn("rn", rank).filter(F.col("rn") <= limit).select("field", "value", F.lit(True).alias("kept"))
     # At most `limit` values for each of a handful of fields: small enough to send to every task.

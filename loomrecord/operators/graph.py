@@ -14,7 +14,7 @@ def build_graph(nodes: DataFrame, edges: DataFrame, max_degree: int = 64) -> tup
     """nodes(id, seq, ...), edges(id, src, dst, seq) without duplicates, dangling ends or overloaded nodes.
 
     The first of an id wins (lowest seq). An edge is dropped when either end
-    already holds `max_degree` earlier edges; a self-loop counts twice. Returns
+    already holds `max_degree` accepted earlier edges; a self-loop counts twice. Returns
     nodes, edges and one diagnostic row per dropped item.
     """
     first_node = nodes.groupBy("id").agg(F.min("seq").alias("seq"))
@@ -27,45 +27,53 @@ def build_graph(nodes: DataFrame, edges: DataFrame, max_degree: int = 64) -> tup
     has_src = unique.join(ids, "src", "left_semi")
     whole = has_src.join(ids.withColumnRenamed("src", "dst"), "dst", "left_semi")
     dangling = unique.join(whole.select("id"), "id", "left_anti").select(F.lit("missing-endpoint").alias("code"), "id")
-    # Rank of an edge among the edges of each end. Only ranks up to the limit matter, so the
-    # ranked set is cut by the pushed-down group limit before it is shuffled by node.
-    ends = whole.select("id", "seq", F.explode(F.array(F.struct(F.col("src").alias("n"), F.lit(0).alias("side")), F.struct(F.col("dst").alias("n"), F.lit(1).alias("side")))).alias("e"))
-    ends = ends.select("id", "seq", "e.n", "e.side")
-    rank = F.row_number().over(Window.partitionBy("n").orderBy("seq", "id", "side"))
-    low = ends.withColumn("rank", rank).filter(F.col("rank") <= max_degree)
-    good = low.groupBy("id").agg(F.count(F.lit(1)).alias("ends")).filter(F.col("ends") == 2)
-    kept = whole.join(good.select("id"), "id", "left_semi")
-    crowded = whole.join(good.select("id"), "id", "left_anti").select(F.lit("degree-limit").alias("code"), "id")
+    # Edges are taken in order of seq; one is refused once an end holds `max_degree` accepted
+    # earlier ones, so refused edges use up nothing. Each round settles every edge whose place
+    # is sure whatever becomes of the open ones before it, the first open edge among them.
+    state = materialize(whole.select("id", "seq", "src", "dst", F.lit(None).cast("boolean").alias("accepted")), "degree")
+    while not state.filter(F.col("accepted").isNull()).isEmpty():
+        ends = state.filter("accepted IS NULL OR accepted").select("id", "seq", "accepted", F.explode(F.array(F.struct(F.col("src").alias("n"), F.lit(0).alias("side")), F.struct(F.col("dst").alias("n"), F.lit(1).alias("side")))).alias("e"))
+        before = Window.partitionBy("e.n").orderBy("seq", "id", "e.side").rowsBetween(Window.unboundedPreceding, -1)
+        placed = ends.withColumn("sure", F.coalesce(F.sum(F.col("accepted").cast("int")).over(before), F.lit(0))).withColumn("most", F.coalesce(F.count(F.lit(1)).over(before), F.lit(0)))
+        judged = placed.filter(F.col("accepted").isNull()).groupBy("id").agg(F.max("most").alias("most"), F.max("sure").alias("sure"))
+        verdict = F.when(F.col("most") < max_degree, True).when(F.col("sure") >= max_degree, False)
+        state = materialize(state.join(judged, "id", "left").select("id", "seq", "src", "dst", F.coalesce("accepted", verdict).alias("accepted")), "degree")
+    kept = whole.join(state.filter("accepted").select("id"), "id", "left_semi")
+    crowded = state.filter(~F.col("accepted")).select(F.lit("degree-limit").alias("code"), "id")
     return kept_nodes, kept, reduce(DataFrame.unionByName, [dup_nodes, dup_edges, dangling, crowded])
 
 
-def cycles(edges: DataFrame, max_rounds: int = 64, stage_every: int = 1) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """edges(src, dst) on or between cycles: what remains after peeling.
 
     Nodes without incoming edges, then nodes without outgoing edges, lose their edges
-    round by round until nothing changes. The edge set is written to the shared
-    scratch folder now and then, which keeps the plan short and survives lost executors.
+    round by round until nothing changes, however long the chains. The edges left are
+    written to the shared scratch folder each round, which keeps the plan short and
+    survives lost executors.
     """
-    current = edges.select("src", "dst").distinct()
-    count = None
-    for round_no in range(max_rounds):
+    current = materialize(edges.select("src", "dst").distinct(), "peel")
+    size = current.count()
+    while size:
         inner = current.join(current.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        current = inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        if round_no % stage_every == stage_every - 1:
-            current = materialize(current, f"peel-{round_no}")
-            size = current.count()
-            if size == count:
-                break
-            count = size
+        current = materialize(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "peel")
+        before, size = size, current.count()
+        if size == before:
+            break
     return current
 
 
-def depth_limited(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """Least depth of the nodes reachable from `roots(node)` within the limit."""
-    seen = roots.select("node", F.lit(0).alias("depth"))
-    frontier = seen
-    for d in range(1, max_depth + 1):
-        step = frontier.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Least depth of every node reachable from `roots(node)`; `max_depth` stops earlier.
+
+    Each round's new nodes are written, so a round costs one join with the edges and
+    one with the nodes seen so far.
+    """
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
+    frontier = materialize(roots.select("node", F.lit(0).alias("depth")).distinct(), "frontier")
+    seen, depth = frontier, 0
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+        depth += 1
+        step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        frontier = materialize(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.unionByName(frontier)
     return seen

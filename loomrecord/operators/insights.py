@@ -90,14 +90,27 @@ def _ranked(groups: DataFrame, capacity: int) -> DataFrame:
     return kept
 
 
+def _place(df: DataFrame, order: str) -> list[Column]:
+    """What decides which value was seen first: the source, if rows have one, then `order`."""
+    source = F.col("source_id") if "source_id" in df.columns else F.lit(None).cast("string")
+    return [source.alias("_s"), F.col(order).alias("_o")]
+
+
+def _grouped(rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts and first places per group: first per source with plain numbers, then over the few sources."""
+    rows = rows if "_s" in rows.columns else rows.withColumn("_s", F.lit(None).cast("string"))
+    parts = rows.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("o"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("count"), F.min(F.struct("_s", "o")).alias("first"))
+
+
 def category_counts(df: DataFrame, selected: Column, max_groups: int = 32, order: str = "ordinal", max_key_length: int = MAX_KEY_LENGTH) -> DataFrame:
     """A2: exact counts of the first-seen keys; the rest is Other; Unknown and Missing are reserved.
 
     Keys are tagged by type (1 differs from "1"). First-seen means the smallest
-    `order` value, so the answer does not depend on partitioning.
+    source, then `order` value, so the answer does not depend on partitioning.
     """
-    keyed = df.select(F.col(order).alias("_o"), F.inline(F.array(_keyed(selected, max_key_length))))
-    groups = keyed.groupBy("kind", "type", "label").agg(F.count(F.lit(1)).alias("count"), F.min("_o").alias("first"))
+    keyed = df.select(*_place(df, order), F.inline(F.array(_keyed(selected, max_key_length))))
+    groups = _grouped(keyed, "kind", "type", "label")
     return _fold(groups, max_groups - 3)
 
 
@@ -127,17 +140,16 @@ def time_buckets(df: DataFrame, value: Column, width_ms: int, unit: str = "auto"
     """A4: counts per half-open bucket, first-seen buckets kept, ascending; then Overflow, Unknown, Missing."""
     state = select_text(value)["state"] if is_text else select_value(value)["state"]
     ms = text_to_ms(value, unit) if is_text else to_epoch_ms(value, unit)
-    sel = df.select(F.col(order).alias("_o"), F.inline(F.array(F.struct(state.alias("state"), ms.alias("ms")))))
+    sel = df.select(*_place(df, order), F.inline(F.array(F.struct(state.alias("state"), ms.alias("ms")))))
     return bucket_counts(sel, width_ms, max_buckets)
 
 
 def bucket_counts(sel: DataFrame, width_ms: int, max_buckets: int = 512) -> DataFrame:
-    """A4 over prepared columns _o, state, ms."""
+    """A4 over prepared columns _o (and _s, the source), state, ms."""
     start = bucket_start(F.col("ms"), width_ms)
     kind = F.when(F.col("state") != "value", F.col("state")).when(F.col("ms").isNull(), "unknown").otherwise("value")
-    groups = sel.select("_o", kind.alias("kind"), F.when(kind == "value", start).alias("start_ms")).groupBy("kind", "start_ms").agg(
-        F.count(F.lit(1)).alias("count"), F.min("_o").alias("first")
-    )
+    place = [c for c in ("_s", "_o") if c in sel.columns]
+    groups = _grouped(sel.select(*place, kind.alias("kind"), F.when(kind == "value", start).alias("start_ms")), "kind", "start_ms")
     kept = groups.filter(F.col("kind") == "value").orderBy("first", "start_ms").limit(max_buckets - 3).select("start_ms", F.lit(True).alias("kept"))
     folded = groups.join(F.broadcast(kept), "start_ms", "left")
     final = F.when((F.col("kind") == "value") & F.col("kept").isNull(), "overflow").when(F.col("kind") == "value", "time").otherwise(F.col("kind"))
@@ -172,8 +184,8 @@ def insights(events: DataFrame, width_ms: int = 300_000, max_groups: int = 32, m
     tagged.append(J.let(time, lambda t: F.struct(
         F.lit("time").alias("dimension"), F.when((t["state"] == "value") & t["start"].isNull(), "unknown").otherwise(t["state"]).alias("kind"),
         F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("label"), t["start"].alias("start_ms"))))
-    rows = events.select(F.col(order).alias("_o"), F.explode(F.array(*tagged)).alias("t")).select("_o", "t.*")
-    groups = rows.groupBy("dimension", "kind", "type", "label", "start_ms").agg(F.count(F.lit(1)).alias("count"), F.min("_o").alias("first"))
+    rows = events.select(*_place(events, order), F.explode(F.array(*tagged)).alias("t")).select("_s", "_o", "t.*")
+    groups = _grouped(rows, "dimension", "kind", "type", "label", "start_ms")
     w = Window.partitionBy("dimension").orderBy("first", "type", "label", "start_ms")
     cap = F.when(F.col("dimension") == "time", max_buckets - 3).otherwise(max_groups - 3)
     # row_number below a constant bound: Spark keeps only the leading rows of each partition before the shuffle.

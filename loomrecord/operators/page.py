@@ -79,9 +79,7 @@ def top_page(df: DataFrame, path: list, offset: int, limit: int, descending: boo
     order = [F.col("_is_missing").asc(), *[flip(F.col(f"_{n}")) for n in keys if n != "is_missing"], F.col("ordinal").asc()]
     winners = narrow.orderBy(*order).offset(offset).limit(limit)
     ranked = winners.select(*key, F.row_number().over(Window.orderBy(*order)).alias("position"))
-    # At most `limit` rows: a proven bound for the broadcast side.
-    side = F.broadcast(ranked) if limit <= 100_000 else ranked
-    return df.join(side, key).orderBy("position")
+    return df.join(ranked, key).orderBy("position")
 
 
 def resolve_sort(name: str | list) -> tuple[str, object]:
@@ -126,7 +124,8 @@ def running_bytes(df: DataFrame, size: str = "content_len", blocks: int = 1 << 1
 def within_bytes(df: DataFrame, max_bytes: int, size: str = "content_len") -> DataFrame:
     """Rows until the next one would exceed the limit; the first row is always kept."""
     run = running_bytes(df, size)
-    return run.filter((F.col("cumulative") <= max_bytes) | (F.col("cumulative") == F.col(size)))
+    first = df.groupBy("source_id").agg(F.min("ordinal").alias("_first"))
+    return run.join(first, "source_id").filter((F.col("cumulative") <= max_bytes) | (F.col("ordinal") == F.col("_first"))).drop("_first")
 
 
 def raw_page(df: DataFrame, start: int, limit: int, max_bytes: int) -> DataFrame:
@@ -167,13 +166,10 @@ def budget(df: DataFrame, max_records: int, max_bytes: int) -> DataFrame:
     )
 
 
-MAX_COLUMNS = 64  # cap on one projection
-
-
-def select_columns(df: DataFrame, specs: list[dict], key: tuple[str, ...] = ("source_id", "ordinal")) -> DataFrame:
-    """Cells for record paths, event fields or system columns; absent ones are empty."""
-    if len(specs) > MAX_COLUMNS:
-        raise ValueError(f"at most {MAX_COLUMNS} columns")
+def select_columns(df: DataFrame, specs: list[dict], key: tuple[str, ...] = ("source_id", "ordinal"), max_columns: int | None = None) -> DataFrame:
+    """Cells for record paths, event fields or system columns; absent ones are empty. `max_columns` refuses wider projections."""
+    if max_columns is not None and len(specs) > max_columns:
+        raise ValueError(f"at most {max_columns} columns")
     out = []
     for spec in specs:
         if "path" in spec:

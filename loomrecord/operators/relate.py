@@ -141,8 +141,9 @@ def lineage_keys(events: DataFrame) -> DataFrame:
     def key(idcol: str) -> Column:
         clean = F.when(F.col(idcol).rlike("^0+$") & span, None).otherwise(F.col(idcol))
         turn = F.when(span, F.lit("")).otherwise(F.coalesce("turn_id", F.lit("")))
-        # concat gives NULL when the session or the id is missing.
-        return F.concat(F.col("source_id"), F.lit("|"), F.col("profile_id"), F.lit("|"), F.col("session_id"), F.lit("|"), turn, F.lit("|"), clean)
+        # A JSON array keeps the parts apart, whatever characters they hold.
+        parts = F.to_json(F.array("source_id", "profile_id", "session_id", turn, clean))
+        return F.when(F.col("session_id").isNotNull() & clean.isNotNull(), parts)
     is_log = span & (F.col("event_kind") == "log")
     return events.select(
         *SCOPE, "ordinal", "event_kind", "session_id", "parent_id", "tool_call_id",

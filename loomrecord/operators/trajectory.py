@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 
-MAX_PARTS, MAX_CHARS = 8, 2048  # cap: part of what a projection shows
+# Words in type names of blocks that are media, whatever text they carry.
+MEDIA = "image|audio|video|file|base64"
 # Dataset slots and the role each one speaks for.
 SLOTS = {"system": "system", "instruction": "user", "prompt": "user", "question": "user", "input": "user", "output": "assistant", "response": "assistant",
          "completion": "assistant", "answer": "assistant", "chosen": "assistant", "rejected": "assistant", "text": "unknown"}
 
 
-def conversation_parts(value: Column) -> Column:
-    """ARRAY<STRUCT<role,label,text,path>> of a record's visible texts, in order.
+def _opaque(x: str) -> str:
+    """Hidden, encrypted (even if empty) and media items show no text."""
+    hidden = J.get_sql(x, "hidden")
+    return (f"(schema_of_variant({x}) LIKE 'OBJECT%' AND (coalesce(schema_of_variant({hidden}) = 'BOOLEAN' AND try_variant_get({x}, '$.hidden', 'boolean'), false) "
+            f"OR {J.get_sql(x, 'encrypted')} IS NOT NULL OR coalesce(lower({J.string_sql(x, 'type')}) rlike '{MEDIA}', false)))")
+
+
+def conversation_parts(value: Column, max_parts: int | None = None, max_chars: int | None = None) -> Column:
+    """STRUCT<parts ARRAY<STRUCT<role,label,text,path>>, truncated> of a record's visible texts, in order.
 
     Message lists, a nested or enveloped message with text or blocks, then dataset
-    slots. Reasoning blocks are labelled; media and encrypted blocks carry no text.
+    slots. Reasoning blocks are labelled; hidden, encrypted and media items carry no
+    text and count as truncation. `max_chars` is one budget that the parts share in
+    order, `max_parts` their number; by default all of a record is shown.
     """
     table = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in J.ROLE_NAMES.items()) + ")"
     def parts(message: str, path: str, x: str) -> str:
@@ -26,16 +36,26 @@ def conversation_parts(value: Column) -> Column:
         kind = J.string_sql(x, "type")
         label = f"if({kind} IN ('thinking', 'think', 'reasoning'), 'reasoning', 'text')"
         text = J.coalesce_sql(*[J.string_sql(x, k) for k in ("text", "thinking", "think", "content")])
-        blocks = f"transform(try_variant_get({content}, '$', 'array<variant>'), ({x}, i{x}) -> named_struct('role', {role}, 'label', {label}, 'text', if(schema_of_variant({x}) = 'STRING', try_variant_get({x}, '$', 'string'), {text}), 'path', concat({path}, '[', i{x}, ']')))"
+        blocks = (f"transform(try_variant_get({content}, '$', 'array<variant>'), ({x}, i{x}) -> named_struct('role', {role}, 'label', if({_opaque(x)}, 'opaque', {label}), "
+                  f"'text', CASE WHEN {_opaque(x)} THEN null WHEN schema_of_variant({x}) = 'STRING' THEN try_variant_get({x}, '$', 'string') ELSE {text} END, 'path', concat({path}, '[', i{x}, ']')))")
         one = f"array(named_struct('role', {role}, 'label', 'text', 'text', {J.string_sql(content)}, 'path', {path}))"
-        return f"if(schema_of_variant({content}) = 'STRING', {one}, coalesce({blocks}, array()))"
+        none = f"array(named_struct('role', {role}, 'label', 'opaque', 'text', cast(null AS string), 'path', {path}))"
+        return f"CASE WHEN {_opaque(message)} THEN {none} WHEN schema_of_variant({content}) = 'STRING' THEN {one} ELSE coalesce({blocks}, array()) END"
     lists = ", ".join(f"flatten(transform(coalesce(try_variant_get(v, '$.{f}', 'array<variant>'), array()), (m, k) -> {parts('m', f'''concat('$.{f}[', k, ']')''', 'b')}))" for f in ("messages", "conversations", "chosen_messages", "rejected_messages"))
     nested = ", ".join(f"if(schema_of_variant({J.get_sql('v', k)}) LIKE 'OBJECT%', {parts(J.get_sql('v', k), f'''concat('$.{k}')''', 'c')}, array())" for k in ("message", "payload"))
     own = parts("v", "concat('$.content')", "d")
     slots = ", ".join(f"array(named_struct('role', '{r}', 'label', '{k}', 'text', {J.string_sql('v', k)}, 'path', concat('$.{k}')))" for k, r in SLOTS.items() if k != "text")
-    every = f"filter(concat({lists}, {nested}, {own}, {slots}), p -> p.text IS NOT NULL)"
-    cut = f"transform(slice({every}, 1, {MAX_PARTS}), p -> named_struct('role', p.role, 'label', p.label, 'text', substring(p.text, 1, {MAX_CHARS}), 'path', p.path))"
-    return J.let_sql(value, J.bind_sql(every, "a", f"named_struct('parts', {cut.replace(every, 'a')}, 'truncated', size(a) > {MAX_PARTS} OR exists(a, p -> length(p.text) > {MAX_CHARS}))"))
+    every = f"filter(concat({lists}, {nested}, {own}, {slots}), p -> p.label = 'opaque' OR p.text IS NOT NULL)"
+    shown = "filter(a, p -> p.label != 'opaque')"
+    if max_parts is not None:
+        shown = f"slice({shown}, 1, {max_parts})"
+    if max_chars is not None:
+        fits = "named_struct('role', p.role, 'label', p.label, 'text', substring(p.text, 1, s.rest), 'path', p.path)"
+        shown = (f"filter(aggregate({shown}, named_struct('rest', {max_chars}, 'out', filter(a, p -> false)), (s, p) -> named_struct('rest', greatest(0, s.rest - length(p.text)), "
+                 f"'out', concat(s.out, array({fits}))), s -> s.out), p -> length(p.text) > 0)")
+    total = "aggregate(a, 0, (n, p) -> n + coalesce(length(p.text), 0))"
+    over = ["exists(a, p -> p.label = 'opaque')", *([f"size(filter(a, p -> p.label != 'opaque')) > {max_parts}"] if max_parts is not None else []), *([f"{total} > {max_chars}"] if max_chars is not None else [])]
+    return J.let_sql(value, J.bind_sql(every, "a", f"named_struct('parts', {shown}, 'truncated', {' OR '.join(over)})"))
 
 
 def has_error(profile: Column, value: Column) -> Column:

@@ -48,9 +48,13 @@ def c01(spark, sf):
     return C.sessions(agent_events(spark, sf)).select("native_id", "started_ms", "activity_ms", "records", "first_ordinal", F.col("preview").isNotNull().alias("has_preview"))
 
 
-@query("c02_entity_kind", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'subagent' WHEN 1 THEN 'agent' WHEN 2 THEN 'session' WHEN 3 THEN 'project' ELSE 'other' END AS kind FROM part")
+@query("c02_entity_kind", """SELECT p_partkey, list_extract(['session', 'thread', 'other', 'subagent', 'subagent', 'workflow', 'team', 'tool', 'tool', 'goal', 'plan', 'memory', 'task', 'event', 'event', 'event', 'session', 'other', 'subagent', 'other'],
+  CAST(p_partkey % 20 AS INT) + 1) AS kind FROM part""")
 def c02(spark, sf):
-    name = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'MySubAgent' WHEN 1 THEN 'AgentRun' WHEN 2 THEN 'chat_thread' WHEN 3 THEN 'Project' ELSE p_type END")
+    """Expected kinds are written out by hand, mixed names and unknown ones among them."""
+    names = ["ChatSession", "chat_thread", "fork", "MySubAgent", "AgentRun", "workflow", "Team", "ToolUse", "function_call", "goal", "PLAN", "memory", "task", "event", "message", "response",
+             "agent session", "fork of an agent", "team agent", "workspace"]
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 20 + 1).cast("int"))
     return table(spark, sf, "part").select("p_partkey", C.entity_kind(name).alias("kind"))
 
 
@@ -114,9 +118,10 @@ LOG = """li AS (SELECT l_orderkey, l_linenumber, unnest(min_by({'s': l_suppkey,
   lg AS (SELECT l_orderkey * 10 + l_linenumber AS revision, 'q' || (l_orderkey * 4 + l_linenumber // 2) AS request_id, list_extract(['create', 'rename', 'add', 'add', 'remove', 'alias', 'archive', 'restore', 'delete'], CAST(q AS INT) % 9 + 1) AS op,
     'k' || (s % 50) AS cid, 'e' || (p % 200) AS eid, 't' || p AS text FROM li),
   once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY revision) AS rn FROM lg) WHERE rn = 1),
-  col AS (SELECT cid, arg_max(op, revision) AS op, arg_max(text, revision) AS name FROM once WHERE op IN ('create', 'rename', 'delete') GROUP BY 1), live AS (SELECT * FROM col WHERE op <> 'delete'),
   del AS (SELECT cid, max(revision) AS d FROM once WHERE op = 'delete' GROUP BY 1),
-  mem AS (SELECT m.cid, m.eid FROM (SELECT cid, eid, arg_max(op, revision) AS op, max(revision) AS r FROM once WHERE op IN ('add', 'remove') GROUP BY 1, 2) m LEFT JOIN del USING (cid) JOIN live USING (cid) WHERE m.op = 'add' AND (d IS NULL OR r > d))"""
+  cre AS (SELECT o.cid, min(o.revision) AS c FROM once o LEFT JOIN del USING (cid) WHERE o.op = 'create' AND (d IS NULL OR o.revision > d) GROUP BY 1),
+  live AS (SELECT o.cid, arg_max(o.text, o.revision) AS name FROM once o JOIN cre USING (cid) WHERE (o.op = 'create' AND o.revision = c) OR (o.op = 'rename' AND o.revision > c) GROUP BY 1),
+  mem AS (SELECT cid, eid FROM (SELECT o.cid, o.eid, arg_max(o.op, o.revision) AS op FROM once o JOIN cre USING (cid) WHERE o.op IN ('add', 'remove') AND o.revision > c GROUP BY 1, 2) WHERE op = 'add')"""
 
 
 @query("c09_collections", f"WITH {LOG} SELECT cid AS collection_id, name, (SELECT count(*) FROM mem WHERE mem.cid = live.cid) AS entries FROM live")
@@ -225,9 +230,12 @@ def r22(spark, sf):
     return C.checked_rows(rows).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w04_children_page", f"WITH {ENT} SELECT native_id, label FROM ent WHERE parent = 'n3' AND lower(label) > 'customer#000000100' ORDER BY lower(label), native_id LIMIT 20")
+@query("w04_children_page", f"WITH {ENT} SELECT native_id, label, false AS has_more FROM (SELECT *, row_number() OVER (ORDER BY COALESCE(activity_ms, started_ms) DESC, native_id) AS n FROM ent WHERE parent = 'n3') WHERE n > 7 AND n <= 100000")
 def w04(spark, sf):
-    return C.children_page(entities(spark, sf), F.col("parent_native_id") == "n3", "title", 20, ("customer#000000100", "")).select("native_id", "label")
+    """All after the first page of seven; a quarter of the children have no activity and fall back to their start."""
+    e, mine = entities(spark, sf), F.col("parent_native_id") == "n3"
+    last = C.children_page(e, mine, "activity", 7).orderBy("sort_value", F.col("native_id").desc()).first()
+    return C.children_page(e, mine, "activity", 100_000, (last["sort_value"], last["native_id"])).select("native_id", "label", "has_more")
 
 
 @query("w05_has_children", f"WITH {ENT} SELECT native_id FROM ent WHERE native_id IN (SELECT parent FROM ent)")
@@ -235,12 +243,12 @@ def w05(spark, sf):
     return C.with_children(entities(spark, sf)).select("native_id")
 
 
-@query("j16_user_preview", "SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 240) END AS preview FROM conversations")
+@query("j16_user_preview", "SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN substr(trim(regexp_replace(CASE WHEN turn % 3 = 1 THEN 'Caveat: ' ELSE '' END || text, '\\s+', ' ', 'g')), 1, 240) END AS preview FROM conversations")
 def j16(spark, sf):
-    t = F.expr("if(turn % 3 = 0, '<system-reminder> ' || text, text)")
+    t = F.expr("CASE turn % 3 WHEN 0 THEN '\\n <permissions instructions> ' || text WHEN 1 THEN 'Caveat: ' || text ELSE text END")
     return table(spark, sf, "conversations").select("conv_id", "turn", C.user_preview(t).alias("preview"))
 
 
-@query("j28_normalize_id", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'page-' || page_id ELSE 'id-' || substr(sha256(url), 1, 24) END AS id FROM pages")
+@query("j28_normalize_id", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '_page-' || repeat('0', 200) || page_id ELSE 'id-' || substr(sha256(url), 1, 32) END AS id FROM pages")
 def j28(spark, sf):
-    return table(spark, sf, "pages").select("page_id", C.normalize_id(F.expr("if(page_id % 2 = 0, 'page-' || page_id, url)")).alias("id"))
+    return table(spark, sf, "pages").select("page_id", C.normalize_id(F.expr("if(page_id % 2 = 0, '_page-' || repeat('0', 200) || page_id, url)")).alias("id"))

@@ -364,9 +364,12 @@ def o08(spark, sf):
     return P.budget(sized(spark, sf), 100_000, 200_000)
 
 
-@query("o09_within_bytes", """SELECT doc_id AS ordinal, CAST(c AS BIGINT) AS cumulative FROM (SELECT doc_id, sum(octet_length(encode(text))) OVER (ORDER BY doc_id) AS c FROM documents) WHERE c <= 300000""")
+@query("o09_within_bytes", """WITH s AS (SELECT doc_id, CASE WHEN doc_id < 2 THEN 0 WHEN doc_id = 2 THEN 400000 ELSE octet_length(encode(text)) END AS n, doc_id % 2 AS source FROM documents),
+  r AS (SELECT source, doc_id, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS c FROM s) SELECT source, doc_id AS ordinal, CAST(c AS BIGINT) AS cumulative FROM r WHERE c <= 300000""")
 def o09(spark, sf):
-    return P.within_bytes(sized(spark, sf), 300_000).select("ordinal", "cumulative")
+    """Two sources that begin with an empty row; in one the next row alone is over the limit and ends the page."""
+    df = sized(spark, sf).withColumn("content_len", F.expr("CASE WHEN ordinal < 2 THEN 0 WHEN ordinal = 2 THEN 400000 ELSE content_len END")).withColumn("source_id", (F.col("ordinal") % 2).cast("string"))
+    return P.within_bytes(df, 300_000).select(F.col("source_id").cast("bigint").alias("source"), "ordinal", "cumulative")
 
 
 @query("w03_running_bytes", """SELECT doc_id AS ordinal, CAST(sum(octet_length(encode(text))) OVER (ORDER BY doc_id) AS BIGINT) AS cumulative FROM documents""")

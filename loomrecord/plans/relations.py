@@ -194,17 +194,18 @@ def r14(spark, sf):
     return bad.groupBy("code").agg(F.count(F.lit(1)).alias("n")).unionByName(kept.agg(F.lit("kept").alias("code"), F.count(F.lit(1)).alias("n")))
 
 
-@query("r15_cycles", """WITH e AS (SELECT DISTINCT CASE WHEN turn % 2 = 0 THEN conv_id * 10 + turn ELSE conv_id * 10 + turn - 1 END AS src, CASE WHEN turn % 2 = 0 THEN conv_id * 10 + turn + 1 ELSE conv_id * 10 + turn - 1 END AS dst FROM conversations)
-  SELECT src, dst FROM e WHERE src = dst""")
+@query("r15_cycles", """WITH n AS (SELECT conv_id, max(turn) AS m FROM conversations WHERE conv_id % 3 = 0 GROUP BY 1)
+  SELECT conv_id * 10 + turn - 1 AS src, conv_id * 10 + turn AS dst FROM conversations WHERE turn > 0 AND conv_id % 3 = 0 UNION SELECT conv_id * 10 + m, conv_id * 10 FROM n""")
 def r15(spark, sf):
-    t = F.expr("conv_id * 10 + turn")
-    even = F.col("turn") % 2 == 0
-    edges = table(spark, sf, "conversations").select(F.when(even, t).otherwise(t - 1).alias("src"), F.when(even, t + 1).otherwise(t - 1).alias("dst"))
-    return G.cycles(edges)
+    """Turns in a row; in every third conversation the last leads back to the first, elsewhere the chain just ends."""
+    c = table(spark, sf, "conversations")
+    chain = c.filter("turn > 0").select(F.expr("conv_id * 10 + turn - 1").alias("src"), F.expr("conv_id * 10 + turn").alias("dst"))
+    back = c.filter("conv_id % 3 = 0").groupBy("conv_id").agg(F.max("turn").alias("m")).select(F.expr("conv_id * 10 + m").alias("src"), F.expr("conv_id * 10").alias("dst"))
+    return G.cycles(chain.unionByName(back))
 
 
-@query("w06_closure", """WITH RECURSIVE w AS (SELECT conv_id * 10 AS node, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id * 10 + c.turn, w.depth + 1 FROM w JOIN conversations c ON c.conv_id * 10 + c.turn - 1 = w.node AND c.turn > 0 WHERE w.depth < 4) SELECT node, depth FROM w""")
+@query("w06_closure", """WITH RECURSIVE w AS (SELECT conv_id * 10 AS node, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id * 10 + c.turn, w.depth + 1 FROM w JOIN conversations c ON c.conv_id * 10 + c.turn - 1 = w.node AND c.turn > 0) SELECT node, depth FROM w""")
 def w06(spark, sf):
     c = table(spark, sf, "conversations").select(F.expr("conv_id * 10 + turn").alias("dst"), "turn")
     edges = c.filter("turn > 0").select((F.col("dst") - 1).alias("src"), "dst")
-    return G.depth_limited(edges, c.filter("turn = 0").select(F.col("dst").alias("node")), 4)
+    return G.closure(edges, c.filter("turn = 0").select(F.col("dst").alias("node")))
