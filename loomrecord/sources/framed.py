@@ -11,6 +11,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
@@ -50,66 +51,101 @@ class ByteRange(InputPartition):
     need_end: bool = False
 
 
-def lines(fs, part: ByteRange):
-    """(byte_start, content, delim_len) of the lines that start inside the range."""
+def blocks(fs, part: ByteRange):
+    """(byte_start, bytes) of whole lines, read in chunks, that start inside the range.
+
+    Only new bytes are searched, and a chunk without a line end doubles the next read,
+    so a line of any length costs time in proportion to it.
+    """
     with fs.open_input_file(part.source) as f:
-        size = f.size()
-        pos = part.start
-        if pos > 0:
+        at = part.start
+        if at > 0:
             # Not at a line start unless the byte before is LF: skip to the first one.
-            f.seek(pos - 1)
-            pos -= 1
+            at -= 1
+            f.seek(at)
             while True:
                 buf = f.read(CHUNK)
                 if not buf:
                     return
                 hit = buf.find(b"\n")
                 if hit >= 0:
-                    pos += hit + 1
+                    at += hit + 1
                     break
-                pos += len(buf)
-        f.seek(pos)
-        rest, at = b"", pos
+                at += len(buf)
+        f.seek(at)
+        rest, want = b"", CHUNK
         while at < part.end:
-            buf = f.read(CHUNK)
+            buf = f.read(want)
             if not buf:
                 if rest and not part.need_end:
-                    yield at, rest, 0
+                    yield at, rest
                 return
-            rest += buf
-            begin = 0
-            while at < part.end:
-                hit = rest.find(b"\n", begin)
-                if hit < 0:
-                    break
-                cr = hit > begin and rest[hit - 1] == 13
-                yield at, rest[begin:hit - 1 if cr else hit], 2 if cr else 1
-                at += hit + 1 - begin
-                begin = hit + 1
-            rest = rest[begin:]
-        del size
+            data, known = rest + buf, len(rest)
+            last = data.rfind(b"\n", known)
+            if last < 0:
+                rest, want = data, 2 * want
+                continue
+            room = part.end - at
+            if last >= room:  # the last line that starts in the range ends at the first LF from its last byte on
+                stop = data.find(b"\n", room - 1)
+                yield at, data[:stop + 1]
+                return
+            yield at, data[:last + 1]
+            at, rest, want = at + last + 1, data[last + 1:], CHUNK
+
+
+def count_lines(fs, part: ByteRange) -> int:
+    """Lines that start inside the range: one at the file's start, one behind every LF that lies one byte earlier."""
+    with fs.open_input_file(part.source) as f:
+        found, left = int(part.start == 0 and f.size() > 0), part.end - 1 - max(0, part.start - 1)
+        f.seek(max(0, part.start - 1))
+        while left > 0 and (buf := f.read(min(CHUNK, left))):
+            found += buf.count(b"\n")
+            left -= len(buf)
+    return found
+
+
+def line_columns(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Starts, content lengths, delimiter lengths and contents of a block's lines, from the places of its LFs."""
+    data = np.frombuffer(block, np.uint8)
+    lf = np.flatnonzero(data == 10)
+    whole = len(lf) > 0 and lf[-1] == len(data) - 1
+    starts = np.r_[0, lf + 1][:len(lf) + (not whole)]
+    ends = lf if whole else np.r_[lf, len(data)]
+    delim = np.ones(len(ends), np.int32)
+    if not whole:
+        delim[-1] = 0
+    cr = (ends > starts) & (delim > 0) & (data[ends - 1] == 13)
+    delim += cr.astype(np.int32)
+    keep = np.ones(len(data), bool)
+    keep[lf] = False
+    keep[ends[cr] - 1] = False
+    length = ends - cr - starts
+    offsets = np.zeros(len(length) + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    return starts, length, delim, pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data[keep])])
+
+
+def lines(fs, part: ByteRange):
+    """(byte_start, content, delim_len) of the lines that start inside the range."""
+    for at, block in blocks(fs, part):
+        starts, _, delim, contents = line_columns(block)
+        yield from zip((at + starts).tolist(), contents.to_pylist(), delim.tolist())
 
 
 def batches(part: ByteRange):
     fs, _ = open_path(part.source)
-    rows: list[tuple] = []
-
-    def flush():
-        starts, contents, delims, firsts = zip(*rows)
-        n = len(rows)
-        lens = [len(c) for c in contents]
-        return pa.RecordBatch.from_arrays([
-            pa.array([part.source] * n, pa.string()), pa.array([part.generation] * n, pa.string()), pa.array(firsts, pa.int64()), pa.array(starts, pa.int64()),
-            pa.array([s + k for s, k in zip(starts, lens)], pa.int64()), pa.array(lens, pa.int64()), pa.array(delims, pa.int32()), pa.array(contents, pa.binary()),
+    first = part.base
+    for at, block in blocks(fs, part):
+        starts, length, delim, contents = line_columns(block)
+        n = len(starts)
+        batch = pa.RecordBatch.from_arrays([
+            pa.array([part.source] * n, pa.string()), pa.array([part.generation] * n, pa.string()), pa.array(np.arange(first, first + n)), pa.array(at + starts),
+            pa.array(at + starts + length), pa.array(length), pa.array(delim), contents,
         ], schema=ARROW)
-
-    for i, (at, content, delim) in enumerate(lines(fs, part)):
-        rows.append((at, content, delim, part.base + i))
-        if len(rows) >= BATCH_ROWS:
-            yield flush()
-            rows.clear()
-    if rows:
-        yield flush()
+        first += n
+        for i in range(0, n, BATCH_ROWS):
+            yield batch.slice(i, BATCH_ROWS)
 
 
 def generation_of(size: int, mtime: int) -> str:
@@ -142,7 +178,7 @@ class FramedReader(DataSourceReader):
             return
         if self.mode == "count":
             fs, _ = open_path(partition.source)
-            yield (partition.source, partition.start, sum(1 for _ in lines(fs, partition)))
+            yield (partition.source, partition.start, count_lines(fs, partition))
         else:
             yield from batches(partition)
 

@@ -72,3 +72,45 @@ def test_follow_waits_for_the_end_of_a_line(spark, tmp_path):
         q.awaitTermination()
         assert len(got) == want
     assert sorted(got) == [b"1", b"2", b"33", b"4"]
+
+
+def test_lines_and_counts_at_random_splits(tmp_path, monkeypatch):
+    import random
+
+    from pyarrow import fs as pafs
+
+    from loomrecord.sources import framed
+
+    rnd = random.Random(9)
+    monkeypatch.setattr(framed, "CHUNK", 5)
+    local = pafs.LocalFileSystem()
+    for i in range(300):
+        data = bytes(rnd.choices(b"a\r\n", weights=[rnd.choice((1, 20)), 1, 1], k=rnd.randrange(60)))
+        path = tmp_path / f"f{i}"
+        path.write_bytes(data)
+        want, at = [], 0
+        for x in data.split(b"\n"):
+            end = at + len(x) < len(data)
+            cr = end and x.endswith(b"\r")
+            if x or end:
+                want.append((at, x[:-1] if cr else x, int(end) + int(cr)))
+            at += len(x) + 1
+        step = rnd.randrange(1, 40)
+        parts = [framed.ByteRange(str(path), "g", s, min(s + step, len(data))) for s in range(0, len(data), step)]
+        got = [list(framed.lines(local, p)) for p in parts]
+        assert [x for g in got for x in g] == want
+        assert [framed.count_lines(local, p) for p in parts] == [len(g) for g in got]
+
+
+def test_one_very_long_line(tmp_path):
+    import time
+
+    from pyarrow import fs as pafs
+
+    from loomrecord.sources import framed
+
+    path = tmp_path / "long"
+    path.write_bytes(b"x" * (64 << 20) + b"\nend\n")
+    began = time.time()
+    got = [(at, len(content), delim) for at, content, delim in framed.lines(pafs.LocalFileSystem(), framed.ByteRange(str(path), "g", 0, 64 << 20))]
+    assert got == [(0, 64 << 20, 1)] and time.time() - began < 20
