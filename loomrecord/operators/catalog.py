@@ -160,12 +160,30 @@ def relation_inputs(rows: DataFrame, entities: DataFrame) -> DataFrame:
     return out.join(ids.withColumnRenamed("native_id", "to_id"), ["source_id", "to_id"], "left_semi").select("source_id", "from_id", "to_id", "kind").distinct()
 
 
+# Entity types an input row may have.
+INPUT_TYPES = ["session", "thread", "turn", "workflow", "team", "tool", "goal", "plan", "memory", "task", "subagent", "event"]
+CONTROL = r"[\x00-\x1f\x7f]"
+
+
 def checked_rows(rows: DataFrame) -> DataFrame:
-    """A reject code per row of (id, label, type, time_ms), NULL when accepted."""
+    """A reject code per row of (type, id, label, parent_id, updated_at, status, confidence), NULL when accepted.
+
+    The first fault counts, in this order; a missing type counts as a missing id, and
+    absent optional fields are fine.
+    """
+    def bad(name: str, most: int, extra: str | None = None) -> Column:
+        c = F.col(name)
+        fault = (F.length(c) > most) | c.rlike(CONTROL)
+        return c.isNotNull() & (fault | c.rlike(extra) if extra else fault)
+    safe_id = r"^[A-Za-z0-9._:-]{1,256}\z"
     code = (
-        F.when(F.col("id").isNull() | (F.trim("id") == ""), "missing-id").when(F.length("id") > 256, "id-too-long")
-        .when(F.col("label").isNull() | (F.trim("label") == ""), "missing-label").when(F.col("type").isNull(), "missing-type")
-        .when(F.col("time_ms").isNull() | (F.col("time_ms") < 0), "invalid-time"))
+        F.when(F.col("type").isNull(), "missing_id").when(~F.col("type").isin(INPUT_TYPES), "unsupported_type")
+        .when(F.col("id").isNull() | (F.col("id") == ""), "missing_id").when(~F.col("id").rlike(safe_id), "invalid_id")
+        .when((F.col("label") == "") | bad("label", 256, r"^(?:[A-Za-z]:[\\/]|[\\/]{1,2}|file://)"), "invalid_label")
+        .when(F.col("parent_id").isNotNull() & ~F.col("parent_id").rlike(safe_id), "invalid_parent")
+        .when((F.col("updated_at") == "") | bad("updated_at", 64), "invalid_timestamp")
+        .when(bad("status", 128), "invalid_status")
+        .when(F.col("confidence").isNotNull() & ~F.col("confidence").isin("source", "correlated", "inferred"), "invalid_confidence"))
     return rows.withColumn("reject", code)
 
 

@@ -223,11 +223,18 @@ def r21(spark, sf):
     return C.relation_inputs(rows, entities(spark, sf)).select("from_id", "to_id", "kind")
 
 
-@query("r22_checked_rows", "SELECT CASE c_custkey % 6 WHEN 0 THEN 'missing-id' WHEN 1 THEN 'missing-label' WHEN 2 THEN 'missing-type' WHEN 3 THEN 'invalid-time' END AS reject, count(*) AS n FROM customer GROUP BY 1")
+@query("r22_checked_rows", """SELECT c_custkey, list_extract([NULL, 'missing_id', 'unsupported_type', 'missing_id', 'invalid_id', 'invalid_label', 'invalid_label', 'invalid_parent', 'invalid_timestamp', 'invalid_status', 'invalid_confidence', NULL],
+  CAST(c_custkey % 12 AS INT) + 1) AS reject FROM customer""")
 def r22(spark, sf):
-    rows = table(spark, sf, "customer").select(F.expr("if(c_custkey % 6 = 0, ' ', c_name)").alias("id"), F.expr("if(c_custkey % 6 = 1, null, c_name)").alias("label"), F.expr("if(c_custkey % 6 = 2, null, c_mktsegment)").alias("type"),
-                                               F.expr("if(c_custkey % 6 = 3, -1, c_custkey)").alias("time_ms"))
-    return C.checked_rows(rows).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
+    """One fault in each row, in a turn of twelve; expected codes are written out by hand."""
+    k = F.col("c_custkey") % 12
+    def pick(fault: int, wrong, right) -> F.Column:
+        return F.when(k == fault, F.lit(wrong)).otherwise(right)
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", pick(1, None, pick(2, "spaceship", F.lit("session"))).alias("type"), pick(3, "", pick(4, "a b", F.concat(F.lit("c"), F.col("c_custkey").cast("string")))).alias("id"),
+        pick(5, "C:\\x", pick(6, "a\nb", pick(11, None, F.col("c_name")))).alias("label"), pick(7, "no/slash", F.lit(None).cast("string")).alias("parent_id"), pick(8, "", F.lit("2025-01-01")).alias("updated_at"),
+        pick(9, "s" * 129, F.lit("open")).alias("status"), pick(10, "sure", F.lit("inferred")).alias("confidence"))
+    return C.checked_rows(rows).select("c_custkey", "reject")
 
 
 @query("w04_children_page", f"WITH {ENT} SELECT native_id, label, false AS has_more FROM (SELECT *, row_number() OVER (ORDER BY COALESCE(activity_ms, started_ms) DESC, native_id) AS n FROM ent WHERE parent = 'n3') WHERE n > 7 AND n <= 100000")

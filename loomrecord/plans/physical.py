@@ -91,11 +91,13 @@ def s08(spark, sf):
     return P.raw_page(d, 20, 10_000, 60_000).select("ordinal", "next_ordinal", "reason")
 
 
-@query("s09_source_surface", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'codex-rollout' WHEN 1 THEN 'claude-transcript' WHEN 3 THEN 'codex-rollout' WHEN 4 THEN 'codex-rollout' END AS kind,
-  CASE page_id % 6 WHEN 0 THEN 'strong' WHEN 1 THEN 'strong' WHEN 3 THEN 'weak' WHEN 4 THEN 'weak' END AS strength FROM pages""")
+@query("s09_source_surface", """SELECT page_id, list_extract(['codex-rollout', 'codex-rollout', NULL, 'codex-rollout', 'codex-rollout', NULL, NULL, 'codex-history', 'claude-job-timeline', NULL, 'codex-trace', 'codex-compressed-rollout', 'codex-tui-session-log', 'codex-tui-session-log', 'codex-session-index', NULL], i) AS kind,
+  list_extract(['strong', 'strong', NULL, 'weak', 'weak', NULL, NULL, 'strong', 'strong', NULL, 'weak', 'weak', 'strong', 'weak', 'weak', NULL], i) AS strength FROM (SELECT page_id, CAST(page_id % 16 AS INT) + 1 AS i FROM pages)""")
 def s09(spark, sf):
-    path = F.expr("""CASE page_id % 6 WHEN 0 THEN '/h/.codex/sessions/2025/rollout-' || page_id || '.jsonl' WHEN 1 THEN 'C:\\\\h\\\\.claude\\\\projects\\\\p\\\\' || page_id || '.jsonl' WHEN 2 THEN '/x/history.jsonl'
-      WHEN 3 THEN '/copy/Rollout-' || page_id || '.jsonl' WHEN 4 THEN '/x/sessions/a.jsonl' ELSE url END""")
+    """Expected kinds and strengths are written out by hand."""
+    paths = ["/h/sessions/2025/01/31/rollout-x.jsonl", "C:\\h\\archived_sessions\\Rollout-x.jsonl", "/x/history.jsonl", "/copy/Rollout-x.jsonl", "/x/sessions/a.jsonl", "/h/.claude/projects/p/x.jsonl", "/h/.claude/history.jsonl",
+             "/h/.codex/history.jsonl", ".claude/jobs/j/timeline.jsonl", "/x/timeline.jsonl", "/x/trace.jsonl", "/h/sessions/rollout-x.jsonl.zst", "/h/.codex/log/session-20250131T010203Z.jsonl", "/x/session-7.jsonl", "/x/session_index.jsonl", "/x/y.jsonl"]
+    path = F.element_at(F.array(*[F.lit(p) for p in paths]), (F.col("page_id") % 16 + 1).cast("int"))
     return table(spark, sf, "pages").select("page_id", S.source_surface(path).alias("s")).select("page_id", "s.kind", "s.strength")
 
 

@@ -111,16 +111,22 @@ def detection_sample(records: DataFrame, edge: int = 32, window: int = 8) -> Dat
 
 # Path shapes of known producers; the strong ones identify, the names only hint.
 STRONG_PATHS = [
-    (r"(^|/)\.codex/sessions/.*rollout-.*\.jsonl$", "codex-rollout"), (r"(^|/)\.codex/archived_sessions/.*rollout-.*\.jsonl$", "codex-rollout"),
-    (r"(^|/)\.codex/history\.jsonl$", "codex-history"), (r"(^|/)\.codex/session_index\.jsonl$", "codex-session-index"),
-    (r"(^|/)\.claude/projects/.*\.jsonl$", "claude-transcript"), (r"(^|/)\.claude/history\.jsonl$", "claude-history"),
-    (r"(^|/)\.claude/jobs/.*timeline\.jsonl$", "claude-job-timeline"),
+    (r"(^|/)\.codex/history\.jsonl$", "codex-history"),
+    (r"(^|/)\.codex/session_index\.jsonl$", "codex-session-index"),
+    (r"(^|/)\.claude/jobs/[^/]+/timeline\.jsonl$", "claude-job-timeline"),
+    (r"(^|/)sessions/\d{4}/\d{2}/\d{2}/rollout-[^/]+\.jsonl$", "codex-rollout"),
+    (r"(^|/)archived_sessions/rollout-[^/]+\.jsonl$", "codex-rollout"),
+    (r"(^|/)\.codex/log/session-\d{8}t\d{6}z\.jsonl$", "codex-tui-session-log"),
+]
+# history.jsonl belongs to two producers and so hints at neither.
+WEAK_NAMES = [
+    (r"^session_index\.jsonl$", "codex-session-index"), (r"^rollout-.*\.jsonl$", "codex-rollout"), (r"^trace\.jsonl$", "codex-trace"), (r"^session-.*\.jsonl$", "codex-tui-session-log"),
+    (r"\.jsonl\.zst$", "codex-compressed-rollout"),
 ]
-WEAK_NAMES = [(r"^rollout-.*\.jsonl$", "codex-rollout"), (r"^session_index\.jsonl$", "codex-session-index"), (r"^timeline\.jsonl$", "claude-job-timeline")]
 
 
 def source_surface(path: Column) -> Column:
-    """struct(kind, strength) of a path; an ambiguous base name is no hint."""
+    """struct(kind, strength) of a path; without a name that hints, a sessions folder does."""
     norm = F.lower(F.regexp_replace(path, r"\\", "/"))
     base = F.substring_index(norm, "/", -1)
     strong = F.coalesce(*[F.when(norm.rlike(p), F.lit(k)) for p, k in STRONG_PATHS])
