@@ -115,21 +115,24 @@ def confident_patterns(tokens: DataFrame, rounds: int = 3, least_seeds: int = 3,
     return scores.where(F.col("score") >= confidence)
 
 
-def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3, least_seeds: int = 3, confidence: float = 0.8, key: str = "doc_id") -> DataFrame:
     """All columns of docs and a struct `pii`: email, ip, card, phone (base spans) and id (spans the contexts add).
 
     Spans hold start, end (code points, end exclusive) and value, in order of start.
-    Added spans never overlap base ones. Null and empty texts have no spans. Repeated
-    rows are searched each by itself and count once as evidence. A column named pii is
-    replaced; extra columns pass through.
+    Added spans never overlap base ones. Null and empty texts have no spans. Rows equal
+    in key and text get the same spans; copies count once as evidence. A column named pii
+    is replaced; extra columns pass through. Only the tokens are written between the two
+    passes over the texts, never the texts.
     """
-    table = written(base_spans(docs.drop("pii"), text).withColumn("__row", F.monotonically_increasing_id()), "spans")
-    tokens = table.where(F.size("__tokens") > 0).select("__row", F.inline("__tokens"))
+    docs = docs.drop("pii")
+    place = [F.col(key).alias("__key"), F.xxhash64(text).alias("__tag")]
+    tokens = written(base_spans(docs.select(key, text), text).where(F.size("__tokens") > 0).select(*place, F.inline("__tokens")), "tokens")
     good = confident_patterns(tokens, rounds, least_seeds, confidence).select("pattern")
-    added = tokens.where(~F.col("seed")).join(good, "pattern").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("__id"))
-    joined = table.join(added.withColumnRenamed("__row", "__at"), F.col("__row") == F.col("__at"), "left")
+    added = tokens.where(~F.col("seed")).join(good, "pattern").groupBy("__key", "__tag").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("__id"))
+    found = base_spans(docs, text, tokens=False).withColumn("__mark", F.xxhash64(text))
+    joined = found.join(added, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__mark") == F.col("__tag")), "left")
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return joined.select(*[c for c in docs.columns if c != "pii"], F.struct(*[F.col(f"__base.{k}").alias(k) for k in KINDS], F.coalesce("__id", empty).alias("id")).alias("pii"))
+    return joined.select(*docs.columns, F.struct(*[F.col(f"__base.{k}").alias(k) for k in KINDS], F.coalesce("__id", empty).alias("id")).alias("pii"))
 
 
 def span_text(kinds: tuple[str, ...], pii: str = "pii") -> Column:

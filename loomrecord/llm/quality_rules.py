@@ -92,20 +92,27 @@ def certify(scored: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", (F.col("b.step") / STEPS).alias("cutoff")))).alias("cutoffs"))
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.1, stratum: str = "lang", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, a struct `quality` (counts, base_failed) and `kept`.
-
-    kept is false where the base fails or a certified cutoff of the row's stratum is
-    exceeded. Null and empty texts have no words and fail the base. Null strata are one
-    stratum. Without labels nothing is certified and only the base rejects. Repeated rows
-    are judged alike. Columns named quality or kept are replaced.
-    """
-    scored = written(counts(docs, text), "quality")
-    cutoffs = written(certify(scored, labels, alpha, delta, stratum, key), "cutoffs").select(F.col("stratum").alias("__stratum"), F.col("cutoffs").alias("__cutoffs"))
+def judge(scored: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """`scored` with `kept`: false where the base fails or a certified cutoff of the row's stratum is exceeded."""
+    cutoffs = cutoffs.select(F.col("stratum").alias("__stratum"), F.col("cutoffs").alias("__cutoffs"))
     joined = scored.join(cutoffs, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("__stratum"), "left")
     flat = joined.select("*", *[F.col(f"quality.{c}").alias(f"__{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_marks")])
     beyond = F.lit(False)
     for r, x in RULES.items():
         value = F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"__\1", x))
         beyond = beyond | F.coalesce(F.ceil(STEPS * value) > F.round(STEPS * F.col("__cutoffs")[r]), F.lit(False))
-    return flat.select(*[c for c in docs.columns if c not in ("quality", "kept")], "quality", (~F.col("quality.base_failed") & ~beyond).alias("kept"))
+    return flat.select(*[c for c in scored.columns if c != "kept"], (~F.col("quality.base_failed") & ~beyond).alias("kept"))
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.1, stratum: str = "lang", key: str = "doc_id", text: str = "text", columns: bool = True) -> DataFrame:
+    """All columns of docs (without `columns`, key and stratum), a struct `quality` (counts, base_failed) and `kept`.
+
+    Null and empty texts have no words and fail the base. Null strata are one stratum.
+    Without labels nothing is certified and only the base rejects. Repeated rows are
+    judged alike. Columns named quality or kept are replaced. The counts are written once
+    for the certification, never the texts; with `columns` they are counted again on the
+    way to the result.
+    """
+    scored = written(counts(docs.select(key, stratum, text), text).drop(text), "quality")
+    cutoffs = written(certify(scored, labels, alpha, delta, stratum, key), "cutoffs")
+    return judge(counts(docs.drop("kept"), text) if columns else scored, cutoffs, stratum)
