@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,12 @@ from loomrecord.llm.shingles import mix, rolling, word_hashes
 ANCHOR = 5
 #: Anchors in more documents than this are dealt by whole windows, so that no shard holds all their contexts.
 HOT = 1000
-#: Words in one automaton; a shard may exceed it by one anchor's runs.
-SHARD_WORDS = 60_000
+#: Most keys over which the occurrences of one hot window are dealt.
+SALTS = 64
+#: Words and runs a task holds before it sends its distinct runs on.
+HELD = 6_000_000
+#: Bytes of a word's hash that runs carry; with the anchor, 64 bits of five of a window's words are equal besides.
+WORD_BYTES = 5
 
 
 class SuffixAutomaton:
@@ -112,16 +117,16 @@ def anchors(h: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray
     n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    best, place = grams[:n].copy(), np.arange(n)
+    # The offset stands in the low bits: the least of a window then tells its place, ties being the leftmost.
+    cut = grams & ~np.uint64(15)
+    best = cut[:n].copy()
     for j in range(1, width):
-        other = grams[j:j + n]
-        less = other < best  # ties keep the leftmost, alike in every copy
-        best[less] = other[less]
-        place[less] = np.flatnonzero(less) + j
+        np.minimum(best, cut[j:j + n] | np.uint64(j), out=best)
+    place = np.arange(n) + (best & np.uint64(15)).astype(np.int64)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     inside = np.arange(n) + window <= ends[:n]
     at = np.flatnonzero(inside)
-    return at, place[at], best[at]
+    return at, place[at], grams[place[at]]
 
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -132,77 +137,159 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             at, place, value = anchors(h, offsets, window)
             new = np.r_[True, place[1:] != place[:-1]] if len(place) else np.zeros(0, bool)
             owner = np.searchsorted(offsets, at[new], "right") - 1
-            keys = np.array([-1 if k is None else k for k in keys], np.int64)
-            pairs = np.unique(np.rec.fromarrays([keys[owner], value[new].view(np.int64)], names="doc,anchor")) if len(owner) else np.rec.fromarrays([keys[:0], keys[:0]], names="doc,anchor")
-            return {"anchor": pairs["anchor"].copy(), "doc": pairs["doc"].copy()}
+            value = value[new]
+            order = np.lexsort((value, owner))
+            owner, value = owner[order], value[order]
+            once = np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])] if len(owner) else np.zeros(0, bool)
+            return {"anchor": value[once].view(np.int64), "doc": np.array(keys, np.int64)[owner[once]]}
         return run
-    return map_rows(docs.where(F.col("doc").isNotNull()), ["doc", "text"], "anchor bigint, doc bigint", make)
+    return map_rows(docs, ["doc", "text"], "anchor bigint, doc bigint", make)
 
 
-def _runs(flagged: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc, start, words): runs of neighbouring windows that share a flagged anchor; of hot anchors, each window by itself."""
-    def make():
-        def run(keys, tags, texts, found, hot):
-            out: dict[str, list] = {"anchor": [], "doc": [], "tag": [], "start": [], "words": []}
+def _pack(words: np.ndarray) -> np.ndarray:
+    """Five bytes of each word hash: what runs carry of their words."""
+    return np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
 
-            def emit(anchor, row, start, words):
-                for col, x in zip(out.values(), (anchor, keys[row], tags[row], start, words.view(np.int64))):
-                    col.append(x)
-            h, offsets = word_hashes(texts)
-            at, place, value = anchors(h, offsets, window)
-            bounds = np.searchsorted(at, offsets)
-            for i in range(len(keys)):
-                s, e = bounds[i], bounds[i + 1]
-                if not found[i] or s == e:
-                    continue
-                mine = np.array(found[i], np.int64).view(np.uint64)
-                order = np.argsort(mine)
-                index = np.minimum(np.searchsorted(mine, value[s:e], sorter=order), len(mine) - 1)
-                hit = mine[order[index]] == value[s:e]
-                hot_hit = np.array(hot[i], bool)[order[index]] & hit
-                cut = np.flatnonzero(np.r_[True, place[s + 1:e] != place[s:e - 1], True])
-                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    if not hit[a]:
-                        continue
-                    first = at[s + a]
-                    if hot_hit[a]:
-                        for j in range(b - a):
-                            w = h[first + j:first + j + window]
-                            emit(int(mix(rolling(w, window) + np.uint64(1)).view(np.int64)[0]), i, first + j - offsets[i], w)
-                    else:
-                        emit(int(value[s + a:s + a + 1].view(np.int64)[0]), i, first - offsets[i], h[first:first + b - a + window - 1])
-            return out
-        return run
-    return map_rows(flagged, ["doc", "tag", "text", "found", "hot"], "anchor bigint, doc bigint, tag bigint, start bigint, words array<bigint>", make, 256)
 
+def _unpack(raw: bytes) -> list[int]:
+    wide = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    wide[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
+    return wide.view(np.uint64)[:, 0].tolist()
+
+
+def _found_runs(texts: list, found: pa.Array, salts: pa.Array, window: int) -> tuple[np.ndarray, ...]:
+    """(key, digest, text, first word in the text, place in the hashes, words, salts) of the flagged runs of a batch, and the hashes."""
+    h, offsets = word_hashes(texts)
+    at, place, value = anchors(h, offsets, window)
+    text = np.searchsorted(offsets, at, "right") - 1
+    # Which windows carry an anchor that is flagged for their own text: a lookup of (text, anchor).
+    flags = np.asarray(found.flatten()).view(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), np.asarray(found.value_lengths()))
+    mine = flags ^ mix(owner.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(mine)
+    wanted = value ^ mix(text.astype(np.uint64) + np.uint64(1))
+    index = order[np.minimum(np.searchsorted(mine, wanted, sorter=order), len(mine) - 1)] if len(mine) else np.zeros(len(at), np.int64)
+    hit = (mine[index] == wanted) & (flags[index] == value) & (owner[index] == text) if len(mine) else np.zeros(len(at), bool)
+    parts = np.where(hit, np.asarray(salts.flatten())[index], 0) if len(mine) else np.zeros(len(at), np.int64)
+    at, place, value, text, parts = (x[hit] for x in (at, place, value, text, parts))
+    # A run: neighbouring windows with one anchor; of hot anchors, every window is a run.
+    new = np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1) | (parts[1:] > 0)] if len(at) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(at)] - 1 if len(at) else first
+    grams = rolling(h, window)
+    # At most `window` windows: the first and the last together are the whole run.
+    digest = mix(grams[at[first]] * np.uint64(0x9E3779B97F4A7C15) + grams[at[last]] + (last - first).astype(np.uint64))
+    key = np.where(parts[first] > 0, mix(grams[at[first]] + np.uint64(1)), value[first])
+    return key, digest, text[first], at[first] - offsets[text[first]], at[first], at[last] - at[first] + window, parts[first], h
+
+
+def _runs(flagged: DataFrame, window: int) -> DataFrame:
+    """Runs of neighbouring windows that share a flagged anchor, by shard key; of hot anchors, each window by itself.
+
+    Two kinds of rows: `words` with the smallest document a task has seen them in (once
+    per task), and occurrences (doc, tag, start) without words. Hot keys are salted:
+    their occurrences are dealt over `salts` keys, their words go to each.
+    """
+    names = ["key", "digest", "doc", "tag", "start", "words"]
 
-def _shards(distinct: DataFrame, window: int) -> DataFrame:
-    """(anchor, words, sources): each distinct run with the smallest document of each of its windows."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, list[int], int]] = []
+        held: list[tuple] = []
         size = 0
 
-        def finish() -> pa.RecordBatch:
-            groups: dict[int, int] = {}
-            for a, _, _ in held:
-                groups[a] = groups.get(a, 0) + 1
-            automaton = SuffixAutomaton()
-            for a, words, doc in held:
-                if groups[a] > 1:
-                    automaton.add(words, doc)
-            automaton.finish()
-            found = [automaton.sources(w, window) if groups[a] > 1 else [d] * (len(w) - window + 1) for a, w, d in held]
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in held], pa.int64()), pa.array([w for _, w, _ in held], pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], names=["anchor", "words", "sources"])
+        def contents() -> Iterator[pa.RecordBatch]:
+            key, digest, doc, begin, length = (np.concatenate([x[i] for x in held]) for i in range(5))
+            base = np.repeat(np.cumsum([0, *(len(x[5]) for x in held[:-1])]), [len(x[0]) for x in held])
+            words = np.concatenate([x[5] for x in held])
+            order = np.lexsort((doc, digest, key))
+            key, digest, doc, begin, length = key[order], digest[order], doc[order], (begin + base)[order], length[order]
+            once = np.r_[True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])] if len(key) else np.zeros(0, bool)
+            key, digest, doc, begin, length = (x[once] for x in (key, digest, doc, begin, length))
+            for a in range(0, len(key), 8192):
+                part = slice(a, a + 8192)
+                n = length[part]
+                where = np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                offsets = np.zeros(len(n) + 1, np.int32)
+                np.cumsum(n * WORD_BYTES, out=offsets[1:])
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(words[where].tobytes())])
+                nothing = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(digest[part].view(np.int64)), pa.array(doc[part]), nothing, nothing, raw], names=names)
         for batch in batches:
-            for a, w, d in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if size >= SHARD_WORDS and a != held[-1][0]:
-                    yield finish()
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                docs, tags = (np.asarray(part.column(i)) for i in (0, 1))
+                key, digest, text, start, begin, length, salts, h = _found_runs(part.column(2).to_pylist(), part.column(3), part.column(4), window)
+                doc = docs[text]
+                salt = np.where(salts > 1, doc % np.maximum(salts, 1), 0)
+                salted = lambda k, s: np.where(s > 0, mix(k + s.astype(np.uint64)), k)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(salted(key, salt).view(np.int64)), pa.array(digest.view(np.int64)), pa.array(doc), pa.array(tags[text]), pa.array(start), pa.nulls(len(key), pa.binary())], names=names)
+                copies = np.maximum(salts, 1)
+                each = np.repeat(np.arange(len(key)), copies)
+                salt = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+                held.append((salted(key[each], salt), digest[each], doc[each], begin[each], length[each], _pack(h)))
+                size += len(h) + 4 * len(each)
+                if size >= HELD:
+                    yield from contents()
                     held, size = [], 0
-                held.append((a, w, d))
-                size += len(w)
         if held:
-            yield finish()
-    return distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(scan, "anchor bigint, words array<bigint>, sources array<bigint>")
+            yield from contents()
+    return flagged.select("doc", "tag", "text", "found", "salts").mapInArrow(scan, "key bigint, digest bigint, doc bigint, tag bigint, start bigint, words binary")
+
+
+def _matches(runs: DataFrame, window: int) -> DataFrame:
+    """(doc, tag, start, hit): occurrences with a window that a smaller document holds; hit has a bit for each such window.
+
+    In each shard the words of a key come first and form its automaton; then its
+    occurrences stream by, however many there are.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, ready = None, {}, False
+        for batch in batches:
+            key, digest, doc, words = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
+            rows, hits = [], []
+            for i, (k, g, d, w) in enumerate(zip(key, digest, doc, words)):
+                if k != at:
+                    at, held, ready = k, {}, False
+                if w is not None:
+                    known = held.get(g)
+                    if known is None or d < known[0]:
+                        held[g] = (d, w)
+                    continue
+                if not ready:
+                    ready = True
+                    if len(held) == 1:  # one run alone: every window starts in its smallest document
+                        held = {run: (least, (1 << len(raw) // WORD_BYTES - window + 1) - 1) for run, (least, raw) in held.items()}
+                    else:
+                        automaton = SuffixAutomaton()
+                        lists = {run: _unpack(raw) for run, (_, raw) in held.items()}
+                        for run, (least, _) in held.items():
+                            automaton.add(lists[run], least)
+                        automaton.finish()
+                        held = {run: automaton.sources(lists[run], window) for run in lists}
+                known = held[g]
+                if type(known) is tuple:
+                    hit = known[1] if known[0] < d else 0
+                else:
+                    hit = sum(1 << j for j, x in enumerate(known) if x < d)
+                if hit:
+                    rows.append(i)
+                    hits.append(hit)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (2, 3, 4)), pa.array(hits, pa.int64())], names=["doc", "tag", "start", "hit"])
+    dealt = runs.repartition("key").sortWithinPartitions("key", F.col("words").isNull())
+    return dealt.mapInArrow(scan, "doc bigint, tag bigint, start bigint, hit bigint")
+
+
+def _covered(n: int, starts: np.ndarray, hits: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words lie in a window that is hit; bit j of a hit is the window at start + j."""
+    edge = np.zeros(n + 1, np.int64)
+    while len(hits):
+        at = starts[(hits & 1) == 1]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + window, -1)
+        more = hits > 1
+        starts, hits = starts[more] + 1, hits[more] >> 1
+    return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -213,43 +300,43 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     Rows with equal keys are not each other's source, and rows with a null key are kept
     whole and are no source. Every row gives one row; extra columns are ignored.
     """
-    docs = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
+    docs = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text) if text == "text" else F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
     known = docs.where(F.col("doc").isNotNull())
-    rows = _anchor_rows(known, window).repartition("anchor")
-    repeated = rows.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", (F.col("n") > HOT).alias("hot"))
-    flags = rows.join(repeated, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "hot")).alias("f")).select("doc", F.col("f.anchor").alias("found"), F.col("f.hot").alias("hot"))
-    runs = _runs(known.join(flags, "doc"), window)
-    # Equal runs meet once: whole copies and the inside of shared passages collapse before the shuffle.
-    distinct = runs.groupBy("anchor", "words").agg(F.min("doc").alias("doc"))
-    sources = _shards(distinct, window).select("anchor", F.xxhash64("words").alias("digest"), "sources")
-    hits = runs.select("anchor", F.xxhash64("words").alias("digest"), "doc", "tag", "start").join(sources, ["anchor", "digest"])
-    hits = hits.select("doc", "tag", "start", F.transform("sources", lambda s: s < F.col("doc")).alias("hit")).where(F.exists("hit", lambda x: x))
+    # The filters spell out what a join infers, so that both uses of an exchange are the same plan and share it.
+    rows = _anchor_rows(known, window).where(F.col("anchor").isNotNull() & F.col("doc").isNotNull()).repartition("anchor")
+    repeated = rows.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    repeated = repeated.select("anchor", F.when(F.col("n") <= HOT, 0).otherwise(F.least(F.lit(SALTS), F.ceil(F.col("n") / (16 * HOT)))).cast("int").alias("salts"))
+    flags = rows.join(repeated, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "salts")).alias("f")).select("doc", F.col("f.anchor").alias("found"), F.col("f.salts").alias("salts"))
+    hits = _matches(_runs(known.join(flags, "doc"), window), window)
     spans = hits.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "hit")).alias("h"))
 
-    def make():
-        def run(keys, tags, texts, found):
-            out: dict[str, list] = {key: keys, "n_words": [], "n_removed": [], "kept_sha256": []}
+    kept_schema = f"`{key}` bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string, spans array<struct<first:bigint,end:bigint>>" if keep_text else "")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tag = np.asarray(batch.column(1))
+            found = batch.column(3)
+            flat = found.flatten()
+            tags, starts, hits = (np.asarray(flat.field(i)) for i in range(3))
+            lengths = found.value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(lengths)
+            out: list[list] = [[], [], [], [], []]
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                words, part = words_of(t), slice(ends[i] - lengths[i], ends[i])
+                own = tags[part] == tag[i]
+                if own.any():
+                    gone = _covered(len(words), starts[part][own], hits[part][own], window)
+                    kept = b" ".join(compress(words, (~gone).tolist()))
+                else:
+                    gone, kept = np.zeros(len(words), bool), b" ".join(words)
+                flips = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).tolist() if keep_text else []
+                for col, x in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if keep_text else None, [{"first": a, "end": b} for a, b in zip(flips[::2], flips[1::2])])):
+                    col.append(x)
+            arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
+            names = [key, "n_words", "n_removed", "kept_sha256"]
             if keep_text:
-                out |= {"kept_text": [], "spans": []}
-            for tag, t, spans in zip(tags, texts, found):
-                words = words_of(t)
-                edge = np.zeros(len(words) + 1, np.int64)
-                for span in spans or ():
-                    for j, hit in enumerate(span["hit"] if span["tag"] == tag else ()):
-                        if hit:
-                            edge[span["start"] + j] += 1
-                            edge[span["start"] + j + window] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if spans else words)
-                out["n_words"].append(len(words))
-                out["n_removed"].append(int(gone.sum()))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if keep_text:
-                    flips = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).tolist()
-                    out["kept_text"].append(kept.decode("utf-8", "surrogatepass"))
-                    out["spans"].append([{"first": a, "end": b} for a, b in zip(flips[::2], flips[1::2])])
-            return out
-        return run
+                arrays += [pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]
+                names += ["kept_text", "spans"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
     joined = known.join(spans, "doc", "left").unionByName(docs.where(F.col("doc").isNull()), allowMissingColumns=True)
-    schema = f"`{key}` bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string, spans array<struct<first:bigint,end:bigint>>" if keep_text else "")
-    return map_rows(joined, ["doc", "tag", "text", "h"], schema, make)
+    return joined.select("doc", "tag", "text", "h").mapInArrow(finish, kept_schema)
