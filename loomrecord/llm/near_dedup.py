@@ -3,12 +3,13 @@
 Minima are taken over the whole shingle sets; bands of minima propose candidates, only
 the low bits of each minimum are kept, and their agreement, corrected for chance
 collisions, discards hopeless candidates by counting bits. What remains is confirmed on
-the full sets. Copies with equal sets collapse to one class before anything is paired.
+the full sets. Buckets too large to be paired off are compared in blocks. Copies with equal sets collapse to one class before anything is paired.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ from loomrecord.llm.shingles import mix, rolling, word_hashes
 BANDS, BAND, MINIMA = 25, 5, 128
 #: Low bits kept of each minimum, and the margin in standard deviations by which an estimate may fall short.
 BITS, MARGIN = 2, 6.0
-#: A bucket whose unlinked pairs are at most so many per member is paired off; larger ones first link to a hub.
-PAIRS_PER_MEMBER = 32
+#: Buckets of more classes than this are not paired off: overlapping ones form crowds, compared block against block.
+PAIRED = 64
+#: Classes and shingles in one block of a crowd.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 300_000
 
 _MULTIPLIERS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -104,6 +107,59 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
     return map_rows(rows, ["rep", "text", "digest"], "digest binary, shingles array<bigint>", make).dropDuplicates(["digest"])
 
 
+def forest(digests: list[bytes], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, slab: int = 2048) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between the sets at `left` and those at `right`: all intersections, counted by matrix products."""
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, code, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = seen[code] > 1  # shingles of one set alone add nothing
+    _, code = np.unique(code[shared], return_inverse=True)
+    owner = owner[shared]
+    place = np.full(len(sets), -1)
+    place[left] = np.arange(len(left))
+    other = np.full(len(sets), -1)
+    other[right] = np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, slab):
+        a, b = np.searchsorted(code, (first, first + slab))
+        x, y = np.zeros((len(left), slab), np.float32), np.zeros((len(right), slab), np.float32)
+        c, o = code[a:b] - first, owner[a:b]
+        mine, theirs = place[o] >= 0, other[o] >= 0
+        x[place[o[mine]], c[mine]] = 1
+        y[other[o[theirs]], c[theirs]] = 1
+        common += x @ y.T
+    common = common.astype(np.int64)
+    linked = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+    root, out = list(range(len(sets))), []
+    for i, j in zip(*(v.tolist() for v in np.nonzero(linked))):
+        u, v = int(left[i]), int(right[j])
+        ru, rv = u, v
+        while root[ru] != ru:
+            root[ru] = ru = root[root[ru]]
+        while root[rv] != rv:
+            root[rv] = rv = root[root[rv]]
+        if ru != rv:
+            root[max(ru, rv)] = min(ru, rv)
+            out.append((digests[u], digests[v]))
+    return out
+
+
+def _crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join each crowd's linked classes: every pair of blocks is compared in full, only forests leave a task."""
+    shape = written(crowds.groupBy("crowd").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    rows = crowds.join(shape, "crowd").select("digest", "crowd", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"))
+    each = rows.join(sets, "digest").select("digest", "shingles", "crowd", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    each = each.select("digest", "shingles", "block", "crowd", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j, block = frame["i"].iloc[0], frame["j"].iloc[0], frame["block"].to_numpy()
+        found = forest(frame["digest"].tolist(), [np.asarray(x, np.int64) for x in frame["shingles"]], np.flatnonzero(block == i), np.flatnonzero(block == j), percent)
+        return pd.DataFrame(found, columns=["u", "v"])
+    return each.groupBy("crowd", "i", "j").applyInPandas(compare, "u binary, v binary")
+
+
 def _linked(docs: DataFrame, percent: int, words: int, key: str, text: str) -> DataFrame:
     """Per row: key, tag (hash of the text), n_shingles, root (one digest for each component; null without shingles), component_id."""
     floor = _floor(percent)
@@ -113,34 +169,21 @@ def _linked(docs: DataFrame, percent: int, words: int, key: str, text: str) -> D
     banded = classes.select("digest", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band"), "shared")
     members = written(banded.join(shared, "band"), "members")
-    links = None
-    roots = members.select("digest").distinct().withColumn("root", F.col("digest"))
-    done = 0
-    while not members.isEmpty():
-        done += 1
-        placed = members.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("digest", F.lit(done)).alias("h"), F.col("digest"))).alias("hub")).groupBy("band").agg(
-            F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count("*").alias("roots"), F.min("hub").alias("hub"))
-        sizes = written(sizes.where("roots > 1").select("band", F.col("hub.digest").alias("hub"), ((F.col("n") * F.col("n") - F.col("squares")) <= 2 * PAIRS_PER_MEMBER * F.col("n")).alias("close")), "sizes")
-        open_ = written(placed.join(sizes, "band"), "buckets")
-        small, large = open_.where("close").select("band", "digest", "root"), open_.where("not close")
-        other = small.select("band", F.col("digest").alias("b"), F.col("root").alias("root_b"))
-        paired = small.select("band", F.col("digest").alias("a"), "root").join(other, "band").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b")
-        hub_root = large.where(F.col("digest") == F.col("hub")).select("band", F.col("root").alias("root_b"))
-        hubs = large.join(hub_root, "band").where(F.col("root") != F.col("root_b")).select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"))
-        pairs = paired.unionByName(hubs).distinct()
-        side = lambda c: classes.select(F.col("digest").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}"), F.col("first").alias(f"first_{c}"))
-        fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_estimate("bits_a", "bits_b") >= floor)
-        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "n_a", "n_b", "first_a", "first_b"), "pairs")
-        wanted = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("digest"), F.col("first_a").alias("first")), F.struct(F.col("b").alias("digest"), F.col("first_b").alias("first")))).alias("w")).select("w.*").distinct()
-        sets = written(_full_sets(docs, wanted, key, text, words), "sets")
-        common = F.size(F.array_intersect("sa", "sb"))
-        sa, sb = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
-        confirmed = pairs.join(sa, "a").join(sb, "b").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = written(confirmed if links is None else confirmed.unionByName(links), "links")
-        roots = components(links)
-        members = written(large.where(F.col("digest") != F.col("hub")).select("band", "digest"), "members")
-        roots = roots.select(F.col("node").alias("digest"), "root")
+    sizes = written(members.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("hub")), "sizes")
+    placed = members.join(sizes, "band")
+    small = placed.where(F.col("n") <= PAIRED).select("band", F.col("digest").alias("a"))
+    pairs = small.join(small.select("band", F.col("a").alias("b")), "band").where("a < b").select("a", "b").distinct()
+    side = lambda c: classes.select(F.col("digest").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}"))
+    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_estimate("bits_a", "bits_b") >= floor)
+    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "n_a", "n_b"), "pairs")
+    stars = placed.where((F.col("n") > PAIRED) & (F.col("digest") != F.col("hub"))).select(F.col("digest").alias("u"), F.col("hub").alias("v"))
+    crowds = written(components(stars).select(F.col("node").alias("digest"), F.col("root").alias("crowd")).join(classes.select("digest", "n"), "digest"), "crowds")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(crowds.select("digest")).distinct().join(classes.select("digest", "first"), "digest")
+    sets = written(_full_sets(docs, wanted, key, text, words), "sets")
+    common = F.size(F.array_intersect("sa", "sb"))
+    sa, sb = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
+    confirmed = pairs.join(sa, "a").join(sb, "b").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(confirmed.unionByName(_crowd_links(crowds, sets, percent))).select(F.col("node").alias("digest"), "root")
     named = classes.select("digest", "first").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     final = named.join(smallest, "root").select("digest", "root", "component_id")
