@@ -187,10 +187,11 @@ def _runs(flagged: DataFrame, window: int) -> DataFrame:
     """Runs of neighbouring windows that share a flagged anchor, by shard key; of hot anchors, each window by itself.
 
     Two kinds of rows: `words` with the smallest document a task has seen them in (once
-    per task), and occurrences (doc, tag, start) without words. Hot keys are salted:
-    their occurrences are dealt over `salts` keys, their words go to each.
+    per task), and occurrences (doc, tag, starts) without words, one for each document
+    and distinct run, however often it repeats there. Hot keys are salted: their
+    occurrences are dealt over `salts` keys, their words go to each.
     """
-    names = ["key", "digest", "doc", "tag", "start", "words"]
+    names = ["key", "digest", "doc", "tag", "starts", "words"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -211,18 +212,23 @@ def _runs(flagged: DataFrame, window: int) -> DataFrame:
                 offsets = np.zeros(len(n) + 1, np.int32)
                 np.cumsum(n * WORD_BYTES, out=offsets[1:])
                 raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(words[where].tobytes())])
-                nothing = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(digest[part].view(np.int64)), pa.array(doc[part]), nothing, nothing, raw], names=names)
+                nothing = (pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(digest[part].view(np.int64)), pa.array(doc[part]), *nothing, raw], names=names)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 docs, tags = (np.asarray(part.column(i)) for i in (0, 1))
                 key, digest, text, start, begin, length, salts, h = _found_runs(part.column(2).to_pylist(), part.column(3), part.column(4), window)
+                order = np.lexsort((start, digest, key, text))
+                key, digest, text, start, begin, length, salts = (x[order] for x in (key, digest, text, start, begin, length, salts))
+                once = np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])] if len(key) else np.zeros(0, bool)
+                starts = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(once), len(once)], pa.int32()), pa.array(start, pa.int64()))
+                key, digest, text, begin, length, salts = (x[once] for x in (key, digest, text, begin, length, salts))
                 doc = docs[text]
                 salt = np.where(salts > 1, doc % np.maximum(salts, 1), 0)
                 salted = lambda k, s: np.where(s > 0, mix(k + s.astype(np.uint64)), k)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(salted(key, salt).view(np.int64)), pa.array(digest.view(np.int64)), pa.array(doc), pa.array(tags[text]), pa.array(start), pa.nulls(len(key), pa.binary())], names=names)
+                    pa.array(salted(key, salt).view(np.int64)), pa.array(digest.view(np.int64)), pa.array(doc), pa.array(tags[text]), starts, pa.nulls(len(key), pa.binary())], names=names)
                 copies = np.maximum(salts, 1)
                 each = np.repeat(np.arange(len(key)), copies)
                 salt = np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
@@ -233,11 +239,11 @@ def _runs(flagged: DataFrame, window: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from contents()
-    return flagged.select("doc", "tag", "text", "found", "salts").mapInArrow(scan, "key bigint, digest bigint, doc bigint, tag bigint, start bigint, words binary")
+    return flagged.select("doc", "tag", "text", "found", "salts").mapInArrow(scan, "key bigint, digest bigint, doc bigint, tag bigint, starts array<bigint>, words binary")
 
 
 def _matches(runs: DataFrame, window: int) -> DataFrame:
-    """(doc, tag, start, hit): occurrences with a window that a smaller document holds; hit has a bit for each such window.
+    """(doc, tag, starts, hit): occurrences with a window that a smaller document holds; hit has a bit for each such window.
 
     In each shard the words of a key come first and form its automaton; then its
     occurrences stream by, however many there are.
@@ -275,9 +281,9 @@ def _matches(runs: DataFrame, window: int) -> DataFrame:
                     rows.append(i)
                     hits.append(hit)
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (2, 3, 4)), pa.array(hits, pa.int64())], names=["doc", "tag", "start", "hit"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (2, 3, 4)), pa.array(hits, pa.int64())], names=["doc", "tag", "starts", "hit"])
     dealt = runs.repartition("key").sortWithinPartitions("key", F.col("words").isNull())
-    return dealt.mapInArrow(scan, "doc bigint, tag bigint, start bigint, hit bigint")
+    return dealt.mapInArrow(scan, "doc bigint, tag bigint, starts array<bigint>, hit bigint")
 
 
 def _covered(n: int, starts: np.ndarray, hits: np.ndarray, window: int) -> np.ndarray:
@@ -308,7 +314,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
     repeated = repeated.select("anchor", F.when(F.col("n") <= HOT, 0).otherwise(F.least(F.lit(SALTS), F.ceil(F.col("n") / (16 * HOT)))).cast("int").alias("salts"))
     flags = rows.join(repeated, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "salts")).alias("f")).select("doc", F.col("f.anchor").alias("found"), F.col("f.salts").alias("salts"))
     hits = _matches(_runs(known.join(flags, "doc"), window), window)
-    spans = hits.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "hit")).alias("h"))
+    spans = hits.groupBy("doc").agg(F.collect_list(F.struct("tag", "starts", "hit")).alias("h"))
 
     kept_schema = f"`{key}` bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string, spans array<struct<first:bigint,end:bigint>>" if keep_text else "")
 
@@ -317,12 +323,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, key: str = "doc_id", text:
             tag = np.asarray(batch.column(1))
             found = batch.column(3)
             flat = found.flatten()
-            tags, starts, hits = (np.asarray(flat.field(i)) for i in range(3))
-            lengths = found.value_lengths().fill_null(0).to_numpy()
-            ends = np.cumsum(lengths)
+            each = np.asarray(flat.field(1).value_lengths())
+            tags, hits = (np.repeat(np.asarray(flat.field(i)), each) for i in (0, 2))
+            starts = np.asarray(flat.field(1).flatten())
+            bounds = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(found.value_lengths().fill_null(0).to_numpy())]]
             out: list[list] = [[], [], [], [], []]
             for i, t in enumerate(batch.column(2).to_pylist()):
-                words, part = words_of(t), slice(ends[i] - lengths[i], ends[i])
+                words, part = words_of(t), slice(bounds[i], bounds[i + 1])
                 own = tags[part] == tag[i]
                 if own.any():
                     gone = _covered(len(words), starts[part][own], hits[part][own], window)

@@ -44,6 +44,7 @@ def corpus(seed, n=120, vocabulary=60):
             if w and rnd.random() < .5:
                 w[rnd.randrange(len(w))] = "edit"
         rows.append((i, rnd.choice([" ", "\n", " \t "]).join(w)))
+    rows += [(n + i, " ".join([rnd.choice(["ja ", "nein "]) * rnd.randrange(10, 90), word()])) for i in range(6)]  # one word over and over
     return rows + [(7, rows[7][1]), (7, "other text " + " ".join(passages[2]))]
 
 
@@ -93,9 +94,10 @@ def brute_near(rows, percent, words=5):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("per_member", [32, 0])
-def test_near_duplicates(spark, docs, monkeypatch, per_member):
-    monkeypatch.setattr(near_dedup, "PAIRS_PER_MEMBER", per_member)
+@pytest.mark.parametrize("paired", [64, 2])
+def test_near_duplicates(spark, docs, monkeypatch, paired):
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 5)
     rnd = random.Random(7)
     rows = [(0, None), (1, ""), (2, "A b"), (3, "a B"), (4, "a b c d e"), (None, "null id text here"), (6, "null ID text here"), (None, None), (8, "same key"), (8, "same key other text")]
     for f in range(5):
@@ -108,7 +110,7 @@ def test_near_duplicates(spark, docs, monkeypatch, per_member):
             base = w if rnd.random() < .5 else base
     got = near_duplicates(docs(rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute_near(rows, 85)
-    if per_member:
+    if paired == 64:
         assert near_duplicates(docs([])).count() == near_duplicates(docs([(1, None)])).where("kept").count() - 1 == 0
 
 
