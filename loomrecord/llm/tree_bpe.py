@@ -12,6 +12,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from loomrecord.llm.common import ChunkCache, map_rows
 
 LEAF = 4
+NEVER = 1 << 40
 
 
 class TreeCoder:
@@ -28,11 +30,23 @@ class TreeCoder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.table = {i: t for t, i in self.ranks.items()}
-        self.limit, self.stable_pairs = limit, {}
+        self.limit, self.stable_pairs, self.known = limit, {}, {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost of equals: the definition, on one short window."""
         ranks, n = self.ranks, len(piece)
+        if n <= 24:
+            parts = [piece[i:i + 1] for i in range(n)]
+            pairs = [ranks.get(piece[i:i + 2], NEVER) for i in range(n - 1)]
+            while pairs and (least := min(pairs)) < NEVER:
+                i = pairs.index(least)
+                parts[i] += parts.pop(i + 1)
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
+                if i < len(pairs):
+                    pairs[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
+            return [ranks[x] for x in parts]
         nxt, prev, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
@@ -77,10 +91,20 @@ class TreeCoder:
             b = b if right else min(len(y), 2 * b)
 
     def tree(self, piece: bytes) -> list[int]:
+        known = self.known.get(piece)
+        if known is not None:
+            return known
         if len(piece) <= LEAF:
-            return self.merge(piece)
-        half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+            done = self.merge(piece)
+        else:
+            # Cutting at a multiple of LEAF lets words share the subtrees of their beginnings.
+            half = (len(piece) + 1) // (2 * LEAF) * LEAF or LEAF
+            done = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        if len(piece) <= 4 * LEAF:
+            if len(self.known) > 2 * self.limit:
+                self.known.clear()
+            self.known[piece] = done
+        return done
 
     def encode(self, piece: bytes) -> list[int]:
         """One match of the pattern; a piece that is itself a token is that token."""
@@ -101,18 +125,28 @@ class TextCoder:
     def __init__(self, name: str):
         self.coder = TreeCoder(public_tokenizers.path(name))
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.cache = ChunkCache(self._chunks, 200_000)
-
-    def _ids(self, text: str) -> list[int]:
-        return [i for m in self.pattern.findall(text) for i in self.coder.encode(m.encode("utf-8"))]
+        self.cache, self.pieces = ChunkCache(self._chunks, 300_000), {}
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(self._ids(c), "<u4").tobytes() for c in chunks]
+        """Chunks differ mostly in punctuation, so the pattern's matches are remembered one by one."""
+        known, find = self.pieces, self.pattern.findall
+        if len(known) > self.cache.limit:
+            known.clear()
+        out = []
+        for c in chunks:
+            found = []
+            for m in find(c):
+                ids = known.get(m)
+                if ids is None:
+                    ids = known[m] = array("I", self.coder.encode(m.encode("utf-8"))).tobytes()
+                found.append(ids)
+            out.append(b"".join(found))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         plain = [i for i, t in enumerate(texts) if t and self.cache.safe(t)]
         done = dict(zip(plain, self.cache.values([texts[i] for i in plain])))
-        return [np.frombuffer(b"".join(done[i]) if i in done else self._chunks([t or ""])[0], "<u4") for i, t in enumerate(texts)]
+        return [np.frombuffer(b"".join(done[i]) if i in done else self._chunks([t or ""])[0], np.uint32) for i, t in enumerate(texts)]
 
 
 @functools.lru_cache(maxsize=2)
