@@ -1,10 +1,11 @@
-"""Repeated runs of lines, by winnowing over line hashes.
-
-A window is the shortest run of lines from one line on that holds `min_words` words.
-Its smallest line hash and its content hash are its fingerprint, so a run of at least
-`min_words` words that occurs twice is sure to share one. Positions with equal
-fingerprints are joined to the first of them, matches grow both ways line by line, and
-the later run goes.
+"""Repeated runs of lines, by windows over line hashes.
+
+A window is the shortest run of lines that holds `min_words` words, from one line on or
+up to one line. Every line of a longer run lies in a window inside the run, and the
+content of a window alone decides where it starts and ends. So a line belongs to a run
+that an earlier place has too exactly when it lies in a window whose content has an
+earlier place: the first place of each content is enough, and no run is compared with
+another.
 """
 
 from __future__ import annotations
@@ -23,37 +24,41 @@ def line_hashes(text: str | None) -> tuple[np.ndarray, list[int]]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)), [len(x.split()) for x in lines]
 
 
-def windows(h: np.ndarray, counts: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """(first line, smallest hash, content hash) of each window that starts at a line with words."""
-    out, end, held = [], 0, 0
-    raw = h.tobytes()
-    for start, n in enumerate(counts):
-        while held < min_words and end < len(counts):
-            held += counts[end]
-            end += 1
-        if held < min_words:
-            break
-        if n:
-            out.append((start, int(h[start:end].min()), xxhash.xxh3_64_intdigest(raw[8 * start:8 * end])))
-        held -= n
-    return out
-
+def windows(h: np.ndarray, counts: list[int], min_words: int) -> tuple[list[int], list[int], bytes]:
+    """(first lines, ends, 16-byte content hashes one after another) of all windows, each once.
 
-def grow(a: list[int], b: list[int], seeds: list[tuple[int, int]], same: bool) -> list[tuple[int, int]]:
-    """Maximal runs (start, end) of a that match b around the seeds (place in a, place in b)."""
-    runs: list[tuple[int, int]] = []
-    reach: dict[int, int] = {}
-    for i, j in sorted(seeds):
-        if reach.get(i - j, 0) > i:
+    Windows with a wordless line at their open edge hash that line and the hash of the
+    window without it, so that long gaps cost no more than other lines.
+    """
+    held = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=held[1:])
+    ends = np.searchsorted(held, held[:-1] + min_words).tolist()  # of the window from each line on; len + 1: none
+    starts = (np.searchsorted(held, held[1:] - min_words, "right") - 1).tolist()  # of the window up to each line; -1: none
+    raw, n, digest = h.tobytes(), len(counts), xxhash.xxh3_128_digest
+    first, last, content = [], [], []
+    inner = b""
+    for s in range(n - 1, -1, -1):
+        e = ends[s]
+        if e > n:
+            continue
+        inner = digest(raw[8 * s:8 * e]) if counts[s] else digest(raw[8 * s:8 * s + 8] + inner)
+        first.append(s)
+        last.append(e)
+        content.append(inner)
+    for e, s in enumerate(starts, 1):
+        if s < 0:
             continue
-        s, e = 0, 0
-        while i - s > 0 and j - s > 0 and a[i - s - 1] == b[j - s - 1]:
-            s += 1
-        while i + e < len(a) and j + e < (len(a) if same else len(b)) and a[i + e] == b[j + e]:
-            e += 1
-        reach[i - j] = i + e
-        runs.append((i - s, i + e))
-    return runs
+        if counts[e - 1] and ends[s] == e:  # the window from s on, which is there already
+            inner = None
+            continue
+        if counts[e - 1]:
+            inner = digest(raw[8 * s:8 * e])
+        else:
+            inner = digest((inner or digest(raw[8 * s:8 * e - 8])) + raw[8 * e - 8:8 * e])
+        first.append(s)
+        last.append(e)
+        content.append(inner)
+    return first, last, b"".join(content)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -72,38 +77,26 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id", tex
     Documents are told apart by key and text hash (`tag`); identical rows count as one.
     """
     base = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("tag"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def fingerprints():
         def run(keys, tags, texts):
-            out: dict[str, list] = {"least": [], "content": [], "doc": [], "tag": [], "line": []}
-            for k, t, x in zip(keys, tags, texts):
-                for line, least, content in windows(*line_hashes(x), min_words):
-                    for col, v in zip(out.values(), (signed(least), signed(content), k, t, line)):
-                        col.append(v)
-            return out
+            found = [windows(*line_hashes(x), min_words) for x in texts]
+            n = [len(f) for f, _, _ in found]
+            content = np.frombuffer(b"".join(c for _, _, c in found), "<i8").reshape(-1, 2)
+            return {"c1": content[:, 0], "c2": content[:, 1], "doc": np.repeat(np.array(keys, np.int64), n), "tag": np.repeat(np.array(tags, np.int64), n),
+                    "start": [s for f, _, _ in found for s in f], "end": [e for _, l, _ in found for e in l]}
         return run
 
-    def hashes():
-        def run(keys, tags, texts):
-            return {"doc": keys, "tag": tags, "hashes": [line_hashes(x)[0].view(np.int64) for x in texts]}
-        return run
-    found = map_rows(base, ["doc", "tag", "text"], "least bigint, content bigint, doc bigint, tag bigint, line int", fingerprints)
-    here = F.struct("doc", "tag", "line")
-    first = found.groupBy("least", "content").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last").select("least", "content", "first")
-    seeds = found.join(first, ["least", "content"]).where(F.col("first") < here)
-    pairs = seeds.groupBy("doc", "tag", F.col("first.doc").alias("fdoc"), F.col("first.tag").alias("ftag")).agg(F.collect_set(F.struct("line", F.col("first.line").alias("fline"))).alias("seeds"))
-    lines = map_rows(base, ["doc", "tag", "text"], "doc bigint, tag bigint, hashes array<bigint>", hashes).dropDuplicates(["doc", "tag"])
-    mine = pairs.join(lines, ["doc", "tag"])
-    theirs = lines.select(F.col("doc").alias("fdoc"), F.col("tag").alias("ftag"), F.col("hashes").alias("fhashes"))
-
-    def extend():
-        def run(keys, tags, fkeys, ftags, seeds, mine, theirs):
-            runs = [grow(a, b, [(s["line"], s["fline"]) for s in x], (k, t) == (fk, ft)) for k, t, fk, ft, x, a, b in zip(keys, tags, fkeys, ftags, seeds, mine, theirs)]
-            return {"doc": keys, "tag": tags, "runs": [[{"start": s, "end": e} for s, e in merged(r)] for r in runs]}
+    def union():
+        def run(keys, tags, spans):
+            return {"doc": keys, "tag": tags, "spans": [[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in r])] for r in spans]}
         return run
-    runs = map_rows(mine.join(theirs, ["fdoc", "ftag"]), ["doc", "tag", "fdoc", "ftag", "seeds", "hashes", "fhashes"], "doc bigint, tag bigint, runs array<struct<start:int,end:int>>", extend)
-    return runs.groupBy("doc", "tag").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("spans"))
+    found = map_rows(base, ["doc", "tag", "text"], "c1 bigint, c2 bigint, doc bigint, tag bigint, start int, end int", fingerprints)
+    here = F.struct("doc", "tag", "start")
+    first = found.groupBy("c1", "c2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2", "first")
+    later = found.join(first, ["c1", "c2"]).where(F.col("first") < here)
+    spans = later.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return map_rows(spans, ["doc", "tag", "spans"], "doc bigint, tag bigint, spans array<struct<start:int,end:int>>", union)
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
