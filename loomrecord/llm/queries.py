@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrecord.llm.common import documents
+from loomrecord.llm.decontaminate import contamination
 from loomrecord.llm.line_crf import score_quality, train
 from loomrecord.llm.line_dedup import remove_repeated_lines
 from loomrecord.llm.near_dedup import near_duplicates
@@ -68,6 +69,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
 CHECKS["op2_substring_dedup"] = """
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w),
@@ -87,6 +92,20 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.v) = 0 THEN 0 ELSE
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 5
 """
+CHECKS["op12_decontamination"] = r"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+t AS (SELECT side, id, list_slice(w, CASE WHEN w[1] = '' THEN 2 ELSE 1 END, len(w) - CASE WHEN len(w) > 1 AND w[len(w)] = '' THEN 1 ELSE 0 END) AS w FROM w),
+b AS (SELECT id, w, least(len(w), 10) AS m FROM t WHERE side = 'b' AND len(w) > 0),
+bw AS (SELECT DISTINCT id, m, list_slice(w, i, i + m - 1) AS g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM b)),
+d AS (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT * FROM t, (SELECT DISTINCT m FROM bw) WHERE side = 'd' AND len(w) >= m)),
+h AS (SELECT d.id, d.i, d.m, bw.id AS item FROM d JOIN bw ON d.m = bw.m AND list_slice(d.w, d.i, d.i + d.m - 1) = bw.g),
+c AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT id, i, m FROM h)) GROUP BY id),
+k AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM h) GROUP BY id)
+SELECT t.id AS doc_id, coalesce(len(t.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM t LEFT JOIN c ON t.id = c.id LEFT JOIN k ON t.id = k.id WHERE t.side = 'd'
+"""
 
-for _query in (op1_line_crf_quality, op2_substring_dedup, op3_token_counts, op4_quality_rules, op5_contextual_pii, op6_exact_top_k, op7_line_dedup, op8_best_fit_packing, op9_byte_bpe, op10_minhash_near_dedup):
+for _query in (op1_line_crf_quality, op2_substring_dedup, op3_token_counts, op4_quality_rules, op5_contextual_pii, op6_exact_top_k, op7_line_dedup, op8_best_fit_packing, op9_byte_bpe, op10_minhash_near_dedup, op12_decontamination):
     QUERIES[_query.__name__] = _query
