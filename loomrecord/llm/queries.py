@@ -16,6 +16,7 @@ from loomrecord.llm.packing import pack
 from loomrecord.llm.pii import KINDS, find_pii, span_text
 from loomrecord.llm.quality_rules import apply_rules
 from loomrecord.llm.substring_dedup import remove_repeats
+from loomrecord.llm.token_align import align_tokenizers
 from loomrecord.llm.token_count import count_tokens
 from loomrecord.llm.tree_bpe import encode_decode
 from loomrecord.llm.vector_search import top_k
@@ -73,6 +74,10 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir))
+
+
 CHECKS["op2_substring_dedup"] = """
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w),
@@ -107,5 +112,5 @@ SELECT t.id AS doc_id, coalesce(len(t.w), 0)::BIGINT AS n_words, coalesce(n_hit,
 FROM t LEFT JOIN c ON t.id = c.id LEFT JOIN k ON t.id = k.id WHERE t.side = 'd'
 """
 
-for _query in (op1_line_crf_quality, op2_substring_dedup, op3_token_counts, op4_quality_rules, op5_contextual_pii, op6_exact_top_k, op7_line_dedup, op8_best_fit_packing, op9_byte_bpe, op10_minhash_near_dedup, op12_decontamination):
+for _query in (op1_line_crf_quality, op2_substring_dedup, op3_token_counts, op4_quality_rules, op5_contextual_pii, op6_exact_top_k, op7_line_dedup, op8_best_fit_packing, op9_byte_bpe, op10_minhash_near_dedup, op12_decontamination, op13_tokenizer_alignment):
     QUERIES[_query.__name__] = _query
