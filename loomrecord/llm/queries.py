@@ -20,6 +20,7 @@ from loomrecord.llm.token_align import align_tokenizers
 from loomrecord.llm.token_count import count_tokens
 from loomrecord.llm.tree_bpe import encode_decode
 from loomrecord.llm.vector_search import top_k
+from loomrecord.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -70,6 +71,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
 
@@ -112,5 +117,5 @@ SELECT t.id AS doc_id, coalesce(len(t.w), 0)::BIGINT AS n_words, coalesce(n_hit,
 FROM t LEFT JOIN c ON t.id = c.id LEFT JOIN k ON t.id = k.id WHERE t.side = 'd'
 """
 
-for _query in (op1_line_crf_quality, op2_substring_dedup, op3_token_counts, op4_quality_rules, op5_contextual_pii, op6_exact_top_k, op7_line_dedup, op8_best_fit_packing, op9_byte_bpe, op10_minhash_near_dedup, op12_decontamination, op13_tokenizer_alignment):
+for _query in (op1_line_crf_quality, op2_substring_dedup, op3_token_counts, op4_quality_rules, op5_contextual_pii, op6_exact_top_k, op7_line_dedup, op8_best_fit_packing, op9_byte_bpe, op10_minhash_near_dedup, op11_embedding_whitening, op12_decontamination, op13_tokenizer_alignment):
     QUERIES[_query.__name__] = _query
