@@ -10,37 +10,25 @@ from loomrecord.llm.quality_rules import RULES, STEPS, apply_rules
 
 
 def brute_lines(rows, min_words):
-    """Every pair of documents compared line by line: windows first, then growth from the first occurrence."""
+    """Every place against every earlier place: maximal equal runs of enough words go."""
     docs = sorted({(i, t) for i, t in rows if i is not None and t is not None}, key=lambda r: r[0])
     lines = [(i, t.split("\n")) for i, t in docs]
     words = lambda x: len(x.encode().split())
-    first, seeds = {}, defaultdict(list)
+    at = defaultdict(list)
     for d, (i, ls) in enumerate(lines):
-        for s in range(len(ls)):
-            n = 0
-            for e in range(s, len(ls)):
-                n += words(ls[e])
-                if n >= min_words:
-                    if words(ls[s]):
-                        k = tuple(ls[s:e + 1])
-                        if k in first:
-                            seeds[d].append((s, first[k]))
-                        else:
-                            first[k] = (d, s)
-                    break
+        for s, x in enumerate(ls):
+            at[x].append((d, s))
     out = {}
     for d, (i, ls) in enumerate(lines):
         gone = set()
-        for s, (f, fs) in seeds[d]:
-            other = lines[f][1]
-            a = 0
-            while s - a >= 0 and fs - a >= 0 and ls[s - a] == other[fs - a]:
-                gone.add(s - a)
-                a += 1
-            a = 0
-            while s + a < len(ls) and fs + a < len(other) and ls[s + a] == other[fs + a]:
-                gone.add(s + a)
-                a += 1
+        for s, x in enumerate(ls):
+            for f, fs in at[x]:
+                other = lines[f][1]
+                if (f, fs) >= (d, s) or (s and fs and ls[s - 1] == other[fs - 1]):
+                    continue
+                n = next((a for a in range(min(len(ls) - s, len(other) - fs)) if ls[s + a] != other[fs + a]), min(len(ls) - s, len(other) - fs))
+                if sum(map(words, ls[s:s + n])) >= min_words:
+                    gone.update(range(s, s + n))
         out[i, "\n".join(ls)] = (len(ls), len(gone), "\n".join(x for n, x in enumerate(ls) if n not in gone))
     return sorted(((i, *(out[i, t] if i is not None and t is not None else (0 if t is None else len(t.split("\n")), 0, t))) for i, t in rows), key=str)
 
@@ -61,6 +49,17 @@ def test_line_runs(spark, docs):
     assert remove_repeated_lines(docs([])).count() == 0
 
 
+def test_line_runs_odd(spark):
+    """Overlap, runs longer than the first copy, text keys, clashing names, a very long text."""
+    long = "\n".join(f"line {j} of a long text" for j in range(30_000))
+    rows = [("a", "w " * 50 + "\nown"), ("b", "w " * 50 + "\n" + "\n".join(f"{j} twelve" * 6 for j in range(4))), ("c", "w " * 50 + "\n" + "\n".join(f"{j} twelve" * 6 for j in range(4))),
+            ("d", "\n".join(["one"] * 100)), ("e", long), ("f", "head\n" + long + "\ntail"), ("g", "\n" * 500)]
+    df = spark.createDataFrame([(i, t, "x", 1, None) for i, t in rows], "doc_id string, text string, run_spans string, tag int, line_dedup string")
+    got = {r.doc_id: r for r in remove_repeated_lines(df).collect()}
+    assert [got[k].line_dedup.n_removed for k in "abcdefg"] == [0, 1, 5, 99, 0, 30_000, 0]
+    assert (got["c"].text, got["d"].text, got["f"].text, got["e"].text) == ("", "one", "head\ntail", long) and got["a"].run_spans == "x" and got["a"].tag == 1
+
+
 def brute_counts(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
     lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
