@@ -9,6 +9,7 @@ when the bound is reached the fullest sequence closes first.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrecord.llm.common import ChunkCache, map_rows
-from loomrecord.llm.token_count import counter
+from loomrecord.llm.token_count import _NONE as NO_MERGE, MergeTable, counter
 
 END = b"\0\0\0\0"
+#: Beyond Latin, the library's own character classes decide (as token_count.TokenCounter.split).
+_FAR = re.compile("[\u0250-\U0010ffff]")
 
 
 class OpenBins:
@@ -62,6 +65,47 @@ class OpenBins:
         return chosen, self.size - space
 
 
+class HashedMerges(MergeTable):
+    """Merges found by open addressing instead of bisection."""
+
+    BITS = 19
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        bits = max(self.BITS, int(8 * len(self.keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.found = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_MERGE, np.int64)
+        left, step = np.arange(len(self.keys)), 0
+        while len(left):  # all at once: the first of those that meet in a free slot gets it, the others go on
+            at = (self._home(self.keys[left]) + step) & self.mask
+            free = np.flatnonzero(self.slots[at] == -1)
+            at, first = np.unique(at[free], return_index=True)
+            taken = left[free[first]]
+            self.slots[at], self.found[at] = self.keys[taken], self.ranks[taken]
+            left, step = np.setdiff1d(left, taken), step + 1
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.astype(np.uint64) * self.STEP >> self.shift).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 20 | right
+        at = self._home(key)
+        held = self.slots[at]
+        out = np.where(held == key, self.found[at], NO_MERGE)
+        todo = np.flatnonzero((held != key) & (held != -1))
+        at = at[todo]
+        while len(todo):
+            at = at + 1 & self.mask
+            held = self.slots[at]
+            hit = held == key[todo]
+            out[todo[hit]] = self.found[at[hit]]
+            on = ~hit & (held != -1)
+            todo, at = todo[on], at[on]
+        return out
+
+
 class IdBytes:
     """Texts to little-endian 32-bit ids, as the tokenizers library gives them.
 
@@ -70,31 +114,54 @@ class IdBytes:
     special token's string.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.counter = Tokenizer.from_file(public_tokenizers.path(name)), counter(name)
-        self.special = self.counter.table.special
-        self.cache, self.pieces = ChunkCache(self._chunks), {}
+        self.table, self.special, self.limit = HashedMerges(public_tokenizers.path(name)), self.counter.table.special, limit
+        self.first, self.rest, self.old, self.pieces = {}, {}, {}, {}
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Chunks differ mostly in punctuation, so the pattern's matches are remembered one by one."""
         known = self.pieces
-        if len(known) > self.cache.limit:
+        if len(known) > self.limit:
             known.clear()
-        split = [self.counter.split(c) for c in chunks]
-        new = list({p for s in split for p in s if p not in known})
+        near = _FAR.search("".join(chunks)) is None  # then the pattern's classes are the library's
+        split = list(map(self.counter.pattern.findall, chunks)) if near else [self.counter.split(c) if c else [] for c in chunks]
+        new = list(set().union(*split).difference(known))
         if new:
-            symbols, sizes = self.counter.table.merge([p.encode() for p in new])
+            symbols, sizes = self.table.merge([p.encode() for p in new])
             flat, ends = symbols.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
             known.update((p, flat[a:b]) for p, a, b in zip(new, [0, *ends], ends))
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        get = known.__getitem__
+        return [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
+
+    def _parted(self, texts: list[str]) -> list[bytes]:
+        """As common.ChunkCache, with ids for values: texts cut at single spaces, distinct chunks encoded once, two generations."""
+        if len(self.first) + len(self.rest) > self.limit:
+            self.first, self.rest, self.old = {}, {}, self.rest
+        split = [t.split(" ") for t in texts]
+        heads = [s.pop(0) for s in split]
+        rest, first = self.rest, self.first
+        new = set().union(*split).difference(rest)
+        if self.old and new:
+            again = new.intersection(self.old)
+            rest.update((c, self.old[c]) for c in again)
+            new -= again
+        if new:
+            order = list(new)
+            rest.update(zip(order, self._chunks([" " + c for c in order])))
+        fresh = list(set(heads).difference(first))
+        if fresh:
+            first.update(zip(fresh, self._chunks(fresh)))
+        get = rest.__getitem__
+        return [first[h] + b"".join(map(get, s)) for h, s in zip(heads, split)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if t and self.cache.safe(t) and not any(s in t for s in self.special)]
-        done = dict(zip(plain, self.cache.values([texts[i] for i in plain])))
+        plain = [i for i, t in enumerate(texts) if t and ChunkCache.safe(t) and not any(s in t for s in self.special)]
+        done = dict(zip(plain, self._parted([texts[i] for i in plain])))
         library = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join(done[i]) if i in done else library(t) if t else b"" for i, t in enumerate(texts)]
+        return [done[i] if i in done else library(t) if t else b"" for i, t in enumerate(texts)]
 
 
 @functools.lru_cache(maxsize=2)
