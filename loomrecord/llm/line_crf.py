@@ -8,12 +8,16 @@ training documents.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrecord.llm.common import map_rows
+from loomrecord.llm.common import map_rows, written
 from loomrecord.llm.shingles import WORDS, mix, rolling
 
 _GROUPS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>@^~=+_{}[]\\/", b"|", b"!?", b".,;:'\"()-", bytes(range(128, 256)))
@@ -119,30 +123,46 @@ class LineCrf:
         mean = np.clip(mean, 1e-6, 1 - 1e-6)
         return np.log(mean) - np.log1p(-mean)
 
-    def fit(self, x: np.ndarray, size: np.ndarray, offsets: np.ndarray, label: np.ndarray, steps: int = 120, l2: float = 0.02) -> LineCrf:
-        """Gradient ascent on the penalised likelihood; every line of a training text carries the text's label."""
+    def fit(self, parts: Callable, label: np.ndarray, steps: int = 120, l2: float = 0.02) -> LineCrf:
+        """Gradient ascent on the penalised likelihood; every line of a training text carries the text's label.
+
+        `parts(f)` adds up f(features, sizes, offsets, labels) over all shares of the
+        texts, wherever they are; only sums come back.
+        """
         rate = float(label.mean()) if len(label) else 0.5
         self.b = np.log((rate + 1e-3) / (1 - rate + 1e-3))
         if not len(label) or rate in (0.0, 1.0):
             return self
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        inputs, n = self._inputs(x, offsets), np.diff(offsets)
-        y, share = np.repeat(label, n), np.repeat(1.0 / n, n)  # each text counts once, however long
-        seen = np.zeros((2, 2))
-        for v in (0, 1):
-            seen[v, v] = ((n - 1) / n)[label == v].sum()
+        lines, total = parts(lambda x, size, offsets, y: (float(len(x)), x.sum(0)))
+        mean = total / lines
+        (square,) = parts(lambda x, size, offsets, y: (((x - mean) ** 2).sum(0),))
+        self.mean, self.scale = mean, np.sqrt(square / lines) + 1e-6
         m = [np.zeros_like(self.weights), np.zeros_like(self.jump)]
         v2 = [np.zeros_like(self.weights), np.zeros_like(self.jump)]
         for step in range(1, steps + 1):
-            good, pairs = marginals(inputs @ self.weights, self.jump, offsets)
-            slope = [inputs.T @ ((y - good) * share) / len(label) - l2 * np.r_[self.weights[:-1], 0] / 10, (seen - (pairs / n[:, None, None]).sum(0)) / len(label) - l2 * self.jump]
+            g1, g2 = parts(self.slope)
+            slope = [g1 / len(label) - l2 * np.r_[self.weights[:-1], 0] / 10, g2 / len(label) - l2 * self.jump]
             for i, (g, w) in enumerate(zip(slope, (self.weights, self.jump))):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v2[i] = 0.99 * v2[i] + 0.01 * g * g
                 w += 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v2[i] / (1 - 0.99**step)) + 1e-8)
-        z = self.document(x, size, offsets)
+        return self
+
+    def slope(self, x: np.ndarray, size: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What some whole texts add to the gradients of weights and jump; each text counts once, however long."""
+        inputs, n = self._inputs(x, offsets), np.diff(offsets)
+        good, pairs = marginals(inputs @ self.weights, self.jump, offsets)
+        seen = np.zeros((2, 2))
+        for v in (0, 1):
+            seen[v, v] = ((n - 1) / n)[label == v].sum()
+        return inputs.T @ ((np.repeat(label, n) - good) * np.repeat(1.0 / n, n)), seen - (pairs / n[:, None, None]).sum(0)
+
+    def calibrate(self, z: np.ndarray, label: np.ndarray) -> LineCrf:
+        """Logistic calibration of the texts' log odds by Newton steps, lightly penalised."""
+        if not len(label) or label.mean() in (0.0, 1.0):
+            return self
         a = b = 0.0
-        for _ in range(50):  # logistic calibration by Newton steps, lightly penalised
+        for _ in range(50):
             p = 1 / (1 + np.exp(-(a * z + b)))
             q = p * (1 - p)
             h = np.array([[(q * z * z).sum() + 1, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-3]])
@@ -156,29 +176,50 @@ class LineCrf:
         return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, lines: int = 200, key: str = "doc_id", text: str = "text", label: str = "quality") -> LineCrf:
-    """Fit on at most `sample` labelled documents, chosen by the hash of their key, and `lines` lines of each.
-
-    Only labels 0 and 1 count; keys that carry both are left out. The bound keeps what
-    reaches the driver (features, no texts) and the broadcast of keys fixed at any size.
+def in_tasks(shares: DataFrame, kind: type = tuple) -> Callable:
+    """Sums over shares (label, x, size, n) of the sample: a job for each call, of which a few numbers for each task come back; with kind list, all results in a row."""
+    def parts(f):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    n = np.frombuffer(r["n"], "<i8")
+                    own = f(np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES).astype(float), np.frombuffer(r["size"], "<i8"), np.r_[0, np.cumsum(n)], np.frombuffer(r["label"], "<f8"))
+                    held = own if held is None else held + own if kind is list else tuple(a + b for a, b in zip(held, own))
+            if held is not None:
+                yield pa.RecordBatch.from_pydict({"sums": [pickle.dumps(held)]})
+        got = [pickle.loads(r.sums) for r in shares.mapInArrow(run, "sums binary").collect()]
+        return [x for g in got for x in g] if kind is list else tuple(sum(x) for x in zip(*got))
+    return parts
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, shares: int = 8, key: str = "doc_id", text: str = "text", label: str = "quality") -> LineCrf:
+    """Fit on at most `sample` labelled documents, chosen by the hash of their key, all lines of each.
+
+    Only labels 0 and 1 count; keys that carry both are left out; of documents with one
+    key, one text is taken. The features are written once, dealt over `shares` tasks by
+    key; gradients of whole texts are summed there. Sums, and one number per document of
+    the sample, reach the driver.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
     known = known.groupBy(F.col(key).alias("__key")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi")
-    chosen = known.orderBy(F.xxhash64("__key"), "__key").limit(sample).select("__key", F.col("lo").cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("__key"), "__key").limit(sample).select("__key", F.col("lo").cast("double").alias("label"))
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
-
-    def make():
-        def run(keys, labels, texts):
-            x, size, offsets = line_features(texts)
-            part = [slice(a, min(b, a + lines)) for a, b in zip(offsets[:-1], offsets[1:])]
-            return {"k": keys, "label": labels, "x": [x[p].astype("<f4").tobytes() for p in part], "size": [size[p].astype("<i8").tobytes() for p in part]}
-        return run
-    got = sorted(map_rows(rows, ["__key", "label", "text"], f"k {docs.schema[key].dataType.simpleString()}, label int, x binary, size binary", make).dropDuplicates(["k"]).collect(), key=lambda r: r.k)
-    if not got:
-        return LineCrf()
-    size = [np.frombuffer(r["size"], "<i8") for r in got]
-    x = np.concatenate([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in got]).astype(float)
-    return LineCrf().fit(x, np.concatenate(size), np.r_[0, np.cumsum([len(s) for s in size])], np.array([r.label for r in got], float))
+    rows = rows.groupBy("__key").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    rows = rows.repartition(shares, "__key").sortWithinPartitions("__key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                x, size, offsets = line_features(part.column(1).to_pylist())
+                y = np.array(part.column(0).to_pylist(), "<f8")
+                yield pa.RecordBatch.from_pydict({"label": [y.tobytes()], "x": [x.astype("<f4").tobytes()], "size": [size.astype("<i8").tobytes()], "n": [np.diff(offsets).astype("<i8").tobytes()]})
+    held = written(rows.select("label", "text").mapInArrow(run, "label binary, x binary, size binary, n binary"), "lines")
+    y = np.concatenate([np.frombuffer(r.label, "<f8") for r in held.select("label").collect()] or [np.zeros(0)])
+    model = LineCrf().fit(in_tasks(held), y)
+    odds = in_tasks(held, list)(lambda x, size, offsets, y: [(model.document(x, size, offsets), y)])
+    return model.calibrate(np.concatenate([z for z, _ in odds]), np.concatenate([y for _, y in odds])) if odds else model
 
 
 def score_quality(docs: DataFrame, model: LineCrf, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:

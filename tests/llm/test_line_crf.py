@@ -72,3 +72,13 @@ def test_odd_rows(spark, docs, trained):
     assert isinstance(train(docs(rows), empty), LineCrf) and score_quality(docs([]), LineCrf()).count() == 0
     one = spark.createDataFrame([(3, 1), (1, 1), (2, None), (None, 0)], "doc_id long, quality int")
     assert all(r.predicted == 1 for r in score_quality(docs(rows), train(docs(rows), one)).collect())
+
+
+def test_tail_of_a_long_text_decides(spark, docs):
+    """What tells good from bad stands only after a thousand equal lines."""
+    head = "The same plain words.\n" * 1000
+    rows = [(i, head + ("### $$$ %%% !!\n" if i % 2 else "A calm closing sentence, as ever.\n") * 600) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    model = train(docs(rows), labels)
+    scores = model.scores([t for _, t in rows])
+    assert min(s for (i, _), s in zip(rows, scores) if not i % 2) > max(s for (i, _), s in zip(rows, scores) if i % 2)
