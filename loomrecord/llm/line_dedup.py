@@ -25,6 +25,8 @@ from loomrecord.llm.shingles import mix
 #: Odd multipliers of the two rolling hashes of lines, and their inverses modulo 2^64.
 _STEPS = [(0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)), (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64))]
 _TEXTS = 512
+#: Tasks over which the occurrences of one fingerprint are dealt.
+SALTS = 16
 
 
 def split_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,8 +132,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id", tex
     """
     base = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("tag"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     found = written(fingerprints(base, min_words), "fingerprints")
-    again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    near = found.join(again, "hash").select("doc", "tag", F.inline("around"))
+    again = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    near = found.withColumn("salt", F.pmod("tag", F.lit(SALTS))).join(again, ["hash", "salt"]).select("doc", "tag", F.inline("around"))
     here = F.struct("doc", "tag", "start")
     earliest = near.groupBy("c1", "c2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2", "first")
     later = near.join(earliest, ["c1", "c2"]).where(F.col("first") < here)
