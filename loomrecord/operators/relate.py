@@ -1,12 +1,10 @@
-"""Relations between events: groups, parents, tool pairs and lineage."""
+"""Relations between events: groups, parents and tool pairs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomrecord.session import materialize
-
 # Relations never cross sources or profiles: a mixed batch yields none between them.
 SCOPE = ["source_id", "profile_id"]
 CALLS = ["tool_call", "action"]
@@ -126,122 +124,3 @@ def usage_by(events: DataFrame, field: str) -> DataFrame:
     """Token totals per session, turn or model."""
     return events.filter(F.col("usage").isNotNull()).groupBy(F.col(field).alias("key")).agg(
         *[F.sum(f"usage.{p}").alias(p) for p in ("input", "output", "cached", "total")], F.count(F.lit(1)).alias("events"))
-
-
-# ---- lineage -------------------------------------------------------------------
-
-
-def lineage_keys(events: DataFrame) -> DataFrame:
-    """Typed lineage keys of each record.
-
-    A key holds source, profile, session and turn; telemetry spans ignore the turn,
-    and ids made of zeros only are no ids. A record without a session has no context.
-    """
-    span = F.col("profile_id") == "opentelemetry"
-    def key(idcol: str) -> Column:
-        clean = F.when(F.col(idcol).rlike("^0+$") & span, None).otherwise(F.col(idcol))
-        turn = F.when(span, F.lit("")).otherwise(F.coalesce("turn_id", F.lit("")))
-        # A JSON array keeps the parts apart, whatever characters they hold.
-        parts = F.to_json(F.array("source_id", "profile_id", "session_id", turn, clean))
-        return F.when(F.col("session_id").isNotNull() & clean.isNotNull(), parts)
-    is_log = span & (F.col("event_kind") == "log")
-    return events.select(
-        *SCOPE, "ordinal", "event_kind", "session_id", "parent_id", "tool_call_id",
-        F.when(~is_log, key("message_id")).alias("own_key"),
-        F.when(~is_log, key("parent_id")).alias("parent_key"),
-        F.when(is_log, key("parent_id")).alias("context_key"),
-        F.when(F.col("event_kind").isin("tool_call", "tool_result"), key("tool_call_id")).alias("tool_key"),
-    )
-
-
-def _match(keys: DataFrame, ref: str, relation: str) -> DataFrame:
-    """Left match of a reference key with the one owner of that key."""
-    owners = keys.filter(F.col("own_key").isNotNull()).groupBy("own_key").agg(F.count(F.lit(1)).alias("owners"), F.min("ordinal").alias("owner"))
-    refs = keys.filter(F.col(ref).isNotNull()).select(*SCOPE, "ordinal", F.col(ref).alias("own_key"))
-    out = refs.join(owners, "own_key", "left")
-    status = F.when(F.col("owners").isNull(), "unmatched").when(F.col("owners") > 1, "ambiguous").otherwise("matched")
-    return out.select(*SCOPE, F.lit(relation).alias("relation"), "ordinal", status.alias("status"), F.when(status == "matched", F.col("owner")).alias("partner"))
-
-
-def lineage_pairs(keys: DataFrame) -> DataFrame:
-    """A call and a result pair only when each is the single one of its key."""
-    k = keys.filter(F.col("tool_key").isNotNull())
-    per_key = k.groupBy("tool_key").agg(
-        F.count_if(F.col("event_kind") == "tool_call").alias("calls"), F.count_if(F.col("event_kind") == "tool_result").alias("results"),
-        F.min(F.when(F.col("event_kind") == "tool_call", F.col("ordinal"))).alias("call"), F.min(F.when(F.col("event_kind") == "tool_result", F.col("ordinal"))).alias("result"))
-    status = F.when((F.col("calls") == 1) & (F.col("results") == 1), "matched").when((F.col("calls") == 0) | (F.col("results") == 0), "unmatched").otherwise("ambiguous")
-    out = k.select(*SCOPE, "ordinal", "event_kind", "tool_key").join(per_key, "tool_key").withColumn("status", status)
-    partner = F.when(F.col("event_kind") == "tool_call", F.col("result")).otherwise(F.col("call"))
-    return out.select(*SCOPE, F.lit("tool-pair").alias("relation"), "ordinal", "status", F.when(F.col("status") == "matched", partner).alias("partner"))
-
-
-def lineage(events: DataFrame) -> DataFrame:
-    """Every reference of a record with its status and, if unique, its partner."""
-    keys = lineage_keys(events)
-    return _match(keys, "parent_key", "parent").unionByName(_match(keys, "context_key", "span-context")).unionByName(lineage_pairs(keys))
-
-
-def lineage_coverage(events: DataFrame) -> DataFrame:
-    """Why a record's references do not resolve, missing context included."""
-    keys = lineage_keys(events)
-    blank = keys.filter(F.col("session_id").isNull() & (F.col("parent_id").isNotNull() | F.col("tool_call_id").isNotNull()))
-    missing = blank.select(*SCOPE, F.when(F.col("parent_id").isNotNull(), "parent").otherwise("tool-pair").alias("relation"), "ordinal",
-                           F.lit("missing-context").alias("status"), F.lit(None).cast("bigint").alias("partner"))
-    return lineage(events).unionByName(missing).groupBy("relation", "status").agg(F.count(F.lit(1)).alias("records"))
-
-
-def neighbourhood(edges: DataFrame, start: int, depth: int = 3, max_nodes: int | None = 15) -> DataFrame:
-    """Undirected breadth-first distances from one record over edges(src, dst).
-
-    Three rounds of joins; the frontier is kept as plain DataFrames. The node limit
-    belongs to the result: nearest first, then by ordinal.
-    """
-    both = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct()
-    # Every round reads the edges again, so they are written once instead of derived each time.
-    both = materialize(both, "edges")
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "node bigint, distance int")
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = frontier.select(F.col("node").alias("src")).join(both, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen.orderBy("distance", "node").limit(max_nodes) if max_nodes else seen
-
-
-def lookup_window(events: DataFrame, window: int = 500) -> DataFrame:
-    """Parent in the preceding rows, partner after a call or before a result.
-
-    A range join on key equality and ordinal distance, reduced per reference by a
-    count, so that an id repeated many times never emits its pairs downstream. The
-    ordinal is cut into windows so that one id's rows spread over many tasks.
-    """
-    keys = lineage_keys(events)
-    owners = keys.filter(F.col("own_key").isNotNull()).select(F.col("own_key").alias("k"), F.col("ordinal").alias("at"), F.lit("parent").alias("relation"))
-    tools = keys.filter(F.col("tool_key").isNotNull()).select(F.col("tool_key").alias("k"), F.col("ordinal").alias("at"), F.concat(F.lit("tool-"), "event_kind").alias("relation"))
-    targets = owners.unionByName(tools).withColumn("_cell", F.floor(F.col("at") / window))
-    p = keys.filter(F.col("parent_key").isNotNull()).select("source_id", F.col("parent_key").alias("k"), "ordinal", F.lit("parent").alias("relation"),
-                                                            (F.col("ordinal") - window).alias("lo"), (F.col("ordinal") - 1).alias("hi"))
-    call = F.col("event_kind") == "tool_call"
-    t = keys.filter(F.col("tool_key").isNotNull()).select(
-        "source_id", F.col("tool_key").alias("k"), "ordinal", F.when(call, "tool-tool_result").otherwise("tool-tool_call").alias("relation"),
-        F.when(call, F.col("ordinal") + 1).otherwise(F.col("ordinal") - window).alias("lo"),
-        F.when(call, F.col("ordinal") + window).otherwise(F.col("ordinal") - 1).alias("hi"))
-    refs = p.unionByName(t).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / window), F.floor(F.col("hi") / window))))
-    # Matches are counted per cell first: one row per (reference, cell).
-    hits = refs.join(targets, ["k", "relation", "_cell"], "left").groupBy("source_id", "ordinal", "relation").agg(
-        F.count_if(F.col("at").between(F.col("lo"), F.col("hi"))).alias("hits"),
-        F.min(F.when(F.col("at").between(F.col("lo"), F.col("hi")), F.col("at"))).alias("at"))
-    status = F.when(F.col("hits") == 0, "not-observed").when(F.col("hits") == 1, "found").otherwise("ambiguous")
-    return hits.select("source_id", "ordinal", F.when(F.col("relation") == "parent", "parent").otherwise("partner").alias("relation"), status.alias("status"),
-                       F.when(F.col("hits") == 1, F.col("at")).alias("partner"))
-
-
-def document_graph(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes per record, and unique `parent` and `responds` edges inside one session and turn."""
-    nodes = events.select("source_id", F.col("ordinal").alias("node"), F.col("event_kind").alias("kind"), F.col("summary").alias("label"))
-    keyed = lineage(events).filter(F.col("status") == "matched")
-    edges = keyed.filter(F.col("relation") == "parent").select("source_id", F.col("partner").alias("src"), F.col("ordinal").alias("dst"), F.lit("parent").alias("kind"))
-    is_call = events.filter(F.col("event_kind") == "tool_call").select("source_id", "ordinal")
-    responds = keyed.filter(F.col("relation") == "tool-pair").join(is_call, ["source_id", "ordinal"], "left_semi").select(
-        "source_id", F.col("ordinal").alias("src"), F.col("partner").alias("dst"), F.lit("responds").alias("kind"))
-    return nodes, edges.unionByName(responds)

@@ -109,54 +109,6 @@ def r06(spark, sf):
     return R.relations(e).filter(F.col("kind").isin("session_member")).groupBy("profile_id").agg(F.count(F.lit(1)).alias("edges"))
 
 
-LK = f"""{AG}, k AS (SELECT ordinal, event_kind, session_id || '|' || turn_id || '|' || message_id AS own, session_id || '|' || turn_id || '|' || parent_id AS par,
-  CASE WHEN event_kind IN ('tool_call', 'tool_result') THEN session_id || '|' || turn_id || '|' || tool_call_id END AS tool, session_id, parent_id FROM ag),
-  o AS (SELECT own, count(*) AS n, min(ordinal) AS owner FROM k WHERE own IS NOT NULL GROUP BY 1),
-  pl AS (SELECT 'parent' AS relation, k.ordinal, CASE WHEN o.n IS NULL THEN 'unmatched' WHEN o.n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN o.n = 1 THEN owner END AS partner
-    FROM k LEFT JOIN o ON k.par = o.own WHERE k.par IS NOT NULL),
-  tk AS (SELECT tool, count(*) FILTER (event_kind = 'tool_call') AS calls, count(*) FILTER (event_kind = 'tool_result') AS results, min(ordinal) FILTER (event_kind = 'tool_call') AS call,
-    min(ordinal) FILTER (event_kind = 'tool_result') AS result FROM k WHERE tool IS NOT NULL GROUP BY 1),
-  tl AS (SELECT 'tool-pair' AS relation, k.ordinal, CASE WHEN calls = 1 AND results = 1 THEN 'matched' WHEN calls = 0 OR results = 0 THEN 'unmatched' ELSE 'ambiguous' END AS status,
-    CASE WHEN calls = 1 AND results = 1 THEN CASE WHEN event_kind = 'tool_call' THEN result ELSE call END END AS partner FROM k JOIN tk USING (tool)),
-  ln AS (SELECT * FROM pl UNION ALL SELECT * FROM tl)"""
-
-
-@query("r07_lineage_parent", f"WITH {LK} SELECT ordinal, status, partner FROM ln WHERE relation = 'parent'")
-def r07(spark, sf):
-    return R.lineage(agent_events(spark, sf)).filter(F.col("relation") == "parent").select("ordinal", "status", "partner")
-
-
-@query("r09_lineage_tool_pairs", f"WITH {LK} SELECT ordinal, status, partner FROM ln WHERE relation = 'tool-pair'")
-def r09(spark, sf):
-    return R.lineage_pairs(R.lineage_keys(agent_events(spark, sf))).select("ordinal", "status", "partner")
-
-
-@query("r10_lineage_coverage", f"WITH {LK} SELECT relation, status, count(*) AS records FROM ln GROUP BY 1, 2 UNION ALL SELECT 'parent', 'missing-context', count(*) FROM ag WHERE session_id IS NULL HAVING count(*) > 0")
-def r10(spark, sf):
-    return R.lineage_coverage(agent_events(spark, sf))
-
-
-@query("r11_neighbourhood", f"""WITH RECURSIVE {LK}, ed AS (SELECT DISTINCT ordinal AS a, partner AS b FROM ln WHERE status = 'matched' UNION SELECT partner, ordinal FROM ln WHERE status = 'matched'),
-  walk AS (SELECT 2 AS node, 0 AS distance UNION SELECT ed.b, distance + 1 FROM walk JOIN ed ON ed.a = walk.node WHERE distance < 3)
-  SELECT node, min(distance) AS distance FROM walk GROUP BY 1 ORDER BY 2, 1 LIMIT 15""")
-def r11(spark, sf):
-    edges = R.lineage(agent_events(spark, sf)).filter(F.col("status") == "matched").select(F.col("ordinal").alias("src"), F.col("partner").alias("dst"))
-    return R.neighbourhood(edges, 2)
-
-
-@query("r12_lookup_window", f"""WITH {LK}, w AS (SELECT k.ordinal, 'parent' AS relation, count(t.ordinal) AS hits, min(t.ordinal) AS hit_at FROM k LEFT JOIN k t ON t.own = k.par AND t.ordinal BETWEEN k.ordinal - 3 AND k.ordinal - 1 WHERE k.par IS NOT NULL GROUP BY 1
-    UNION ALL SELECT k.ordinal, 'partner', count(t.ordinal), min(t.ordinal) FROM k LEFT JOIN k t ON t.tool = k.tool AND ((k.event_kind = 'tool_call' AND t.event_kind = 'tool_result' AND t.ordinal BETWEEN k.ordinal + 1 AND k.ordinal + 3)
-    OR (k.event_kind = 'tool_result' AND t.event_kind = 'tool_call' AND t.ordinal BETWEEN k.ordinal - 3 AND k.ordinal - 1)) WHERE k.tool IS NOT NULL GROUP BY 1)
-  SELECT ordinal, relation, CASE WHEN hits = 0 THEN 'not-observed' WHEN hits = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN hits = 1 THEN hit_at END AS partner FROM w""")
-def r12(spark, sf):
-    return R.lookup_window(agent_events(spark, sf), 3).select("ordinal", "relation", "status", "partner")
-
-
-@query("r13_document_graph", f"WITH {LK} SELECT 'parent' AS kind, partner AS src, ordinal AS dst FROM pl WHERE status = 'matched' UNION ALL SELECT 'responds', ordinal, partner FROM tl JOIN k USING (ordinal) WHERE status = 'matched' AND event_kind = 'tool_call'")
-def r13(spark, sf):
-    return R.document_graph(agent_events(spark, sf))[1].select("kind", "src", "dst")
-
-
 @query("e03_evidence_rows", f"""WITH {AG} SELECT field, path, count(*) AS n FROM (SELECT unnest(['event_kind', 'actor', 'turn_id', 'message_id', 'parent_id']) AS field, unnest(['$.event', '$.role', '$.turn_id', '$.message_id', '$.parent_id']) AS path FROM ag
   UNION ALL SELECT 'session_id', '$.session_id' FROM ag WHERE session_id IS NOT NULL UNION ALL SELECT 'tool_call_id', '$.payload.callId' FROM ag WHERE tool_call_id IS NOT NULL
   UNION ALL SELECT 'subagent_id', '$.payload.agentId' FROM ag WHERE subagent_id IS NOT NULL) GROUP BY 1, 2""")

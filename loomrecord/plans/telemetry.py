@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 from loomrecord.operators import otel as O
-from loomrecord.operators import relate as R
 from loomrecord.operators.records import parse_texts
 from loomrecord.plans.registry import query, table
 from loomrecord.session import spread
@@ -80,12 +79,6 @@ def n11(spark, sf):
     return TELEMETRY.project(parsed(spark, sf)).select("ordinal", "event_kind", "timestamp_raw", "session_id", "turn_id", "message_id", "parent_id", "status", "severity", "summary")
 
 
-@query("r08_span_context", f"""WITH {OT}, s AS (SELECT 't' || o_custkey || 's' || o_orderkey AS k, ordinal FROM ot WHERE m = 2) SELECT ot.ordinal, CASE WHEN s.ordinal IS NULL THEN 'unmatched' ELSE 'matched' END AS status, s.ordinal AS partner
-  FROM ot LEFT JOIN s ON s.k = 't' || o_custkey || 's' || o_orderkey WHERE m = 3""")
-def r08(spark, sf):
-    return R.lineage(TELEMETRY.project(parsed(spark, sf))).filter(F.col("relation") == "span-context").select("ordinal", "status", "partner")
-
-
 @query("j17_any_value", "SELECT o_orderkey AS ordinal, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN '[' || o_custkey || ', x, true, 1.5, ...]' WHEN 2 THEN '{a=' || o_custkey || ', b=[y]}' ELSE CAST(o_custkey AS VARCHAR) END AS body FROM orders")
 def j17(spark, sf):
     v = F.expr("""parse_json(CASE o_orderkey % 4 WHEN 0 THEN to_json(struct(o_orderpriority AS stringValue))

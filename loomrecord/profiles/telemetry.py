@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 from loomrecord.operators import otel as O
-from loomrecord.profiles.base import Profile, derived
+from loomrecord.profiles.base import Profile, derived, located_path
 
 
 def _text(*keys: str) -> Column:
@@ -66,4 +66,15 @@ def _score(s, n):
     return score, (s["envelopes"] > 0) | (s["records"] > 0)
 
 
-TELEMETRY = Profile("opentelemetry", "1", _columns, _signals, _score, _prepare)
+def _evidence() -> dict[str, Column]:
+    """Paths of a bare record's ids; envelopes hold many records and prove none."""
+    at = lambda *keys: F.when(F.col("_s.container") == "record", located_path("value", *[(k,) for k in keys]))
+    log = F.col("_s.signal") == "logs"
+    return {
+        "timestamp_raw": F.when(log, at("timeUnixNano", "Timestamp", "observedTimeUnixNano", "ObservedTimestamp")).otherwise(at("startTimeUnixNano", "StartTime", "Timestamp")),
+        "session_id": at("traceId", "TraceId"), "turn_id": at("spanId", "SpanId"), "message_id": at("spanId", "SpanId"),
+        "parent_id": F.when(log, at("spanId", "SpanId")).otherwise(at("parentSpanId", "ParentSpanId")),
+    }
+
+
+TELEMETRY = Profile("opentelemetry", "1", _columns, _signals, _score, _prepare, _evidence)

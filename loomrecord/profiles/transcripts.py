@@ -52,51 +52,149 @@ RESPONSE_ITEMS = {
 }
 EVENT_MESSAGES = {
     "user_message": "message", "agent_message": "message", "assistant_message": "message", "token_count": "usage", "error": "error", "turn_aborted": "error",
-    "task_started": "turn", "turn_started": "turn", "task_complete": "result", "turn_complete": "result", "session_configured": "action",
-    "thread_settings_applied": "action", "view_image_tool_call": "tool_call", "dynamic_tool_call_request": "tool_call", "dynamic_tool_call_response": "tool_result",
-    "turn_diff": "patch", "sub_agent_activity": "subagent",
+    "approval_request": "approval", "approval_response": "approval", "task_started": "turn", "turn_started": "turn", "task_complete": "result", "turn_complete": "result",
+    "agent_reasoning": "reasoning", "agent_reasoning_raw_content": "reasoning", "agent_reasoning_section_break": "reasoning", "reasoning_content_delta": "reasoning",
+    "reasoning_raw_content_delta": "reasoning", "thread_settings_applied": "action", "session_configured": "action", "environment_connected": "action",
+    "environment_disconnected": "action", "mcp_tool_call_begin": "tool_call", "exec_command_begin": "tool_call", "web_search_begin": "tool_call",
+    "image_generation_begin": "tool_call", "view_image_tool_call": "tool_call", "dynamic_tool_call_request": "tool_call", "mcp_tool_call_end": "tool_result",
+    "exec_command_end": "tool_result", "web_search_end": "tool_result", "image_generation_end": "tool_result", "dynamic_tool_call_response": "tool_result",
+    "patch_apply_begin": "patch", "patch_apply_updated": "patch", "patch_apply_end": "patch", "turn_diff": "patch", "plan_update": "task", "plan_delta": "task",
+    "sub_agent_activity": "subagent", "collab_agent_spawn_begin": "subagent", "collab_agent_spawn_end": "subagent", "collab_agent_interaction_begin": "subagent",
+    "collab_agent_interaction_end": "subagent", "collab_waiting_begin": "subagent", "collab_waiting_end": "subagent", "collab_close_begin": "subagent",
+    "collab_close_end": "subagent", "collab_resume_begin": "subagent", "collab_resume_end": "subagent",
 }
-# Families of event message names, tried after the exact names.
-EVENT_FAMILIES = [("agent_reasoning%", "reasoning"), ("reasoning_%_delta", "reasoning"), ("environment_%", "action"), ("patch_apply_%", "patch"),
-                  ("plan_%", "task"), ("collab_%", "subagent"), ("%_begin", "tool_call"), ("%_end", "tool_result")]
+LIFECYCLES = ["item_started", "item_updated", "item_completed"]
+# Names under which one id is written, in the order in which they are tried.
+ITEM_CALL_IDS = ["id", "call_id", "tool_call_id"]
+AGENT_IDS = ["agent_thread_id", "agent_id", "task_id", "agent_path"]
+ITEM_AGENT_IDS = ["agent_thread_id", "agent_id", "agent_path"]
+METADATA_AGENTS = ["agent_id", "child_id", "subagent_id", "recipient"]
+COMMUNICATION_AGENTS = ["agent_id", "child_id", "subagent_id", "recipient", "receiver_thread_id"]
+METADATA_PARENTS = ["parent_id", "parent_agent_id", "author"]
+COMMUNICATION_PARENTS = ["parent_id", "parent_agent_id", "author", "sender_thread_id"]
+
+# Kinds of item types.
+ITEM_KINDS = {
+    "user_message": "message", "agent_message": "message", "message": "message", "reasoning": "reasoning", "command_execution": "tool_call", "file_change": "patch",
+    "function_call": "tool_call", "custom_tool_call": "tool_call", "local_shell_call": "tool_call", "tool_search_call": "tool_call", "mcp_tool_call": "tool_call",
+    "dynamic_tool_call": "tool_call", "collab_agent_tool_call": "subagent", "collab_tool_call": "subagent", "sub_agent_activity": "subagent", "plan": "task",
+    "todo_list": "task", "hook_prompt": "action", "web_search": "tool_call", "web_search_call": "tool_call", "image_view": "action", "image_generation": "tool_call",
+    "image_generation_call": "tool_call", "tool_search_output": "tool_result", "mcp_tool_call_output": "tool_result", "custom_tool_call_output": "tool_result",
+    "extension": "tool_call", "entered_review_mode": "action", "exited_review_mode": "action", "context_compaction": "checkpoint", "function_call_output": "tool_result",
+    "compaction": "checkpoint", "compaction_summary": "checkpoint", "configuration_update": "action", "compaction_trigger": "action", "error": "error",
+}
+# Per item type, the statuses and the fields that show that a completed item carries its result.
+ITEM_RESULTS = {
+    "command_execution": ([], ["stdout", "stderr", "aggregated_output", "formatted_output", "exit_code"]),
+    "mcp_tool_call": (["completed", "failed", "declined", "interrupted"], ["result", "error", "content_items", "success"]),
+    "dynamic_tool_call": (["completed", "failed", "declined", "interrupted"], ["result", "error", "content_items", "success"]),
+    "extension": (["completed", "failed", "interrupted"], ["result", "results", "error", "output"]),
+    "web_search": (["completed", "failed", "interrupted"], ["action", "result"]),
+    "image_generation": (["completed", "failed", "interrupted"], ["result", "output"]),
+}
+EXTENSION_KINDS = {"clock.sleep": "action", "web.search": "tool_call", "image_gen.generation": "tool_call"}
+
+
+def item_type(text: Column) -> Column:
+    """CamelCase or kebab names as snake case, if the type is known."""
+    snake = F.lower(F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1_$2"), r"[-\s]+", "_"))
+    return F.when(snake.isin(list(ITEM_KINDS)), snake)
+
+
+def item_kind(kind_of: Column, item: str, completed: Column) -> Column:
+    """Kind of an item of a known type; a call that is completed and holds its result is that result."""
+    status, extension = F.lower(F.expr(J.string_sql(item, "status"))), F.lower(F.expr(J.string_sql(item, "kind")))
+    base = F.when(kind_of == "extension", F.coalesce(J.lookup(EXTENSION_KINDS, extension), F.lit("other"))).otherwise(J.lookup(ITEM_KINDS, kind_of))
+    done = F.lit(False)
+    for name, (statuses, fields) in ITEM_RESULTS.items():
+        holds = [F.coalesce(status.isin(statuses), F.lit(False))] if statuses else []
+        holds += [F.expr(J.get_sql(item, f)).isNotNull() for f in fields]
+        any_of = holds[0]
+        for h in holds[1:]:
+            any_of = any_of | h
+        done = F.when(kind_of == name, any_of).otherwise(done)
+    return F.when((base == "tool_call") & completed & done, "tool_result").otherwise(base)
 
 
 def _rollout_prepare(records: DataFrame) -> DataFrame:
     outer = s("type")
-    bare = outer.isin(list(RESPONSE_ITEMS))
+    bare = F.coalesce(outer.isin(list(RESPONSE_ITEMS)), F.lit(False))
     payload = F.when(bare, F.col(V)).otherwise(v("payload"))
-    df = J.fence(records, _outer=outer, _p=F.when(J.is_object(payload), payload))
-    df = J.fence(df, _type=F.expr(J.string_sql("_p", "type")))
-    item = (F.col("_outer") == "response_item") | F.col("_outer").isin(list(RESPONSE_ITEMS))
+    df = J.fence(records, _outer=outer, _bare=bare, _p=F.when(J.is_object(payload), payload))
+    df = J.fence(df, _type=F.expr(J.string_sql("_p", "type")), _i=F.expr(J.get_sql("_p", "item")))
+    item = (F.col("_outer") == "response_item") | F.col("_bare")
     msg = F.col("_outer") == "event_msg"
-    family = F.coalesce(*[F.when(F.col("_type").like(p), F.lit(k)) for p, k in EVENT_FAMILIES])
-    kind = F.when(item, J.lookup(RESPONSE_ITEMS, F.col("_type"))).when(msg, F.coalesce(J.lookup(EVENT_MESSAGES, F.col("_type")), family)).otherwise(J.lookup(OUTER, F.col("_outer")))
-    return J.fence(df, _item=F.coalesce(item, F.lit(False)), _msg=F.coalesce(msg, F.lit(False)), _kind=F.coalesce(kind, F.lit("other")))
+    df = J.fence(df, _item=F.coalesce(item, F.lit(False)), _msg=F.coalesce(msg, F.lit(False)), _life=F.coalesce(msg & F.col("_type").isin(LIFECYCLES), F.lit(False)), _it=item_type(F.expr(J.string_sql("_i", "type"))))
+    kind = F.when(F.col("_item"), J.lookup(RESPONSE_ITEMS, F.col("_type"))).when(F.col("_life"), item_kind(F.col("_it"), "_i", F.col("_type") == "item_completed")).when(
+        F.col("_msg"), J.lookup(EVENT_MESSAGES, F.col("_type"))).otherwise(J.lookup(OUTER, F.col("_outer")))
+    return J.fence(df, _kind=F.coalesce(kind, F.lit("other")))
 
 
 def _p(*names: str) -> Column:
     return F.expr(J.coalesce_sql(*[J.string_sql("_p", n) for n in names]))
 
 
+def _i(*names: str) -> Column:
+    return F.expr(J.coalesce_sql(*[J.string_sql("_i", n) for n in names]))
+
+
+def _is(*outer: str) -> Column:
+    return F.col("_outer").isin(list(outer))
+
+
+def _by_place(p, i, nothing: Column) -> dict[str, Column]:
+    """Ids of rollout records; `p` reads names of the payload, `i` of an item in it, so that the same rules give values and their paths."""
+    life, tools = F.col("_life"), F.col("_kind").isin("tool_call", "tool_result")
+    called = p("call_id", "tool_call_id")
+    response_call = F.when(F.col("_kind") == "tool_call", p("call_id", "id")).when(F.col("_kind") == "tool_result", called)
+    return {
+        "session_id": F.when(_is("session_meta"), p("id")).when(F.col("_msg"), p("thread_id", "session_id")).when(_is("token_usage_record"), p("session_id")).otherwise(nothing),
+        "turn_id": F.when(F.col("_item") | F.col("_msg") | _is("turn_context", "token_usage_record"), p("turn_id")).otherwise(nothing),
+        "message_id": F.when(life, i("id", "message_id")).when(F.col("_item"), p("id", "message_id")).when(_is("token_usage_record"), p("response_id")).otherwise(nothing),
+        "parent_id": F.when(F.col("_item"), p("parent_id")).when(_is("inter_agent_communication_metadata"), p(*METADATA_PARENTS)).when(
+            _is("inter_agent_communication"), p(*COMMUNICATION_PARENTS)).when(_is("token_usage_record"), p("root_turn_id")).otherwise(nothing),
+        "tool_call_id": F.when(F.col("_item"), response_call).when(life, F.coalesce(called, F.when(tools, i(*ITEM_CALL_IDS)))).when(F.col("_msg"), called).otherwise(nothing),
+        "subagent_id": F.when(life, i(*ITEM_AGENT_IDS)).when(F.col("_msg") & (F.col("_kind") == "subagent"), p(*AGENT_IDS)).when(
+            _is("inter_agent_communication_metadata"), p(*METADATA_AGENTS)).when(_is("inter_agent_communication"), p(*COMMUNICATION_AGENTS)).otherwise(nothing),
+    }
+
+
 def _rollout() -> dict[str, Column]:
-    kind, item, msg = F.col("_kind"), F.col("_item"), F.col("_msg")
+    kind, item, msg, life = F.col("_kind"), F.col("_item"), F.col("_msg"), F.col("_life")
     usage_at = F.expr(f"coalesce({J.get_sql('_p', 'usage')}, {J.get_sql('_p', 'info', 'total_token_usage')}, {J.get_sql('_p', 'info')})")
-    body = F.expr(J.coalesce_sql(*[J.nonnull_sql("_p", k) for k in ("content", "arguments", "input", "action", "output", "message", "summary")]))
-    speaker = F.when(item & (F.col("_type") == "message"), actor_from_role(_p("role"))).when(kind == "tool_result", "tool").when(
-        msg & (F.col("_type") == "user_message"), "user").when(kind == "subagent", "agent").when(kind.isin("message", "reasoning", "tool_call", "patch", "task", "action"), "assistant").otherwise("system")
+    body = F.expr(J.coalesce_sql(*[J.nonnull_sql("_p", k) for k in ("content", "arguments", "input", "action", "output", "last_agent_message", "message", "text", "summary", "error")]))
+    held = F.expr(J.coalesce_sql(*[J.nonnull_sql("_i", k) for k in ("content", "text", "summary_text", "command", "tool", "name", "query", "output", "result", "message")]))
+    item_actor = F.when(kind == "tool_result", "tool").when(kind == "subagent", "agent").when(F.col("_it") == "user_message", "user").when(
+        kind.isin("message", "reasoning", "tool_call", "patch", "task", "action"), "assistant").otherwise("system")
+    speaker = F.when(life, item_actor).when(item & (F.col("_type") == "message"), actor_from_role(_p("role"))).when(kind == "tool_result", "tool").when(
+        msg & (F.col("_type") == "user_message"), "user").when(kind == "subagent", "agent").when(msg & kind.isin("turn", "result"), "assistant").when(
+        msg & (kind == "action"), "system").when(kind.isin("message", "reasoning", "tool_call", "patch", "task", "action"), "assistant").otherwise("system")
     label = F.concat(F.coalesce(_p("name", "tool_name"), F.col("_type"), F.col("_outer"), F.lit("Record")))
     return {
-        "event_kind": kind, "timestamp_raw": s("timestamp"), "actor": F.when(kind != "other", speaker),
-        "session_id": F.when(F.col("_outer") == "session_meta", _p("session_id", "id")).otherwise(_p("session_id")),
-        "turn_id": _p("turn_id"), "message_id": F.when(item, _p("id", "message_id")), "parent_id": F.when(item, _p("parent_id")),
-        "tool_call_id": F.when(item & (kind == "tool_call"), _p("call_id", "id")).when(item & (kind == "tool_result"), _p("call_id", "tool_call_id")).when(msg, _p("call_id")),
-        "subagent_id": F.when(kind == "subagent", _p("recipient", "agent_id")), "model": _p("model"),
-        "status": F.when(item, _p("status")), "severity": F.when(msg & (kind == "error"), F.coalesce(_p("severity"), F.lit("error"))).when(F.col("_outer") == "security_risk_score", "warning"),
-        "usage": F.when(kind == "usage", J.usage(usage_at)), "summary": J.bounded_summary(F.coalesce(text_of(body), F.col("_p"), F.col(V)), label),
-        "confidence": F.when(F.col("_outer").isNotNull(), "source").otherwise("inferred"), "derived": derived(sourceType=F.coalesce("_type", "_outer").cast("variant")),
+        "event_kind": kind, "timestamp_raw": s("timestamp"), "actor": F.when((kind != "other") | life, speaker), **_by_place(_p, _i, F.lit(None).cast("string")),
+        "model": _p("model"), "status": F.when(life, _i("status", "kind")).when(item, _p("status")),
+        "severity": F.when(msg & ~life & (kind == "error"), F.coalesce(_p("severity"), F.lit("error"))).when(F.col("_outer") == "security_risk_score", "warning"),
+        "usage": F.when(kind == "usage", J.usage(usage_at)), "summary": J.bounded_summary(F.coalesce(F.when(life, text_of(held)), text_of(body), F.col("_p"), F.col(V)), label),
+        "confidence": F.when(F.col("_outer").isNotNull(), "source").otherwise("inferred"),
+        "derived": derived(sourceType=F.coalesce("_type", "_outer").cast("variant"), lifecycle=F.when(life, F.regexp_replace("_type", "^item_", "")).cast("variant"),
+                           wireItemType=F.when(life, F.expr(J.string_sql("_i", "type"))).cast("variant"), extensionKind=F.when(F.col("_it") == "extension", F.expr(J.string_sql("_i", "kind"))).cast("variant")),
     }
 
 
+def _named(value: str, *base: str):
+    """A reader of the display path of the first of some names that holds a string."""
+    def path(*names: str) -> Column:
+        return F.coalesce(*[F.when(F.expr(J.string_sql(value, n)).isNotNull(), F.lit(J.display_literal(*base, n))) for n in names])
+    return path
+
+
+def _rollout_evidence() -> dict[str, Column]:
+    inside, bare = _named("_p", "payload"), _named("_p")
+    paths = _by_place(lambda *n: F.when(F.col("_bare"), bare(*n)).otherwise(inside(*n)), _named("_i", "payload", "item"), F.lit(None).cast("string"))
+    typed = F.when(F.col("_type").isNotNull() & (F.col("_item") | F.col("_msg")) & ~F.col("_bare"), F.when(F.col("_it").isNotNull() & F.col("_life"), "$.payload.item.type").otherwise("$.payload.type"))
+    return {"event_kind": F.coalesce(typed, F.when(F.col("_outer").isNotNull(), "$.type")), "timestamp_raw": F.lit("$.timestamp"), **paths}
+
+
 def _rollout_signals() -> dict[str, Column]:
     envelope = (F.col("_outer").isin(list(OUTER)) | F.col("_item") | F.col("_msg")) & F.col("_p").isNotNull() & s("timestamp").isNotNull()
     return {"shape": F.coalesce(envelope, F.lit(False))}
@@ -108,36 +206,20 @@ def share(cap: float):
     return score
 
 
-ROLLOUT = Profile("codex-rollout", "1", _rollout, _rollout_signals, share(0.98), _rollout_prepare)
+ROLLOUT = Profile("codex-rollout", "1", _rollout, _rollout_signals, share(0.98), _rollout_prepare, _rollout_evidence)
 
 # ---- N3: exec streams ----------------------------------------------------------------
 
-# Kinds of item types.
-ITEM_KINDS = {
-    "user_message": "message", "agent_message": "message", "message": "message", "reasoning": "reasoning", "command_execution": "tool_call", "file_change": "patch",
-    "function_call": "tool_call", "custom_tool_call": "tool_call", "local_shell_call": "tool_call", "tool_search_call": "tool_call", "mcp_tool_call": "tool_call",
-    "dynamic_tool_call": "tool_call", "collab_agent_tool_call": "subagent", "collab_tool_call": "subagent", "sub_agent_activity": "subagent", "plan": "task",
-    "todo_list": "task", "hook_prompt": "action", "web_search": "tool_call", "web_search_call": "tool_call", "image_view": "action", "image_generation": "tool_call",
-    "image_generation_call": "tool_call", "tool_search_output": "tool_result", "mcp_tool_call_output": "tool_result", "custom_tool_call_output": "tool_result",
-    "extension": "tool_call", "entered_review_mode": "action", "exited_review_mode": "action", "context_compaction": "checkpoint", "function_call_output": "tool_result",
-    "compaction": "checkpoint", "compaction_summary": "checkpoint", "configuration_update": "action", "compaction_trigger": "action", "error": "error",
-}
+# Kinds and texts of stream types.
 EXEC_TYPES = {"thread.started": "session", "turn.started": "turn", "turn.completed": "result", "turn.failed": "error", "error": "error"}
 EXEC_TEXT = {"thread.started": "Thread started", "turn.started": "Turn started", "turn.completed": "Turn completed", "turn.failed": "Turn failed", "error": "Error"}
 
 
-def item_type(text: Column) -> Column:
-    """CamelCase or kebab names as snake case, if the type is known."""
-    snake = F.lower(F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1_$2"), "-", "_"))
-    return F.when(snake.isin(list(ITEM_KINDS)), snake)
-
-
 def _exec_prepare(records: DataFrame) -> DataFrame:
     df = J.fence(records, _type=s("type"), _it=item_type(s("item", "type")))
-    has_result = F.expr(J.coalesce_sql(*[J.nonnull_sql(V, "item", k) for k in ("exit_code", "aggregated_output", "result", "output", "error")])).isNotNull()
-    base = J.lookup(ITEM_KINDS, F.col("_it"))
-    item_kind = F.when((base == "tool_call") & (F.col("_type") == "item.completed") & has_result, "tool_result").otherwise(base)
-    return J.fence(df, _kind=F.coalesce(J.lookup(EXEC_TYPES, F.col("_type")), F.when(F.col("_type").like("item.%"), item_kind), F.lit("other")))
+    df = J.fence(df, _i=v("item"))
+    kind = item_kind(F.col("_it"), "_i", F.col("_type") == "item.completed")
+    return J.fence(df, _kind=F.coalesce(J.lookup(EXEC_TYPES, F.col("_type")), F.when(F.col("_type").startswith("item."), kind), F.lit("other")))
 
 
 def _exec() -> dict[str, Column]:
@@ -157,7 +239,17 @@ def _exec() -> dict[str, Column]:
     }
 
 
-EXEC = Profile("codex-exec-jsonl", "1", _exec, lambda: {"shape": F.col("_kind") != "other"}, share(0.96), _exec_prepare)
+def _at(*names: str) -> Column:
+    return _named(V)(*names)
+
+
+def _exec_evidence() -> dict[str, Column]:
+    item = _named("_i", "item")
+    return {"event_kind": F.when(F.col("_it").isNotNull(), "$.item.type").otherwise("$.type"), "timestamp_raw": _at("timestamp", "ts"), "session_id": _at("thread_id"), "turn_id": _at("turn_id"),
+            "message_id": item("id"), "tool_call_id": item("call_id", "id"), "status": item("status")}
+
+
+EXEC = Profile("codex-exec-jsonl", "1", _exec, lambda: {"shape": F.col("_kind") != "other"}, share(0.96), _exec_prepare, _exec_evidence)
 
 # ---- N4: trace bundles -----------------------------------------------------------------
 
@@ -182,7 +274,12 @@ def _trace() -> dict[str, Column]:
     }
 
 
-TRACE = Profile("codex-trace", "1", _trace, lambda: {"shape": s("payload", "type").isin(list(TRACE_KINDS)) & s("rollout_id").isNotNull()}, share(0.97))
+def _trace_evidence() -> dict[str, Column]:
+    return {"event_kind": F.lit("$.payload.type"), "timestamp_raw": F.lit("$.wall_time_unix_ms"), "session_id": _at("thread_id", "rollout_id"), "turn_id": _at("codex_turn_id"),
+            "tool_call_id": F.coalesce(*[F.when(s("payload", n).isNotNull(), J.display_literal("payload", n)) for n in ("tool_call_id", "call_id")])}
+
+
+TRACE = Profile("codex-trace", "1", _trace, lambda: {"shape": s("payload", "type").isin(list(TRACE_KINDS)) & s("rollout_id").isNotNull()}, share(0.97), evidence=_trace_evidence)
 
 # ---- N5, N6: history and session index -----------------------------------------------------
 
@@ -196,7 +293,8 @@ def _history() -> dict[str, Column]:
     }
 
 
-HISTORY = Profile("codex-history", "1", _history, lambda: {"shape": s("session_id").isNotNull() & s("text").isNotNull() & v("ts").isNotNull()}, share(0.95))
+HISTORY = Profile("codex-history", "1", _history, lambda: {"shape": s("session_id").isNotNull() & s("text").isNotNull() & v("ts").isNotNull()}, share(0.95),
+                  evidence=lambda: {"event_kind": F.lit("$.text"), "session_id": F.lit("$.session_id"), "timestamp_raw": F.lit("$.ts"), "summary": F.lit("$.text")})
 
 
 def _index() -> dict[str, Column]:
@@ -209,7 +307,8 @@ def _index() -> dict[str, Column]:
     }
 
 
-SESSION_INDEX = Profile("codex-session-index", "1", _index, lambda: {"shape": s("id").isNotNull() & s("thread_name").isNotNull() & s("updated_at").isNotNull()}, share(0.95))
+SESSION_INDEX = Profile("codex-session-index", "1", _index, lambda: {"shape": s("id").isNotNull() & s("thread_name").isNotNull() & s("updated_at").isNotNull()}, share(0.95),
+                        evidence=lambda: {"event_kind": F.lit("$.id"), "session_id": F.lit("$.id"), "timestamp_raw": F.lit("$.updated_at"), "summary": F.lit("$.thread_name")})
 
 # ---- N7: session transcripts -----------------------------------------------------------------
 
@@ -257,11 +356,31 @@ def _transcript_signals() -> dict[str, Column]:
     return {"shape": F.coalesce(known | F.col("_job") | F.col("_hist"), F.lit(False))}
 
 
-TRANSCRIPT = Profile("claude-code-session", "3", _transcript, _transcript_signals, share(0.97), _transcript_prepare)
+def _block_path(kind: str, name: str) -> Column:
+    """Display path of a field of the first content block of a kind."""
+    items = f"try_variant_get({V}, {J.sql_text(J.jsonpath('message', 'content'))}, 'array<variant>')"
+    at = F.expr(f"array_position(transform({items}, b -> coalesce({J.string_sql('b', 'type')}, '')), '{kind}')")
+    return F.when(at > 0, F.concat(F.lit("$.message.content["), (at - 1).cast("string"), F.lit(f"].{name}")))
+
+
+def _transcript_evidence() -> dict[str, Column]:
+    kind = F.col("_kind")
+    return {
+        "event_kind": F.when(F.col("_job"), "$.state").when(F.col("_hist"), "$.display").when(kind == "tool_call", _block_path("tool_use", "type")).when(
+            kind == "tool_result", _block_path("tool_result", "type")).otherwise("$.type"),
+        "timestamp_raw": F.when(F.col("_job"), "$.at").otherwise("$.timestamp"), "session_id": _at("sessionId"), "message_id": _at("uuid", "leafUuid"), "parent_id": _at("parentUuid"),
+        "subagent_id": _at("agentId"), "model": F.lit("$.message.model"), "usage": F.lit("$.message.usage"),
+        "tool_call_id": F.when(kind == "tool_call", _block_path("tool_use", "id")).when(kind == "tool_result", _block_path("tool_result", "tool_use_id")),
+    }
+
+
+TRANSCRIPT = Profile("claude-code-session", "3", _transcript, _transcript_signals, share(0.97), _transcript_prepare, _transcript_evidence)
 
 # ---- N8: sessions with typed messages ------------------------------------------------------------
 
+# Roles of messages, and kinds of record types without a message.
 PI_ROLES = ["user", "assistant", "toolResult", "system", "custom", "bashExecution", "branchSummary", "compactionSummary"]
+PI_TYPES = {"session": "session", "session_info": "session", "model_change": "checkpoint", "thinking_level_change": "checkpoint", "custom_message": "message"}
 
 
 def _pi_prepare(records: DataFrame) -> DataFrame:
@@ -270,7 +389,7 @@ def _pi_prepare(records: DataFrame) -> DataFrame:
     message = F.when(role == "toolResult", "tool_result").when(F.col("_call").isNotNull(), "tool_call").when(role.isin("system", "branchSummary", "compactionSummary"), "checkpoint").when(
         role == "bashExecution", "action").when(role.isin(PI_ROLES), "message").otherwise("other")
     kind = F.when((F.col("_type") == "message") & v("message").isNotNull(), message).otherwise(
-        J.lookup({"session": "session", "session_info": "session", "model_change": "checkpoint", "thinking_level_change": "checkpoint", "custom_message": "message"}, F.col("_type")))
+        J.lookup(PI_TYPES, F.col("_type")))
     return J.fence(df, _kind=F.coalesce(kind, F.lit("other")))
 
 
@@ -290,4 +409,10 @@ def _pi() -> dict[str, Column]:
     }
 
 
-PI = Profile("pi-coding-agent", "1", _pi, lambda: {"shape": (F.col("_kind") != "other") & (s("id").isNotNull() | v("message").isNotNull()) & s("timestamp").isNotNull() & s("sessionId").isNull()}, share(0.9), _pi_prepare)
+def _pi_evidence() -> dict[str, Column]:
+    call = F.when(F.col("_kind") == "tool_result", F.lit("$.message.toolCallId")).otherwise(_block_path("toolCall", "id"))
+    return {"event_kind": F.when(F.col("_role").isNotNull(), "$.message.role").otherwise("$.type"), "timestamp_raw": F.lit("$.timestamp"), "session_id": F.lit("$.id"), "message_id": _at("id"),
+            "parent_id": _at("parentId"), "tool_call_id": call, "usage": F.lit("$.message.usage")}
+
+
+PI = Profile("pi-coding-agent", "1", _pi, lambda: {"shape": (F.col("_kind") != "other") & (s("id").isNotNull() | v("message").isNotNull()) & s("timestamp").isNotNull() & s("sessionId").isNull()}, share(0.9), _pi_prepare, _pi_evidence)

@@ -7,7 +7,6 @@ from loomrecord.operators import dataset as D
 from loomrecord.operators import graph as G
 from loomrecord.operators import insights as I
 from loomrecord.operators import page as P
-from loomrecord.operators import relate as R
 from loomrecord.operators import trajectory as T
 
 
@@ -37,14 +36,6 @@ def test_refused_edges_use_up_no_degree(spark):
     assert rows(bad, "code", "id") == [("degree-limit", "e3"), ("degree-limit", "e6")]
 
 
-def test_lineage_keys_keep_their_parts_apart(spark):
-    e = spark.createDataFrame(
-        [("s", "p", 1, "message", "a|b", "c", "m", None, None), ("s", "p", 2, "message", "a", "b|c", "x", "m", None)],
-        "source_id string, profile_id string, ordinal long, event_kind string, session_id string, turn_id string, message_id string, parent_id string, tool_call_id string")
-    keys = R.lineage_keys(e).collect()
-    assert keys[0].own_key != keys[1].parent_key and keys[0].parent_key is None
-
-
 def test_page_keeps_one_oversized_row_only_at_the_start(spark):
     df = spark.createDataFrame([("s", 0, 0), ("s", 1, 500), ("t", 0, 500), ("t", 1, 1)], "source_id string, ordinal long, content_len long")
     assert rows(P.within_bytes(df, 100), "source_id", "ordinal") == [("s", 0), ("t", 0)]
