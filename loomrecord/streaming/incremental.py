@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def stream_categories(events: DataFrame, dimension: str, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -22,66 +23,134 @@ def stream_problems(records: DataFrame) -> DataFrame:
     return records.select("source_id", "ordinal", F.explode("problems").alias("p")).select("source_id", "ordinal", "p.code", "p.severity")
 
 
-USES = "source_id string, profile_id string, space string, id string, use string, ordinal bigint, event_kind string"
 EDGES = "source_id string, profile_id string, kind string, stable_id string, source_key bigint, target_key bigint"
 KEYS = ["source_id", "profile_id", "space", "id"]
+RECORD = ["source_id", "profile_id", "ordinal"]
+# Uses of an id, in the order in which one record makes them.
+MEMBER, MESSAGE, SUBAGENT, PARENT, CALL, RESULT = range(6)
 
 
 def id_uses(events: DataFrame) -> DataFrame:
-    """One row per use of an id by a record: membership, message, subagent, parent, call or result."""
-    def use(col: str, space: str, name: str, when=None):
+    """One row per use of an id by a record; `late` marks children that are subagents themselves."""
+    def use(col: str, space: str, code: int, when=None):
         test = F.col(col).isNotNull() if when is None else F.col(col).isNotNull() & when
-        return F.when(test, F.struct(F.lit(space).alias("space"), F.col(col).alias("id"), F.lit(name).alias("use")))
+        return F.when(test, F.struct(F.lit(space).alias("space"), F.col(col).alias("id"), F.lit(code).alias("use")))
     kind = F.col("event_kind")
     uses = F.array_compact(F.array(
-        use("session_id", "session", "member"), use("turn_id", "turn", "member"), use("message_id", "node", "message"), use("subagent_id", "node", "subagent"),
-        use("parent_id", "node", "parent"), use("tool_call_id", "tool", "call", kind.isin("tool_call", "action")),
-        use("tool_call_id", "tool", "result", kind.isin("tool_result", "observation"))))
-    return events.select("source_id", "profile_id", "ordinal", "event_kind", F.explode(uses).alias("u")).select("source_id", "profile_id", "u.*", "ordinal", "event_kind")
-
-
-ORDER = {"member": 0, "message": 1, "subagent": 2, "parent": 3, "call": 4, "result": 5}
-
-
-def _step(key, frames, state):
-    """Fold one id's new uses, in record order, into its state; emit each new edge once."""
-    source, profile, space, sid = key
-    st = json.loads(state.get[0]) if state.exists else {"waiting": [], "calls": [], "results": []}
-    rows = pd.concat(list(frames))
-    rows = rows.assign(_o=rows["use"].map(ORDER)).sort_values(["ordinal", "_o"])
-    out = []
-    for use, at, kind in zip(rows["use"], rows["ordinal"].tolist(), rows["event_kind"]):
-        if use == "member":
-            if st.setdefault("anchor", at) != at:
-                out.append((f"{space}_member", st["anchor"], at))
-        elif use in ("message", "subagent"):
-            st[use] = at
-            for child, child_kind in st["waiting"]:
-                late = use == "subagent" or child_kind == "subagent"
-                out.append(("subagent_parent" if late else "parent_child", at, child))
-            st["waiting"] = []
-        elif use == "parent":
-            owner = st.get("message", st.get("subagent"))
-            if owner is None:
-                st["waiting"].append([at, kind])
-            else:
-                out.append(("parent_child", owner, at))
-        elif use == "call":
-            out += [("tool_pair", at, r) for r in st["results"]]
-            st["calls"].append(at)
-        else:
-            out += [("tool_pair", c, at) for c in st["calls"]]
-            st["results"].append(at)
-    state.update((json.dumps(st),))
-    yield pd.DataFrame([(source, profile, k, sid, a, b) for k, a, b in out], columns=["source_id", "profile_id", "kind", "stable_id", "source_key", "target_key"])
+        use("session_id", "session", MEMBER), use("turn_id", "turn", MEMBER), use("message_id", "node", MESSAGE), use("subagent_id", "node", SUBAGENT),
+        use("parent_id", "node", PARENT), use("tool_call_id", "tool", CALL, kind.isin("tool_call", "action")),
+        use("tool_call_id", "tool", RESULT, kind.isin("tool_result", "observation"))))
+    return events.select("source_id", "profile_id", "ordinal", (F.coalesce(kind, F.lit("")) == "subagent").alias("late"), F.explode(uses).alias("u")).select("source_id", "profile_id", "u.*", "ordinal", "late")
+
 
+class Correlator(StatefulProcessor):
+    """Relations of one id. What it has seen lies in the state store, lists of ordinals included, and is read row by row.
 
-def stream_relations(events: DataFrame) -> DataFrame:
-    """Relations of a stream of events; children that come before their parent wait in state.
+    Of a batch, one id's uses are held as ten bytes each, so that they can be put into
+    record order; triggers bound them (maxBytesPerTrigger and the like).
+    """
 
-    State is kept per (source, profile, id), so it spreads over the cluster like the ids do.
+    CHUNK = 100_000
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        value = lambda name: handle.getValueState(name, "at bigint", self.ttl_ms)
+        many = lambda name, schema: handle.getListState(name, schema, self.ttl_ms)
+        self.anchor, self.message, self.subagent = value("anchor"), value("message"), value("subagent")
+        self.calls, self.results, self.waiting = many("calls", "at bigint"), many("results", "at bigint"), many("waiting", "at bigint, late boolean")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        source, profile, space, stable = key
+        parts = [(f["ordinal"].to_numpy(np.int64), f["use"].to_numpy(np.int8), f["late"].to_numpy(bool)) for f in rows]
+        at, use, late = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((use, at))
+        at, use, late = at[order], use[order], late[order]
+        edges = self._members(space, at) if space in ("session", "turn") else self._pairs(at[use == CALL], at[use == RESULT]) if space == "tool" else self._parents(at, use, late)
+        for kind, a, b in edges:
+            if len(b):
+                yield pd.DataFrame({"source_id": source, "profile_id": profile, "kind": kind, "stable_id": stable, "source_key": a, "target_key": b})
+
+    def _members(self, space: str, at: np.ndarray):
+        if self.anchor.exists():
+            anchor = self.anchor.get()[0]
+        else:
+            anchor = int(at[0])
+            self.anchor.update((anchor,))
+        for i in range(0, len(at), self.CHUNK):
+            own = at[i:i + self.CHUNK]
+            own = own[own != anchor]
+            yield f"{space}_member", np.full(len(own), anchor), own
+
+    def _seen(self, held) -> Iterator[np.ndarray]:
+        """A list of the state in chunks."""
+        part = []
+        for row in held.get():
+            part.append(row[0])
+            if len(part) == self.CHUNK:
+                yield np.array(part, np.int64)
+                part = []
+        if part:
+            yield np.array(part, np.int64)
+
+    def _pairs(self, calls: np.ndarray, results: np.ndarray):
+        """Each call with each result, as soon as the later of both is there."""
+        for held, new, flip in ((self.results, calls, False), (self.calls, results, True)):
+            if len(new) and held.exists():
+                for old in self._seen(held):
+                    for one in new.tolist():
+                        yield "tool_pair", *((old, np.full(len(old), one)) if flip else (np.full(len(old), one), old))
+        for one in calls.tolist():
+            yield "tool_pair", np.full(len(results), one), results
+        for held, new in ((self.calls, calls), (self.results, results)):
+            if len(new):
+                held.appendList([(x,) for x in new.tolist()])
+
+    def _parents(self, at: np.ndarray, use: np.ndarray, late: np.ndarray):
+        """A child takes the latest message, else the latest subagent of its id up to itself; without any it waits for the first that comes."""
+        def latest(code: int, state):
+            known = state.get()[0] if state.exists() else -1
+            return np.maximum.accumulate(np.r_[known, np.where(use == code, at, -1)])[1:] if known < 0 else np.where(
+                (last := np.maximum.accumulate(np.where(use == code, np.arange(len(at)), -1))) < 0, known, at[last])
+        message, subagent = latest(MESSAGE, self.message), latest(SUBAGENT, self.subagent)
+        child = use == PARENT
+        owner = np.where(message >= 0, message, subagent)
+        yield "parent_child", owner[child & (owner >= 0)], at[child & (owner >= 0)]
+        open_ = child & (owner < 0)
+        writers = np.flatnonzero((use == MESSAGE) | (use == SUBAGENT))
+        if len(writers):
+            first, by_subagent = int(at[writers[0]]), use[writers[0]] == SUBAGENT
+            if self.waiting.exists():
+                for row in self.waiting.get():
+                    yield "subagent_parent" if by_subagent or row[1] else "parent_child", np.array([first]), np.array([row[0]])
+                self.waiting.clear()
+            for kind, mine in (("subagent_parent", open_ & (late | by_subagent)), ("parent_child", open_ & ~late & ~by_subagent)):
+                yield kind, np.full(int(mine.sum()), first), at[mine]
+            for code, state, last in ((MESSAGE, self.message, message), (SUBAGENT, self.subagent, subagent)):
+                if (use == code).any():
+                    state.update((int(last[-1]),))
+        elif open_.any():
+            self.waiting.appendList(list(zip(at[open_].tolist(), late[open_].tolist())))
+
+
+def stream_relations(events: DataFrame, keep: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Relations of a stream of events, each once; children that come before their parent wait in state.
+
+    A record that is delivered again is dropped before anything else. State is kept per
+    (source, profile, id) in RocksDB, so it spreads over the cluster like the ids do and
+    does not have to fit in memory. With `keep` (such as "2 days", by the events' `ts`)
+    repeats are only looked for that long, and with `ttl_ms` an id that was not written
+    for that long is forgotten (availableNow then needs
+    spark.sql.streaming.noDataMicroBatches.enabled off); without them nothing expires. Within a trigger records
+    are taken by ordinal, across triggers as delivered.
     """
     import loomrecord.streaming.incremental as here
 
     cloudpickle.register_pickle_by_value(here)
-    return id_uses(events).groupBy(*KEYS).applyInPandasWithState(_step, EDGES, "state string", "append", GroupStateTimeout.NoTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    once = events.withWatermark("ts", keep).dropDuplicatesWithinWatermark(RECORD) if keep else events.dropDuplicates(RECORD)
+    return id_uses(once).groupBy(*KEYS).transformWithStateInPandas(Correlator(ttl_ms), EDGES, "append", "None" if ttl_ms is None else "ProcessingTime")
