@@ -20,12 +20,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrecord.llm.common import ChunkCache, map_rows
+from loomrecord.llm.common import map_rows
 from loomrecord.llm.token_count import _NONE as NO_MERGE, MergeTable, counter
 
 END = b"\0\0\0\0"
 #: Beyond Latin, the library's own character classes decide (as token_count.TokenCounter.split).
 _FAR = re.compile("[\u0250-\U0010ffff]")
+#: Characters without or of white space in a row that make a very long piece.
+LONG = 1000
+_BLANK = re.compile(rf"\s{{{LONG}}}")
+
+
+def has_long_piece(text: str) -> bool:
+    """Whether LONG characters may stand together: half as many without a space, at the same places of any text, or a run of white space."""
+    half = LONG // 2
+    return len(text) >= LONG and (any(text.find(" ", i, i + half) < 0 for i in range(0, len(text) - half, half)) or _BLANK.search(text) is not None)
+
 
 
 class OpenBins:
@@ -109,9 +119,10 @@ class HashedMerges(MergeTable):
 class IdBytes:
     """Texts to little-endian 32-bit ids, as the tokenizers library gives them.
 
-    Chunks seen for the first time are merged many at once (token_count.MergeTable); the
-    library itself encodes texts whose chunks can't be told apart safely or that hold a
-    special token's string.
+    Where ids rise in the order of the merges, the tiktoken library gives the same ids
+    sooner; it gets the texts for which both libraries' patterns agree. The tokenizers
+    library encodes the others: those with characters beyond Latin, with a special
+    token's string, or with very long pieces.
     """
 
     def __init__(self, name: str, limit: int = 400_000):
@@ -119,10 +130,29 @@ class IdBytes:
 
         self.tokenizer, self.counter = Tokenizer.from_file(public_tokenizers.path(name)), counter(name)
         self.table, self.special, self.limit = HashedMerges(public_tokenizers.path(name)), self.counter.table.special, limit
-        self.first, self.rest, self.old, self.pieces = {}, {}, {}, {}
+        self.pieces, self.fast = {}, self._by_rank(name)
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id, from the bytes of the two that it merges."""
+        table = self.table
+        out = [b""] * (int(max(table.made.max(), table.base.max())) + 1)
+        for i, token in enumerate(table.base.tolist()):
+            out[token] = bytes([i])
+        order = np.argsort(table.ranks, kind="stable")
+        for key, made in zip(table.keys[order].tolist(), table.made.tolist()):
+            out[made] = out[key >> 20] + out[key & (1 << 20) - 1]
+        return out
+
+    def _by_rank(self, name: str):
+        import tiktoken
+
+        if (np.diff(self.table.made) <= 0).any() or self.table.base.max() >= self.table.made.min():
+            return None
+        ranks = {token: i for i, token in enumerate(self.token_bytes()) if token}
+        return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Chunks differ mostly in punctuation, so the pattern's matches are remembered one by one."""
+        """Ids of parts of texts, special tokens' strings taken as plain text; the pattern's matches are remembered."""
         known = self.pieces
         if len(known) > self.limit:
             known.clear()
@@ -136,32 +166,13 @@ class IdBytes:
         get = known.__getitem__
         return [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
 
-    def _parted(self, texts: list[str]) -> list[bytes]:
-        """As common.ChunkCache, with ids for values: texts cut at single spaces, distinct chunks encoded once, two generations."""
-        if len(self.first) + len(self.rest) > self.limit:
-            self.first, self.rest, self.old = {}, {}, self.rest
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        rest, first = self.rest, self.first
-        new = set().union(*split).difference(rest)
-        if self.old and new:
-            again = new.intersection(self.old)
-            rest.update((c, self.old[c]) for c in again)
-            new -= again
-        if new:
-            order = list(new)
-            rest.update(zip(order, self._chunks([" " + c for c in order])))
-        fresh = list(set(heads).difference(first))
-        if fresh:
-            first.update(zip(fresh, self._chunks(fresh)))
-        get = rest.__getitem__
-        return [first[h] + b"".join(map(get, s)) for h, s in zip(heads, split)]
+    def _one(self, text: str) -> bytes:
+        odd = self.fast is None or any(s in text for s in self.special) or _FAR.search(text) or has_long_piece(text)
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if odd else self.fast.encode_to_numpy(text)
+        return np.asarray(ids, "<u4").tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if t and ChunkCache.safe(t) and not any(s in t for s in self.special)]
-        done = dict(zip(plain, self._parted([texts[i] for i in plain])))
-        library = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [done[i] if i in done else library(t) if t else b"" for i, t in enumerate(texts)]
+        return [self._one(t) if t else b"" for t in texts]
 
 
 @functools.lru_cache(maxsize=2)

@@ -74,13 +74,7 @@ class Aligner:
         import sentencepiece
 
         self.a, self.b = IdBytes(a), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(b))
-        table = self.a.counter.table
-        self.bytes_a = [b""] * (int(max(table.made.max(), table.base.max())) + 1)
-        for i, token in enumerate(table.base.tolist()):
-            self.bytes_a[token] = bytes([i])
-        rank = np.argsort(table.ranks, kind="stable")
-        for key, made in zip(table.keys[rank].tolist(), table.made.tolist()):
-            self.bytes_a[made] = self.bytes_a[key >> 20] + self.bytes_a[key & (1 << 20) - 1]
+        self.bytes_a = self.a.token_bytes()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         # No piece joins a character to a space after it, so none reaches over a single space.
