@@ -37,7 +37,6 @@ def has_long_piece(text: str) -> bool:
     return len(text) >= LONG and (any(text.find(" ", i, i + half) < 0 for i in range(0, len(text) - half, half)) or _BLANK.search(text) is not None)
 
 
-
 class OpenBins:
     """Open sequences by free space, found with a bitset."""
 
