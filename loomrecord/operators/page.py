@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 from loomrecord.operators.where import EVENT_FIELDS, USAGE_FIELDS
+from loomrecord.session import materialize
 
 # Alphabetical rank of the kind names; both numeric kinds share one rank.
 KIND_RANK = {"array": 1, "boolean": 2, "integer": 3, "number": 3, "object": 4, "string": 5}
@@ -66,6 +67,22 @@ def sort_mixed(df: DataFrame, path: list, descending: bool = False, text: str =
     return df.orderBy(missing.asc(), *[flip(c) for c in keys.values()], F.col("ordinal").asc())
 
 
+def with_positions(ordered: DataFrame, position: str = "position") -> DataFrame:
+    """A sorted frame with each row's place in the whole, from 1.
+
+    The sort deals ranges to partitions; rows are numbered inside them and shifted by
+    the sizes of the partitions before. Written once, so that both passes see the same
+    rows; one row per partition is all that is ever brought together.
+    """
+    base = (1 << 33) - 1  # of monotonically_increasing_id: the partition stands above these bits
+    kept = materialize(ordered.withColumn("_row", F.monotonically_increasing_id()), "sorted")
+    sizes = kept.groupBy(F.shiftright("_row", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    kept = kept.withColumn("_part", F.shiftright("_row", 33)).join(F.broadcast(sizes), "_part")
+    return kept.withColumn(position, F.col("_before") + F.col("_row").bitwiseAND(base) + 1).drop("_row", "_part", "_before")
+
+
 def top_page(df: DataFrame, path: list, offset: int, limit: int, descending: bool = False, key: list[str] | None = None) -> DataFrame:
     """A sorted page with late materialisation.
 

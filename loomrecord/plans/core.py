@@ -333,19 +333,14 @@ def o04(spark, sf):
 MIXED_ORDER = "(mixed_kind IS NULL OR mixed_kind = 'null'), CASE mixed_kind WHEN 'array' THEN 1 WHEN 'boolean' THEN 2 WHEN 'integer' THEN 3 WHEN 'number' THEN 3 WHEN 'object' THEN 4 WHEN 'string' THEN 5 END {0}, mixed_num {0}, mixed_bool {0}, CASE WHEN mixed_kind IN ('array', 'object', 'string') THEN mixed_text END {0}, ordinal"
 
 
-@query("o05_mixed_order", f"""WITH {LOGS} SELECT ordinal, row_number() OVER (ORDER BY {MIXED_ORDER.format('DESC')}) AS position FROM logs ORDER BY {MIXED_ORDER.format('DESC')} LIMIT 8000""")
+@query("o05_mixed_order", f"""WITH {LOGS} SELECT ordinal, row_number() OVER (ORDER BY {MIXED_ORDER.format('DESC')}) AS position FROM logs""")
 def o05(spark, sf):
-    from pyspark.sql import Window
+    return P.with_positions(P.sort_mixed(log_records(spark, sf), ["mixed"], descending=True).select("ordinal")).select("ordinal", "position")
 
-    top = P.sort_mixed(log_records(spark, sf), ["mixed"], descending=True).limit(8000)
-    keys = P.sort_keys(F.col("text"), F.col("value"), "mixed")
-    order = [keys.pop("is_missing").asc(), *[c.desc() for c in keys.values()], F.col("ordinal").asc()]
-    return top.select("ordinal", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("position"))
 
-
-@query("o06_sort_column", f"""WITH {LOGS} SELECT ordinal, severity FROM (SELECT ordinal, CASE WHEN {IS_LOG} THEN severity END AS severity FROM logs) ORDER BY severity NULLS LAST, ordinal LIMIT 300""")
+@query("o06_sort_column", f"""WITH {LOGS} SELECT ordinal, severity, row_number() OVER (ORDER BY severity NULLS LAST, ordinal) AS position FROM (SELECT ordinal, CASE WHEN {IS_LOG} THEN severity END AS severity FROM logs)""")
 def o06(spark, sf):
-    return P.sort_by(log_events(spark, sf), "severity").select("ordinal", "severity").limit(300)
+    return P.with_positions(P.sort_by(log_events(spark, sf), "severity").select("ordinal", "severity"))
 
 
 @query("o07_matched_total", f"WITH {LOGS} SELECT count(*) AS matched FROM logs WHERE severity = 'error'")

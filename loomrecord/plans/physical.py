@@ -184,13 +184,16 @@ def x01(spark, sf):
     UNION ALL SELECT 'turn_member', f FROM (SELECT ordinal, min(ordinal) OVER (PARTITION BY turn_id) AS f FROM ag) WHERE f <> ordinal)
   SELECT kind, count(*) AS edges, CAST(sum(s) AS BIGINT) AS source_sum FROM e WHERE s IS NOT NULL GROUP BY 1""")
 def x04(spark, sf):
-    base = f"{scratch_dir(spark)}/events"
-    events = agent_events(spark, sf).select("source_id", "profile_id", "ordinal", "event_kind", "session_id", "turn_id", "message_id", "parent_id", "tool_call_id", "subagent_id")
-    # Two batches in record order: early turns of every conversation, then the later ones.
-    for early in (True, False):
-        events.filter((F.col("ordinal") % 10 < 3) == early).coalesce(1).write.mode("append").parquet(base)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base)
-    return drain(spark, X.stream_relations(stream), "edges").groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.sum("source_key").cast("bigint").alias("source_sum"))
+    """Two deliveries in record order, early turns of every conversation and then the later ones; the early ones come again with them."""
+    base = scratch_dir(spark)
+    columns = ["source_id", "profile_id", "ordinal", "event_kind", "session_id", "turn_id", "message_id", "parent_id", "tool_call_id", "subagent_id"]
+    events = materialize(agent_events(spark, sf).select(*columns), "events")
+    early = F.col("ordinal") % 10 < 3
+    for n, part in enumerate((events.filter(early), events)):
+        part.write.parquet(f"{base}/in/delivery{n}")
+        stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        X.stream_relations(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(X.EDGES).parquet(f"{base}/out").groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.sum("source_key").cast("bigint").alias("source_sum"))
 
 
 @query("x05_stream_buckets", "SELECT floor((epoch_us(ts) // 1000) / 3600000)::BIGINT * 3600000 AS start_ms, event_type AS label, count(*) AS \"count\" FROM events GROUP BY 1, 2")
