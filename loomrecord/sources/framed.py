@@ -183,8 +183,22 @@ class FramedReader(DataSourceReader):
             yield from batches(partition)
 
 
+#: Bytes at the start of a file and before an offset whose digests tell whether it is still the same file.
+PROOF = 64 << 10
+
+
+def digest_of(f, start: int, end: int) -> str:
+    f.seek(start)
+    return hashlib.sha256(f.read(end - start)).hexdigest()
+
+
 class FramedStream(DataSourceStreamReader):
-    """Follows growing files. The offset of a file is the end of its last whole line."""
+    """Follows growing files.
+
+    The offset of a file is the end of its last whole line, with digests of the bytes at
+    its start and before that end. A file that shrank, went away or holds other bytes
+    there, be it as large as before or larger, is a new generation and needs a new query.
+    """
 
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("splitbytes", 128 << 20))
@@ -206,18 +220,25 @@ class FramedStream(DataSourceStreamReader):
                         end = start + hit + 1
                         break
                     end = start
-                out[name] = end
+                head = min(PROOF, end)
+                out[name] = {"end": end, "head_bytes": head, "head": digest_of(f, 0, head), "tail": digest_of(f, max(0, end - PROOF), end)}
         return out
 
+    @staticmethod
+    def same(name: str, known: dict) -> bool:
+        fs, _ = open_path(name)
+        with fs.open_input_file(name) as f:
+            end = known["end"]
+            return f.size() >= end and digest_of(f, 0, known["head_bytes"]) == known["head"] and digest_of(f, max(0, end - PROOF), end) == known["tail"]
+
     def partitions(self, start, end):
         out = []
-        for name, done in start.items():
-            # A file that shrank or went away is a new generation and needs a new query.
-            if end.get(name, -1) < done:
+        for name, known in start.items():
+            if end.get(name, {"end": -1})["end"] < known["end"] or not self.same(name, known):
                 raise ValueError(f"{name} was truncated, replaced or deleted: start a new query")
-        for name, stop in end.items():
-            for at in range(start.get(name, 0), stop, self.split):
-                out.append(ByteRange(name, "", at, min(at + self.split, stop), need_end=True))
+        for name, to in end.items():
+            for at in range(start[name]["end"] if name in start else 0, to["end"], self.split):
+                out.append(ByteRange(name, to["head"][:16], at, min(at + self.split, to["end"]), need_end=True))
         return out or [ByteRange("", "", 0, 0)]
 
     def read(self, partition):

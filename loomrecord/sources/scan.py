@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,6 +144,39 @@ def source_manifest(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("surface", source_surface(F.col("source_id")))
 
 
+def manifest(spark: SparkSession, path: str, upto: DataFrame | None = None, split_bytes: int = 128 << 20) -> DataFrame:
+    """(source_id, size_bytes, mtime, prefix_sha) of the files at a path, digests taken from their bytes.
+
+    `prefix_sha` covers each whole file, or with `upto`, an earlier manifest, the bytes
+    that the file had then (null where it is shorter now). Ranges of `split_bytes` are
+    digested by tasks of their own; the digest of a file is that of its ranges' digests in
+    order, so it depends on `split_bytes`, which both manifests must share.
+    """
+    register(spark)
+    files = framed.list_files(path)
+    found = spark.createDataFrame(files, "source_id string, size_bytes bigint, mtime bigint")
+    want = found.withColumn("stop", F.col("size_bytes")) if upto is None else found.join(upto.select("source_id", F.col("size_bytes").alias("stop")), "source_id", "left")
+    covered = F.col("stop").isNotNull() & (F.col("stop") <= F.col("size_bytes"))
+    ranges = want.where(covered).select("source_id", "stop", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("stop") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))).alias("at"))
+
+    def run(frames):
+        for frame in frames:
+            shas = []
+            for name, stop, at in zip(frame["source_id"], frame["stop"], frame["at"]):
+                fs, _ = framed.open_path(name)
+                left, sha = min(split_bytes, stop - at), hashlib.sha256()
+                with fs.open_input_file(name) as f:
+                    f.seek(at)
+                    while left > 0 and (block := f.read(min(framed.CHUNK, left))):
+                        sha.update(block)
+                        left -= len(block)
+                shas.append(sha.hexdigest())
+            yield frame[["source_id", "at"]].assign(sha=shas)
+    parts = ranges.repartition("source_id", "at").mapInPandas(run, "source_id string, at bigint, sha string")
+    whole = parts.groupBy("source_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "sha"))), lambda x: x["sha"]), "").cast("binary"), 256).alias("prefix_sha"))
+    return found.join(whole, "source_id", "left")
+
+
 def refresh(old: DataFrame, new: DataFrame) -> DataFrame:
     """Manifests (source_id, size_bytes, mtime, prefix_sha) -> what happened to each source.
 

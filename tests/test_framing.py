@@ -114,3 +114,35 @@ def test_one_very_long_line(tmp_path):
     began = time.time()
     got = [(at, len(content), delim) for at, content, delim in framed.lines(pafs.LocalFileSystem(), framed.ByteRange(str(path), "g", 0, 64 << 20))]
     assert got == [(0, 64 << 20, 1)] and time.time() - began < 20
+
+
+def test_replaced_files_stop_the_stream(spark, tmp_path):
+    """Same size, or larger, with other bytes; growth alone goes on."""
+    for name, second in (("same", b"9\n2\n"), ("larger", b"9\n2\n3\n"), ("shorter", b"1\n"), ("grown", b"1\n2\n3\n")):
+        src = tmp_path / name
+        src.mkdir()
+        failed = []
+        for data in (b"1\n2\n", second):
+            (src / "a.jsonl").write_bytes(data)
+            if name == "same" and data == second:
+                (src / "b.jsonl").write_bytes(b"0\n")  # something new, so that there is a batch
+            q = S.follow_records(spark, str(src)).writeStream.format("noop").option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+            try:
+                q.awaitTermination()
+            except Exception as e:
+                failed.append("start a new query" in str(e))
+        assert failed == ([] if name == "grown" else [True]), name
+
+
+def test_manifest_of_bytes(spark, tmp_path):
+    files = {"kept": b"abc" * 10, "grown": b"x" * 25, "cut": b"y" * 25, "other": b"z" * 25, "gone": b"q", "empty": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    old = spark.createDataFrame(S.manifest(spark, str(tmp_path), split_bytes=10).collect(), "source_id string, size_bytes bigint, mtime bigint, prefix_sha string")
+    (tmp_path / "grown").write_bytes(b"x" * 40)
+    (tmp_path / "cut").write_bytes(b"y" * 5)
+    (tmp_path / "other").write_bytes(b"w" + b"z" * 24)
+    (tmp_path / "gone").unlink()
+    (tmp_path / "fresh").write_bytes(b"1")
+    got = {r.source_id.rsplit("/", 1)[-1]: r.change for r in S.refresh(old, S.manifest(spark, str(tmp_path), old, 10)).collect()}
+    assert got == {"kept": "unchanged", "grown": "append", "cut": "truncate", "other": "replace", "gone": "delete", "empty": "unchanged", "fresh": "new"}
