@@ -14,6 +14,7 @@ from loomrecord.plans.relations import AG, PARENTS, agent_events, agent_records
 from loomrecord.session import materialize, scratch_dir
 from loomrecord.sources import scan as S
 from loomrecord.streaming import incremental as X
+from loomrecord.streaming import progress as G
 
 
 def staged(spark, sf) -> str:
@@ -178,6 +179,15 @@ def x01(spark, sf):
     return got.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("doc").alias("docs"))
 
 
+@query("x07_progress", """SELECT count(*) AS records, count(*) FILTER (doc_id % 10 IN (3, 5, 6, 7, 8, 9)) AS valid, count(*) FILTER (doc_id % 10 = 0) AS blank,
+  sum(CASE doc_id % 10 WHEN 1 THEN length('{"doc":' || doc_id) WHEN 2 THEN 3 WHEN 4 THEN length('{"doc":' || doc_id || '} x') ELSE 0 END)::BIGINT AS problem_bytes FROM documents""")
+def x07(spark, sf):
+    stream = R.classify(S.follow_records(spark, staged(spark, sf)), raw="raw")
+    q = G.observed_stream(stream).writeStream.format("noop").option("checkpointLocation", f"{scratch_dir(spark)}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return G.progress(spark, q).agg(*[F.max(f"total_{m}").alias(m) for m in ("records", "valid", "blank", "problem_bytes")])
+
+
 @query("x04_incremental_relations", f"""WITH {AG}, {PARENTS}, e AS (SELECT CASE WHEN COALESCE(pm, ps) IS NOT NULL THEN 'parent_child' WHEN lm IS NULL OR ls < lm OR child_kind = 'subagent' THEN 'subagent_parent' ELSE 'parent_child' END AS kind,
     COALESCE(pm, ps, least(lm, ls)) AS s FROM p UNION ALL SELECT 'tool_pair', a.ordinal FROM ag a JOIN ag b ON a.tool_call_id = b.tool_call_id WHERE a.event_kind = 'tool_call' AND b.event_kind = 'tool_result'
     UNION ALL SELECT 'session_member', f FROM (SELECT ordinal, min(ordinal) OVER (PARTITION BY session_id) AS f FROM ag WHERE session_id IS NOT NULL) WHERE f <> ordinal

@@ -146,3 +146,22 @@ def test_manifest_of_bytes(spark, tmp_path):
     (tmp_path / "fresh").write_bytes(b"1")
     got = {r.source_id.rsplit("/", 1)[-1]: r.change for r in S.refresh(old, S.manifest(spark, str(tmp_path), old, 10)).collect()}
     assert got == {"kept": "unchanged", "grown": "append", "cut": "truncate", "other": "replace", "gone": "delete", "empty": "unchanged", "fresh": "new"}
+
+
+def test_progress_of_scans(spark, tmp_path):
+    from loomrecord.operators.records import classify
+    from loomrecord.streaming import progress as G
+
+    src = tmp_path / "src"
+    src.mkdir()
+    totals = []
+    for n, data in enumerate((b'{"a":1}\n\n', b"{\nxyz\n7\n")):
+        (src / f"{n}.jsonl").write_bytes(data)
+        stream = G.observed_stream(classify(S.follow_records(spark, str(src)), raw="raw"))
+        q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        totals += [(r.records, r.bytes, r.valid, r.blank, r.total_problem_bytes) for r in G.progress(spark, q).collect()]
+    assert totals == [(2, 7, 1, 1, 0), (3, 5, 1, 0, 4)]
+    rows, seen = G.observe_scan(S.scan_records(spark, str(src)))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"records": 5, "bytes": 12, "valid": 2, "blank": 1, "problem_bytes": 4}
