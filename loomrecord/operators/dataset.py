@@ -194,6 +194,7 @@ def categories(summaries: DataFrame, limit: int | None = 32, field: str = "categ
 
 # ---- function-calling benchmark records --------------------------------------------
 
+# Fields of the format and the JSON types they hold, the required ones, and its categories.
 CALL_TEXT_FIELDS = {"functions": "ARRAY", "tools": "ARRAY", "turns": "ARRAY", "ground_truth": "ARRAY|OBJECT", "missed_functions": "OBJECT", "initial_config": "OBJECT"}
 CALL_REQUIRED = ["id", "multi_turn", "functions", "tools", "turns", "language", "test_category", "subset", "ground_truth"]
 CALL_CATEGORIES = ["language", "test_category", "subset"]

@@ -111,7 +111,7 @@ def detection_sample(records: DataFrame, edge: int = 32, window: int = 8) -> Dat
     return records.join(n, "source_id").filter(keep).drop("_n")
 
 
-# Path shapes of known producers; the strong ones identify, the names only hint.
+# Path shapes that identify a producer.
 STRONG_PATHS = [
     (r"(^|/)\.codex/history\.jsonl$", "codex-history"),
     (r"(^|/)\.codex/session_index\.jsonl$", "codex-session-index"),
@@ -121,6 +121,7 @@ STRONG_PATHS = [
     (r"(^|/)\.codex/log/session-\d{8}t\d{6}z\.jsonl$", "codex-tui-session-log"),
 ]
 # history.jsonl belongs to two producers and so hints at neither.
+# Names that only hint at one.
 WEAK_NAMES = [
     (r"^session_index\.jsonl$", "codex-session-index"), (r"^rollout-.*\.jsonl$", "codex-rollout"), (r"^trace\.jsonl$", "codex-trace"), (r"^session-.*\.jsonl$", "codex-tui-session-log"),
     (r"\.jsonl\.zst$", "codex-compressed-rollout"),
