@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
+from loomrecord.functions.embedded import embedded_json
 from loomrecord.functions import times as T
 from loomrecord.operators import insights as A
 from loomrecord.operators import page as P
@@ -530,3 +531,14 @@ def errors_per_bucket(spark, sf):
     events = APP_LOG.project(W.where(log_records(spark, sf), tree)).filter(F.col("ts").isNotNull())
     return events.groupBy(T.bucket_start(F.unix_millis("ts"), 300_000).alias("start_ms"), J.as_string(F.element_at("derived", "service")).alias("service")).agg(
         F.count(F.lit(1)).alias("errors"))
+
+
+EMBEDDED = """'x' || doc_id || ' {"doc":' || doc_id || ',"s":"}]"} mid [1,{"k":' || doc_id || '}' || CASE doc_id % 3 WHEN 0 THEN ']' WHEN 1 THEN '}' ELSE '' END || ' tail'"""
+
+
+@query("j27_embedded_json", f"""WITH t AS (SELECT doc_id, {EMBEDDED} AS t, '{{"doc":' || doc_id || ',"s":"}}]"}}' AS a, CASE WHEN doc_id % 3 = 0 THEN '[1,{{"k":' || doc_id || '}}]' ELSE '{{"k":' || doc_id || '}}' END AS b FROM documents)
+  SELECT doc_id, (strpos(t, s) - 1)::INTEGER AS start, (strpos(t, s) - 1 + length(s))::INTEGER AS "end", s AS source FROM (SELECT doc_id, t, unnest([a, b]) AS s FROM t)""")
+def j27(spark, sf):
+    """Two values in prose: one with brackets in a string, one whole, closed by the wrong bracket, or not closed."""
+    d = table(spark, sf, "documents").select("doc_id", F.expr(EMBEDDED.replace("doc_id ||", "string(doc_id) ||")).alias("t"))
+    return d.select("doc_id", F.inline(embedded_json(F.col("t"))))
