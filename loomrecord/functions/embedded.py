@@ -75,7 +75,8 @@ def embedded_json(text, most: int = 4, budget: int = 1 << 24):
 
     Null and plain texts give an empty array. Where an outer container is broken, valid
     ones inside it are taken. Containers nested deeper than Python's parser goes are
-    passed over.
+    passed over, and so are those beyond `budget` characters parsed of one text: of
+    broken nests, every level is tried.
     """
     @F.pandas_udf(FOUND)
     def scan(column: pd.Series) -> pd.Series:
