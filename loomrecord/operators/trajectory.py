@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
+from loomrecord.profiles.wires import error_sql
 
 # Words in type names of blocks that are media, whatever text they carry.
 MEDIA = "image|audio|video|file|base64"
@@ -69,7 +70,7 @@ def has_error(profile: Column, value: Column) -> Column:
     run = (f"CASE WHEN {J.string_sql('v', 'type')} = 'error' AND {J.string_sql('v', 'message')} IS NOT NULL OR {J.string_sql('v', 'type')} = 'turn.failed' AND {J.string_sql('v', 'error', 'message')} IS NOT NULL THEN true "
            f"WHEN {J.string_sql('v', 'type')} = 'item.completed' AND {J.string_sql('v', 'item', 'type')} = 'command_execution' AND {J.string_sql('v', 'item', 'status')} IN ('completed', 'failed') AND schema_of_variant({code}) = 'BIGINT' THEN try_variant_get({code}, '$', 'bigint') != 0 END")
     rollout = f"if({J.string_sql('v', 'type')} = 'event_msg' AND {J.string_sql('v', 'payload', 'type')} = 'error', true, null)"
-    cases = {"claude-code-session@3": block, "pi-coding-agent@1": pi, "codex-exec-jsonl@1": run, "codex-rollout@1": rollout}
+    cases = {"claude-code-session@3": block, "pi-coding-agent@1": pi, "codex-exec-jsonl@1": run, "codex-rollout@1": rollout, "kimi-code-session@5": error_sql("v")}
     out = None
     for name, body in cases.items():
         out = (F.when if out is None else out.when)(profile == name, J.let_sql(value, body))

@@ -14,6 +14,7 @@ from loomrecord.plans.relations import agent_records
 from loomrecord.plans.telemetry import parsed as otel_parsed
 from loomrecord.profiles import registry as P
 from loomrecord.profiles import transcripts as N
+from loomrecord.profiles import wires as W
 
 
 def build(spark, sf, source: str, sql: str):
@@ -111,10 +112,51 @@ def n08(spark, sf):
     return N.PI.project(pi_records(spark, sf)).select("ordinal", "event_kind", "tool_call_id", "status", "message_id")
 
 
-@query("a19_detect_profile", """SELECT unnest(['agent-log', 'app-log', 'exec', 'otel', 'rollout', 'trace', 'transcript']) AS source_id, unnest(['generic-agent-events', 'structured-application-log', 'codex-exec-jsonl', 'opentelemetry', 'codex-rollout', 'codex-trace', 'claude-code-session']) AS profile_id
+def wire_records(spark, sf):
+    return build(spark, sf, "wire", """CASE turn WHEN 0 THEN to_json(named_struct('type', 'metadata', 'protocol_version', '1.5', 'created_at', 1700000000000 + conv_id))
+      WHEN 2 THEN to_json(named_struct('type', 'context.append_loop_event', 'time', 1700000000000 + conv_id * 1000 + turn, 'agentId', 'main', 'event', named_struct('type', 'tool.call', 'uuid', c || '-u', 'stepUuid', c || '-s', 'turnId', 0, 'toolCallId', c || '-k', 'name', 'ls', 'args', named_struct('command', text))))
+      WHEN 3 THEN to_json(named_struct('type', 'context.append_loop_event', 'time', 1700000000000 + conv_id * 1000 + turn, 'event', named_struct('type', 'tool.result', 'toolCallId', c || '-k', 'parentUuid', c || '-u', 'result', named_struct('output', text, 'isError', if(conv_id % 3 = 0, null, conv_id % 3 = 1)))))
+      WHEN 4 THEN to_json(named_struct('type', 'context.append_loop_event', 'event', named_struct('type', 'step.end', 'uuid', c || '-s', 'finishReason', 'completed', 'usage', named_struct('inputOther', length(text), 'inputCacheRead', turn, 'inputCacheCreation', if(conv_id % 2 = 0, 1, null), 'output', 7))))
+      WHEN 5 THEN to_json(named_struct('type', 'turn.ended', 'agentId', 'main', 'turnId', conv_id, 'reason', if(conv_id % 2 = 0, 'completed', 'lost')))
+      ELSE to_json(named_struct('type', 'context.append_message', 'message', named_struct('id', c || '-m' || turn, 'role', role, 'content', array(named_struct('type', 'text', 'text', text)), 'toolCalls', array()))) END""")
+
+
+@query("n09_wire", """WITH w AS (SELECT *, conv_id * 10 + turn AS ordinal, 'c' || conv_id AS c FROM conversations)
+  SELECT ordinal, CASE turn WHEN 0 THEN 'session' WHEN 2 THEN 'tool_call' WHEN 3 THEN 'tool_result' WHEN 4 THEN 'turn' WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'turn' ELSE 'other' END WHEN 1 THEN 'message' ELSE CASE WHEN role = 'tool' THEN 'tool_result' ELSE 'message' END END AS event_kind,
+    CASE WHEN turn = 0 THEN 'system' WHEN turn IN (2, 4) THEN 'assistant' WHEN turn = 3 THEN 'tool' WHEN turn = 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'assistant' END ELSE role END AS actor,
+    CASE WHEN turn IN (2, 3) THEN c || '-k' END AS tool_call_id, CASE turn WHEN 2 THEN c || '-u' WHEN 1 THEN c || '-m1' ELSE CASE WHEN turn > 5 THEN c || '-m' || turn END END AS message_id, CASE WHEN turn = 3 THEN c || '-u' END AS parent_id,
+    CASE WHEN turn = 3 AND conv_id % 3 <> 0 THEN CASE WHEN conv_id % 3 = 1 THEN 'error' ELSE 'completed' END WHEN turn = 4 OR turn = 5 AND conv_id % 2 = 0 THEN 'completed' END AS status,
+    CASE WHEN turn = 2 THEN '0' WHEN turn = 5 AND conv_id % 2 = 0 THEN CAST(conv_id AS VARCHAR) END AS turn_id, CASE WHEN turn = 4 AND conv_id % 2 = 0 THEN length(text) + 5 END::DOUBLE AS usage_input, CASE WHEN turn = 4 THEN 4 END::DOUBLE AS usage_cached,
+    CASE WHEN turn = 0 THEN 1700000000000 + conv_id WHEN turn IN (2, 3) THEN 1700000000000 + conv_id * 1000 + turn END AS ms, CASE WHEN turn = 3 AND conv_id % 3 <> 0 THEN conv_id % 3 = 1 END AS has_error FROM w""")
+def n09_wire(spark, sf):
+    events = W.SESSION_WIRE.project(wire_records(spark, sf), keep=("source_id", "ordinal", "value"))
+    return events.select("ordinal", "event_kind", "actor", "tool_call_id", "message_id", "parent_id", "status", "turn_id", F.col("usage.input").alias("usage_input"), F.col("usage.cached").alias("usage_cached"),
+                         F.unix_millis("ts").alias("ms"), T.has_error(F.concat_ws("@", "profile_id", "profile_version"), F.col("value")).alias("has_error"))
+
+
+def journal_records(spark, sf):
+    return build(spark, sf, "journal", """if(turn = 0, to_json(named_struct('kind', 'journal_header', 'version', 1, 'epoch', c, 'created_at', 1700000000000)), to_json(named_struct('kind', 'event', 'seq', turn,
+      'envelope', named_struct('type', element_at(array('prompt.submitted', 'turn.started', 'tool.call.started', 'tool.result', 'context.spliced', 'subagent.failed', 'strange.event'), int(turn)), 'seq', if(conv_id % 5 = 0 AND turn = 2, 9, turn), 'timestamp', iso,
+      'payload', named_struct('agentId', 'main', 'sessionId', c, 'turnId', if(turn = 2, conv_id, null), 'content', if(turn = 1, array(named_struct('type', 'text', 'text', 'say')), null), 'userMessageId', if(turn = 1, c || '-m', null),
+        'toolCallId', if(turn in (3, 4), c || '-k', null), 'output', if(turn = 4, text, null), 'isError', if(turn = 4, conv_id % 2 = 0, null), 'messages', if(turn = 5 AND conv_id % 2 = 0, array(named_struct('id', 'x', 'role', role, 'content', 'reply')), null),
+        'subagentId', if(turn = 6, c || '-a', null))))))""")
+
+
+@query("n09_journal", """WITH w AS (SELECT *, conv_id * 10 + turn AS ordinal, 'c' || conv_id AS c, conv_id % 5 = 0 AND turn = 2 AS odd FROM conversations)
+  SELECT ordinal, CASE turn WHEN 0 THEN 'session' WHEN 1 THEN 'message' WHEN 2 THEN CASE WHEN odd THEN 'other' ELSE 'turn' END WHEN 3 THEN 'tool_call' WHEN 4 THEN 'tool_result' WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'message' ELSE 'checkpoint' END WHEN 6 THEN 'subagent' ELSE 'other' END AS event_kind,
+    CASE WHEN turn = 0 OR turn = 7 THEN 'system' WHEN turn = 1 THEN 'user' WHEN turn = 2 THEN CASE WHEN NOT odd THEN 'assistant' END WHEN turn = 3 THEN 'assistant' WHEN turn = 4 THEN 'tool' WHEN turn = 5 THEN CASE WHEN conv_id % 2 = 0 THEN role ELSE 'system' END ELSE 'agent' END AS actor,
+    CASE WHEN turn > 0 AND NOT odd THEN c END AS session_id, CASE WHEN turn = 2 AND NOT odd THEN CAST(conv_id AS VARCHAR) END AS turn_id, CASE WHEN turn IN (3, 4) THEN c || '-k' END AS tool_call_id,
+    CASE WHEN turn = 1 THEN c || '-m' WHEN turn = 5 AND conv_id % 2 = 0 THEN 'x' END AS message_id, CASE WHEN turn = 6 THEN c || '-a' END AS subagent_id,
+    CASE WHEN turn = 2 AND NOT odd THEN 'running' WHEN turn = 4 THEN CASE WHEN conv_id % 2 = 0 THEN 'error' ELSE 'completed' END WHEN turn = 6 THEN 'failed' END AS status, CASE WHEN turn = 4 AND conv_id % 2 = 0 OR turn = 6 THEN 'error' END AS severity,
+    CASE WHEN turn = 0 THEN 1700000000000 WHEN NOT odd THEN (1700000000 + conv_id * 60 + turn) * 1000 END AS ms FROM w""")
+def n09_journal(spark, sf):
+    return W.SESSION_WIRE.project(journal_records(spark, sf)).select("ordinal", "event_kind", "actor", "session_id", "turn_id", "tool_call_id", "message_id", "subagent_id", "status", "severity", F.unix_millis("ts").alias("ms"))
+
+
+@query("a19_detect_profile", """SELECT unnest(['agent-log', 'app-log', 'exec', 'journal', 'otel', 'rollout', 'trace', 'transcript', 'wire']) AS source_id, unnest(['generic-agent-events', 'structured-application-log', 'codex-exec-jsonl', 'kimi-code-session', 'opentelemetry', 'codex-rollout', 'codex-trace', 'claude-code-session', 'kimi-code-session']) AS profile_id
   FROM (SELECT count(*) FROM conversations)""")
 def a19(spark, sf):
-    parts = [parse_texts(agent_records(spark, sf)), log_records(spark, sf), exec_records(spark, sf), otel_parsed(spark, sf), rollout_records(spark, sf), trace_records(spark, sf), transcript_records(spark, sf)]
+    parts = [parse_texts(agent_records(spark, sf)), log_records(spark, sf), exec_records(spark, sf), otel_parsed(spark, sf), rollout_records(spark, sf), trace_records(spark, sf), transcript_records(spark, sf), wire_records(spark, sf), journal_records(spark, sf)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

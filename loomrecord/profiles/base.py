@@ -56,7 +56,8 @@ class Profile:
     """A record family: signal columns that detect it and columns that normalise it.
 
     `prepare` may add helper columns; `columns` gives Columns for any of
-    EVENT_COLUMNS over the prepared frame. Absent ones become NULL.
+    EVENT_COLUMNS over the prepared frame. Absent ones become NULL. `varied` gives
+    text columns; `score` is told of each whether a source has two or more values.
     """
 
     id: str
@@ -66,6 +67,7 @@ class Profile:
     score: object = None
     prepare: object = field(default=lambda df: df)
     evidence: object = None
+    varied: object = dict
 
     def project(self, records: DataFrame, keep: tuple[str, ...] = ("source_id", "ordinal"), evidence: bool = False) -> DataFrame:
         """The events of a set of parsed records; records without a value become `other`.

@@ -12,6 +12,7 @@ from loomrecord.profiles.base import Profile
 from loomrecord.profiles.logs import APP_LOG, project_generic
 from loomrecord.profiles.telemetry import TELEMETRY
 from loomrecord.profiles.transcripts import EXEC, HISTORY, PI, ROLLOUT, SESSION_INDEX, TRACE, TRANSCRIPT
+from loomrecord.profiles.wires import SESSION_WIRE
 
 PROFILES: dict[str, Profile] = {}
 THRESHOLD, TOO_CLOSE = 0.65, 0.08
@@ -24,7 +25,7 @@ def register_profile(profile: Profile) -> None:
     PROFILES[profile.id] = profile
 
 
-for _p in (ROLLOUT, EXEC, TRACE, HISTORY, SESSION_INDEX, TRANSCRIPT, PI, AGENT_EVENTS, TELEMETRY, APP_LOG):
+for _p in (ROLLOUT, EXEC, TRACE, HISTORY, SESSION_INDEX, TRANSCRIPT, PI, SESSION_WIRE, AGENT_EVENTS, TELEMETRY, APP_LOG):
     register_profile(_p)
 
 
@@ -34,9 +35,10 @@ def detection_scores(records: DataFrame) -> DataFrame:
     Each profile is one projection and one aggregate to a row per source.
     """
     def one(p: Profile) -> DataFrame:
-        signals = p.signals()
-        hits = p.prepare(records).groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(k) for k, c in signals.items()])
-        score, met = p.score({k: F.col(k) for k in signals}, F.col("_n"))
+        signals, varied = p.signals(), p.varied()
+        hits = p.prepare(records).groupBy("source_id").agg(
+            F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(k) for k, c in signals.items()], *[(F.min(c) < F.max(c)).alias(k) for k, c in varied.items()])
+        score, met = p.score({k: F.col(k) for k in [*signals, *varied]}, F.col("_n"))
         return hits.select("source_id", F.lit(p.id).alias("profile_id"), F.round(score, 6).alias("score"), F.coalesce(met, F.lit(False)).alias("met"))
     out = reduce(DataFrame.unionByName, [one(p) for p in PROFILES.values()])
     return out.select("source_id", "profile_id", "score", (F.col("met") & (F.col("score") >= THRESHOLD)).alias("eligible"))
