@@ -210,51 +210,103 @@ def is_call_benchmark(value: Column) -> Column:
     return J.let_sql(value, f"coalesce(schema_of_variant(v) LIKE 'OBJECT%' AND ({has('functions')} OR {has('tools')}) AND ({has('turns')} OR {has('ground_truth')}) AND (({cats}) OR {named} OR {notes} >= 2), false)")
 
 
-def call_summary(records: DataFrame, key: tuple[str, ...] = ("source_id", "ordinal")) -> DataFrame:
-    """States and counts of the JSON-in-text fields of one benchmark row."""
+# Issues a row may have, in the order in which they are listed, and the roles counted by name.
+CALL_ISSUES = ["missing-field", "malformed-json", "type-mismatch", "over-budget", "invalid-definition", "invalid-turn", "multi-turn-mismatch"]
+CALL_ROLES = ["system", "user", "assistant", "tool", "function"]
+
+
+def leaf_counts(value: Column) -> Column:
+    """STRUCT(texts, objects): the non-empty strings that are values, and the objects, at any depth of a VARIANT.
+
+    Counted on the serialised value: strings become one letter (with a quote behind it when
+    they are empty), so nesting needs neither recursion nor a depth.
+    """
+    flat = F.regexp_replace(F.to_json(value), r"\\.", "x")
+    skeleton = F.regexp_replace(flat, r'"(?=("?))[^"]*+"', "S$1")
+    return F.transform(F.array(skeleton), lambda t: F.struct(
+        F.regexp_count(t, F.lit(r'S(?![":])')).cast("bigint").alias("texts"), F.regexp_count(t, F.lit(r"\{")).cast("bigint").alias("objects")))[0]
+
+
+def call_summary(records: DataFrame, key: tuple[str, ...] = ("source_id", "ordinal"), characters: int | None = None) -> DataFrame:
+    """States and counts of the JSON-in-text fields of one benchmark row, and its issues.
+
+    With `characters`, a longer field is over budget and not looked at. Counts of a field
+    that is not valid are zero; turns are invalid when they are no list, and once for
+    each message without a role.
+    """
+    lists = {**CALL_TEXT_FIELDS, "involved_classes": "ARRAY"}
+    long = {f: "false" if characters is None else f"coalesce(length({J.string_sql('value', f)}) > {int(characters)}, false)" for f in lists}
     df = J.fence(records.filter(is_call_benchmark(F.col("value"))), **{f"_{f}": F.expr(
-        f"if(schema_of_variant({J.get_sql('value', f)}) = 'STRING', try_parse_json('[' || try_variant_get(value, '$.{f}', 'string') || ',0]'), null)") for f in CALL_TEXT_FIELDS})
+        f"if(schema_of_variant({J.get_sql('value', f)}) = 'STRING' AND NOT {long[f]}, try_parse_json('[' || try_variant_get(value, '$.{f}', 'string') || ',0]'), null)") for f in lists})
     states = {}
-    for f, kinds in CALL_TEXT_FIELDS.items():
+    for f, kinds in lists.items():
         g, inner = J.get_sql("value", f), f"schema_of_variant(try_variant_get(_{f}, '$[0]', 'variant'))"
         whole = f"try_variant_get(_{f}, '$[1]', 'bigint') = 0 AND try_variant_get(_{f}, '$[2]', 'variant') IS NULL"
+        own = f"WHEN schema_of_variant({g}) LIKE 'ARRAY%' THEN if(size({_array('value', f)}) = 0, 'empty', 'valid') " if f == "involved_classes" else ""
         states[f"{f}_state"] = F.expr(
-            f"CASE WHEN {g} IS NULL THEN 'missing' WHEN schema_of_variant({g}) != 'STRING' THEN 'type-mismatch' WHEN try_variant_get({g}, '$', 'string') = '' THEN 'empty' "
+            f"CASE WHEN {g} IS NULL THEN 'missing' {own}WHEN schema_of_variant({g}) != 'STRING' THEN 'type-mismatch' WHEN try_variant_get({g}, '$', 'string') = '' THEN 'empty' WHEN {long[f]} THEN 'over-budget' "
             f"WHEN NOT coalesce({whole}, false) THEN 'malformed' WHEN NOT {inner} rlike '^({kinds})' THEN 'type-mismatch' WHEN {inner} IN ('OBJECT<>', 'ARRAY<VOID>') AND "
             f"coalesce(size(try_variant_get(_{f}, '$[0]', 'array<variant>')), size(map_keys(try_variant_get(_{f}, '$[0]', 'map<string,variant>')))) = 0 THEN 'empty' ELSE 'valid' END")
-    def arr(f: str) -> str:
-        return f"coalesce(try_variant_get(_{f}, '$[0]', 'array<variant>'), array())"
-    defs = {}
+    df = J.fence(df, **states)
+    df = J.fence(df, **{f"c_{f}": F.expr(f"if({f}_state = 'valid', try_variant_get(_{f}, '$[0]', 'variant'), null)") for f in CALL_TEXT_FIELDS},
+                 _classes=F.expr(f"if(involved_classes_state = 'valid', coalesce({_array('value', 'involved_classes')}, try_variant_get(_involved_classes, '$[0]', 'array<variant>')), null)"))
+    counts = {}
+    items = {f: f"coalesce(try_variant_get(c_{f}, '$', 'array<variant>'), array())" for f in CALL_TEXT_FIELDS}
+    bad_definition = []
     for f in ("functions", "tools"):
-        inner = f"transform({arr(f)}, d -> if(schema_of_variant({J.get_sql('d', 'function')}) LIKE 'OBJECT%', try_variant_get(d, '$.function', 'variant'), d))"
+        inner = f"transform({items[f]}, d -> if(schema_of_variant({J.get_sql('d', 'function')}) LIKE 'OBJECT%', try_variant_get(d, '$.function', 'variant'), d))"
         good = f"filter({inner}, d -> schema_of_variant(try_variant_get(d, '$.name', 'variant')) = 'STRING')"
-        defs[f"{f}_definitions"] = F.expr(f"size({arr(f)})")
-        defs[f"{f}_valid"] = F.expr(f"size({good})")
-        defs[f"{f}_required"] = F.expr(f"aggregate({good}, 0, (n, d) -> n + coalesce(size(try_variant_get(d, '$.parameters.required', 'array<variant>')), 0))")
-    messages = f"flatten(transform({arr('turns')}, t -> coalesce(try_variant_get(t, '$', 'array<variant>'), array())))"
-    role = "lower(if(schema_of_variant(try_variant_get(m, '$.role', 'variant')) = 'STRING', try_variant_get(m, '$.role', 'string'), null))"
-    df = df.withColumns(states)
-    classes = _array("value", "involved_classes")
-    bad = " OR ".join(f"{f}_state IN ('malformed', 'type-mismatch')" for f in CALL_TEXT_FIELDS)
-    return df.select(
-        *key, *states, *[c.cast("bigint").alias(n) for n, c in defs.items()],
-        F.expr(f"cast(size({arr('turns')}) AS bigint)").alias("turns"), F.expr(f"cast(size(filter({messages}, m -> {role} IS NOT NULL)) AS bigint)").alias("turn_messages"),
-        F.expr(f"cast(size(filter({messages}, m -> {role} = 'user')) AS bigint)").alias("user_messages"),
-        F.expr(f"cast(size({arr('ground_truth')}) AS bigint)").alias("ground_truth_groups"),
-        F.expr(f"cast(size(array_distinct(transform(coalesce({classes}, array()), c -> try_variant_get(c, '$', 'string')))) AS bigint)").alias("classes"),
-        F.expr(f"CASE WHEN schema_of_variant({J.get_sql('value', 'multi_turn')}) = 'BOOLEAN' THEN try_variant_get(value, '$.multi_turn', 'string') WHEN {J.get_sql('value', 'multi_turn')} IS NULL THEN 'missing' ELSE 'invalid' END").alias("multi_turn"),
-        *[F.expr(J.string_sql("value", c)).alias(c) for c in CALL_CATEGORIES],
-        F.expr(f"NOT ({bad}) AND " + " AND ".join(_has(f) for f in CALL_REQUIRED)).alias("valid"))
+        counts[f"{f}_definitions"] = f"size({items[f]})"
+        counts[f"{f}_valid"] = f"size({good})"
+        counts[f"{f}_parameters"] = f"size(filter({good}, d -> schema_of_variant(try_variant_get(d, '$.parameters', 'variant')) LIKE 'OBJECT%'))"
+        counts[f"{f}_required"] = f"aggregate({good}, 0, (n, d) -> n + coalesce(size(try_variant_get(d, '$.parameters.required', 'array<variant>')), 0))"
+        bad_definition.append(f"size({items[f]}) > size({good})")
+    roles = f"flatten(transform({items['turns']}, t -> transform(coalesce(try_variant_get(t, '$', 'array<variant>'), array()), m -> lower(if(schema_of_variant(try_variant_get(m, '$.role', 'variant')) = 'STRING', try_variant_get(m, '$.role', 'string'), null)))))"
+    stray = f"size(filter({items['turns']}, t -> NOT coalesce(schema_of_variant(t) LIKE 'ARRAY%', false)))"
+    counts |= {"turns": f"size({items['turns']})", "turn_messages": "size(filter(_roles, r -> r IS NOT NULL))", "invalid_turns": f"{stray} + size(filter(_roles, r -> r IS NULL))",
+               **{f"{r}_messages": f"size(filter(_roles, r -> r = '{r}'))" for r in CALL_ROLES}, "other_messages": f"size(filter(_roles, r -> r NOT IN ({', '.join(repr(r) for r in CALL_ROLES)})))"}
+    for f in ("missed_functions", "ground_truth"):
+        counts |= {f"{f}_groups": f"coalesce(size(try_variant_get(c_{f}, '$', 'array<variant>')), size(map_keys(try_variant_get(c_{f}, '$', 'map<string,variant>'))), 0)",
+                   f"{f}_calls": f"coalesce(n_{f}.texts, 0)", f"{f}_objects": f"coalesce(n_{f}.objects, 0)"}
+    counts |= {"config_keys": "coalesce(size(map_keys(try_variant_get(c_initial_config, '$', 'map<string,variant>'))), 0)", "config_objects": "coalesce(n_initial_config.objects, 0)",
+               "class_values": "size(_names)", "classes": "size(array_distinct(_names))"}
+    df = J.fence(df, _roles=F.expr(roles), _names=F.expr("filter(transform(coalesce(_classes, array()), c -> if(schema_of_variant(c) = 'STRING', try_variant_get(c, '$', 'string'), null)), c -> c IS NOT NULL)"),
+                 **{f"n_{f}": leaf_counts(F.col(f"c_{f}")) for f in ("missed_functions", "ground_truth", "initial_config")})
+    multi = J.get_sql("value", "multi_turn")
+    df = J.fence(df, **{n: F.expr(f"cast({c} AS bigint)") for n, c in counts.items()},
+                 multi_turn=F.expr(f"CASE WHEN schema_of_variant({multi}) = 'BOOLEAN' THEN try_variant_get(value, '$.multi_turn', 'string') WHEN {multi} IS NULL THEN 'missing' ELSE 'invalid' END"))
+    def any_state(state: str) -> str:
+        return " OR ".join(f"{f}_state = '{state}'" for f in lists)
+    blank = " OR ".join(f"coalesce(try_variant_get(value, '$.{c}', 'string') = '', false)" for c in CALL_CATEGORIES)
+    odd = " OR ".join(f"({_has(c)} AND schema_of_variant({J.get_sql('value', c)}) != 'STRING')" for c in CALL_CATEGORIES)
+    found = {"missing-field": " OR ".join(f"NOT {_has(f)}" for f in CALL_REQUIRED), "malformed-json": any_state("malformed"),
+             "type-mismatch": f"{any_state('type-mismatch')} OR {odd} OR multi_turn = 'invalid' OR size(_names) < coalesce(size(_classes), 0)", "over-budget": f"{any_state('over-budget')} OR {blank}",
+             "invalid-definition": " OR ".join(bad_definition), "invalid-turn": "invalid_turns > 0", "multi-turn-mismatch": "multi_turn = 'true' AND turns_state = 'valid' AND turns < 2"}
+    issues = F.expr("filter(array(" + ", ".join(f"if({c}, '{i}', null)" for i, c in found.items()) + "), i -> i IS NOT NULL)")
+    return J.fence(df, issues=issues).select(*key, *states, *counts, "multi_turn", *[F.expr(J.string_sql("value", c)).alias(c) for c in CALL_CATEGORIES], "issues", (F.size("issues") == 0).alias("valid"))
 
 
 def call_totals(summaries: DataFrame) -> DataFrame:
-    """Sums over the benchmark rows, and the multi-turn split."""
+    """Sums over the benchmark rows, the multi-turn split, and the rows that hold each field."""
     nums = [n for n, t in summaries.dtypes if t == "bigint" and n not in ("ordinal",)]
+    held = [n for n in summaries.columns if n.endswith("_state")]
     return summaries.agg(F.count(F.lit(1)).alias("recognized"), F.count_if("valid").alias("valid"),
                          *[F.count_if(F.col("multi_turn") == s).alias(f"multi_turn_{s}") for s in ("true", "false", "missing", "invalid")],
+                         *[F.count_if(F.col(n) != "missing").alias(n.replace("_state", "_records")) for n in held],
                          *[F.sum(n).cast("bigint").alias(n) for n in nums])
 
 
+def call_issues(summaries: DataFrame) -> DataFrame:
+    """Rows with each issue."""
+    return summaries.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("records"))
+
+
+def call_categories(summaries: DataFrame, limit: int | None = 32) -> DataFrame:
+    """Rows per value of the three category fields; values beyond the first `limit` seen share one NULL row."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in CALL_CATEGORIES])
+    return categories(summaries.withColumn("_pairs", F.filter(pairs, lambda p: p["value"].isNotNull())), limit, "_pairs")
+
+
 # ---- shapes ------------------------------------------------------------------------------
 
 # Block types that mark tool use in a message.

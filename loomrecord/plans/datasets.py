@@ -74,20 +74,26 @@ def call_records(spark, sf):
     text = """to_json(named_struct('id', 'simple_' || p_partkey, 'multi_turn', p_size % 2 = 0, 'functions', CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '[{' ELSE
         '[{"name":"' || p_brand || '","parameters":{"required":["a","b"]}},{"function":{"name":"g"}},{"x":1}]' END, 'tools', '[]',
       'turns', '[[{"role":"user","content":"' || p_name || '"},{"role":"assistant"}],[{"role":"User"}]]', 'ground_truth', if(p_partkey % 3 = 0, '{"a":["f(1)"]}', '[["f(1)","g()"],["h()"]]'),
+      'missed_functions', if(p_partkey % 4 = 0, '{"2":[[{"name":"f{","note":""}],["a\\\\"}"]],"{":{}}', null), 'initial_config', if(p_partkey % 2 = 0, '{"a":{"b":{"c":[{"d":{}}]}},"e":1}', null),
       'language', p_type, 'test_category', 'simple', 'subset', if(p_partkey % 7 = 0, null, 'live'), 'involved_classes', array(p_brand, p_type, p_brand)))"""
     p = spread(table(spark, sf, "part"))
     return parse_texts(p.select(F.lit("calls").alias("source_id"), F.col("p_partkey").alias("ordinal"), F.expr(text).alias("text")))
 
 
 CALLS = """cs AS (SELECT p_partkey AS ordinal, CASE p_partkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'malformed' ELSE 'valid' END AS functions_state, CASE WHEN p_partkey % 5 > 1 THEN 3 ELSE 0 END AS functions_definitions,
-  CASE WHEN p_partkey % 5 > 1 THEN 2 ELSE 0 END AS functions_valid, CASE WHEN p_partkey % 5 > 1 THEN 2 ELSE 0 END AS functions_required, 2 AS turns, 3 AS turn_messages, 2 AS user_messages,
-  CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END AS ground_truth_groups, 2 AS classes, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END AS multi_turn, p_partkey % 5 <> 1 AND p_partkey % 7 <> 0 AS valid FROM part)"""
-COLS = ["ordinal", "functions_state", "functions_definitions", "functions_valid", "functions_required", "turns", "turn_messages", "user_messages", "ground_truth_groups", "classes", "multi_turn", "valid"]
+  CASE WHEN p_partkey % 5 > 1 THEN 2 ELSE 0 END AS functions_valid, CASE WHEN p_partkey % 5 > 1 THEN 1 ELSE 0 END AS functions_parameters, CASE WHEN p_partkey % 5 > 1 THEN 2 ELSE 0 END AS functions_required,
+  2 AS turns, 3 AS turn_messages, 2 AS user_messages, 1 AS assistant_messages, 0 AS invalid_turns, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS ground_truth_groups, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 3 END AS ground_truth_calls,
+  CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 0 END AS missed_functions_groups, CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 0 END AS missed_functions_calls, CASE WHEN p_partkey % 4 = 0 THEN 3 ELSE 0 END AS missed_functions_objects,
+  CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END AS config_keys, CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 0 END AS config_objects, 3 AS class_values, 2 AS classes, CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END AS multi_turn,
+  concat_ws(',', CASE WHEN p_partkey % 7 = 0 THEN 'missing-field' END, CASE WHEN p_partkey % 5 = 1 THEN 'malformed-json' END, CASE WHEN p_partkey % 5 > 1 THEN 'invalid-definition' END) AS issues,
+  p_type, p_partkey % 5 = 0 AND p_partkey % 7 <> 0 AS valid FROM part)"""
+COUNTS = ["functions_definitions", "functions_valid", "functions_parameters", "functions_required", "turns", "turn_messages", "user_messages", "assistant_messages", "invalid_turns", "ground_truth_groups",
+          "ground_truth_calls", "missed_functions_groups", "missed_functions_calls", "missed_functions_objects", "config_keys", "config_objects", "class_values", "classes"]
 
 
-@query("a13_call_record_summary", f"WITH {CALLS} SELECT * FROM cs")
+@query("a13_call_record_summary", f"WITH {CALLS} SELECT * EXCLUDE (p_type) FROM cs")
 def a13(spark, sf):
-    return D.call_summary(call_records(spark, sf)).select(*COLS)
+    return D.call_summary(call_records(spark, sf)).select("ordinal", "functions_state", *COUNTS, "multi_turn", F.array_join("issues", ",").alias("issues"), "valid")
 
 
 @query("a14_is_call_benchmark", "SELECT 'calls' AS source, count(*) AS recognized FROM part UNION ALL SELECT 'data', 0 FROM (SELECT count(*) FROM documents)")
@@ -96,9 +102,21 @@ def a14(spark, sf):
     return both.groupBy(F.col("source_id").alias("source")).agg(F.count_if(D.is_call_benchmark(F.col("value"))).alias("recognized"))
 
 
-@query("a15_call_totals", f"WITH {CALLS} SELECT count(*) AS recognized, count(*) FILTER (valid) AS valid, count(*) FILTER (multi_turn = 'true') AS multi_turn_true, sum(functions_definitions) AS functions_definitions, sum(turn_messages) AS turn_messages FROM cs")
+@query("a15_call_totals", f"""WITH {CALLS} SELECT count(*) AS recognized, count(*) FILTER (valid) AS valid, count(*) FILTER (multi_turn = 'true') AS multi_turn_true, count(*) FILTER (multi_turn = 'false') AS multi_turn_false,
+  count(*) AS functions_records, count(*) FILTER (ordinal % 4 = 0) AS missed_functions_records, {', '.join(f'sum({c})::BIGINT AS {c}' for c in COUNTS)} FROM cs""")
 def a15(spark, sf):
-    return D.call_totals(D.call_summary(call_records(spark, sf))).select("recognized", "valid", "multi_turn_true", "functions_definitions", "turn_messages")
+    return D.call_totals(D.call_summary(call_records(spark, sf))).select("recognized", "valid", "multi_turn_true", "multi_turn_false", "functions_records", "missed_functions_records", *COUNTS)
+
+
+@query("a15_call_issues", f"WITH {CALLS} SELECT i AS issue, count(*) AS records FROM (SELECT unnest(string_split(issues, ',')) AS i FROM cs) WHERE i <> '' GROUP BY 1")
+def a15_issues(spark, sf):
+    return D.call_issues(D.call_summary(call_records(spark, sf)))
+
+
+@query("a15_call_categories", f"""WITH {CALLS}, c AS (SELECT ordinal, 'language' AS field, p_type AS value FROM cs UNION ALL SELECT ordinal, 'test_category', 'simple' FROM cs UNION ALL SELECT ordinal, 'subset', 'live' FROM cs WHERE ordinal % 7 <> 0),
+  g AS (SELECT field, value, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY min(ordinal), value) AS rn FROM c GROUP BY 1, 2) SELECT field, CASE WHEN rn <= 32 THEN value END AS value, sum(n)::BIGINT AS records FROM g GROUP BY 1, 2""")
+def a15_categories(spark, sf):
+    return D.call_categories(D.call_summary(call_records(spark, sf)))
 
 
 def shape_records(spark, sf, constant: bool = False):
