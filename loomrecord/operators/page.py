@@ -198,20 +198,24 @@ def select_columns(df: DataFrame, specs: list[dict], key: tuple[str, ...] = ("so
     return df.select(*key, *out)
 
 
-# The columns shown first for each family of records.
+# The columns shown first for each family of records; families without an entry share that of agents.
 DEFAULT_COLUMNS = {
-    "generic": ["event_kind", "summary"],
-    "agent": ["event_kind", "timestamp_raw", "actor", "summary", "session_id", "tool_call_id"],
+    "generic": [],
+    "opentelemetry": ["event_kind", "timestamp_raw", "severity", "summary", "derived.nestedCount", "derived.service", "derived.operation", "derived.traceCount", "derived.errorCount", "derived.durationMs", "derived.metricCount", "derived.dataPointCount"],
     "structured-application-log": ["timestamp_raw", "severity", "summary", "derived.service", "derived.logger"],
-    "opentelemetry": ["timestamp_raw", "event_kind", "severity", "status", "summary", "derived.service", "session_id"],
-    "software-engineering-agent": ["event_kind", "actor", "summary", "status", "turn_id", "session_id"],
+    "software-engineering-agent": ["event_kind", "summary", "derived.task", "derived.step", "derived.tool", "status"],
+    "codex-history": ["event_kind", "timestamp_raw", "actor", "summary", "session_id", "derived.sourceKind"],
+    "codex-session-index": ["event_kind", "timestamp_raw", "summary", "session_id", "derived.threadName", "derived.sourceKind"],
+    "codex-exec-jsonl": ["event_kind", "summary", "actor", "status", "session_id", "model"],
+    "codex-trace": ["event_kind", "timestamp_raw", "summary", "actor", "status", "session_id", "turn_id"],
+    "agent": ["event_kind", "timestamp_raw", "actor", "summary", "status", "model"],
 }
 
 
-def default_columns(profile: str, requested: list[dict] = ()) -> list[dict]:
-    """A profile's columns merged with requested ones; the first of an id wins."""
+def default_columns(profile: str, requested: list[dict] = (), most: int | None = None) -> list[dict]:
+    """A profile's columns, then the requested ones; the first of an id wins. `most` keeps that many."""
     base = [{"id": n.replace(".", "_"), "field": n} for n in DEFAULT_COLUMNS.get(profile, DEFAULT_COLUMNS["agent"])]
     merged: dict[str, dict] = {}
-    for spec in [*requested, *base]:
+    for spec in [*base, *requested]:
         merged.setdefault(spec["id"], spec)
-    return list(merged.values())
+    return list(merged.values())[:most]

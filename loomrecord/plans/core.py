@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
+from loomrecord.functions.content import code_language, content_class
 from loomrecord.functions.embedded import embedded_json
+from loomrecord.functions.features import Feature, semantic_features
 from loomrecord.functions import times as T
 from loomrecord.operators import insights as A
 from loomrecord.operators import page as P
 from loomrecord.operators import records as R
+from loomrecord.operators.records import parse_texts
 from loomrecord.operators import schema as S
 from loomrecord.operators import where as W
 from loomrecord.plans.corpora import LOGS, log_records
 from loomrecord.plans.registry import query, table
+from loomrecord.session import spread
 from loomrecord.profiles.logs import APP_LOG, log_level, project_generic, severity_is_error_log, trace_id
 
 
@@ -542,3 +546,39 @@ def j27(spark, sf):
     """Two values in prose: one with brackets in a string, one whole, closed by the wrong bracket, or not closed."""
     d = table(spark, sf, "documents").select("doc_id", F.expr(EMBEDDED.replace("doc_id ||", "string(doc_id) ||")).alias("t"))
     return d.select("doc_id", F.inline(embedded_json(F.col("t"))))
+
+
+# ---- content of texts, fields by meaning, optional parts ------------------------------------
+
+CONTENT = """CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '{"a":[' || doc_id || ']}' WHEN 2 THEN '1: # ' || lang || chr(10) || '2: - ' || source WHEN 3 THEN 'log ' || doc_id || ': {"doc":' || doc_id || '} end' ELSE 'plain ' || lang || ' {not json' END"""
+MARKDOWN = " OR ".join(f"regexp_matches(text, '{p}')" for p in (
+    r"(?m)^[^\S\n]*#{1,6}[^\S\n]+\S", r"(?m)^[^\S\n]*(`{3,}|~{3,})[^\S\n]*[A-Za-z0-9_+#.-]*[^\S\n]*$", r"(?m)^[^\S\n]*([-*+][^\S\n]+\S|[0-9]+[.)][^\S\n]+\S|>)", r"(?m)^[^\S\n]*((\*[^\S\n]*){3,}|(-[^\S\n]*){3,}|(_[^\S\n]*){3,})$",
+    r"(?m)^[^\n|]*\|[^\n]*\n[^\S\n]*\|?[^\S\n]*:?-{3,}:?[^\S\n]*(\|[^\S\n]*:?-{3,}:?[^\S\n]*)+\|?[^\S\n]*$", r"\*\*[^*\n]+\*\*|`[^`\n]+`|\[[^\]\n]+\]\([^)\n]+\)"))
+
+
+@query("j26_content_class", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN text IS NULL THEN NULL WHEN {MARKDOWN} THEN 'markdown' ELSE 'text' END WHEN 1 THEN 'json' WHEN 2 THEN 'markdown' WHEN 3 THEN 'json' ELSE 'text' END AS kind FROM documents")
+def j26(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.expr(CONTENT.replace("doc_id ||", "string(doc_id) ||").replace("chr(10)", "char(10)")).alias("t"))
+    return d.select("doc_id", content_class(F.col("t")).alias("kind"))
+
+
+@query("j26_code_language", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'rust' WHEN 1 THEN 'shell' WHEN 2 THEN 'python' WHEN 3 THEN 'javascript' WHEN 4 THEN lower(lang) END AS language FROM documents")
+def j26_language(spark, sf):
+    code = F.expr("""CASE doc_id % 6 WHEN 0 THEN 'pub struct A' || doc_id || ';\n1: fn f' || doc_id || '() {}' WHEN 1 THEN 'cargo test ' || lang || '\nif [ -f a ]; then x; fi' WHEN 2 THEN 'import os\ndef f' || doc_id || '(x): pass'
+      WHEN 3 THEN 'const a = await ' || source || '();' WHEN 4 THEN text ELSE '1: plain words ' || doc_id END""")
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", code_language(code, F.expr("if(doc_id % 6 = 4, ' ' || upper(lang) || ' ', null)")).alias("language"))
+
+
+VOCABULARY = [Feature("content", ("content",), 1.1), Feature("body", ("text", "raw_content")), Feature("list", ("items",), 0.5, ("array",))]
+
+
+@query("j25_semantic_features", """WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^ \t\n\r\f\v]') THEN 0.2 ELSE 0 END AS full_text FROM documents),
+  f AS (SELECT doc_id, 'content' AS feature, '$.content' AS path, 1.14 AS score, 1 AS len FROM d UNION ALL SELECT doc_id, 'content', '$.content.Content', 1.05 + full_text, 2 FROM d UNION ALL SELECT doc_id, 'body', '$.content["raw-content"]', 1.15, 2 FROM d
+    UNION ALL SELECT doc_id, 'list', '$.items', 0.58, 1 FROM d UNION ALL SELECT doc_id, 'body', '$.items[0].TEXT', 1.1, 3 FROM d UNION ALL SELECT doc_id, 'body', '$.items[1].text', 0.9, 3 FROM d)
+  SELECT doc_id AS ordinal, feature, path, round(score, 6)::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, len) AS rank FROM f""")
+def j25(spark, sf):
+    text = "to_json(named_struct('content', named_struct('type', 'User', 'Content', coalesce(text, ''), 'raw-content', lang), 'items', array(named_struct('TEXT', source, 'text', null), named_struct('TEXT', null, 'text', '')), 'Items', 7))"
+    d = spread(table(spark, sf, "documents"))
+    records = parse_texts(d.select(F.lit("features").alias("source_id"), F.col("doc_id").alias("ordinal"), F.expr(text).alias("text")))
+    return semantic_features(records, VOCABULARY).select("ordinal", "feature", "path", F.round("score", 6).alias("score"), "rank")

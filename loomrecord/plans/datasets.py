@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomrecord.operators import dataset as D
+from loomrecord.operators import parts as R
 from loomrecord.operators.records import parse_texts
 from loomrecord.plans.registry import query, table
 from loomrecord.session import spread
@@ -119,6 +120,14 @@ def a15_categories(spark, sf):
     return D.call_categories(D.call_summary(call_records(spark, sf)))
 
 
+@query("p05_row_parts", f"""WITH {CALLS}, {DS} SELECT 'calls' AS source_id, ordinal, 'unknown' AS scene, functions_definitions, ground_truth_calls, NULL::VARCHAR AS signal, true AS talk FROM cs
+  UNION ALL SELECT 'data', ordinal, scene, NULL, NULL, NULL, true FROM ds""")
+def p05(spark, sf):
+    both = call_records(spark, sf).unionByName(data_records(spark, sf))
+    out = R.with_parts(both, conversation=True, dataset=True, profile="opentelemetry")
+    return out.select("source_id", "ordinal", "dataset.scene", "calls.functions_definitions", "calls.ground_truth_calls", "telemetry.signal", F.col("conversation").isNotNull().alias("talk"))
+
+
 def shape_records(spark, sf, constant: bool = False):
     """One training record per document in one of nine shapes, or all in one shape."""
     text = """CASE doc_id % 9 WHEN 0 THEN to_json(named_struct('messages', array(named_struct('role', 'user', 'content', text))))

@@ -13,6 +13,7 @@ from loomrecord.session import spread
 from loomrecord.plans.relations import agent_records
 from loomrecord.plans.telemetry import parsed as otel_parsed
 from loomrecord.profiles import registry as P
+from loomrecord.profiles.engineering import ENGINEERING
 from loomrecord.profiles import transcripts as N
 from loomrecord.profiles import wires as W
 
@@ -153,10 +154,33 @@ def n09_journal(spark, sf):
     return W.SESSION_WIRE.project(journal_records(spark, sf)).select("ordinal", "event_kind", "actor", "session_id", "turn_id", "tool_call_id", "message_id", "subagent_id", "status", "severity", F.unix_millis("ts").alias("ms"))
 
 
-@query("a19_detect_profile", """SELECT unnest(['agent-log', 'app-log', 'exec', 'journal', 'otel', 'rollout', 'trace', 'transcript', 'wire']) AS source_id, unnest(['generic-agent-events', 'structured-application-log', 'codex-exec-jsonl', 'kimi-code-session', 'opentelemetry', 'codex-rollout', 'codex-trace', 'claude-code-session', 'kimi-code-session']) AS profile_id
+def engineering_records(spark, sf):
+    return build(spark, sf, "engineering", """to_json(CASE turn
+      WHEN 0 THEN named_struct('instance_id', c, 'problem_statement', text, 'step', null, 'parent_step', null, 'tool', null, 'action', null, 'observation', null, 'patch', null, 'test_result', null, 'outcome', null, 'timestamp', iso)
+      WHEN 1 THEN named_struct('instance_id', c, 'problem_statement', null, 'step', 1, 'parent_step', null, 'tool', 'grep', 'action', named_struct('command', 'x' || conv_id), 'observation', null, 'patch', null, 'test_result', null, 'outcome', null, 'timestamp', iso)
+      WHEN 2 THEN named_struct('instance_id', c, 'problem_statement', null, 'step', 2, 'parent_step', 1, 'tool', null, 'action', null, 'observation', lang, 'patch', null, 'test_result', null, 'outcome', null, 'timestamp', iso)
+      WHEN 3 THEN named_struct('instance_id', c, 'problem_statement', null, 'step', 3, 'parent_step', null, 'tool', null, 'action', null, 'observation', null, 'patch', 'diff', 'test_result', null, 'outcome', null, 'timestamp', iso)
+      WHEN 4 THEN named_struct('instance_id', c, 'problem_statement', null, 'step', null, 'parent_step', null, 'tool', null, 'action', null, 'observation', null, 'patch', null, 'test_result', if(conv_id % 2 = 0, '3 passed', 'timeout after 1'), 'outcome', null, 'timestamp', iso)
+      WHEN 5 THEN named_struct('instance_id', c, 'problem_statement', null, 'step', 5, 'parent_step', null, 'tool', null, 'action', null, 'observation', null, 'patch', null, 'test_result', null, 'outcome', if(conv_id % 3 = 0, 'failed', 'resolved'), 'timestamp', iso)
+      ELSE named_struct('instance_id', null, 'problem_statement', null, 'step', turn, 'parent_step', null, 'tool', null, 'action', null, 'observation', null, 'patch', null, 'test_result', null, 'outcome', null, 'timestamp', iso) END)""".replace("lang", "'seen ' || conv_id"))
+
+
+@query("n12_engineering", """WITH w AS (SELECT *, conv_id * 10 + turn AS ordinal, 'c' || conv_id AS c FROM conversations), k AS (SELECT *, CASE turn WHEN 0 THEN 'task' WHEN 1 THEN 'action' WHEN 2 THEN 'observation' WHEN 3 THEN 'patch'
+    WHEN 4 THEN CASE WHEN conv_id % 2 = 0 THEN 'test' ELSE 'error' END WHEN 5 THEN CASE WHEN conv_id % 3 = 0 THEN 'error' ELSE 'result' END ELSE 'turn' END AS event_kind, CASE WHEN turn IN (1, 2, 3) OR turn > 4 THEN CAST(turn AS VARCHAR) END AS step FROM w)
+  SELECT ordinal, event_kind, CASE WHEN event_kind IN ('observation', 'test', 'result', 'error') THEN 'tool' WHEN event_kind IN ('action', 'turn', 'patch') THEN 'agent' ELSE 'system' END AS actor, CASE WHEN turn < 6 THEN c END AS session_id, step AS turn_id,
+    CASE WHEN event_kind NOT IN ('observation', 'result', 'test') THEN step END AS message_id, CASE WHEN turn = 2 THEN '1' END AS parent_id, CASE WHEN turn IN (1, 2) THEN step END AS tool_call_id,
+    CASE WHEN turn = 5 THEN CASE WHEN conv_id % 3 = 0 THEN 'failed' ELSE 'resolved' END END AS status, CASE WHEN event_kind = 'error' THEN 'error' END AS severity,
+    CASE turn WHEN 1 THEN 'Tool grep: {command}' WHEN 2 THEN 'Observation: seen ' || conv_id WHEN 3 THEN 'Patch: diff' END AS summary, (1700000000 + conv_id * 60 + turn) * 1000 AS ms FROM k""")
+def n12(spark, sf):
+    e = ENGINEERING.project(engineering_records(spark, sf))
+    return e.select("ordinal", "event_kind", "actor", "session_id", "turn_id", "message_id", "parent_id", "tool_call_id", "status", "severity",
+                    F.when(F.col("event_kind").isin("action", "observation", "patch"), F.col("summary")).alias("summary"), F.unix_millis("ts").alias("ms"))
+
+
+@query("a19_detect_profile", """SELECT unnest(['agent-log', 'app-log', 'engineering', 'exec', 'journal', 'otel', 'rollout', 'trace', 'transcript', 'wire']) AS source_id, unnest(['generic-agent-events', 'structured-application-log', 'software-engineering-agent', 'codex-exec-jsonl', 'kimi-code-session', 'opentelemetry', 'codex-rollout', 'codex-trace', 'claude-code-session', 'kimi-code-session']) AS profile_id
   FROM (SELECT count(*) FROM conversations)""")
 def a19(spark, sf):
-    parts = [parse_texts(agent_records(spark, sf)), log_records(spark, sf), exec_records(spark, sf), otel_parsed(spark, sf), rollout_records(spark, sf), trace_records(spark, sf), transcript_records(spark, sf), wire_records(spark, sf), journal_records(spark, sf)]
+    parts = [parse_texts(agent_records(spark, sf)), log_records(spark, sf), exec_records(spark, sf), otel_parsed(spark, sf), rollout_records(spark, sf), trace_records(spark, sf), transcript_records(spark, sf), wire_records(spark, sf), journal_records(spark, sf), engineering_records(spark, sf)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

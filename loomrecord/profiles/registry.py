@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomrecord.profiles.agents import AGENT_EVENTS
 from loomrecord.profiles.base import Profile
+from loomrecord.profiles.engineering import ENGINEERING
 from loomrecord.profiles.logs import APP_LOG, project_generic
 from loomrecord.profiles.telemetry import TELEMETRY
 from loomrecord.profiles.transcripts import EXEC, HISTORY, PI, ROLLOUT, SESSION_INDEX, TRACE, TRANSCRIPT
@@ -25,7 +26,7 @@ def register_profile(profile: Profile) -> None:
     PROFILES[profile.id] = profile
 
 
-for _p in (ROLLOUT, EXEC, TRACE, HISTORY, SESSION_INDEX, TRANSCRIPT, PI, SESSION_WIRE, AGENT_EVENTS, TELEMETRY, APP_LOG):
+for _p in (ROLLOUT, EXEC, TRACE, HISTORY, SESSION_INDEX, TRANSCRIPT, PI, SESSION_WIRE, AGENT_EVENTS, ENGINEERING, TELEMETRY, APP_LOG):
     register_profile(_p)
 
 
