@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrecord.operators import dataset as D
 from loomrecord.operators import otel as O
-from loomrecord.operators import trajectory as T
+from loomrecord.operators.conversation import conversation_walk
 
 
 def default_parts(profile: str | None = None) -> dict[str, bool]:
@@ -33,7 +33,7 @@ def with_parts(rows: DataFrame, conversation: bool = False, dataset: bool = Fals
         return df.join(summary.select(*key, F.struct(*fields).alias(name)), list(key), "left")
     out = rows
     if conversation:
-        out = out.withColumn("conversation", T.conversation_parts(F.col("value")))
+        out = out.withColumn("conversation", conversation_walk(F.col("value")))
     if dataset:
         out = joined(out, D.record_summary(rows, key), "dataset")
         out = joined(out, D.call_summary(rows, key), "calls")

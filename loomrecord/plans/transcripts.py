@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 from loomrecord.operators import trajectory as T
+from loomrecord.operators.conversation import conversation_walk
 from loomrecord.operators.records import parse_texts
 from loomrecord.plans.corpora import log_records
 from loomrecord.plans.registry import query, table
@@ -196,6 +197,13 @@ def e02(spark, sf):
     return parts.select("ordinal", "p.role", "p.path", "p.text")
 
 
+@query("e02_conversation_walk", f"""WITH {TS} SELECT ordinal, CASE WHEN role = 'system' THEN 'unknown' WHEN turn % 4 = 1 THEN 'assistant' WHEN turn % 4 = 2 THEN 'user' ELSE role END AS role, 'Record' AS label,
+  CASE WHEN role = 'system' THEN '$.content' WHEN turn % 4 = 1 THEN '$.message.content[0].text' WHEN turn % 4 = 2 THEN '$.message.content[0].content' ELSE '$.message.content' END AS path, text FROM ts WHERE text <> ''""")
+def e02_walk(spark, sf):
+    parts = transcript_records(spark, sf).select("ordinal", F.inline(conversation_walk(F.col("value"))["parts"]))
+    return parts.select("ordinal", "role", "label", "path", "text")
+
+
 def trajectory(spark, sf):
     return T.project(N.TRANSCRIPT.project(transcript_records(spark, sf), keep=("source_id", "ordinal", "value")))
 
