@@ -48,10 +48,23 @@ def j02(spark, sf):
     return log_records(spark, sf).select("ordinal", J.kind(J.get(F.col("value"), "mixed")).alias("kind"))
 
 
-@query("j03_display_path", """SELECT 'app-log' AS source, display, count(*) AS n FROM (
-  SELECT unnest(['$', '$["odd key"]', '$.props', '$.props.k']) AS display FROM events) GROUP BY ALL""")
+# Every path of the log records, with the kind and the text of its value.
+PATHS = LOGS + """, n AS (SELECT '$' AS display, ordinal, 'object' AS kind, NULL::VARCHAR AS t FROM logs
+  UNION ALL SELECT '$.timestamp', ordinal, CASE WHEN ordinal % 13 = 0 THEN 'integer' ELSE 'string' END, timestamp_raw FROM logs WHERE ordinal % 13 <> 1
+  UNION ALL SELECT '$.level', ordinal, CASE WHEN event_type = 'click' THEN 'integer' ELSE 'string' END, CASE WHEN event_type = 'click' THEN '30' ELSE severity END FROM logs WHERE severity IS NOT NULL
+  UNION ALL SELECT '$.message', ordinal, 'string', message FROM logs WHERE message IS NOT NULL UNION ALL SELECT '$.service', ordinal, 'string', service FROM logs WHERE service IS NOT NULL
+  UNION ALL SELECT '$.logger', ordinal, 'string', logger FROM logs UNION ALL SELECT '$.requestId', ordinal, 'string', request_id FROM logs UNION ALL SELECT '$.type', ordinal, 'string', event_type FROM logs
+  UNION ALL SELECT '$.traceId', ordinal, 'string', 'projects/p/traces/' || trace_id FROM logs WHERE trace_id IS NOT NULL UNION ALL SELECT '$.spanId', ordinal, 'string', span_id FROM logs WHERE span_id IS NOT NULL
+  UNION ALL SELECT '$.value', ordinal, CASE WHEN value = floor(value) THEN 'integer' ELSE 'number' END, regexp_replace(CAST(value AS VARCHAR), '[.]0$', '') FROM logs WHERE value IS NOT NULL
+  UNION ALL SELECT '$.props', ordinal, 'object', '{"k":' || k || '}' FROM logs UNION ALL SELECT '$.props.k', ordinal, 'integer', CAST(k AS VARCHAR) FROM logs
+  UNION ALL SELECT '$.mixed', ordinal, mixed_kind, mixed_text FROM logs WHERE mixed_kind IS NOT NULL UNION ALL SELECT '$.mixed[0]', ordinal, 'integer', CAST(ordinal % 5 AS VARCHAR) FROM logs WHERE mixed_kind = 'array'
+  UNION ALL SELECT '$.mixed[1]', ordinal, 'integer', '2' FROM logs WHERE mixed_kind = 'array' UNION ALL SELECT '$.mixed.k', ordinal, 'integer', CAST(ordinal % 3 AS VARCHAR) FROM logs WHERE mixed_kind = 'object'
+  UNION ALL SELECT '$["odd key"]', ordinal, 'integer', CAST(ordinal % 4 AS VARCHAR) FROM logs)"""
+
+
+@query("j03_display_path", f"WITH {PATHS} SELECT 'app-log' AS source, display, count(*) AS n FROM n GROUP BY ALL")
 def j03(spark, sf):
-    flat = S.flatten_paths(log_records(spark, sf), depth=2).filter(F.col("display").isin("$", '$["odd key"]', "$.props", "$.props.k"))
+    flat = S.flatten_paths(log_records(spark, sf), depth=2)
     return flat.groupBy(F.col("source_id").alias("source"), "display").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -380,23 +393,19 @@ def w03(spark, sf):
 # ---- H: schema -----------------------------------------------------------------
 
 
-@query("h01_field_stats", f"""WITH {LOGS}, n AS (SELECT * FROM (
-    SELECT '$.mixed' AS display, ordinal, mixed_kind AS kind FROM logs WHERE mixed_kind IS NOT NULL
-    UNION ALL SELECT '$.service', ordinal, 'string' FROM logs WHERE service IS NOT NULL
-    UNION ALL SELECT '$.timestamp', ordinal, CASE WHEN ordinal % 13 = 0 THEN 'integer' ELSE 'string' END FROM logs WHERE ordinal % 13 <> 1
-    UNION ALL SELECT '$.mixed[1]', ordinal, 'integer' FROM logs WHERE mixed_kind = 'array'))
-  SELECT display, count(*) AS seen, count(*) FILTER (kind = 'integer') AS integers, count(*) FILTER (kind = 'string') AS strings, count(*) FILTER (kind = 'null') AS nulls,
+@query("h01_field_stats", f"""WITH {PATHS}
+  SELECT display, count(*) AS seen, count(*) FILTER (kind = 'integer') AS integers, count(*) FILTER (kind = 'string') AS strings, count(*) FILTER (kind = 'number') AS numbers, count(*) FILTER (kind = 'null') AS nulls,
     (SELECT count(*) FROM logs) - count(*) AS missing, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal FROM n GROUP BY display""")
 def h01(spark, sf):
-    st = S.field_stats(log_records(spark, sf)).filter(F.col("display").isin("$.mixed", "$.service", "$.timestamp", "$.mixed[1]"))
-    return st.select("display", "seen", F.col("kind_integer").alias("integers"), F.col("kind_string").alias("strings"), "nulls", "missing", "first_ordinal", "last_ordinal")
+    st = S.field_stats(log_records(spark, sf))
+    return st.select("display", "seen", F.col("kind_integer").alias("integers"), F.col("kind_string").alias("strings"), F.col("kind_number").alias("numbers"), "nulls", "missing", "first_ordinal", "last_ordinal")
 
 
-@query("h01_examples", f"""WITH {LOGS} SELECT '$.service' AS display, string_agg(service, '|' ORDER BY f) AS examples FROM (
-  SELECT service, min(ordinal) AS f FROM logs WHERE service IS NOT NULL GROUP BY service ORDER BY f LIMIT 3)""")
+@query("h01_examples", f"""WITH {PATHS}, g AS (SELECT display, t, min(ordinal) AS f, row_number() OVER (PARTITION BY display ORDER BY min(ordinal)) AS rn FROM n WHERE t IS NOT NULL GROUP BY display, t)
+  SELECT display, string_agg(t, '|' ORDER BY f) AS examples FROM g WHERE rn <= 3 GROUP BY display""")
 def h01b(spark, sf):
-    st = S.field_stats(log_records(spark, sf)).filter(F.col("display") == "$.service")
-    return st.select("display", F.array_join("examples", "|").alias("examples"))
+    """Three examples of every path below the record; those of whole records have no statement in SQL."""
+    return S.field_stats(log_records(spark, sf)).filter(F.col("display") != "$").select("display", F.array_join("examples", "|").alias("examples"))
 
 
 @query("h02_schema_summary", """SELECT count(*) AS observed, count(*) FILTER (doc_id % 5 > 1) AS valid, count(*) FILTER (doc_id % 5 <= 1) AS problem, true AS complete FROM documents""")
@@ -430,10 +439,11 @@ def h05(spark, sf):
     return sig.select("ordinal", "discriminator_path", "discriminator_value", "timestamp_value", message.alias("message"), F.get("identities", F.lit(0))["path"].alias("identity"))
 
 
-@query("h06_path_tree", f"""WITH {LOGS} SELECT '$' AS path, CAST(NULL AS VARCHAR) AS parent, count(*) AS seen, 13 AS children FROM logs UNION ALL SELECT '$.props', '$', count(*), 1 FROM logs
-  UNION ALL SELECT '$.mixed', '$', count(mixed_kind), 2 FROM logs UNION ALL SELECT '$.mixed[]', '$.mixed', 2 * count(*), 0 FROM logs WHERE mixed_kind = 'array'""")
+@query("h06_path_tree", f"""WITH {PATHS}, p AS (SELECT regexp_replace(display, '\\[[0-9]+\\]', '[]') AS path, count(*) AS seen FROM n GROUP BY 1),
+  q AS (SELECT path, seen, CASE WHEN path = '$' THEN NULL WHEN path LIKE '%"]' THEN '$' ELSE regexp_replace(path, '([.][A-Za-z]+|\\[\\])$', '') END AS parent FROM p)
+  SELECT path, parent, seen, (SELECT count(*) FROM q c WHERE c.parent = q.path) AS children FROM q""")
 def h06(spark, sf):
-    return S.path_tree(S.field_stats(log_records(spark, sf))).filter(F.col("path").isin("$", "$.props", "$.mixed", "$.mixed[]"))
+    return S.path_tree(S.field_stats(log_records(spark, sf)))
 
 
 @query("h07_row_types", f"WITH {LOGS} SELECT DISTINCT event_type AS row_type, 'type' AS origin FROM logs UNION ALL SELECT 'log', 'event_kind' FROM (SELECT count(*) FROM logs) UNION ALL SELECT 'other', 'event_kind' FROM (SELECT count(*) FROM logs)")
