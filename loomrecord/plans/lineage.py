@@ -11,7 +11,7 @@ from loomrecord.plans.relations import agent_events
 from loomrecord.plans.transcripts import build
 from loomrecord.profiles import transcripts as N
 from loomrecord.profiles.telemetry import TELEMETRY
-from loomrecord.session import spread
+from loomrecord.session import deal_rows
 
 
 def transcript_events(spark, sf):
@@ -31,7 +31,7 @@ def rollout_events(spark, sf):
 
 def span_events(spark, sf):
     """Spans, and logs inside the span before them; some span ids and some trace ids are all zeros."""
-    o = spread(table(spark, sf, "orders")).withColumns({"sid": F.expr("if(o_custkey % 7 = 0, '0000', 's' || (o_orderkey - o_orderkey % 5))"), "trace": F.expr("if(o_custkey % 11 = 0, '000', 't' || (o_orderkey div 50))")})
+    o = deal_rows(table(spark, sf, "orders")).withColumns({"sid": F.expr("if(o_custkey % 7 = 0, '0000', 's' || (o_orderkey - o_orderkey % 5))"), "trace": F.expr("if(o_custkey % 11 = 0, '000', 't' || (o_orderkey div 50))")})
     text = """CASE o_orderkey % 5 WHEN 0 THEN to_json(named_struct('traceId', trace, 'spanId', sid, 'parentSpanId', if(o_orderkey % 2 = 0, '00', 's' || (o_orderkey - 5)), 'name', o_orderpriority, 'startTimeUnixNano', '1700000000000000000', 'endTimeUnixNano', '1700000000000000001'))
       ELSE to_json(named_struct('timeUnixNano', '1700000000000000000', 'severityNumber', 9, 'body', named_struct('stringValue', o_orderpriority), 'traceId', trace, 'spanId', sid)) END"""
     return TELEMETRY.project(parse_texts(o.select(F.lit("otel").alias("source_id"), F.col("o_orderkey").alias("ordinal"), F.expr(text).alias("text"))), evidence=True)

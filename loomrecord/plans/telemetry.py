@@ -8,13 +8,13 @@ from loomrecord.functions import jsonvalue as J
 from loomrecord.operators import otel as O
 from loomrecord.operators.records import parse_texts
 from loomrecord.plans.registry import query, table
-from loomrecord.session import spread
+from loomrecord.session import deal_rows
 from loomrecord.profiles.telemetry import TELEMETRY
 
 
 def otel_records(spark, sf):
     """Span envelopes, log envelopes and bare spans, logs or metrics, one per order."""
-    o = spread(table(spark, sf, "orders")).withColumns({
+    o = deal_rows(table(spark, sf, "orders")).withColumns({
         "trace": F.expr("'t' || o_custkey"), "sid": F.expr("'s' || o_orderkey"), "t0": F.expr("'1700000000000000000'"),
         "t1": F.expr("cast(1700000000000000000 + o_orderkey * 1500000 AS string)"), "code": F.expr("if(o_orderstatus = 'F', 2, 1)")})
     span = """named_struct('traceId', trace, 'spanId', sid{0}, 'parentSpanId', if(o_orderkey % 2 = 0, 's' || (o_orderkey - 1), null), 'name', o_orderpriority{1}, 'kind', o_orderkey % 6,
