@@ -75,6 +75,10 @@ def lineage_keys(events: DataFrame) -> DataFrame:
         traced = F.when(F.col("trace_proved") & ~F.col(name).rlike("^0+$") & ~F.col("session_id").rlike("^0+$"), F.to_json(F.array(*base, "session_id", name)))
         return F.when(F.col("has_session") & present(name), F.when(span, traced).otherwise(plain))
     tools = F.col("event_kind").isin("tool_call", "tool_result") & (F.col("profile_id") == TOOL_PROFILE) & F.col("tool_call_id").isNotNull()
+    flags = ["parent_proved", "context_proved", "identity_proved", "tool_proved", "trace_proved", "has_turn", "has_session", "no_parent"]
+    ids = ["event_kind", "session_id", "turn_id", "parent_id", "message_id", "tool_call_id"]
+    # Written narrow: both sides of the join below read it, not the records behind it.
+    e = materialize(e.select(*PLACE, "ordinal", *ids, *flags), "proved")
     repeated = e.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*RECORD, F.lit(True).alias("repeated"))
     e = e.join(repeated, RECORD, "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
     alone = ~F.col("repeated")

@@ -7,8 +7,10 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
+from loomrecord.operators import lineage as L
 from loomrecord.operators import schema as S
 from loomrecord.operators.records import parse_texts
+from loomrecord.profiles.telemetry import TELEMETRY
 from loomrecord.session import ROWS_PER_TASK, deal_rows
 
 
@@ -67,3 +69,14 @@ def test_a_large_row_group_is_dealt_to_several_tasks(spark, tmp_path):
     dealt = deal_rows(spark.read.parquet(str(tmp_path / "t")))
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == rows and max(sizes) <= ROWS_PER_TASK
+
+
+def test_lineage_keys_do_not_go_back_to_the_records(spark):
+    """The test for repeated places reads written ids; the records are parsed once, before."""
+    span = '{"traceId":"t1","spanId":"s%d","parentSpanId":"s%d","name":"n","startTimeUnixNano":"1","endTimeUnixNano":"2"}'
+    events = TELEMETRY.project(texts(spark, [(1, span % (1, 0)), (2, span % (2, 1)), (2, span % (2, 1)), (3, span % (3, 1))]), evidence=True)
+    keys = L.lineage_keys(events)
+    plan = explained(keys)
+    assert "try_parse_json" not in plan and "parseJson" not in plan
+    assert sorted((r.ordinal, r.repeated, r.own_id, r.parent_id) for r in keys.collect()) == sorted(
+        [(1, False, "s1", "s0"), (2, True, None, None), (2, True, None, None), (3, False, "s3", "s1")])
