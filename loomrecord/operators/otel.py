@@ -24,47 +24,72 @@ def scalar_either(value: str, *keys: str) -> str:
     return J.coalesce_sql(*[J.scalar_sql(J.get_sql(value, k)) for k in keys])
 
 
+# The fields that tell a record's signal. Names that begin with a capital stand in a struct of their own.
+_ENVELOPE_KEYS = [env for env, _, _ in ENVELOPES.values()]
+_SIGNAL_KEYS = [*_ENVELOPE_KEYS, "traceId", "spanId", "name", "startTimeUnixNano", "endTimeUnixNano", "status", "kind", "body", "timeUnixNano", "observedTimeUnixNano",
+                "severityText", "severityNumber", *METRIC_KINDS]
+_SIGNAL_CAPITALS = ["TraceId", "SpanId", "Name", "StartTime", "EndTime", "Status", "Body", "Timestamp", "ObservedTimestamp", "SeverityText", "SeverityNumber"]
+
+
+def _capital(key: str) -> str:
+    return key[0].upper() + key[1:]
+
+
+def field(key: str) -> str:
+    """A field of the structs made by `with_fields`."""
+    return f"{'_u' if key[0].isupper() else '_l'}.{key}"
+
+
+def with_fields(df: DataFrame, value: str, keys: list[str], capitals: list[str]) -> DataFrame:
+    """`_l` and `_u`: the named fields of an object, taken apart once per row."""
+    return J.fence(df, _l=J.fields(F.col(value), *keys), _u=J.fields(F.col(value), *capitals))
+
+
+def first_scalar(*keys: str) -> str:
+    """First scalar among fields of the structs made by `with_fields`."""
+    return J.coalesce_sql(*[J.scalar_sql(field(k)) for k in keys])
+
+
 def _evidence_sql(signal: str) -> str:
     env, scope, item = ENVELOPES[signal]
-    return f"exists({items_sql('v', env)}, g -> exists({items_sql('g', scope)}, s -> size({items_sql('s', item)}) > 0))"
+    return f"exists(try_variant_get({field(env)}, '$', 'array<variant>'), g -> exists({items_sql('g', scope)}, s -> size({items_sql('s', item)}) > 0))"
 
 
-def _has(value: str, *keys: str) -> str:
-    return "(" + " OR ".join(f"{J.get_sql(value, k)} IS NOT NULL" for k in keys) + ")"
+def _has(*keys: str) -> str:
+    return "(" + " OR ".join(f"{field(k)} IS NOT NULL" for k in keys) + ")"
 
 
-def _scalar(value: str, *keys: str) -> str:
-    return f"({scalar_either(value, *keys)} IS NOT NULL)"
+def _scalar(*keys: str) -> str:
+    return f"({first_scalar(*keys)} IS NOT NULL)"
 
 
 IS_SPAN = (
-    f"(({_scalar('v', 'traceId')} AND {_scalar('v', 'spanId')} AND {_scalar('v', 'name')} AND {_scalar('v', 'startTimeUnixNano')} "
-    f"AND ({_scalar('v', 'endTimeUnixNano')} OR {_has('v', 'status', 'kind')})) "
-    f"OR ({_scalar('v', 'TraceId')} AND {_scalar('v', 'SpanId')} AND {_scalar('v', 'Name')} AND {_scalar('v', 'StartTime')} "
-    f"AND ({_scalar('v', 'EndTime')} OR {_has('v', 'Status')})))"
+    f"(({_scalar('traceId')} AND {_scalar('spanId')} AND {_scalar('name')} AND {_scalar('startTimeUnixNano')} "
+    f"AND ({_scalar('endTimeUnixNano')} OR {_has('status', 'kind')})) "
+    f"OR ({_scalar('TraceId')} AND {_scalar('SpanId')} AND {_scalar('Name')} AND {_scalar('StartTime')} "
+    f"AND ({_scalar('EndTime')} OR {_has('Status')})))"
 )
-_SEVERITY = _scalar("v", "severityText", "severityNumber", "SeverityText", "SeverityNumber")
+_SEVERITY = _scalar("severityText", "severityNumber", "SeverityText", "SeverityNumber")
 IS_LOG = (
-    f"({_SEVERITY} AND (({_has('v', 'body')} AND {_scalar('v', 'timeUnixNano', 'observedTimeUnixNano')}) "
-    f"OR ({_has('v', 'Body')} AND {_scalar('v', 'Timestamp', 'ObservedTimestamp')})))"
+    f"({_SEVERITY} AND (({_has('body')} AND {_scalar('timeUnixNano', 'observedTimeUnixNano')}) "
+    f"OR ({_has('Body')} AND {_scalar('Timestamp', 'ObservedTimestamp')})))"
 )
 
 
-def metric_kind_sql(value: str) -> str:
-    cases = " ".join(
-        f"WHEN schema_of_variant({J.get_sql(value, k)}) LIKE 'OBJECT%' OR schema_of_variant({J.get_sql(value, k[0].upper() + k[1:])}) LIKE 'OBJECT%' THEN '{k}'"
-        for k in METRIC_KINDS)
-    return f"CASE {cases} ELSE 'unknown' END"
+def metric_case(then) -> str:
+    """CASE arms over the metric kinds, without the last: `then` gives the SQL of a kind."""
+    return "CASE " + " ".join(f"WHEN {J.is_object_sql(field(k))} OR {J.is_object_sql(field(_capital(k)))} THEN {then(k)}" for k in METRIC_KINDS)
 
 
-IS_METRIC = f"({_scalar('v', 'name', 'Name')} AND {metric_kind_sql('v')} != 'unknown')"
+IS_METRIC = f"({_scalar('name', 'Name')} AND {metric_case(lambda k: 'true')} ELSE false END)"
 
 
-def signal_of(value: Column) -> Column:
-    """struct(signal, container) of a record: an envelope, a bare span, log or metric, or NULL."""
+def with_signal(records: DataFrame) -> DataFrame:
+    """`_s`: struct(signal, container) of each record: an envelope, a bare span, log or metric, or NULL."""
     env = " ".join(f"WHEN {_evidence_sql(s)} THEN named_struct('signal', '{s}', 'container', '{ENVELOPES[s][0]}')" for s in ENVELOPES)
     bare = " ".join(f"WHEN {test} THEN named_struct('signal', '{s}', 'container', 'record')" for s, test in (("spans", IS_SPAN), ("logs", IS_LOG), ("metrics", IS_METRIC)))
-    return J.let_sql(value, f"CASE {env} {bare} END")
+    df = with_fields(records, "value", _SIGNAL_KEYS, [*_SIGNAL_CAPITALS, *map(_capital, METRIC_KINDS)])
+    return J.fence(df, _s=F.expr(f"CASE {env} {bare} END")).drop("_l", "_u")
 
 
 def service_of(resource: Column) -> Column:
@@ -72,7 +97,7 @@ def service_of(resource: Column) -> Column:
     found = "get(filter(coalesce(try_variant_get(v, '$.attributes', 'array<variant>'), try_variant_get(v, '$.Attributes', 'array<variant>')), a -> try_variant_get(a, '$.key', 'string') = 'service.name'), 0)"
     direct = scalar_either("v", "service.name", "serviceName")
     attr = J.bind_sql(J.get_sql(found, "value"), "a", any_value_sql("a", 1))
-    return J.let_sql(resource, f"coalesce({direct}, {attr})")
+    return F.when(resource.isNotNull(), J.let_sql(resource, f"coalesce({direct}, {attr})"))
 
 
 def any_value_sql(value: str, depth: int = 2, max_items: int = 4) -> str:
@@ -111,17 +136,17 @@ def status_is_error(text: Column) -> Column:
 
 def signals(records: DataFrame, key: tuple[str, ...] = ("source_id", "ordinal")) -> DataFrame:
     """One row per span, log record or metric, whatever the nesting. One pass, no shuffle."""
-    df = J.fence(records, _s=signal_of(F.col("value"))).filter(F.col("_s").isNotNull()).select(*key, "value", "_s.*")
+    df = with_signal(records).filter(F.col("_s").isNotNull()).select(*key, "value", "_s.*")
     groups = "CASE container " + " ".join(f"WHEN '{env}' THEN {items_sql('value', env)}" for env, _, _ in ENVELOPES.values()) + " ELSE array(value) END"
     df = df.select(*key, "signal", "container", F.posexplode(F.expr(groups)).alias("group_no", "g"))
+    # A resource is read once for all items of its group.
+    df = J.fence(df, service=service_of(F.coalesce(J.get(F.col("g"), "resource"), J.get(F.col("g"), "Resource"))))
     scopes = "CASE signal " + " ".join(f"WHEN '{s}' THEN {items_sql('g', sc)}" for s, (_, sc, _) in ENVELOPES.items()) + " END"
-    df = df.select(*key, "signal", "container", "group_no", "g", F.posexplode_outer(F.expr(f"if(container = 'record', array(g), {scopes})")).alias("scope_no", "sc"))
+    df = df.select(*key, "signal", "container", "group_no", "service", F.posexplode_outer(F.expr(f"if(container = 'record', array(g), {scopes})")).alias("scope_no", "sc"))
     items = "CASE signal " + " ".join(f"WHEN '{s}' THEN {items_sql('sc', it)}" for s, (_, _, it) in ENVELOPES.items()) + " END"
-    df = df.select(*key, "signal", "container", "group_no", "g", "scope_no", F.posexplode_outer(F.expr(f"if(container = 'record', array(sc), {items})")).alias("item_no", "item"))
-    resource = F.coalesce(J.get(F.col("g"), "resource"), J.get(F.col("g"), "Resource"))
-    service = service_of(resource)
+    df = df.select(*key, "signal", "container", "group_no", "service", "scope_no", F.posexplode_outer(F.expr(f"if(container = 'record', array(sc), {items})")).alias("item_no", "item"))
     # Groups without items stay as rows with a NULL item, so that group and scope counts are whole.
-    return J.fence(df, _object=J.is_object(F.col("item")), service=service).select(
+    return J.fence(df, _object=J.is_object(F.col("item"))).select(
         *key, "signal", "container", "group_no", "scope_no", "item_no", F.when(F.col("_object"), F.col("item")).alias("item"), "service")
 
 
@@ -130,13 +155,16 @@ def record_summary(rows: DataFrame, key: tuple[str, ...] = ("source_id", "ordina
     span, log, metric = (F.col("signal") == s for s in ENVELOPES)
     there = F.col("item").isNotNull()
     def text(*keys: str) -> Column:
-        return J.let_sql(F.col("item"), scalar_either("v", *keys))
-    status = J.let_sql(F.col("item"), scalar_either(f"coalesce({J.get_sql('v', 'status')}, {J.get_sql('v', 'Status')})", "code", "Code"))
-    points = J.let_sql(F.col("item"), "CASE " + metric_kind_sql("v")[5:].replace("THEN '", "THEN size(coalesce(try_variant_get(v, '$.").replace("' WHEN", ".dataPoints', 'array<variant>'), array())) WHEN").replace("' ELSE 'unknown' END", ".dataPoints', 'array<variant>'), array())) ELSE 0 END"))
+        return F.expr(first_scalar(*keys))
+    rows = with_fields(rows, "item", ["name", "traceId", "kind", "status", "startTimeUnixNano", "endTimeUnixNano", "severityText", "severityNumber", *METRIC_KINDS],
+                       ["Name", "TraceId", "Kind", "Status", "StartTime", "EndTime", "SeverityText", "SeverityNumber", *map(_capital, METRIC_KINDS)])
+    status = F.expr(scalar_either(f"coalesce({field('status')}, {field('Status')})", "code", "Code"))
+    points = F.expr(metric_case(lambda k: f"size(coalesce({items_sql(field(k), 'dataPoints')}, array()))") + " ELSE 0 END")
+    # Each fact is read where its signal uses it.
     facts = J.fence(
-        rows, _name=text("name", "Name"), _trace=text("traceId", "TraceId"), _kind=text("kind", "Kind"), _code=status,
-        _start=text("startTimeUnixNano", "StartTime"), _end=text("endTimeUnixNano", "EndTime"),
-        _severity=text("severityText", "SeverityText", "severityNumber", "SeverityNumber"), _points=points.cast("bigint"))
+        rows, _name=F.when(span, text("name", "Name")), _trace=F.when(~metric, text("traceId", "TraceId")), _kind=F.when(span, text("kind", "Kind")), _code=F.when(span, status),
+        _start=F.when(span, text("startTimeUnixNano", "StartTime")), _end=F.when(span, text("endTimeUnixNano", "EndTime")),
+        _severity=F.when(log, text("severityText", "SeverityText", "severityNumber", "SeverityNumber")), _points=F.when(metric, points).cast("bigint"))
     span_error = F.col("_code").rlike("(?i)error|fatal") | (F.col("_code") == "2")
     log_error = F.col("_severity").rlike("(?i)error|fatal") | (F.col("_severity").try_cast("double") >= 17)
     start, end = F.col("_start").try_cast("decimal(38,0)"), F.col("_end").try_cast("decimal(38,0)")

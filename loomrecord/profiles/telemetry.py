@@ -10,12 +10,13 @@ from loomrecord.operators import otel as O
 from loomrecord.profiles.base import Profile, derived, located_path
 
 
-def _text(*keys: str) -> Column:
-    return J.let_sql(F.col("_item"), O.scalar_either("v", *keys))
+# The fields an item shows.
+_KEYS = ["name", "traceId", "spanId", "parentSpanId", "startTimeUnixNano", "timeUnixNano", "observedTimeUnixNano", "severityText", "severityNumber", "eventName", "status", "body"]
+_CAPITALS = ["Name", "TraceId", "SpanId", "ParentSpanId", "StartTime", "Timestamp", "ObservedTimestamp", "SeverityText", "SeverityNumber", "EventName", "Status", "Body"]
 
 
 def _prepare(records: DataFrame) -> DataFrame:
-    df = J.fence(records, _s=O.signal_of(F.col("value")))
+    df = O.with_signal(records)
     # An envelope shows the time, severity and service of its first item.
     first = " ".join(
         f"WHEN '{env}' THEN get(flatten(transform({O.items_sql('value', env)}, g -> flatten(transform(coalesce({O.items_sql('g', sc)}, array()), s -> coalesce({O.items_sql('s', it)}, array()))))), 0)"
@@ -23,14 +24,19 @@ def _prepare(records: DataFrame) -> DataFrame:
     group = " ".join(f"WHEN '{env}' THEN try_variant_get(value, '$.{env}[0].resource', 'variant')" for env, _, _ in O.ENVELOPES.values())
     own = f"coalesce({J.get_sql('value', 'resource')}, {J.get_sql('value', 'Resource')})"
     df = J.fence(df, _item=F.expr(f"CASE _s.container {first} WHEN 'record' THEN value END"), _resource=F.expr(f"CASE _s.container {group} ELSE {own} END"))
-    status = f"coalesce({J.get_sql('v', 'status')}, {J.get_sql('v', 'Status')})"
+    df = O.with_fields(df, "_item", _KEYS, _CAPITALS)
+    status = f"coalesce({O.field('status')}, {O.field('Status')})"
     code = f"nullif(concat_ws(': ', {O.scalar_either(status, 'code', 'Code')}, {O.scalar_either(status, 'message', 'Message')}), '')"
-    body = J.bind_sql(f"coalesce({J.get_sql('v', 'body')}, {J.get_sql('v', 'Body')})", "b", O.any_value_sql("b"))
+    body = J.bind_sql(f"coalesce({O.field('body')}, {O.field('Body')})", "b", O.any_value_sql("b"))
+    span, log = F.coalesce(F.col("_s.signal") == "spans", F.lit(False)), F.col("_s.signal") == "logs"
+    def text(*keys: str) -> Column:
+        return F.expr(O.first_scalar(*keys))
+    # Each text is read where its signal shows it.
     return J.fence(
-        df, _name=_text("name", "Name"), _trace=_text("traceId", "TraceId"), _span=_text("spanId", "SpanId"), _parent=_text("parentSpanId", "ParentSpanId"),
-        _started=_text("startTimeUnixNano", "StartTime", "Timestamp"), _logged=_text("timeUnixNano", "Timestamp", "observedTimeUnixNano", "ObservedTimestamp"),
-        _severity=_text("severityText", "SeverityText", "severityNumber", "SeverityNumber"), _event=_text("eventName", "EventName"),
-        _status=J.let_sql(F.col("_item"), code), _body=J.let_sql(F.col("_item"), body), _service=O.service_of(F.col("_resource")))
+        df, _name=text("name", "Name"), _trace=text("traceId", "TraceId"), _span=text("spanId", "SpanId"), _parent=F.when(span, text("parentSpanId", "ParentSpanId")),
+        _started=F.when(span, text("startTimeUnixNano", "StartTime", "Timestamp")), _logged=F.when(~span, text("timeUnixNano", "Timestamp", "observedTimeUnixNano", "ObservedTimestamp")),
+        _severity=F.when(~span, text("severityText", "SeverityText", "severityNumber", "SeverityNumber")), _event=F.when(log, text("eventName", "EventName")),
+        _status=F.when(span, F.expr(code)), _body=F.when(log, F.expr(body)), _service=O.service_of(F.col("_resource")))
 
 
 def _columns() -> dict[str, Column]:

@@ -26,6 +26,21 @@ def explained(df):
     return out.getvalue()
 
 
+def test_signals_take_a_record_apart_once(spark):
+    """Each field is taken from one struct of the record, and a resource is read once for its group."""
+    span = '{"traceId":"t","spanId":"%s","name":"n","Name":"N","startTimeUnixNano":1,"endTimeUnixNano":"2","kind":2,"status":{"code":2}}'
+    env = ('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"a"}}]},"scopeSpans":[{"spans":[%s,%s]}]},7,'
+           '{"resource":{"serviceName":"b"},"scopeSpans":[{}]}]}' % (span % "1", span % "2"))
+    recs = texts(spark, [(0, env), (1, span % "3"), (2, span % ""), (3, '{"TraceId":"t","SpanId":"s","Name":"n","StartTime":1,"Status":null}'),
+                         (4, '{"Name":"m","Gauge":{},"gauge":{"dataPoints":[1,2]}}'), (5, '{"severityNumber":9,"body":null,"timeUnixNano":0}'), (6, "null"), (7, "[]"), (8, "x")])
+    rows = O.signals(recs)
+    assert "StructField(resourceSpans,VariantType" in explained(rows)
+    got = {r.ordinal: r for r in O.record_summary(rows).collect()}
+    assert {o: (r.signal, r.container, r.spans, r.logs, r.metrics, r.data_points, r.errors, r.server_spans, r.services, r.operations) for o, r in got.items()} == {
+        0: ("spans", "resourceSpans", 2, 0, 0, 0, 2, 2, ["a", "b"], ["n"]), 1: ("spans", "record", 1, 0, 0, 0, 1, 1, [], ["n"]),
+        3: ("spans", "record", 1, 0, 0, 0, 0, 0, [], ["n"]), 4: ("metrics", "record", 0, 0, 1, 2, 0, 0, [], []), 5: ("logs", "record", 0, 1, 0, 0, 0, 0, [], [])}
+
+
 def test_only_edges_of_crowded_nodes_are_ranked(spark):
     """Rounds rank the ends of nodes over the limit; equal, null and dangling ids keep their meaning."""
     nodes = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), ("d", 1), (None, 1)], "id string, seq bigint")
