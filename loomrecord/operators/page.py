@@ -43,28 +43,31 @@ def matched_total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("matched"))
 
 
-def sort_keys(text: Column, value: Column, *path: J.Token) -> dict[str, Column]:
-    """Comparable key columns of a mixed-type field."""
-    leaf = J.get(value, *path)
-    k = J.kind(leaf)
-    rank = F.element_at(F.expr("map(" + ", ".join(f"'{n}', {r}" for n, r in KIND_RANK.items()) + ")"), k)
-    return {
-        "is_missing": leaf.isNull() | J.is_json_null(leaf),
-        "kind_rank": rank,
-        "number_key": F.when(J.is_numeric(leaf), J.as_double(leaf)),
-        "boolean_key": J.boolean_at(leaf),
-        "text_key": F.when(J.is_string(leaf), J.as_string(leaf)).when(
-            k.isin("array", "object"), J.searchable_text(text, value, *path)
-        ),
-    }
+SORT_KEYS = ["_kind_rank", "_number_key", "_boolean_key", "_text_key"]
+
+
+def with_sort_keys(df: DataFrame, path: list, text: str = "text", value: str = "value") -> DataFrame:
+    """`_is_missing` and SORT_KEYS, comparable key columns of a mixed-type field, each worked out once per row."""
+    leaf, shape = F.col("_leaf"), F.col("_shape")
+    df = J.fence(df, _leaf=J.get(F.col(value), *path))
+    df = J.fence(df, _shape=F.substring_index(F.substring_index(F.schema_of_variant(leaf), "<", 1), "(", 1))
+    numeric = shape.isin("BIGINT", "DOUBLE", "DECIMAL")
+    rank = J.lookup({name: str(KIND_RANK[kind]) for name, kind in J.SCHEMA_KINDS.items() if kind in KIND_RANK}, shape).cast("int")
+    # Re-serialised once; compact_json of the whole text is then that text's.
+    df = J.fence(
+        df, _is_missing=leaf.isNull() | (shape == "VOID"), _kind_rank=rank, _number_key=F.when(numeric, J.as_double(leaf)),
+        _boolean_key=F.when(shape == "BOOLEAN", F.try_variant_get(leaf, "$", "boolean")),
+        _raw=F.when(shape == "STRING", J.as_string(leaf)).when(shape.isin("ARRAY", "OBJECT"), F.get_json_object(text, J.jsonpath(*path, quote="'"))))
+    return df.withColumn("_text_key", F.when(shape.isin("ARRAY", "OBJECT"), J.whole_numbers(F.col("_raw"))).otherwise(F.col("_raw"))).drop("_leaf", "_shape", "_raw")
+
+
+def _by_keys(descending: bool) -> list[Column]:
+    return [F.col("_is_missing").asc(), *[F.col(k).desc() if descending else F.col(k).asc() for k in SORT_KEYS], F.col("ordinal").asc()]
 
 
 def sort_mixed(df: DataFrame, path: list, descending: bool = False, text: str = "text", value: str = "value") -> DataFrame:
     """Order by a mixed-type field; missing last and ordinal ascending in both directions."""
-    keys = sort_keys(F.col(text), F.col(value), *path)
-    missing = keys.pop("is_missing")
-    flip = (lambda c: c.desc()) if descending else (lambda c: c.asc())
-    return df.orderBy(missing.asc(), *[flip(c) for c in keys.values()], F.col("ordinal").asc())
+    return with_sort_keys(df, path, text, value).orderBy(*_by_keys(descending)).drop("_is_missing", *SORT_KEYS)
 
 
 def with_positions(ordered: DataFrame, position: str = "position") -> DataFrame:
@@ -90,10 +93,8 @@ def top_page(df: DataFrame, path: list, offset: int, limit: int, descending: boo
     record columns are fetched afterwards for the winning rows.
     """
     key = key or ["source_id", "ordinal"]
-    keys = sort_keys(F.col("text"), F.col("value"), *path)
-    narrow = df.select(*key, *[c.alias(f"_{n}") for n, c in keys.items()])
-    flip = (lambda c: c.desc()) if descending else (lambda c: c.asc())
-    order = [F.col("_is_missing").asc(), *[flip(F.col(f"_{n}")) for n in keys if n != "is_missing"], F.col("ordinal").asc()]
+    order = _by_keys(descending)
+    narrow = with_sort_keys(df, path).select(*key, "_is_missing", *SORT_KEYS)
     winners = narrow.orderBy(*order).offset(offset).limit(limit)
     ranked = winners.select(*key, F.row_number().over(Window.orderBy(*order)).alias("position"))
     return df.join(ranked, key).orderBy("position")

@@ -41,6 +41,16 @@ def test_signals_take_a_record_apart_once(spark):
         3: ("spans", "record", 1, 0, 0, 0, 0, 0, [], ["n"]), 4: ("metrics", "record", 0, 0, 1, 2, 0, 0, [], []), 5: ("logs", "record", 0, 1, 0, 0, 0, 0, [], [])}
 
 
+def test_mixed_order_works_out_keys_once(spark):
+    rows = [(0, '{"m":{"b":1.0,"a":2}}'), (1, '{"m":[1.0,2]}'), (2, '{"m":2}'), (3, '{"m":1.5}'), (4, '{"m":null}'), (5, "{}"), (6, '{"m":"s"}'), (7, '{"m":true}'), (8, '{"m":false}'), (9, '{"m":""}')]
+    recs = texts(spark, rows)
+    up = P.sort_mixed(recs, ["m"])
+    assert up.columns == recs.columns
+    assert explained(up).count("get_json_object") == 1
+    assert [r.ordinal for r in up.collect()] == [1, 8, 7, 3, 2, 0, 9, 6, 4, 5]
+    assert [r.ordinal for r in P.sort_mixed(recs, ["m"], descending=True).collect()] == [6, 9, 0, 2, 3, 7, 8, 1, 4, 5]
+
+
 def test_only_edges_of_crowded_nodes_are_ranked(spark):
     """Rounds rank the ends of nodes over the limit; equal, null and dangling ids keep their meaning."""
     nodes = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), ("d", 1), (None, 1)], "id string, seq bigint")
