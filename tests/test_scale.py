@@ -9,6 +9,7 @@ from loomrecord.operators import graph as G
 from loomrecord.operators import otel as O
 from loomrecord.operators import page as P
 from loomrecord.operators.records import parse_texts
+from loomrecord.plans import QUERIES
 
 
 def texts(spark, rows):
@@ -51,6 +52,18 @@ def test_mixed_order_works_out_keys_once(spark):
     assert [r.ordinal for r in P.sort_mixed(recs, ["m"], descending=True).collect()] == [6, 9, 0, 2, 3, 7, 8, 1, 4, 5]
 
 
+def test_a_sorted_column_is_parsed_once(spark, tmp_path, monkeypatch):
+    """The sort samples and reads written columns, not the records."""
+    spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' AS ts, id % 3 AS user_id, if(id % 2 = 0, 'error', 'view') AS event_type, 1.5D AS value, '{\"k\":1}' AS props FROM range(40)").write.parquet(
+        str(tmp_path / "events.parquet"))
+    plans, real = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, *a: plans.append(explained(df)) or real(df, *a))
+    rows = sorted(QUERIES["o06_sort_column"](spark, str(tmp_path)).collect(), key=lambda r: r.position)
+    assert len(plans) == 1 and "parse_json" not in plans[0].lower() and "parsejson" not in plans[0].lower()
+    seen = [(r.severity is None, r.severity or "", r.ordinal) for r in rows]
+    assert seen == sorted(seen) and [r.position for r in rows] == list(range(1, 41))
+
+
 def test_only_edges_of_crowded_nodes_are_ranked(spark):
     """Rounds rank the ends of nodes over the limit; equal, null and dangling ids keep their meaning."""
     nodes = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), ("d", 1), (None, 1)], "id string, seq bigint")
