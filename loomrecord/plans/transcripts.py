@@ -187,7 +187,7 @@ def a19(spark, sf):
         every = every.unionByName(p)
     from loomrecord.session import materialize
 
-    return P.detect(materialize(every, "mixed")).select("source_id", "profile_id")
+    return P.detect(materialize(every.select("source_id", "value"), "mixed")).select("source_id", "profile_id")
 
 
 @query("e02_conversation_parts", f"""WITH {TS} SELECT ordinal, CASE WHEN role = 'system' THEN 'unknown' WHEN turn % 4 = 1 THEN 'assistant' WHEN turn % 4 = 2 THEN 'user' ELSE role END AS role,

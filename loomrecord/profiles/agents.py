@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
 from loomrecord.functions.times import MAX_DATE_MS
-from loomrecord.profiles.base import Profile, actor_from_role, derived, fields_sql
+from loomrecord.profiles.base import Profile, actor_from_role, derived, taken
 
 # Alias keys, tried in order on the record and then on its envelopes.
 NESTED_KEYS = ["payload", "data", "event", "record", "message", "interaction", "usage", "body", "detail"]
@@ -47,24 +47,29 @@ WORD_KINDS = [
 ]
 
 
-def envelopes(value: str) -> Column:
-    """Field maps of the record and of the objects below its envelope keys, two levels deep, in document order."""
-    keys = ", ".join(f"'{k}'" for k in NESTED_KEYS)
+# The fields that are read of a record and of each envelope, in one pass over it.
+KEYS = list(dict.fromkeys([*NESTED_KEYS, *[k for keys in ALIASES.values() for k in keys]]))
 
-    def nested(m: str, k: str, x: str) -> str:
-        return f"filter(transform(array({keys}), {k} -> {fields_sql(f'element_at({m}, {k})')}), {x} -> {x} IS NOT NULL)"
 
-    below = f"transform({nested('t', 'k1', 'x')}, c -> concat(array(c), {nested('c', 'k2', 'y')}))"
-    return F.expr(J.bind_sql(fields_sql(value), "t", f"if(t IS NULL, array(), concat(array(t), flatten({below})))"))
+def with_envelopes(records: DataFrame) -> DataFrame:
+    """`_top`: fields of the record; `_below`: those of the objects below its envelope keys, two levels deep, in document order."""
+    shape = "struct<" + ",".join(f"`{k}`:variant" for k in KEYS) + ">"
 
+    def nested(m: str) -> str:
+        return "array_compact(array(" + ", ".join(f"try_variant_get({m}.`{k}`, '$', '{shape}')" for k in NESTED_KEYS) + "))"
 
-def _first_sql(keys: list[str]) -> str:
-    each = J.coalesce_sql(*[f"element_at(c, '{k}')" for k in keys])
-    return f"get(filter(transform(_env, c -> {each}), x -> x IS NOT NULL), 0)"
+    df = J.fence(records, _top=J.fields(F.col("value"), *KEYS))
+    return J.fence(df, _below=F.expr(f"flatten(transform({nested('_top')}, c -> concat(array(c), {nested('c')})))"))
+
+
+def _first(keys: list[str]) -> Column:
+    """The first alias of the record that is present and not null, else that of its envelopes."""
+    each = J.coalesce_sql(*[f"if(is_variant_null(c.`{k}`), null, c.`{k}`)" for k in keys])
+    return F.coalesce(taken(lambda k: "_top", *[(k,) for k in keys]), F.expr(f"get(filter(transform(_below, c -> {each}), x -> x IS NOT NULL), 0)"))
 
 
 def locate(name: str) -> Column:
-    return F.expr(_first_sql(ALIASES[name]))
+    return _first(ALIASES[name])
 
 
 def event_kind(name: Column, nested_type: Column) -> Column:
@@ -113,14 +118,26 @@ def _time_text(value: Column) -> Column:
                             f"WHEN schema_of_variant(v) rlike '^(BIGINT|DOUBLE|DECIMAL)' THEN {iso} END")
 
 
+def _screen(records: DataFrame) -> DataFrame:
+    """What detection asks for, and only of records with a known kind."""
+    df = J.fence(with_envelopes(records), _event_v=locate("event"), _type_v=_first(["type", "kind"]))
+    df = J.fence(df, _event=F.expr(J.scalar_sql("_event_v")), _type=F.expr(J.scalar_sql("_type_v")))
+    df = J.fence(df, _kind=F.when(F.col("_event").isNotNull(), event_kind(F.col("_event"), F.col("_type"))))
+    known = F.col("_kind") != "other"
+    signal = F.coalesce(*[locate(n) for n in ("role", "content", "tool", "usage", "status", "severity")]).isNotNull()
+    df = J.fence(df, _recognized=F.coalesce(F.when(known, signal), F.lit(False)))
+    ids = ("session", "turn", "message", "parent", "tool", "subagent")
+    df = J.fence(df, **{f"_{n}_v": F.when(F.col("_recognized"), locate(n)) for n in ids})
+    return J.fence(df, _identified=F.coalesce(*[F.expr(J.scalar_sql(f"_{n}_v")) for n in ids]).isNotNull())
+
+
 def _prepare(records: DataFrame) -> DataFrame:
-    df = J.fence(records, _env=envelopes("value"))
-    df = J.fence(df, **{f"_{n}_v": locate(n) for n in ALIASES})
+    df = J.fence(with_envelopes(records), **{f"_{n}_v": locate(n) for n in ALIASES})
     ids = ("event", "role", "session", "turn", "message", "parent", "tool", "subagent", "model", "status", "severity", "tool_name")
     texts = {f"_{n}": J.let_sql(F.col(f"_{n}_v"), J.scalar_sql("v")) for n in ids}
     direct = J.let_sql(F.struct(F.col("_usage_v").alias("u"), F.col("value").alias("r")),
                        f"coalesce({J.usage_generic_sql('q.u')}, null)", "q")
-    type_text = J.let_sql(F.expr(_first_sql(["type", "kind"])), J.scalar_sql("v"))
+    type_text = J.let_sql(_first(["type", "kind"]), J.scalar_sql("v"))
     df = J.fence(df, **texts, _usage=direct, _content=F.nullif(content_text(F.col("_content_v")), F.lit("")))
     return J.fence(df, _kind=event_kind(F.col("_event"), type_text))
 
@@ -157,10 +174,7 @@ def _evidence() -> dict[str, Column]:
 
 
 def _signals() -> dict[str, Column]:
-    named = F.col("_event").isNotNull() & (F.col("_kind") != "other")
-    signal = F.coalesce("_role_v", "_content_v", "_tool_v", "_usage_v", "_status_v", "_severity_v").isNotNull()
-    stable = F.coalesce("_session", "_turn", "_message", "_parent", "_tool", "_subagent").isNotNull()
-    return {"recognized": named & signal, "identified": named & signal & stable}
+    return {"recognized": F.col("_recognized"), "identified": F.col("_identified")}
 
 
 def _score(s, n):
@@ -168,4 +182,4 @@ def _score(s, n):
     return score, s["identified"] > 0
 
 
-AGENT_EVENTS = Profile("generic-agent-events", "1", _columns, _signals, _score, _prepare, _evidence)
+AGENT_EVENTS = Profile("generic-agent-events", "1", _columns, _signals, _score, _prepare, _evidence, screen=_screen)

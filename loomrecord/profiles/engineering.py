@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrecord.functions import jsonvalue as J
-from loomrecord.profiles.base import Profile, derived, fields_sql, located, located_path
+from loomrecord.profiles.base import Profile, derived, located_path, taken
 
 # Names under which each part of a record is written, in the order in which they are tried.
 TASK_IDS = ["task_id", "taskId", "instance_id", "instanceId", "issue_id", "issueId", "trajectory_id", "trajectoryId", "run_id", "runId"]
@@ -31,9 +31,18 @@ LABELS = {"action": "Action", "observation": "Observation", "patch": "Patch", "t
 ACTORS = {"observation": "tool", "test": "tool", "result": "tool", "error": "tool", "action": "agent", "turn": "agent", "patch": "agent"}
 
 
+# The fields that are read of a record, each once, in one pass over it.
+KEYS = list(dict.fromkeys([*TASK_TEXTS, *TASK_IDS, *STEPS, *PARENT_STEPS, *CALL_IDS, *WORKFLOW, *DISTINCTIVE, *TOOLS, *ACTIONS, *OBSERVATIONS, *PATCHES, *TESTS, *OUTCOMES, *TYPES, *TIMES]))
+
+
 def _any(keys: list[str]) -> Column:
     """Whether any of the keys is there, JSON null included."""
-    return F.expr(" OR ".join(f"{J.get_sql('value', k)} IS NOT NULL" for k in keys))
+    return F.expr(" OR ".join(f"_f.`{k}` IS NOT NULL" for k in keys))
+
+
+def _found(keys: list[str]) -> Column:
+    """The first of the keys that is there and not null."""
+    return taken(lambda k: "_f", *[(k,) for k in keys])
 
 
 def _short(value: Column) -> Column:
@@ -46,12 +55,17 @@ def _failed(value: Column) -> Column:
     return F.coalesce(F.coalesce(F.when(J.is_object(value), inner), J.bounded_summary(value)).rlike(FAILURE) & value.isNotNull(), F.lit(False))
 
 
+def _screen(records: DataFrame) -> DataFrame:
+    df = J.fence(records, _f=J.fields(F.col("value"), *KEYS))
+    return J.fence(df, _step=_found(STEPS), _steps=F.expr("size(try_variant_get(value, '$.trajectory', 'array<variant>'))"))
+
+
 def _prepare(records: DataFrame) -> DataFrame:
-    df = J.fence(records, _f=F.expr(fields_sql("value")))
-    parts = {"_task": [*TASK_TEXTS, *TASK_IDS], "_task_id": TASK_IDS, "_step": STEPS, "_parent": PARENT_STEPS, "_call": CALL_IDS, "_action": ACTIONS, "_observed": OBSERVATIONS, "_patch": PATCHES,
+    df = _screen(records)
+    parts = {"_task": [*TASK_TEXTS, *TASK_IDS], "_task_id": TASK_IDS, "_parent": PARENT_STEPS, "_call": CALL_IDS, "_action": ACTIONS, "_observed": OBSERVATIONS, "_patch": PATCHES,
              "_test": TESTS, "_outcome": OUTCOMES, "_discriminator": TYPES, "_time": TIMES}
-    tool = f"coalesce({', '.join(f"element_at(_f, '{k}')" for k in TOOLS)}, {J.get_sql('value', 'action', 'tool')}, {J.get_sql('value', 'action', 'name')})"
-    df = J.fence(df, **{n: located("_f", *[(k,) for k in keys]) for n, keys in parts.items()}, _tool=F.expr(tool), _steps=F.expr("size(try_variant_get(value, '$.trajectory', 'array<variant>'))"))
+    tool = F.coalesce(_found(TOOLS), F.expr(J.get_sql("value", "action", "tool")), F.expr(J.get_sql("value", "action", "name")))
+    df = J.fence(df, **{n: _found(keys) for n, keys in parts.items()}, _tool=tool)
     kind = F.lower(J.scalar_text(F.col("_discriminator")))
     def typed(*names: str) -> Column:
         return F.coalesce(kind.isin(list(names)), F.lit(False))
@@ -81,7 +95,7 @@ def _columns() -> dict[str, Column]:
 
 
 def _signals() -> dict[str, Column]:
-    held, task, step = F.col("_steps") >= 0, located("_f", *[(k,) for k in [*TASK_IDS, *TASK_TEXTS]]).isNotNull(), F.col("_step").isNotNull()
+    held, task, step = F.col("_steps") >= 0, _found([*TASK_IDS, *TASK_TEXTS]).isNotNull(), F.col("_step").isNotNull()
     return {"containers": F.coalesce(held, F.lit(False)), "workflow": F.coalesce(_any(WORKFLOW) & (task | step), F.lit(False)), "tasks": task, "steps": step, "marked": F.coalesce(_any(DISTINCTIVE), F.lit(False))}
 
 
@@ -104,4 +118,4 @@ def _evidence() -> dict[str, Column]:
             "tool_call_id": F.when(J.scalar_text(F.col("_call")).isNotNull(), at(CALL_IDS)).otherwise(step_call), "status": at(OUTCOMES), "summary": F.when(F.col("_steps") >= 0, "$.trajectory").otherwise(shown)}
 
 
-ENGINEERING = Profile("software-engineering-agent", "1", _columns, _signals, _score, _prepare, _evidence)
+ENGINEERING = Profile("software-engineering-agent", "1", _columns, _signals, _score, _prepare, _evidence, screen=_screen)

@@ -37,7 +37,7 @@ def detection_scores(records: DataFrame) -> DataFrame:
     """
     def one(p: Profile) -> DataFrame:
         signals, varied = p.signals(), p.varied()
-        hits = p.prepare(records).groupBy("source_id").agg(
+        hits = (p.screen or p.prepare)(records).groupBy("source_id").agg(
             F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(k) for k, c in signals.items()], *[(F.min(c) < F.max(c)).alias(k) for k, c in varied.items()])
         score, met = p.score({k: F.col(k) for k in [*signals, *varied]}, F.col("_n"))
         return hits.select("source_id", F.lit(p.id).alias("profile_id"), F.round(score, 6).alias("score"), F.coalesce(met, F.lit(False)).alias("met"))

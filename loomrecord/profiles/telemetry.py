@@ -83,4 +83,4 @@ def _evidence() -> dict[str, Column]:
     }
 
 
-TELEMETRY = Profile("opentelemetry", "1", _columns, _signals, _score, _prepare, _evidence)
+TELEMETRY = Profile("opentelemetry", "1", _columns, _signals, _score, _prepare, _evidence, screen=O.with_signal)

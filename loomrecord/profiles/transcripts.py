@@ -130,6 +130,16 @@ def _rollout_prepare(records: DataFrame) -> DataFrame:
     return J.fence(df, _kind=F.coalesce(kind, F.lit("other")))
 
 
+def _rollout_screen(records: DataFrame) -> DataFrame:
+    """Payloads are only looked at where the outer type is known."""
+    df = J.fence(records, _outer=s("type"))
+    bare = F.coalesce(F.col("_outer").isin(list(RESPONSE_ITEMS)), F.lit(False))
+    item, msg = (F.col("_outer") == "response_item") | bare, F.col("_outer") == "event_msg"
+    payload = F.when(bare, F.col(V)).when(item | msg | F.col("_outer").isin(list(OUTER)), v("payload"))
+    df = J.fence(df, _item=F.coalesce(item, F.lit(False)), _msg=F.coalesce(msg, F.lit(False)), _p=payload)
+    return df.withColumn("_p", F.when(J.is_object(F.col("_p")), F.col("_p")))
+
+
 def _p(*names: str) -> Column:
     return F.expr(J.coalesce_sql(*[J.string_sql("_p", n) for n in names]))
 
@@ -206,7 +216,7 @@ def share(cap: float):
     return score
 
 
-ROLLOUT = Profile("codex-rollout", "1", _rollout, _rollout_signals, share(0.98), _rollout_prepare, _rollout_evidence)
+ROLLOUT = Profile("codex-rollout", "1", _rollout, _rollout_signals, share(0.98), _rollout_prepare, _rollout_evidence, screen=_rollout_screen)
 
 # ---- N3: exec streams ----------------------------------------------------------------
 
@@ -217,7 +227,16 @@ EXEC_TEXT = {"thread.started": "Thread started", "turn.started": "Turn started",
 
 def _exec_prepare(records: DataFrame) -> DataFrame:
     df = J.fence(records, _type=s("type"), _it=item_type(s("item", "type")))
-    df = J.fence(df, _i=v("item"))
+    return _exec_kind(J.fence(df, _i=v("item")))
+
+
+def _exec_screen(records: DataFrame) -> DataFrame:
+    df = J.fence(records, _type=s("type"))
+    item = F.col("_type").startswith("item.")
+    return _exec_kind(J.fence(df, _it=F.when(item, item_type(s("item", "type"))), _i=F.when(item, v("item"))))
+
+
+def _exec_kind(df: DataFrame) -> DataFrame:
     kind = item_kind(F.col("_it"), "_i", F.col("_type") == "item.completed")
     return J.fence(df, _kind=F.coalesce(J.lookup(EXEC_TYPES, F.col("_type")), F.when(F.col("_type").startswith("item."), kind), F.lit("other")))
 
@@ -249,7 +268,7 @@ def _exec_evidence() -> dict[str, Column]:
             "message_id": item("id"), "tool_call_id": item("call_id", "id"), "status": item("status")}
 
 
-EXEC = Profile("codex-exec-jsonl", "1", _exec, lambda: {"shape": F.col("_kind") != "other"}, share(0.96), _exec_prepare, _exec_evidence)
+EXEC = Profile("codex-exec-jsonl", "1", _exec, lambda: {"shape": F.col("_kind") != "other"}, share(0.96), _exec_prepare, _exec_evidence, screen=_exec_screen)
 
 # ---- N4: trace bundles -----------------------------------------------------------------
 
@@ -320,9 +339,12 @@ TRANSCRIPT_TYPES = {
 }
 
 
+def _transcript_screen(records: DataFrame) -> DataFrame:
+    return J.fence(records, _type=s("type"), _job=s("at").isNotNull() & s("state").isNotNull() & s("type").isNull(), _hist=v("display").isNotNull() & v("project").isNotNull() & s("type").isNull())
+
+
 def _transcript_prepare(records: DataFrame) -> DataFrame:
-    df = J.fence(records, _type=s("type"), _call=F.expr(_blocks(("message", "content"), "tool_use")), _result=F.expr(_blocks(("message", "content"), "tool_result")),
-                 _job=s("at").isNotNull() & s("state").isNotNull() & s("type").isNull(), _hist=v("display").isNotNull() & v("project").isNotNull() & s("type").isNull())
+    df = J.fence(_transcript_screen(records), _call=F.expr(_blocks(("message", "content"), "tool_use")), _result=F.expr(_blocks(("message", "content"), "tool_result")))
     broken = (F.col("_type") == "system") & ((s("subtype") == "error") | J.is_string(v("error")))
     kind = F.when(F.col("_job"), F.when(s("text").isNotNull(), "message").otherwise("observation")).when(F.col("_hist"), "message").when(
         F.col("_call").isNotNull(), "tool_call").when(F.col("_result").isNotNull(), "tool_result").when(broken, "error").otherwise(F.coalesce(J.lookup(TRANSCRIPT_TYPES, F.col("_type")), F.lit("other")))
@@ -374,7 +396,7 @@ def _transcript_evidence() -> dict[str, Column]:
     }
 
 
-TRANSCRIPT = Profile("claude-code-session", "3", _transcript, _transcript_signals, share(0.97), _transcript_prepare, _transcript_evidence)
+TRANSCRIPT = Profile("claude-code-session", "3", _transcript, _transcript_signals, share(0.97), _transcript_prepare, _transcript_evidence, screen=_transcript_screen)
 
 # ---- N8: sessions with typed messages ------------------------------------------------------------
 
@@ -384,7 +406,17 @@ PI_TYPES = {"session": "session", "session_info": "session", "model_change": "ch
 
 
 def _pi_prepare(records: DataFrame) -> DataFrame:
-    df = J.fence(records, _type=s("type"), _role=s("message", "role"), _call=F.expr(_blocks(("message", "content"), "toolCall")))
+    return _pi_kind(J.fence(records, _type=s("type"), _role=s("message", "role"), _call=F.expr(_blocks(("message", "content"), "toolCall"))))
+
+
+def _pi_screen(records: DataFrame) -> DataFrame:
+    """Messages are only looked into where the type says that there is one."""
+    df = J.fence(records, _type=s("type"))
+    message = F.col("_type") == "message"
+    return _pi_kind(J.fence(df, _role=F.when(message, s("message", "role")), _call=F.when(message, F.expr(_blocks(("message", "content"), "toolCall")))))
+
+
+def _pi_kind(df: DataFrame) -> DataFrame:
     role = F.col("_role")
     message = F.when(role == "toolResult", "tool_result").when(F.col("_call").isNotNull(), "tool_call").when(role.isin("system", "branchSummary", "compactionSummary"), "checkpoint").when(
         role == "bashExecution", "action").when(role.isin(PI_ROLES), "message").otherwise("other")
@@ -415,4 +447,4 @@ def _pi_evidence() -> dict[str, Column]:
             "parent_id": _at("parentId"), "tool_call_id": call, "usage": F.lit("$.message.usage")}
 
 
-PI = Profile("pi-coding-agent", "1", _pi, lambda: {"shape": (F.col("_kind") != "other") & (s("id").isNotNull() | v("message").isNotNull()) & s("timestamp").isNotNull() & s("sessionId").isNull()}, share(0.9), _pi_prepare, _pi_evidence)
+PI = Profile("pi-coding-agent", "1", _pi, lambda: {"shape": (F.col("_kind") != "other") & (s("id").isNotNull() | v("message").isNotNull()) & s("timestamp").isNotNull() & s("sessionId").isNull()}, share(0.9), _pi_prepare, _pi_evidence, screen=_pi_screen)

@@ -135,7 +135,7 @@ def _appended_sql(v: str) -> str:
 
 
 def _checked_sql(v: str) -> str:
-    """Whether a wire record holds what its type must hold."""
+    """Whether a wire record holds what its type, read before as `_wt`, must hold."""
     agent = _has(v, "STRING", "agentId")
     some_agent = _absent_or(v, agent, "agentId")
     event = {
@@ -173,7 +173,7 @@ def _checked_sql(v: str) -> str:
         "context.append_message": f"{_among(v, MESSAGE_ROLES, 'message', 'role')} AND {_has(v, 'ARRAY', 'message', 'content')} AND {_has(v, 'ARRAY', 'message', 'toolCalls')}",
         "context.append_loop_event": f"({loop})",
     }
-    return f"CASE {J.string_sql(v, 'type')} " + " ".join(f"WHEN '{k}' THEN {c}" for k, c in rules.items()) + " ELSE false END"
+    return "CASE _wt " + " ".join(f"WHEN '{k}' THEN {c}" for k, c in rules.items()) + " ELSE false END"
 
 
 def error_sql(v: str) -> str:
@@ -241,7 +241,8 @@ def _id(value: Column) -> Column:
     return F.when(F.length(value) <= IDENTITY, value)
 
 
-def _prepare(records: DataFrame) -> DataFrame:
+def _screen(records: DataFrame) -> DataFrame:
+    """The form of each record, its type and the object its fields are read from."""
     v = "value"
     kind = J.string_sql(v, "type")
     # The checks of all types are wide: each is computed once per row and kept.
@@ -256,7 +257,11 @@ def _prepare(records: DataFrame) -> DataFrame:
     at = "CASE _form WHEN 'journal' THEN '$.envelope.payload' WHEN 'message' THEN if(_wt = 'agent.message.appended', '$.message.message', '$.message') WHEN 'loop' THEN '$.event' ELSE '$' END"
     df = J.fence(df, _b=F.expr(body), _at=F.expr(at))
     t = F.expr(f"CASE _form WHEN 'journal' THEN {J.string_sql(v, 'envelope', 'type')} WHEN 'message' THEN {J.string_sql('_b', 'role')} WHEN 'loop' THEN {J.string_sql('_b', 'type')} WHEN 'wire' THEN _wt END")
-    df = J.fence(df, _t=t, _calls=F.expr("try_variant_get(_b, '$.toolCalls', 'array<variant>')"))
+    return J.fence(df, _t=t)
+
+
+def _prepare(records: DataFrame) -> DataFrame:
+    df = J.fence(_screen(records), _calls=F.expr("try_variant_get(_b, '$.toolCalls', 'array<variant>')"))
     preview = {"journal": f"CASE WHEN _t = 'turn.steer' THEN {J.get_sql('_b', 'input')} WHEN _t = 'tool.result' THEN {J.get_sql('_b', 'output')} ELSE {J.get_sql('_b', 'content')} END",
                "message": J.get_sql("_b", "content"),
                "loop": f"if(_t = 'tool.result', {J.get_sql('_b', 'result', 'output')}, to_variant_object(array({J.get_sql('_b', 'part')})))",
@@ -428,4 +433,4 @@ def _evidence() -> dict[str, Column]:
             "parent_id": below("parentUuid"), "subagent_id": below("subagentId"), "status": _status(path=True), "usage": used}
 
 
-SESSION_WIRE = Profile("kimi-code-session", "5", _columns, _signals, _score, _prepare, _evidence, _varied)
+SESSION_WIRE = Profile("kimi-code-session", "5", _columns, _signals, _score, _prepare, _evidence, _varied, _screen)
