@@ -44,79 +44,104 @@ def id_uses(events: DataFrame) -> DataFrame:
 
 
 class Correlator(StatefulProcessor):
-    """Relations of one id. What it has seen lies in the state store, lists of ordinals included, and is read row by row.
+    """Relations of the ids of one bucket. What an id has seen lies in the state store under its own key, lists of ordinals in parts that are read one by one.
 
-    Of a batch, one id's uses are held as ten bytes each, so that they can be put into
-    record order; triggers bound them (maxBytesPerTrigger and the like).
+    Only ids of the batch are looked up, each once. Of a batch, one bucket's uses are held,
+    so that they can be put into record order; triggers bound them (maxBytesPerTrigger and the like).
     """
 
     CHUNK = 100_000
+    PART = 1_000  # ordinals in one entry of a list
+    HEAD = ["anchor", "message", "subagent", "calls", "results", "waiting"]  # three ordinals, then the number of parts of each list
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        value = lambda name: handle.getValueState(name, "at bigint", self.ttl_ms)
-        many = lambda name, schema: handle.getListState(name, schema, self.ttl_ms)
-        self.anchor, self.message, self.subagent = value("anchor"), value("message"), value("subagent")
-        self.calls, self.results, self.waiting = many("calls", "at bigint"), many("results", "at bigint"), many("waiting", "at bigint, late boolean")
+        own = "source_id string, profile_id string, space string, id string"
+        self.ids = handle.getMapState("ids", own, ", ".join(f"{h} bigint" for h in self.HEAD), self.ttl_ms)
+        self.lists = handle.getMapState("lists", f"{own}, list string, part bigint", "at array<bigint>, late array<boolean>", self.ttl_ms)
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        source, profile, space, stable = key
-        parts = [(f["ordinal"].to_numpy(np.int64), f["use"].to_numpy(np.int8), f["late"].to_numpy(bool)) for f in rows]
-        at, use, late = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((use, at))
-        at, use, late = at[order], use[order], late[order]
-        edges = self._members(space, at) if space in ("session", "turn") else self._pairs(at[use == CALL], at[use == RESULT]) if space == "tool" else self._parents(at, use, late)
-        for kind, a, b in edges:
-            if len(b):
-                yield pd.DataFrame({"source_id": source, "profile_id": profile, "kind": kind, "stable_id": stable, "source_key": a, "target_key": b})
-
-    def _members(self, space: str, at: np.ndarray):
-        if self.anchor.exists():
-            anchor = self.anchor.get()[0]
-        else:
-            anchor = int(at[0])
-            self.anchor.update((anchor,))
+        uses = pd.concat(list(rows), ignore_index=True)
+        at, use, late = uses["ordinal"].to_numpy(np.int64), uses["use"].to_numpy(np.int8), uses["late"].to_numpy(bool)
+        which = uses.groupby(KEYS, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((use, at, which))
+        at, use, late, which = at[order], use[order], late[order], which[order]
+        starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+        names = [tuple(None if pd.isna(x) else x for x in k) for k in uses[KEYS].iloc[order[starts]].itertuples(index=False, name=None)]
+        out, held = [], 0
+        for own, i, j in zip(names, starts.tolist(), [*starts[1:].tolist(), len(at)]):
+            for kind, a, b in self._edges(own, at[i:j], use[i:j], late[i:j]):
+                if len(b):
+                    out.append((own, kind, a, b))
+                    held += len(b)
+                if held >= self.CHUNK:
+                    yield self._frame(out)
+                    out, held = [], 0
+        if out:
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list) -> pd.DataFrame:
+        sizes = [len(b) for *_, b in out]
+        def each(values: list) -> np.ndarray:
+            return np.repeat(np.array(values, object), sizes)
+        return pd.DataFrame({"source_id": each([k[0] for k, *_ in out]), "profile_id": each([k[1] for k, *_ in out]), "kind": each([kind for _, kind, *_ in out]), "stable_id": each([k[3] for k, *_ in out]),
+                             "source_key": np.concatenate([a for *_, a, _ in out]), "target_key": np.concatenate([b for *_, b in out])})
+
+    def _edges(self, own: tuple, at: np.ndarray, use: np.ndarray, late: np.ndarray):
+        known = self.ids.getValue(own)
+        head = dict(zip(self.HEAD, known or (None, None, None, 0, 0, 0)))
+        before = dict(head)
+        space = own[2]
+        yield from self._members(head, space, at) if space in ("session", "turn") else self._pairs(own, head, at[use == CALL], at[use == RESULT]) if space == "tool" else self._parents(own, head, at, use, late)
+        if head != before:
+            self.ids.updateValue(own, tuple(head[h] for h in self.HEAD))
+
+    def _members(self, head: dict, space: str, at: np.ndarray):
+        if head["anchor"] is None:
+            head["anchor"] = int(at[0])
+        anchor = head["anchor"]
         for i in range(0, len(at), self.CHUNK):
-            own = at[i:i + self.CHUNK]
-            own = own[own != anchor]
-            yield f"{space}_member", np.full(len(own), anchor), own
-
-    def _seen(self, held) -> Iterator[np.ndarray]:
-        """A list of the state in chunks."""
-        part = []
-        for row in held.get():
-            part.append(row[0])
-            if len(part) == self.CHUNK:
-                yield np.array(part, np.int64)
-                part = []
-        if part:
-            yield np.array(part, np.int64)
-
-    def _pairs(self, calls: np.ndarray, results: np.ndarray):
+            part = at[i:i + self.CHUNK]
+            part = part[part != anchor]
+            yield f"{space}_member", np.full(len(part), anchor), part
+
+    def _seen(self, own: tuple, head: dict, name: str) -> Iterator[tuple]:
+        """A list of the state, part by part."""
+        for n in range(head[name]):
+            part = self.lists.getValue((*own, name, n))
+            if part is not None:
+                yield np.array(part[0], np.int64), np.array(part[1], bool)
+
+    def _append(self, own: tuple, head: dict, name: str, at: np.ndarray, late: np.ndarray) -> None:
+        for i in range(0, len(at), self.PART):
+            self.lists.updateValue((*own, name, head[name]), (at[i:i + self.PART].tolist(), late[i:i + self.PART].tolist()))
+            head[name] += 1
+
+    def _pairs(self, own: tuple, head: dict, calls: np.ndarray, results: np.ndarray):
         """Each call with each result, as soon as the later of both is there."""
-        for held, new, flip in ((self.results, calls, False), (self.calls, results, True)):
-            if len(new) and held.exists():
-                for old in self._seen(held):
+        for name, new, flip in (("results", calls, False), ("calls", results, True)):
+            if len(new):
+                for old, _ in self._seen(own, head, name):
                     for one in new.tolist():
                         yield "tool_pair", *((old, np.full(len(old), one)) if flip else (np.full(len(old), one), old))
         for one in calls.tolist():
             yield "tool_pair", np.full(len(results), one), results
-        for held, new in ((self.calls, calls), (self.results, results)):
-            if len(new):
-                held.appendList([(x,) for x in new.tolist()])
+        for name, new in (("calls", calls), ("results", results)):
+            self._append(own, head, name, new, np.zeros(len(new), bool))
 
-    def _parents(self, at: np.ndarray, use: np.ndarray, late: np.ndarray):
+    def _parents(self, own: tuple, head: dict, at: np.ndarray, use: np.ndarray, late: np.ndarray):
         """A child takes the latest message, else the latest subagent of its id up to itself; without any it waits for the first that comes."""
-        def latest(code: int, state):
-            known = state.get()[0] if state.exists() else -1
+        def latest(code: int, name: str):
+            known = -1 if head[name] is None else head[name]
             return np.maximum.accumulate(np.r_[known, np.where(use == code, at, -1)])[1:] if known < 0 else np.where(
                 (last := np.maximum.accumulate(np.where(use == code, np.arange(len(at)), -1))) < 0, known, at[last])
-        message, subagent = latest(MESSAGE, self.message), latest(SUBAGENT, self.subagent)
+        message, subagent = latest(MESSAGE, "message"), latest(SUBAGENT, "subagent")
         child = use == PARENT
         owner = np.where(message >= 0, message, subagent)
         yield "parent_child", owner[child & (owner >= 0)], at[child & (owner >= 0)]
@@ -124,25 +149,28 @@ class Correlator(StatefulProcessor):
         writers = np.flatnonzero((use == MESSAGE) | (use == SUBAGENT))
         if len(writers):
             first, by_subagent = int(at[writers[0]]), use[writers[0]] == SUBAGENT
-            if self.waiting.exists():
-                for row in self.waiting.get():
-                    yield "subagent_parent" if by_subagent or row[1] else "parent_child", np.array([first]), np.array([row[0]])
-                self.waiting.clear()
+            for child_at, child_late in self._seen(own, head, "waiting"):
+                for kind, mine in (("subagent_parent", child_late | by_subagent), ("parent_child", ~child_late & (not by_subagent))):
+                    yield kind, np.full(int(mine.sum()), first), child_at[mine]
+            for n in range(head["waiting"]):
+                self.lists.removeKey((*own, "waiting", n))
+            head["waiting"] = 0
             for kind, mine in (("subagent_parent", open_ & (late | by_subagent)), ("parent_child", open_ & ~late & ~by_subagent)):
                 yield kind, np.full(int(mine.sum()), first), at[mine]
-            for code, state, last in ((MESSAGE, self.message, message), (SUBAGENT, self.subagent, subagent)):
+            for code, name, last in ((MESSAGE, "message", message), (SUBAGENT, "subagent", subagent)):
                 if (use == code).any():
-                    state.update((int(last[-1]),))
+                    head[name] = int(last[-1])
         elif open_.any():
-            self.waiting.appendList(list(zip(at[open_].tolist(), late[open_].tolist())))
+            self._append(own, head, "waiting", at[open_], late[open_])
 
 
-def stream_relations(events: DataFrame, keep: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+def stream_relations(events: DataFrame, keep: str | None = None, ttl_ms: int | None = None, buckets: int = 4096) -> DataFrame:
     """Relations of a stream of events, each once; children that come before their parent wait in state.
 
     A record that is delivered again is dropped before anything else. State is kept per
     (source, profile, id) in RocksDB, so it spreads over the cluster like the ids do and
-    does not have to fit in memory. With `keep` (such as "2 days", by the events' `ts`)
+    does not have to fit in memory. Ids are dealt to `buckets` by hash, so that one call
+    serves many ids; the number may not change while a checkpoint lives. With `keep` (such as "2 days", by the events' `ts`)
     repeats are only looked for that long, and with `ttl_ms` an id that was not written
     for that long is forgotten (availableNow then needs
     spark.sql.streaming.noDataMicroBatches.enabled off); without them nothing expires. Within a trigger records
@@ -153,4 +181,5 @@ def stream_relations(events: DataFrame, keep: str | None = None, ttl_ms: int | N
     cloudpickle.register_pickle_by_value(here)
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     once = events.withWatermark("ts", keep).dropDuplicatesWithinWatermark(RECORD) if keep else events.dropDuplicates(RECORD)
-    return id_uses(once).groupBy(*KEYS).transformWithStateInPandas(Correlator(ttl_ms), EDGES, "append", "None" if ttl_ms is None else "ProcessingTime")
+    dealt = id_uses(once).withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(Correlator(ttl_ms), EDGES, "append", "None" if ttl_ms is None else "ProcessingTime")
